@@ -154,7 +154,9 @@ def disclosures(docs: DataFrame, text: str = "text", window: int = WINDOW, suppo
     both = near.select(F.explode("pairs").alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     pairs = materialize(both.join(held, "entity"), "pii-pairs")
     wanted = materialize(pairs.select("term").distinct(), "pii-terms")
-    seen = docs.select(F.explode(terms_of(F.col(text))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    # Counted before they are joined: a term is a row of each task at most, however common it is. An inner join with
+    # distinct terms, since a semi join would be moved below the counting.
+    seen = docs.select(F.explode(terms_of(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
     n = F.lit(float(max(total, 1)))
     ratio = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term"))) / F.log(n / F.col("n_entity"))
     scored = pairs.join(seen, "term").where(F.col("n_entity") < n).select("entity", "term", F.least(ratio, F.lit(1.0)).alias("disclosure"))
