@@ -3,7 +3,8 @@
 Vectors are rotated at random, so that a few columns tell much about the whole. Rows are dealt to the lists of a
 k-means fitted on a bounded sample; a query probes its nearest lists. Within a list candidates are read by blocks of
 columns: the distance seen so far, scaled to all columns, estimates the whole, and a candidate is abandoned when a
-hypothesis test says that it can't reach the worst of the best k found (Gao and Long's test, at ``epsilon``). Survivors
+hypothesis test says that it can't reach the worst of the best k found (Gao and Long's test, at ``epsilon``). How many
+lists are probed is chosen on the sample, for a recall of ``TARGET`` there: few for clustered vectors, many for noise. Survivors
 are scored exactly, in double precision, on the original vectors.
 
 Lists are cut into blocks of bounded size (so a list with a third of all rows is many tasks) and so are the queries
@@ -12,8 +13,6 @@ that probe one; a task holds one block of each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -24,10 +23,10 @@ from fennwick.llm.common import bound_batches, materialize, table
 K = 20
 SAMPLE_ROWS = 20_000
 #: Lists for so many rows each; the sample bounds their number too.
-LIST_ROWS = 400
+LIST_ROWS = 800
 MAX_LISTS = 1024
-PROBE_SHARE = 0.35
-MIN_PROBES = 12
+#: Recall on the sample for which the number of probed lists is chosen.
+TARGET = 0.96
 EPSILON = 2.1
 COLUMN_BLOCK = 16
 BLOCK_ROWS = 4096
@@ -37,8 +36,9 @@ QUERY_ROWS = 512
 def _clean(vectors: DataFrame, id_col: str, column: str) -> DataFrame:
     """(vec_id, v) of the rows that take part: no null, zero or non-finite vectors, and the first dimension met most."""
     v = F.col("v")
-    fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull()).where(fine)
+    fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    kind = "array<float>" if dict(vectors.dtypes)[column] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(column).cast(kind).alias("v")).where(F.col("vec_id").isNotNull()).where(fine)
     sizes = rows.groupBy(F.size("v").alias("d")).count().collect()  # a row for each dimension
     if not sizes:
         return rows.where(F.lit(False))
@@ -84,80 +84,106 @@ def scan(query: np.ndarray, rotated: np.ndarray, norms: np.ndarray, rows: np.nda
     return rows
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, turn: np.ndarray, k: int = K, epsilon: float = EPSILON, chunk: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of each query's best k rows of a block, ties to the smaller vec_id."""
+def search_block(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.ndarray, x: np.ndarray, turn: np.ndarray, k: int = K, epsilon: float = EPSILON, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score) of each query's best k rows of a block at or above its floor, ties to the smaller vec_id."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     rotated, norms, rq = x @ turn, (x * x).sum(1), q @ turn
     out_q, out_v, out_s = [], [], []
     for qi in range(len(q_ids)):
-        best_s, best_v = np.zeros(0), np.zeros(0, np.int64)
+        best_s, best_v, floor = np.zeros(0), np.zeros(0, np.int64), floors[qi]
         for at in range(0, len(ids), chunk):
             rows = np.arange(at, min(at + chunk, len(ids)))
             rows = rows[ids[rows] != q_ids[qi]]
-            if len(best_s) >= k:
-                rows = scan(rq[qi], rotated, norms, rows, best_s[-1], epsilon)
+            if np.isfinite(floor):
+                rows = scan(rq[qi], rotated, norms, rows, floor, epsilon)
             if len(rows):
                 s, v = np.concatenate([best_s, x[rows] @ q[qi]]), np.concatenate([best_v, ids[rows]])
                 top = np.lexsort((v, -s))[:k]
+                top = top[s[top] >= floor]
                 best_s, best_v = s[top], v[top]
+                if len(best_s) == k:
+                    floor = max(floor, best_s[-1])
         out_q.append(np.full(len(best_s), q_ids[qi]))
         out_v.append(best_v)
         out_s.append(best_s)
     return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
 
 
+def probes_for(sample: np.ndarray, centres: np.ndarray, k: int, target: float = TARGET, queries: int = 256) -> int:
+    """Fewest lists to probe for a recall of ``target`` among the sample's own rows, by brute force on the sample."""
+    lists = ((centres * centres).sum(1) - 2 * (sample @ centres.T)).argmin(1)
+    q = np.random.default_rng(7).choice(len(sample), min(queries, len(sample)), replace=False)
+    products = sample[q] @ sample.T
+    products[np.arange(len(q)), q] = -np.inf
+    best = np.argsort(-products, axis=1)[:, : min(k, len(sample) - 1)]
+    place = np.argsort(np.argsort(-(sample[q] @ centres.T), axis=1, kind="stable"), axis=1)
+    if not best.size:
+        return len(centres)
+    needed = np.sort(place[np.arange(len(q))[:, None], lists[best]].ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]) + 1
+
+
 def nearest(vectors: DataFrame, query_every: int = 20, k: int = K, id_col: str = "vec_id", column: str = "embedding", sample_rows: int = SAMPLE_ROWS, epsilon: float = EPSILON) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``query_every``, against all other rows.
 
-    Rows without id, and vectors that are null, zero, of an odd dimension or hold null or non-finite components, take
-    no part. Repeated rows of an id count as rows. Fewer rows than k give all; an empty table gives none.
+    The nearest list is searched first; its k-th score is the floor from which the other probed lists are scanned, so
+    they return few rows. Rows without id, and vectors that are null, zero, of an odd dimension or hold null or
+    non-finite components, take no part. A repeated query id asks once, by its smallest vector; repeated candidates
+    count as rows. Fewer rows than k give all; an empty table gives none.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
     rows = _clean(vectors, id_col, column)
     n = rows.count()
-    schema = "query_id long, rank int, vec_id long, score double"
     if not n:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     picked = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30)) < F.lit(int(min(1.0, sample_rows / n) * (1 << 30)))).select("v").limit(2 * sample_rows).collect()
-    sample = np.array([r["v"] for r in picked] or [rows.first()["v"]])
+    sample = np.array([r["v"] for r in picked] or [rows.first()["v"]], dtype=np.float64)
     turn = rotation(sample.shape[1])
-    lists = max(1, min(MAX_LISTS, len(sample) // 8 or 1, n // LIST_ROWS or 1))
-    centres = kmeans(sample, lists)
-    lists = len(centres)
-    probes = min(lists, max(MIN_PROBES, round(PROBE_SHARE * lists)))
+    centres = kmeans(sample, max(1, min(MAX_LISTS, len(sample) // 8, n // LIST_ROWS)))
+    lists, probes = len(centres), probes_for(sample, centres, k)
     shared = spark.sparkContext.broadcast((centres, turn))  # MAX_LISTS centres at most
 
     @F.pandas_udf("array<int>")
     def lists_of(v: pd.Series, many: pd.Series) -> pd.Series:
         c = shared.value[0]
-        x = np.stack(v.to_list()) if len(v) else np.zeros((0, c.shape[1]))
-        near = (c * c).sum(1) - 2 * (x @ c.T)
+        x = np.stack(v.to_list()).astype(np.float64) if len(v) else np.zeros((0, c.shape[1]))
+        near = ((c * c).sum(1) - 2 * (x @ c.T)).argmin(1)
         by_product = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :probes]
-        return pd.Series([by_product[i].tolist() if m else [int(near[i].argmin())] for i, m in enumerate(many)])
+        return pd.Series([by_product[i].tolist() if m else [int(near[i])] for i, m in enumerate(many)])
 
-    is_query = F.col("vec_id") % query_every == 0
+    queries = rows.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     dealt = materialize(rows.select("vec_id", "v", lists_of(F.col("v"), F.lit(False))[0].alias("list")), "ann-lists")
-    probing = materialize(rows.where(is_query).select("vec_id", F.explode(lists_of(F.col("v"), F.lit(True))).alias("list")), "ann-probes")
-    blocks = lambda df, size: {r["list"]: -(-r["count"] // size) for r in df.groupBy("list").count().collect()}  # noqa: E731  a row for each list
-    row_blocks, query_blocks = blocks(dealt, BLOCK_ROWS), blocks(probing, QUERY_ROWS)
-    many = F.create_map(*[x for g in range(lists) for x in (F.lit(g), F.struct(F.lit(row_blocks.get(g, 0)).alias("r"), F.lit(query_blocks.get(g, 0)).alias("q")))])[F.col("list")]
-    spread = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(11)), F.greatest(n, F.lit(1))).cast("int")
-    left = dealt.where(many["q"] > 0).select("list", spread(many["r"]).alias("rb"), F.explode(F.sequence(F.lit(0), many["q"] - 1)).alias("qb"), "vec_id", "v")
-    asked = probing.join(rows.where(is_query).select("vec_id", "v"), "vec_id")
-    right = asked.where(many["r"] > 0).select("list", F.explode(F.sequence(F.lit(0), many["r"] - 1)).alias("rb"), spread(many["q"]).alias("qb"), "vec_id", "v")
+    asking = materialize(queries.withColumn("probes", lists_of(F.col("v"), F.lit(True))), "ann-queries")
+    counts = lambda df: {r["list"]: r["count"] for r in df.groupBy("list").count().collect()}  # noqa: E731  a row for each list
+    held = counts(dealt)
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q, v, s = search_block(b["vec_id"].to_numpy(), np.stack(b["v"].to_list()), a["vec_id"].to_numpy(), np.stack(a["v"].to_list()), shared.value[1], k, epsilon)
+        stack = lambda f: np.stack(f["v"].to_list()).astype(np.float64)
+        q, v, s = search_block(b["vec_id"].to_numpy(), stack(b), b["floor"].to_numpy(), a["vec_id"].to_numpy(), stack(a), shared.value[1], k, epsilon)
         return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
 
-    keys = ["list", "rb", "qb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
+    def search(asked: DataFrame) -> DataFrame:
+        """What each query (vec_id, v, floor) finds in the list it names, a block of either side in each task."""
+        asks = counts(asked)
+        blocks = [(F.lit(g), F.struct(F.lit(-(-held.get(g, 0) // BLOCK_ROWS)).alias("r"), F.lit(-(-asks.get(g, 0) // QUERY_ROWS)).alias("q"))) for g in range(lists)]
+        many = F.create_map(*[x for pair in blocks for x in pair])[F.col("list")]
+        spread = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(11)), F.greatest(n, F.lit(1))).cast("int")
+        left = dealt.where(many["q"] > 0).select("list", spread(many["r"]).alias("rb"), F.explode(F.sequence(F.lit(0), many["q"] - 1)).alias("qb"), "vec_id", "v")
+        right = asked.where(many["r"] > 0).select("list", F.explode(F.sequence(F.lit(0), many["r"] - 1)).alias("rb"), spread(many["q"]).alias("qb"), "vec_id", "v", "floor")
+        keys = ["list", "rb", "qb"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
+
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    low = F.lit(float("-inf"))
+    first = materialize(best(search(asking.select("vec_id", "v", F.col("probes")[0].alias("list"), low.alias("floor")))), "ann-first")
+    floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(low).alias("floor"))
+    others = asking.join(floors, asking["vec_id"] == floors["query_id"], "left").select("vec_id", "v", F.explode(F.slice("probes", 2, lists)).alias("list"), F.coalesce("floor", low).alias("floor"))
+    return best(first.drop("rank").unionByName(search(others)))
 
 
 def op8_ann(spark, sf_dir: str) -> DataFrame:
