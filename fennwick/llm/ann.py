@@ -27,6 +27,8 @@ LIST_ROWS = 800
 MAX_LISTS = 1024
 #: Recall on the sample for which the number of probed lists is chosen.
 TARGET = 0.96
+#: One in so many of the probed lists is searched first, to get a floor for the others.
+FIRST_SHARE = 6
 EPSILON = 2.1
 COLUMN_BLOCK = 16
 BLOCK_ROWS = 4096
@@ -64,49 +66,59 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray
     return centres
 
 
-def scan(query: np.ndarray, rotated: np.ndarray, norms: np.ndarray, rows: np.ndarray, floor: float, epsilon: float = EPSILON, block: int = COLUMN_BLOCK) -> np.ndarray:
-    """The rows that the tests leave: those which may have an inner product of ``floor`` or more with the query.
+def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the best k, ties to the smaller id."""
+    if len(scores) > 4 * k:
+        near = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+        return near[np.lexsort((ids[near], -scores[near]))[:k]]
+    return np.lexsort((ids, -scores))[:k]
 
-    |q - x|^2 = |q|^2 + |x|^2 - 2qx, so the inner product reaches the floor only if the distance is at most r(x).
+
+def scan(query: np.ndarray, rotated: np.ndarray, rows: np.ndarray, seen: np.ndarray, reach: np.ndarray, first: int, epsilon: float = EPSILON, block: int = COLUMN_BLOCK) -> np.ndarray:
+    """The rows that the tests from column ``first`` on leave, given the squared distances seen before it.
+
+    ``reach`` is the squared distance |q|^2 + |x|^2 - 2 floor at which a row's inner product is the floor.
     """
     d = rotated.shape[1]
-    reach = np.maximum((query * query).sum() + norms[rows] - 2 * floor, 0.0)
-    seen = np.zeros(len(rows))
-    for at in range(0, d, block):
+    for at in range(first, d, block):
         if not len(rows):
             break
         part = rotated[rows, at : at + block] - query[at : at + block]
         seen = seen + (part * part).sum(1)
         done = min(at + block, d)
-        slack = (1 + epsilon / np.sqrt(done)) ** 2 if done < d else 1 + 1e-9
-        stay = seen * (d / done) <= reach * slack + 1e-12
+        stay = seen * (d / done) <= reach * _slack(done, d, epsilon) + 1e-12
         rows, seen, reach = rows[stay], seen[stay], reach[stay]
     return rows
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.ndarray, x: np.ndarray, turn: np.ndarray, k: int = K, epsilon: float = EPSILON, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of each query's best k rows of a block at or above its floor, ties to the smaller vec_id."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    rotated, norms, rq = x @ turn, (x * x).sum(1), q @ turn
+def _slack(done: int, d: int, epsilon: float) -> float:
+    return (1 + epsilon / np.sqrt(done)) ** 2 if done < d else 1 + 1e-9
+
+
+def search_block(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.ndarray, x: np.ndarray, turn: np.ndarray, k: int = K, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score) of each query's best k rows of a block at or above its floor, ties to the smaller vec_id.
+
+    The first column block is read for all queries at once; what its test leaves is scanned query by query.
+    """
+    rotated, rq = x @ turn, q @ turn
+    d = x.shape[1]
+    first = min(COLUMN_BLOCK, d)
+    head, q_head = rotated[:, :first], rq[:, :first]
+    seen = np.maximum((q_head * q_head).sum(1)[:, None] + (head * head).sum(1) - 2 * (q_head @ head.T), 0)
+    reach = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * np.maximum(floors, -1e300)[:, None], 0)
+    stay = seen * (d / first) <= reach * _slack(first, d, epsilon) + 1e-12
+    stay &= ids != q_ids[:, None]
     out_q, out_v, out_s = [], [], []
-    for qi in range(len(q_ids)):
-        best_s, best_v, floor = np.zeros(0), np.zeros(0, np.int64), floors[qi]
-        for at in range(0, len(ids), chunk):
-            rows = np.arange(at, min(at + chunk, len(ids)))
-            rows = rows[ids[rows] != q_ids[qi]]
-            if np.isfinite(floor):
-                rows = scan(rq[qi], rotated, norms, rows, floor, epsilon)
-            if len(rows):
-                s, v = np.concatenate([best_s, x[rows] @ q[qi]]), np.concatenate([best_v, ids[rows]])
-                top = np.lexsort((v, -s))[:k]
-                top = top[s[top] >= floor]
-                best_s, best_v = s[top], v[top]
-                if len(best_s) == k:
-                    floor = max(floor, best_s[-1])
-        out_q.append(np.full(len(best_s), q_ids[qi]))
-        out_v.append(best_v)
-        out_s.append(best_s)
+    for i in range(len(q_ids)):
+        rows = np.flatnonzero(stay[i])
+        if np.isfinite(floors[i]):
+            rows = scan(rq[i], rotated, rows, seen[i, rows], reach[i, rows], first, epsilon)
+        s = x[rows] @ q[i]
+        rows, s = rows[s >= floors[i]], s[s >= floors[i]]
+        top = _top(s, ids[rows], k)
+        out_q.append(np.full(len(top), q_ids[i]))
+        out_v.append(ids[rows[top]])
+        out_s.append(s[top])
     return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
 
 
@@ -127,7 +139,7 @@ def probes_for(sample: np.ndarray, centres: np.ndarray, k: int, target: float =
 def nearest(vectors: DataFrame, query_every: int = 20, k: int = K, id_col: str = "vec_id", column: str = "embedding", sample_rows: int = SAMPLE_ROWS, epsilon: float = EPSILON) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``query_every``, against all other rows.
 
-    The nearest list is searched first; its k-th score is the floor from which the other probed lists are scanned, so
+    The nearest lists are searched first; their k-th score is the floor from which the other probed lists are scanned, so
     they return few rows. Rows without id, and vectors that are null, zero, of an odd dimension or hold null or
     non-finite components, take no part. A repeated query id asks once, by its smallest vector; repeated candidates
     count as rows. Fewer rows than k give all; an empty table gives none.
@@ -180,9 +192,10 @@ def nearest(vectors: DataFrame, query_every: int = 20, k: int = K, id_col: str =
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     best = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     low = F.lit(float("-inf"))
-    first = materialize(best(search(asking.select("vec_id", "v", F.col("probes")[0].alias("list"), low.alias("floor")))), "ann-first")
+    near = -(-probes // FIRST_SHARE)
+    first = materialize(best(search(asking.select("vec_id", "v", F.explode(F.slice("probes", 1, near)).alias("list"), low.alias("floor")))), "ann-first")
     floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(low).alias("floor"))
-    others = asking.join(floors, asking["vec_id"] == floors["query_id"], "left").select("vec_id", "v", F.explode(F.slice("probes", 2, lists)).alias("list"), F.coalesce("floor", low).alias("floor"))
+    others = asking.join(floors, asking["vec_id"] == floors["query_id"], "left").select("vec_id", "v", F.explode(F.slice("probes", near + 1, lists)).alias("list"), F.coalesce("floor", low).alias("floor"))
     return best(first.drop("rank").unionByName(search(others)))
 
 
