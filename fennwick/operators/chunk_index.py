@@ -39,13 +39,17 @@ class ChunkIndex:
     stats: DataFrame
     themes: list[str] = field(default_factory=list)
 
-    def save(self, path: str) -> None:
+    def save(self, path: str) -> ChunkIndex:
+        """Write the index and read it back. Terms and statistics are taken from the written tables, not computed anew."""
+        spark = self.chunks.sparkSession
         self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-        # Sorted by term, so that a query's terms are found by the files' statistics.
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
-        self.chunks.sparkSession.createDataFrame([(t,) for t in self.themes], "theme string").write.mode("overwrite").parquet(f"{path}/themes")
+        # Files sorted by term: a query's terms are found by the statistics of row groups.
+        self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        terms, stats = _statistics(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/postings"))
+        terms.write.mode("overwrite").parquet(f"{path}/terms")
+        stats.write.mode("overwrite").parquet(f"{path}/stats")
+        spark.createDataFrame([(t,) for t in self.themes], "theme string").write.mode("overwrite").parquet(f"{path}/themes")
+        return ChunkIndex.load(spark, path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> ChunkIndex:
@@ -54,17 +58,25 @@ class ChunkIndex:
 
 
 def build_index(chunks: DataFrame, themes: list[str] = (), segmenter: T.Segmenter = T.word_runs) -> ChunkIndex:
-    """Index of ``chunks`` (chunk_id, title, text). Chunks without text or without any text term are left out."""
+    """Index of ``chunks`` (chunk_id, title, text). Chunks without text or without any text term are left out.
+
+    The tables are lazy; ``save`` computes each once.
+    """
     rows = chunks.select("chunk_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
     held = rows.withColumn("_text", T.tokenize(F.col("text"), segmenter=segmenter)).withColumn("_title", T.tokenize(F.col("title"), segmenter=segmenter))
     held = held.where((T.strip(F.col("text")) != "") & (F.size("_text") > 0))
     sized = held.select("chunk_id", "title", "text", F.greatest(F.size("_text"), F.lit(1)).alias("text_len"), F.greatest(F.size("_title"), F.lit(1)).alias("title_len"))
     both = F.concat(F.transform("_text", lambda t: F.struct(t.alias("term"), F.lit(1).alias("x"), F.lit(0).alias("y"))), F.transform("_title", lambda t: F.struct(t.alias("term"), F.lit(0).alias("x"), F.lit(1).alias("y"))))
     postings = held.select("chunk_id", F.explode(both).alias("p")).groupBy("p.term", "chunk_id").agg(F.sum("p.x").alias("text_tf"), F.sum("p.y").alias("title_tf"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("text_len").alias("avg_len"), F.avg("title_len").alias("avg_title_len"))
+    return ChunkIndex(sized, postings, *_statistics(sized, postings), sorted({re.sub(r"\s+", "", t).lower() for t in themes}))
+
+
+def _statistics(chunks: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Terms (term, df, idf) and the one row (n, avg_len, avg_title_len)."""
+    stats = chunks.agg(F.count("*").alias("n"), F.avg("text_len").alias("avg_len"), F.avg("title_len").alias("avg_title_len"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    terms = df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row
-    return ChunkIndex(sized, postings, terms, stats, sorted({re.sub(r"\s+", "", t).lower() for t in themes}))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", idf.alias("idf")), stats  # one row
 
 
 def topics(chunks: DataFrame, position: str = "chunk_id") -> DataFrame:
@@ -170,8 +182,11 @@ def score_chunks(index: ChunkIndex, plan: QueryPlan) -> DataFrame:
     return found.select("chunk_id", "title", "text", F.round(s, 3).alias("score")).where("score > 0")
 
 
-def rank_chunks(scored: DataFrame, plan: QueryPlan) -> DataFrame:
-    """The best ``top_k`` chunks with their rank: pinned ones or the profile first, then by score and chunk_id."""
+def rank_chunks(scored: DataFrame, plan: QueryPlan, chunks: DataFrame | None = None) -> DataFrame:
+    """The best ``top_k`` chunks with their rank: pinned ones or the profile first, then by score and chunk_id.
+
+    ``chunks``, the index's table, tells cheaply whether there is a profile at all.
+    """
     by_score = [F.col("score").desc(), F.col("chunk_id").asc()]
     if plan.pin:
         fits = F.col("title").rlike(plan.pin) & (F.length("text") >= PIN_LENGTH)
@@ -183,8 +198,10 @@ def rank_chunks(scored: DataFrame, plan: QueryPlan) -> DataFrame:
         flat = re.sub(r"[\s·・\-—]+", "", plan.flat)
         parts = F.split("title", " / ")
         fits = (F.get(parts, F.lit(1)) == PROFILE_SECTION) & (F.regexp_replace(parts[0], r"(?U)[\s·・\-—]+", "") == flat) & F.lit(len(flat) >= 2)
-        top = scored.where(fits).orderBy(*by_score).limit(1).select(F.col("chunk_id").alias("_profile"))
-        scored = scored.join(F.broadcast(top), F.col("chunk_id") == F.col("_profile"), "left").withColumn("_first", F.col("_profile").isNotNull())  # one row
+        scored = scored.withColumn("_first", F.lit(False))
+        if chunks is None or not chunks.where(fits).isEmpty():  # reads titles only, and spares a second scoring
+            top = scored.where(fits).orderBy(*by_score).limit(1).select(F.col("chunk_id").alias("_profile"))
+            scored = scored.join(F.broadcast(top), F.col("chunk_id") == F.col("_profile"), "left").withColumn("_first", F.col("_profile").isNotNull())  # one row
     limited = scored.orderBy(F.coalesce("_first", F.lit(False)).desc(), *by_score).limit(max(1, plan.top_k))
     return limited.withColumn("rank", F.row_number().over(Window.orderBy(F.coalesce("_first", F.lit(False)).desc(), *by_score)))
 
@@ -195,8 +212,9 @@ def search(index: ChunkIndex, query: str, top_k: int = 4, max_chars: int = 300,
     plan = plan_query(spark, (query or "").strip(), index.themes, top_k, max_chars, as_of, segmenter)
     if plan is None:
         return spark.createDataFrame([], "rank int, title string, text string, score double")
-    ranked = rank_chunks(score_chunks(index, plan), plan)
-    shown = T.truncate_around(F.col("text"), T.needle_of(F.col("text"), plan.flat, plan.terms), max(50, plan.max_chars))
+    ranked = rank_chunks(score_chunks(index, plan), plan, index.chunks)
+    ranked = ranked.withColumn("_needle", T.needle_of(F.col("text"), plan.flat, plan.terms))
+    shown = T.truncate_around(F.col("text"), F.col("_needle"), max(50, plan.max_chars))
     return ranked.select("rank", "title", shown.alias("text"), "score").orderBy("rank")
 
 
