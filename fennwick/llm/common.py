@@ -1,37 +1,16 @@
-"""Helpers shared by the operators: stage tables in the shared folder, batch bounds, text bytes."""
+"""Helpers shared by the operators: batch bounds, text bytes, input tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fennwick.tables import materialize, shared_dir  # noqa: F401
+
 #: Rows of one Arrow batch. Texts can be long, so far fewer than Spark's default of 10,000.
 BATCH_ROWS = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="fennwick-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs at most the running stage, and a table used twice is computed once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stages/{label}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Lower the Arrow batch size, unless the caller has already set one below Spark's default."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
