@@ -150,9 +150,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; same columns."""
-    names = docs.columns
     for items in blocks_of(benchmark, "item_id", "text"):
-        docs = docs.withColumn("_found", contamination(docs, items, rate)).where(F.size("_found") == 0).select(*names)
+        docs = docs.where(F.size(contamination(docs, items, rate)) == 0)
     return docs
 
 

@@ -163,28 +163,22 @@ def disclosures(docs: DataFrame, text: str = "text", window: int = WINDOW, suppo
     return materialize(scored.where(F.col("disclosure") >= generalise), "pii-disclosures")
 
 
-def _with_spans(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumn("_spans", base_spans(F.col(text)))
-
-
 def detect(docs: DataFrame, text: str = "text", window: int = WINDOW, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """All rows and columns of ``docs`` plus ``_spans`` (base) and ``_terms`` (start, end, term, removed) in order.
+    """(row, text, spans, terms) of every row of ``docs``: the row as a struct, its base spans and its disclosing terms.
 
-    Null and empty texts have no spans. Equal texts get equal spans, however often they are there. Columns named
-    _spans, _terms, _text_key or _key are the operator's own and must not be in ``docs``.
+    ``spans`` are as in ``base_spans``, ``terms`` (start, end, term, removed) in order. Null and empty texts have none.
+    Equal texts get equal spans, however often they are there. An empty table gives no rows. All other columns stay in
+    ``row``, so their names can't clash.
     """
-    clash = {"_spans", "_terms", "_text_key", "_key"} & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are the operator's own")
     kind = "array<struct<start:int,end:int,term:string,removed:boolean>>"
     found = disclosures(docs, text, window, support, generalise)
-    spanned = _with_spans(docs, text)
-    clean = spanned.where(F.size("_spans") == 0).withColumn("_terms", F.array().cast(kind))
-    holders = spanned.where(F.size("_spans") > 0).withColumn("_text_key", F.md5(F.col(text)))
-    sites = holders.select(F.col("_text_key").alias("_key"), F.explode(neighbours(F.col(text), F.col("_spans"), window)).alias("x")).select("_key", "x.*").distinct()
-    hits = sites.join(found, ["entity", "term"]).groupBy("_key", "start", "end", "term").agg(F.max("disclosure").alias("d"))
-    per_text = hits.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "term", (F.col("d") >= remove).alias("removed")))).alias("_terms"))
-    marked = holders.join(per_text, F.col("_text_key") == F.col("_key"), "left").withColumn("_terms", F.coalesce("_terms", F.array().cast(kind))).drop("_text_key", "_key")
+    spanned = docs.select(F.struct("*").alias("row"), F.col(text).alias("text")).withColumn("spans", base_spans(F.col("text")))
+    clean = spanned.where(F.size("spans") == 0).withColumn("terms", F.array().cast(kind))
+    holders = spanned.where(F.size("spans") > 0).withColumn("text_key", F.md5("text"))
+    sites = holders.select(F.col("text_key").alias("key"), F.explode(neighbours(F.col("text"), F.col("spans"), window)).alias("x")).select("key", "x.*").distinct()
+    hits = sites.join(found, ["entity", "term"]).groupBy("key", "start", "end", "term").agg(F.max("disclosure").alias("d"))
+    per_text = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "term", (F.col("d") >= remove).alias("removed")))).alias("terms"))
+    marked = holders.join(per_text, F.col("text_key") == F.col("key"), "left").withColumn("terms", F.coalesce("terms", F.array().cast(kind))).drop("text_key", "key")
     return clean.unionByName(marked)
 
 
@@ -193,18 +187,17 @@ def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 
     ``n_chars``, where it is there, follows the new text. Rows without an entity come back as they are.
     """
-    names = docs.columns
     found = detect(docs, text, **options)
     piece = "struct<start:int,end:int,mask:string>"
-    body = F.col(text)
-    masks = F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("mask")))
+    body = F.col("text")
+    masks = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("mask")))
 
     def mask_of(t: Column) -> Column:
         word = F.substring(body, t["start"] + 1, t["end"] - t["start"])
         general = F.when(word.rlike("^[0-9]+$"), "[NUMBER]").when(word.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
         return F.when(t["removed"], "").otherwise(general)
 
-    soft = F.transform("_terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), mask_of(t).alias("mask")))
+    soft = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), mask_of(t).alias("mask")))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -212,17 +205,25 @@ def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate(F.array_sort(F.concat(masks, soft).cast(f"array<{piece}>")), zero, step, lambda a: F.concat(a["out"], F.substring(body, a["at"] + 1, F.length(body))))
-    out = found.withColumn("_new", F.when(F.size("_spans") > 0, done).otherwise(body))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn(text, F.col("_new")).select(*names)
+    held = F.size("spans") > 0
+    out = found.select("row", held.alias("held"), F.when(held, done).otherwise(body).alias("new"))
+
+    def column(c: str) -> Column:
+        old = F.col("row")[c]
+        if c == text:
+            return F.col("new").alias(c)
+        if c == "n_chars":
+            return F.when(F.col("held"), F.length("new").cast(docs.schema[c].dataType)).otherwise(old).alias(c)
+        return old.alias(c)
+
+    return out.select(*map(column, docs.columns))
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
     """Spans of every document; terms that disclose an entity are added under the kind ``term``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = detect(docs)
-    count = lambda k: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    terms = F.transform("_terms", lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), t["end"].alias("end"), t["term"].alias("value")))
-    both = F.array_sort(F.concat(F.col("_spans"), terms))
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(F.col("_spans")).cast("binary"), 256).alias("base_sha256"), joined(both).alias("spans"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    terms = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), t["end"].alias("end"), t["term"].alias("value")))
+    both = F.array_sort(F.concat(F.col("spans"), terms))
+    return found.select("row.doc_id", *[count(k) for k in KINDS], F.sha2(joined(F.col("spans")).cast("binary"), 256).alias("base_sha256"), joined(both).alias("spans"))

@@ -23,7 +23,7 @@ from fennwick.llm.ftrl import FTRL, Row, scores
 
 DIM_BITS = 17
 META_BITS = 12
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 6000
 POOL_ROWS = 2000
 ROUNDS = 3
 SURE = 0.98
@@ -97,7 +97,7 @@ class QualityModel:
 
 
 def _fit(bits: int, rows: list[Row], y: np.ndarray) -> np.ndarray:
-    return FTRL(1 << bits, 2, alpha=0.2, l1=1.0, l2=1.0).fit(rows, y, epochs=4).weights()
+    return FTRL(1 << bits, 2, alpha=0.5, l1=3.0, l2=0.1).fit(rows, y, epochs=6).weights()
 
 
 def co_train(texts: list[Row], metas: list[Row], y: np.ndarray, pool_texts: list[Row], pool_metas: list[Row], rounds: int = ROUNDS, sure: float = SURE, exchange: int = EXCHANGE) -> QualityModel:
@@ -132,7 +132,7 @@ def _sampled(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _collect(rows: DataFrame) -> tuple[list[Row], list[Row], np.ndarray]:
-    """Features and labels of a bounded sample, in order of doc_id."""
+    """Features and labels of a bounded sample, in order of a hash of doc_id: the rows kept back are then a fair share."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +140,7 @@ def _collect(rows: DataFrame) -> tuple[list[Row], list[Row], np.ndarray]:
                 t, m = text_features(r["text"])[0], meta_features(*(r[c] for c in META))[0]
                 yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"]], pa.int64()), pa.array([r["good"]], pa.int32()), pa.array([t.astype("<u4").tobytes()]), pa.array([m.astype("<u4").tobytes()])], names=["doc_id", "good", "t", "m"])
 
-    got = sorted(rows.select("doc_id", "good", "text", *META).mapInArrow(features, "doc_id long, good int, t binary, m binary").collect(), key=lambda r: (r["doc_id"], bytes(r["t"]), r["good"]))
+    got = sorted(rows.select("doc_id", "good", "text", *META).mapInArrow(features, "doc_id long, good int, t binary, m binary").collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["t"]), r["good"]))
     read = lambda b: (i := np.frombuffer(bytes(b), "<u4").astype(np.int64), np.ones(len(i)))
     return [read(r["t"]) for r in got], [read(r["m"]) for r in got], np.array([r["good"] for r in got], dtype=int)
 

@@ -139,8 +139,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that are equal in id and text are one row afterwards (the smallest by all columns). Components without any id
     keep their smallest text hash.
     """
-    names, key = docs.columns, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "thash")
-    body = F.xxhash64(F.col("text"))
+    key, body = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "thash"), F.xxhash64(F.col("text"))
     rows = materialize(docs.select("doc_id", body.alias("thash"), fingerprint_of(docs).alias("fp")), "simhash-rows")
     nodes = rows.groupBy("fp").agg(F.min(key).alias("first"))
     labels = connected_components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")
@@ -149,9 +148,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     counts = rows.groupBy("doc_id", "thash").agg(F.count("*").alias("copies"))
     chosen = winners.alias("w").join(counts.alias("c"), F.col("w.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("w.thash") == F.col("c.thash"))).select(F.col("w.doc_id").alias("_id"), F.col("w.thash").alias("_thash"), "copies")
     chosen = materialize(chosen, "simhash-chosen")
-    picked = docs.withColumn("_t", body).join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_thash")))
-    single = picked.where("copies = 1").select(*names)
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id"), body.alias("thash"))  # so that no other column's name matters
+    picked = packed.join(chosen, packed["doc_id"].eqNullSafe(F.col("_id")) & (packed["thash"] == F.col("_thash")))
+    single = picked.where("copies = 1").select("row.*")
     if chosen.where("copies > 1").isEmpty():  # no row of the table is there twice, so the second read is not needed
         return single
-    same = picked.where("copies > 1").groupBy("_id", "_thash").agg(F.min(F.struct(*names)).alias("r")).select("r.*")
-    return single.unionByName(same)
+    return single.unionByName(picked.where("copies > 1").groupBy("_id", "_thash").agg(F.min("row").alias("row")).select("row.*"))
