@@ -31,8 +31,8 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?+[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: What a text must hold for a pattern to be tried at all.
-HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+#: What a text must hold for a kind's spans to be sought at all; each is met wherever a valid span is.
+HINTS = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": "[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]"}
 
 WINDOW = 48
 SUPPORT = 3
@@ -85,9 +85,7 @@ def spans_of(text: Column, kind: str) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     spans = F.filter(F.aggregate(pairs, start, step, lambda a: a["out"]), lambda s: _valid(kind, s["value"]))
-    hint = HINTS[kind]
-    tried = text.contains(hint) if hint else text.rlike("[0-9][ -]?[0-9]")
-    return F.when(tried, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.rlike(HINTS[kind]), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def base_spans(text: Column) -> Column:
