@@ -128,6 +128,35 @@ def character_directory(sections: DataFrame) -> DataFrame:
     return rows.select("doc", "name", F.col("萌点").alias("charms"), F.concat("name", F.lit("："), "萌点", look).alias("line"))
 
 
+# Elements and paths that follow a character's name in a roster.
+ROSTER_SECTION = "【登场角色】"
+ELEMENTS_FIRST = "物理|火|冰|雷|风|量子|虚数"
+ELEMENTS = "物理|火|冰|雷|风|量子|虚数|以太|烈霜|霜烈|电|玄炎"
+PATHS_LATE = "强攻|击破|异常|防护|支援"
+PATHS = "毁灭|巡猎|智识|同谐|虚无|存护|记忆|欢愉|强攻|击破|异常|防护|支援"
+
+
+def playable_names(articles: DataFrame) -> DataFrame:
+    """Distinct (allowed) names in the roster sections of ``articles`` (doc, text).
+
+    A line names a character if an element follows after a space, if the next line begins with ``CV：``, or if
+    ``/ CV：`` and a path follow on the line itself. Lines that begin with 〔 or CV name none.
+    """
+    order = Window.partitionBy("doc").orderBy("pos")
+    lines = articles.select("doc", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n")).alias("pos", "raw")).withColumn("line", strip(F.col("raw")))
+    lines = lines.withColumn("next", F.coalesce(F.lead("line").over(order), F.lit("")))
+    section = F.last(F.when(F.col("line").startswith("【"), F.col("line")), True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    line = F.col("line")
+    rows = lines.withColumn("section", section).where((F.col("section") == ROSTER_SECTION) & ~line.rlike("^(?:【|〔|CV)") & (line != ""))
+    spaced = F.regexp_extract(line, rf"^(\S{{1,12}}) (?:{ELEMENTS_FIRST})", 1)
+    alone = strip(F.regexp_replace(line, rf"(?:{ELEMENTS})?(?:{PATHS})$", ""))
+    beside = F.regexp_extract(line, rf"^(\S{{1,20}}?)(?:{ELEMENTS})?(?:{PATHS_LATE}) / CV：", 1)
+    name = F.when(spaced != "", spaced).when(F.col("next").startswith("CV："), alone).otherwise(beside)
+    for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        name = F.replace(name, F.lit(entity), F.lit(mark))
+    return rows.select(name.alias("allowed")).where("allowed <> ''").distinct()
+
+
 def playable(directory: DataFrame, allowed: DataFrame) -> DataFrame:
     """Rows whose name is, holds or is held by an allowed name (a short list taken from one section of a page)."""
     near = (F.col("name") == F.col("allowed")) | F.col("allowed").contains(F.col("name")) | F.col("name").contains(F.col("allowed"))

@@ -48,6 +48,14 @@ def test_sections(spark):
     assert not any("外部链接" in t or "更多" in t for t in got) and {r["doc"] for r in rows} == {1}
 
 
+def test_playable_names(spark):
+    text = "主词条\n【登场角色】\n〔列车〕\n姬子 火智识\n哲\nCV：某人\n猫宫又奈物理强攻 / CV：某人\n星神 无名\n【经历】\n路人 火智识\n"
+    names = K.playable_names(spark.createDataFrame([(1, text), (2, None)], "doc int, text string"))
+    assert {r["allowed"] for r in names.collect()} == {"姬子", "哲", "猫宫又奈"}
+    directory = spark.createDataFrame([(1, "姬子", "a", "x"), (2, "猫宫", "b", "y"), (3, "阿哈", "c", "z")], "doc int, name string, charms string, line string")
+    assert {r["name"] for r in K.playable(directory, names).collect()} == {"姬子", "猫宫"}
+
+
 def test_chunks(spark):
     sections = spark.createDataFrame([(1, 0, "t", ["甲" * 400 + "。", "乙" * 300 + "。", "丙" * 20]), (1, 1, "u", [("丁" * 99 + "。") * 15])], "doc int, seq int, title string, paragraphs array<string>")
     rows = K.chunk_sections(sections).orderBy("seq", "part").collect()
