@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fennwick.llm.common import materialize
@@ -10,15 +10,19 @@ from fennwick.llm.common import materialize
 MAX_ROUNDS = 60
 
 
+def _least(rows: DataFrame, least: Column) -> DataFrame:
+    """(a, m) of each node; written, so that the join with it deals both sides itself and can split a hub's edges."""
+    return materialize(rows.groupBy("a").agg(least.alias("m")), "cc-least")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where("b > a and b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(_least(both, F.least(F.min("b"), F.col("a"))), "a").where("b > a and b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = _least(down, F.min("b"))
     met = down.join(least, "a")
     return met.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
 

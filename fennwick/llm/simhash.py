@@ -89,7 +89,8 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE) -> Dat
     block = [0xFFFF << (16 * i) for i in range(4)]
     grids = F.array(*[F.struct(F.lit(g).alias("grid"), F.col("u").bitwiseAND(F.lit(_signed(block[i] | block[j]))).alias("cell")) for g, (i, j) in enumerate(combinations(range(4), 2))])
     cells = nodes.select("fp", embedding(F.col("fp")).alias("u")).select("fp", "u", F.explode(grids).alias("c")).select("fp", "u", "c.grid", "c.cell")
-    sizes = cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1")
+    # Written, so that the join deals both sides itself and can split a cell with many fingerprints.
+    sizes = materialize(cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
     shared = materialize(cells.join(sizes, ["grid", "cell"]), "simhash-cells")
 
     light = shared.where(F.col("n") <= dense)
@@ -101,7 +102,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE) -> Dat
     crowd = shared.where(F.col("n") > dense).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)).cast("long") for i in range(64)])
     middles = crowd.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("middle"))
-    least = middles.groupBy("middle").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
+    least = materialize(middles.groupBy("middle").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1"), "simhash-middles")
     star = middles.join(least, "middle").where("fp <> b").select(F.col("fp").alias("a"), "b")
     return near.select("a", "b").union(star).distinct()
 
