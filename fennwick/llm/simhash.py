@@ -121,7 +121,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     best = linked.groupBy("root").agg(F.min("least").alias("best"))
     joined = linked.join(best, "root").select("fp", "best")
     classes = nodes.join(joined, "fp", "left").select("fp", F.coalesce("best", "least").alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    # Written, so that the rows of one text with very many copies can be split among tasks.
+    return rows.join(materialize(classes, "simhash-classes"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:
