@@ -12,6 +12,7 @@ from fennwick.functions import text as T
 from fennwick.operators import catalog as Q
 from fennwick.operators import chunk_index as X
 from fennwick.operators import chunking as K
+from fennwick.operators import normalise as N
 from fennwick.plans import catalog_build as E
 from fennwick.plans import chunk_build as B
 from fennwick.sources import readers as R
@@ -48,6 +49,64 @@ def test_sections(spark):
     assert not any("外部链接" in t or "更多" in t for t in got) and {r["doc"] for r in rows} == {1}
 
 
+RAW = """三月七
+ / 生命值 635 / / 攻击
+【基本信息】【基本信息】
+基本资料
+别名：- 小三小三
+性别
+
+女
+萌点
+活泼 活泼
+这是一位少女。[1]
+“”
+
+
+正文，正文。
+正文，正文。
+
+正文，正文。
+〔空〕
+〖也空〗
+【经历】
+〖短〗
+展开
+宽屏模式显示视频
+她{{UserName}}醒来。
+【外部链接】
+留不下
+
+〔更多〕
+也留不下
+【末】
+〔a〕
+
+═══
+"""
+TIDY = """三月七
+生命值 635 / 攻击
+【基本信息】
+别名：小三
+性别：女
+萌点：活泼
+这是一位少女。
+正文，正文。
+【经历】
+〖短〗
+她醒来。
+"""
+
+
+def test_normalise_articles(spark):
+    texts = [(1, RAW), (2, None), (3, ""), (4, "a\n\n\n b \nb\n\n"), (5, "【只有标题】"), (6, "【注释】\n x"), (7, "x\n" * 5 + "长" * 200_000)]
+    got = {r["doc"]: r["text"] for r in N.normalise_articles(spark.createDataFrame(texts, "doc int, text string")).collect()}
+    assert got[1] == TIDY and got[2] == got[3] == got[5] == got[6] == "\n" and got[4] == "a\n\nb\n" and len(got[7]) == 200_003
+    assert N.normalise_articles(spark.createDataFrame([], "doc int, text string")).count() == 0
+    again = N.normalise_articles(spark.createDataFrame([(1, TIDY)], "doc int, text string")).first()["text"]
+    assert again == TIDY
+
+
 def test_playable_names(spark):
     text = "主词条\n【登场角色】\n〔列车〕\n姬子 火智识\n哲\nCV：某人\n猫宫又奈物理强攻 / CV：某人\n星神 无名\n【经历】\n路人 火智识\n"
     names = K.playable_names(spark.createDataFrame([(1, text), (2, None)], "doc int, text string"))
