@@ -5,7 +5,9 @@ import pytest
 
 import __spark_entry__ as contract
 from fennwick.plans import queries as engine
+from fennwick.plans import source_queries as sources
 
+QUERIES, SQL = engine.queries() | sources.queries(), engine.oracle_sql() | sources.oracle_sql()
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -18,12 +20,12 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(engine.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, duck, name):
-    df = engine.queries()[name](spark, DATA)
+    df = QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
     mine = sorted(str([r[c] for c in cols]) for r in df.collect())
-    found = duck.execute(engine.oracle_sql()[name])
+    found = duck.execute(SQL[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == cols
     assert mine == sorted(str([dict(zip(names, r))[c] for c in cols]) for r in found.fetchall())
@@ -35,5 +37,5 @@ def test_entry(spark):
 
 
 def test_contract_names():
-    assert set(engine.oracle_sql()) <= set(engine.queries())
-    assert set(engine.queries()) <= set(contract.queries())
+    assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries())
