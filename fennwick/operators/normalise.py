@@ -25,17 +25,23 @@ def undouble(value: Column) -> Column:
     return F.when(bare.rlike(DOUBLED), F.regexp_replace(bare, DOUBLED, "$1")).otherwise(value)
 
 
-def tidy_line(raw: Column) -> Column:
-    """A line without residue: empty if it was blank, null if nothing but residue was on it."""
-    line = F.regexp_replace(F.regexp_replace(strip(raw), INVISIBLE, ""), " ", " ")
-    line = F.regexp_replace(F.regexp_replace(line, FOOTNOTE, ""), TEMPLATE, "")
-    line = F.regexp_replace(line, r"(?U)^\s*(?:/\s*)+|(?:\s*/)+\s*$", "")
-    line = strip(F.regexp_replace(line, r"(?U)(?:\s*/\s*){2,}", " / "))
-    gone = (line == "") | line.rlike(QUOTES) | line.rlike(WIDGET) | line.rlike(L.DECORATION) | line.rlike(L.POINTER) | ((F.length(line) <= PLAYER_CHARS) & line.rlike(PLAYER))
-    whole = F.regexp_replace(line, DOUBLED, "$1")
-    key, value = F.regexp_extract(whole, "^([^：]{1,8})：(.+)$", 1), F.regexp_extract(whole, "^([^：]{1,8})：(.+)$", 2)
-    field = F.concat(key, F.lit("："), undouble(F.regexp_replace(strip(value), r"(?U)^[-－—]\s*", "")))
-    return F.when(strip(raw) == "", "").when(~gone, F.when(key.isin(*L.INFOBOX_KEYS), field).otherwise(whole))
+def tidy_lines(lines: DataFrame) -> DataFrame:
+    """(doc, pos, line) of (doc, pos, raw): lines without residue, empty if blank, null if nothing but residue.
+
+    A projection for each step, as a later one names the result of the one before it many times.
+    """
+    bare, whole = F.col("bare"), F.col("whole")
+    marks = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("raw"), INVISIBLE, ""), FOOTNOTE, ""), TEMPLATE, "")
+    out = lines.select("doc", "pos", strip(F.col("raw")).alias("raw")).select("doc", "pos", "raw", F.replace(marks, F.lit("\xa0"), F.lit(" ")).alias("bare"))
+    edges = F.regexp_replace(F.regexp_replace(bare, r"(?U)^\s*(?:/\s*)+|(?:\s*/)+\s*$", ""), r"(?U)(?:\s*/\s*){2,}", " / ")
+    out = out.select("doc", "pos", "raw", strip(F.when(bare.contains("/"), edges).otherwise(bare)).alias("bare"))
+    gone = (bare == "") | bare.rlike(QUOTES) | bare.rlike(WIDGET) | bare.rlike(L.DECORATION) | bare.rlike(L.POINTER) | ((F.length(bare) <= PLAYER_CHARS) & bare.rlike(PLAYER))
+    short = F.length(bare) <= 16
+    out = out.select("doc", "pos", F.when(F.col("raw") == "", "").when(~gone, F.when(short, F.regexp_replace(bare, DOUBLED, "$1")).otherwise(bare)).alias("whole"))
+    key = F.substring_index(whole, "：", 1)
+    field = key.isin(*L.INFOBOX_KEYS) & whole.rlike("^[^：]{1,8}：.")
+    value = F.regexp_replace(strip(F.regexp_replace(whole, "^[^：]*：", "")), r"(?U)^[-－—]\s*", "")
+    return out.select("doc", "pos", F.when(field, F.concat(key, F.lit("："), undouble(value))).otherwise(whole).alias("line"))
 
 
 def normalise_articles(articles: DataFrame) -> DataFrame:
@@ -49,8 +55,7 @@ def normalise_articles(articles: DataFrame) -> DataFrame:
     split = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), L.MERGED_HEADERS, "$1\n"), LINE_ENDS)
     order = Window.partitionBy("doc").orderBy("pos")
     so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
-    lines = articles.select("doc", F.posexplode(split).alias("pos", "raw")).select("doc", "pos", tidy_line(F.col("raw")).alias("line"))
-    line = F.col("line")
+    lines, line = tidy_lines(articles.select("doc", F.posexplode(split).alias("pos", "raw"))), F.col("line")
     lines = lines.withColumn("level", L.header_level(line)).withColumn("top", F.count(F.when(F.col("level") == 1, 1)).over(so_far))
     in_top = Window.partitionBy("doc", "top").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     opens = F.coalesce(F.col("level") <= 2, F.lit(False))

@@ -284,11 +284,11 @@ def oracle_sql() -> dict[str, str]:
         "search_batch": rf"""WITH {_TOKENS}, q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM benchmark), qn AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1),
 b AS (SELECT item_id, doc_id, sum({_WEIGHT}) AS base, count(*) AS m, sum((title_tf > 0)::INT) AS it FROM q JOIN post USING (term) JOIN terms USING (term) JOIN chunk USING (doc_id), stats GROUP BY 1, 2),
 s AS (SELECT item_id, doc_id, round(base * (0.4 + 0.6 * m / n) * CASE WHEN m = n AND it = n THEN 1.8 ELSE 1 END, 3) AS score FROM b JOIN qn USING (item_id))
-SELECT item_id AS query_id, rank, doc_id AS chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 4""",
+SELECT item_id AS query_id, rank, doc_id AS chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0) WHERE rank <= 4""",
         "phrase_bonus": "SELECT doc_id AS chunk_id, b::DOUBLE AS bonus FROM (SELECT doc_id, CASE WHEN contains(lower(text), 'with the') THEN 0.5 ELSE 0 END::DOUBLE + CASE WHEN contains(lower(text), 'heed') THEN 0.18 ELSE 0 END::DOUBLE AS b FROM documents) WHERE b > 0",
         "pin_rank": f"""WITH {_scored(["with", "heed"])}, r AS (SELECT *, regexp_matches(source, 'src3|src7') AND length(text) >= 30 AS fits FROM scored WHERE score > 0),
 f AS (SELECT *, fits AND row_number() OVER (PARTITION BY source, fits ORDER BY score DESC, doc_id) <= 2 AS first FROM r)
-SELECT row_number() OVER (ORDER BY first DESC, score DESC, doc_id) AS rank, doc_id AS chunk_id, source AS title, score FROM f ORDER BY rank LIMIT 10""",
+SELECT (row_number() OVER (ORDER BY first DESC, score DESC, doc_id))::INT AS rank, doc_id AS chunk_id, source AS title, score FROM f ORDER BY rank LIMIT 10""",
         "topics": "SELECT split_part(source, ' / ', 1) AS topic, min(doc_id) AS first FROM documents GROUP BY 1 HAVING topic <> '前言' AND topic <> '' ORDER BY 2",
         "fts_prefix": f"""WITH {_TOKENS}, st AS (SELECT count(*) AS n, avg(s) AS a FROM (SELECT doc_id, coalesce(text_len, 0) + coalesce(title_len, 0) AS s FROM (SELECT doc_id FROM documents) LEFT JOIN len USING (doc_id) LEFT JOIN tlen USING (doc_id))),
 sz AS (SELECT doc_id, coalesce(text_len, 0) + coalesce(title_len, 0) AS size FROM (SELECT doc_id FROM documents) LEFT JOIN len USING (doc_id) LEFT JOIN tlen USING (doc_id)),
@@ -326,5 +326,5 @@ SELECT item_id, p > 0 AND g BETWEEN 1 AND 6 AND h BETWEEN 1 AND 6 AS near FROM c
         "delete_listed": "SELECT 'subject' AS kind, count(*) AS n, sum(p_partkey)::BIGINT AS ids FROM part WHERE p_partkey NOT IN (3, 5)",
         "tag_popularity": "SELECT tag, count(*) AS n FROM (SELECT unnest([p_type, p_brand]) AS tag FROM part) GROUP BY 1 ORDER BY n DESC, tag LIMIT 10",
         "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
-        "ordered_turns": "SELECT conv_id, n, length(text)::INT AS size FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations) WHERE n <= 3",
+        "ordered_turns": "SELECT conv_id, n, length(text)::INT AS size FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text)::INT AS n FROM conversations) WHERE n <= 3",
     }
