@@ -26,11 +26,14 @@ INFOBOX_KEYS = (
 CJK = r"[一-鿿]"
 
 
-def clean_line(line: Column) -> Column:
-    """A body line without residue of its rendering; lines that only point elsewhere become empty."""
-    css = line.rlike(STYLE_RULE)
+def unstyled(line: Column) -> Column:
+    """A line without style rules."""
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, STYLE_RULE, ""), "、{2,}", "、"), "^[、 ]+|[、 ]+$", "")
-    text = F.when(css, bare).otherwise(line)
+    return F.when(line.rlike(STYLE_RULE), bare).otherwise(line)
+
+
+def unmarked(text: Column) -> Column:
+    """A line without references, badges, list marks and empty cells."""
     out = F.regexp_replace(text, "（参考：[^）]*）", "")
     out = F.regexp_replace(out, r"【[^】|]*\|[^】]*】", "")
     out = F.regexp_replace(out, r"[：:]\s*\*+\s*", "：")
@@ -38,15 +41,26 @@ def clean_line(line: Column) -> Column:
     out = F.regexp_replace(out, r"([-▸▪◆●]\s*)[-－]\s*[：:]", "$1")
     out = F.regexp_replace(out, r"(?:\s*/\s*){2,}", " / ")
     out = F.regexp_replace(out, r"^\s*(?:/\s*)+|(?:\s*/)+\s*$", "")
-    out = F.regexp_replace(out, r"^(.{2,8})\1$", "$1")
+    return F.regexp_replace(out, r"^(.{2,8})\1$", "$1")
+
+
+def folded(text: Column, out: Column) -> Column:
+    """``out`` with its repeats folded; empty if ``text``, what it was made of, only points elsewhere."""
     pairs = F.size(F.regexp_extract_all(out, F.lit(rf"({CJK}{{2}})\1"), F.lit(0)))
-    folded = out
+    single = out
     for _ in range(3):  # a fold halves a run, so three take runs of up to eight equal pairs
-        folded = F.regexp_replace(folded, rf"({CJK}{{2}})\1", "$1")
-    out = F.when(pairs >= 2, folded).otherwise(out)
-    out = F.regexp_replace(out, r"([。，、；])\1+", "$1")
-    out = strip(F.regexp_replace(out, "[ 　]{2,}", " "))
-    return F.when(text.contains("详见「") | text.rlike(POINTER) | text.rlike(CAPTION), "").otherwise(out)
+        single = F.regexp_replace(single, rf"({CJK}{{2}})\1", "$1")
+    whole = F.regexp_replace(F.when(pairs >= 2, single).otherwise(out), r"([。，、；])\1+", "$1")
+    return F.when(text.contains("详见「") | text.rlike(POINTER) | text.rlike(CAPTION), "").otherwise(strip(F.regexp_replace(whole, "[ 　]{2,}", " ")))
+
+
+def clean_line(line: Column) -> Column:
+    """A body line without residue of its rendering; lines that only point elsewhere become empty.
+
+    Over a table, ``unstyled``, ``unmarked`` and ``folded`` in a projection each save repeated work.
+    """
+    text = unstyled(line)
+    return folded(text, unmarked(text))
 
 
 def header_level(line: Column) -> Column:

@@ -38,7 +38,9 @@ def parse_sections(articles: DataFrame) -> DataFrame:
     in_sub = Window.partitionBy("doc", "top", "sub_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("sub", F.last(F.when(F.col("level") == 2, F.col("name")), True).over(in_sub)).withColumn("term", F.last(F.when(F.col("level") == 3, F.col("name")), True).over(in_sub))
     lines = lines.withColumn("dropped", F.coalesce(F.max(F.col("name").rlike(L.BOILERPLATE_SECTION)).over(in_top), F.lit(False)))
-    body = lines.where(~F.col("chap")).withColumn("text", F.when(F.col("level").isNull() & ~F.col("blank") & ~F.col("deco"), L.clean_line(F.col("line"))))
+    body = lines.where(~F.col("chap"))
+    body = body.withColumn("plain", L.unstyled(F.col("line"))).withColumn("bare", L.unmarked(F.col("plain")))
+    body = body.withColumn("text", F.when(F.col("level").isNull() & ~F.col("blank") & ~F.col("deco"), L.folded(F.col("plain"), F.col("bare"))))
     box = F.coalesce(F.col("section") == L.INFOBOX_SECTION, F.lit(False))
     mark = (
         F.when(F.col("level").isNotNull() | F.col("deco"), "end").when(box & F.col("text").isin(*L.INFOBOX_TITLES), "end").when(box & F.col("text").isin(*L.INFOBOX_KEYS), "key").when(box & F.col("text").contains("。"), "end")
