@@ -24,7 +24,7 @@ def parse_sections(articles: DataFrame) -> DataFrame:
     split = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), L.MERGED_HEADERS, "$1\n"), r"\r\n|\r|\n")
     order = Window.partitionBy("doc").orderBy("pos")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    lines = articles.select("doc", F.posexplode(split).alias("pos", "raw")).withColumn("line", strip(F.col("raw")))
+    lines = articles.where(F.col("text").rlike("[【〔〖]")).select("doc", F.posexplode(split).alias("pos", "raw")).withColumn("line", strip(F.col("raw")))
     lines = lines.withColumn("blank", F.col("line") == "").withColumn("deco", ~F.col("blank") & F.col("line").rlike(L.DECORATION))
     first = F.sum((~F.col("blank") & ~F.col("deco")).cast("int")).over(so_far)
     lines = lines.withColumn("chap", (first == 1) & ~F.col("blank") & ~F.col("deco") & L.is_chapter_header(F.col("line")))
@@ -39,6 +39,7 @@ def parse_sections(articles: DataFrame) -> DataFrame:
     lines = lines.withColumn("sub", F.last(F.when(F.col("level") == 2, F.col("name")), True).over(in_sub)).withColumn("term", F.last(F.when(F.col("level") == 3, F.col("name")), True).over(in_sub))
     lines = lines.withColumn("dropped", F.coalesce(F.max(F.col("name").rlike(L.BOILERPLATE_SECTION)).over(in_top), F.lit(False)))
     body = lines.where(~F.col("chap"))
+    body = body.withColumn("marked", F.max(F.col("level").isNotNull()).over(Window.partitionBy("doc"))).where("marked")
     body = body.withColumn("plain", L.unstyled(F.col("line"))).withColumn("bare", L.unmarked(F.col("plain")))
     body = body.withColumn("text", F.when(F.col("level").isNull() & ~F.col("blank") & ~F.col("deco"), L.folded(F.col("plain"), F.col("bare"))))
     box = F.coalesce(F.col("section") == L.INFOBOX_SECTION, F.lit(False))
@@ -71,8 +72,7 @@ def parse_sections(articles: DataFrame) -> DataFrame:
     told = F.when(joins, F.transform("paragraphs", lambda p, i: F.when(i == 0, F.concat(F.col("term"), F.lit("："), p)).otherwise(p))).otherwise(F.col("paragraphs"))
     marked = homed.withColumn("told", told)
     merged = marked.groupBy("doc", "home").agg(F.min_by("title", "seq").alias("title"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "told"))), lambda x: x["told"])).alias("paragraphs"), F.max(F.col("seq")).alias("last"))
-    marks = body.where(F.col("level").isNotNull()).select("doc").distinct()
-    return merged.join(marks, "doc", "left_semi").select("doc", F.col("home").alias("seq"), "title", "paragraphs")
+    return merged.select("doc", F.col("home").alias("seq"), "title", "paragraphs")
 
 
 def split_paragraph(text: Column, size: int = CHUNK) -> Column:
