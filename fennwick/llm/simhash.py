@@ -135,17 +135,16 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, with all columns: the smallest doc_id, then the smallest text hash.
+def first_of(docs: DataFrame, rows: DataFrame, labels: DataFrame, node: str = "fp") -> DataFrame:
+    """One row of ``docs`` for each component of nodes, with all columns: the smallest doc_id, then the smallest text hash.
 
-    Rows that are equal in id and text are one row afterwards (the smallest by all columns). Components without any id
-    keep their smallest text hash.
+    ``rows`` holds each row's doc_id, thash and node, ``labels`` the (node, root) of linked nodes. Rows that are equal in
+    id and text are one row afterwards (the smallest by all columns). Components without any id keep their smallest
+    text hash.
     """
     key, body = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "thash"), F.xxhash64(F.col("text"))
-    rows = materialize(docs.select("doc_id", body.alias("thash"), fingerprint_of(docs).alias("fp")), "simhash-rows")
-    nodes = rows.groupBy("fp").agg(F.min(key).alias("first"))
-    labels = connected_components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")
-    rooted = nodes.join(labels, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    nodes = rows.groupBy(node).agg(F.min(key).alias("first"))
+    rooted = nodes.join(labels.select(F.col("node").alias(node), "root"), node, "left").select("first", F.coalesce("root", node).alias("root"))
     winners = rooted.groupBy("root").agg(F.min("first").alias("w")).select("w.doc_id", "w.thash")
     counts = rows.groupBy("doc_id", "thash").agg(F.count("*").alias("copies"))
     chosen = winners.alias("w").join(counts.alias("c"), F.col("w.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("w.thash") == F.col("c.thash"))).select(F.col("w.doc_id").alias("_id"), F.col("w.thash").alias("_thash"), "copies")
@@ -156,3 +155,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     if chosen.where("copies > 1").isEmpty():  # no row of the table is there twice, so the second read is not needed
         return single
     return single.unionByName(picked.where("copies > 1").groupBy("_id", "_thash").agg(F.min("row").alias("row")).select("row.*"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component of op2's links, with all columns."""
+    rows = materialize(docs.select("doc_id", F.xxhash64(F.col("text")).alias("thash"), fingerprint_of(docs).alias("fp")), "simhash-rows")
+    return first_of(docs, rows, connected_components(links(rows.select("fp").distinct())))
