@@ -8,9 +8,11 @@ n(c, t), the documents that hold the entity, the term, and the term beside the e
 
     disclosure(c, t) = PMI(c, t) / IC(c) = log(n(c, t) N / (n(c) n(t))) / log(N / n(c)),
 
-which is 1 when the term only ever occurs beside the entity, and 0 when the two are independent. A pair seen in
-``support`` documents or more is sanitised in the documents that hold the entity, beside the entity: from ``generalise``
-on the term is replaced by its class, from ``remove`` on it is removed. Documents without an entity are not changed.
+which is 1 when the term only ever occurs beside the entity, and 0 when the two are independent. Documents are counted
+over distinct texts, and entities of one document count like any other. A pair is sanitised in the documents that hold
+the entity, beside the entity, unless chance would bring it about as often (``CHANCE``), which is so only in tables of some 30
+texts or fewer: from ``generalise`` on the term is replaced by its class, from ``remove`` on it is removed. Documents
+without an entity are not changed.
 """
 
 from __future__ import annotations
@@ -35,10 +37,11 @@ PATTERNS = {
 HINTS = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": "[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]"}
 
 WINDOW = 48
-SUPPORT = 3
 GENERALISE = 0.85
 REMOVE = 0.97
 MIN_TERM = 3
+#: A pair counts if independent documents would hold it n(c, t) times with at most this probability.
+CHANCE = 0.05
 SPAN = "struct<start:int,rank:int,kind:string,end:int,value:string>"
 TERM = r"[\p{L}\p{N}]++"
 
@@ -142,26 +145,35 @@ def neighbours(text: Column, spans: Column, window: int = WINDOW) -> Column:
     return F.flatten(F.transform(spans, beside))
 
 
-def disclosures(docs: DataFrame, text: str = "text", window: int = WINDOW, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(entity, term, disclosure) of the pairs at or above the lower threshold, from counts over all documents."""
-    total = docs.count()
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
+def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(text) of the distinct texts, null as the empty one. Only texts that are there more than once are gathered."""
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.md5(F.col("text").cast("binary")))
+    again = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "pii-repeated")
+    return rows.join(again, "key", "left_anti").select("text").unionAll(rows.join(again, "key", "left_semi").select("text").distinct())
+
+
+def disclosures(docs: DataFrame, text: str = "text", window: int = WINDOW, generalise: float = GENERALISE) -> DataFrame:
+    """(entity, term, disclosure) of the pairs at or above the lower threshold, from counts over all distinct texts."""
+    texts = distinct_texts(docs, text)
+    total = texts.count()
+    rows = texts.withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
     near = rows.select(neighbours(F.col("text"), F.col("spans"), window).alias("near"), F.array_distinct(F.transform("spans", entity_of)).alias("entities"))
     near = materialize(near.select("entities", F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term")))).alias("pairs")), "pii-near")
-    held = near.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
-    both = near.select(F.explode("pairs").alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    held = near.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    both = near.select(F.explode("pairs").alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both"))
     pairs = materialize(both.join(held, "entity"), "pii-pairs")
     wanted = materialize(pairs.select("term").distinct(), "pii-terms")
     # Counted before they are joined: a term is a row of each task at most, however common it is. An inner join with
     # distinct terms, since a semi join would be moved below the counting.
-    seen = docs.select(F.explode(terms_of(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
+    seen = texts.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
     n = F.lit(float(max(total, 1)))
     ratio = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term"))) / F.log(n / F.col("n_entity"))
-    scored = pairs.join(seen, "term").where(F.col("n_entity") < n).select("entity", "term", F.least(ratio, F.lit(1.0)).alias("disclosure"))
+    beyond = F.col("n_both") * F.log(F.col("n_entity") * F.col("n_term") / n) <= F.log(F.lit(CHANCE))
+    scored = pairs.join(seen, "term").where(F.col("n_entity") < n).where(beyond).select("entity", "term", F.least(ratio, F.lit(1.0)).alias("disclosure"))
     return materialize(scored.where(F.col("disclosure") >= generalise), "pii-disclosures")
 
 
-def detect(docs: DataFrame, text: str = "text", window: int = WINDOW, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def detect(docs: DataFrame, text: str = "text", window: int = WINDOW, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(row, text, spans, terms) of every row of ``docs``: the row as a struct, its base spans and its disclosing terms.
 
     ``spans`` are as in ``base_spans``, ``terms`` (start, end, term, removed) in order. Null and empty texts have none.
@@ -169,7 +181,7 @@ def detect(docs: DataFrame, text: str = "text", window: int = WINDOW, support: i
     ``row``, so their names can't clash.
     """
     kind = "array<struct<start:int,end:int,term:string,removed:boolean>>"
-    found = disclosures(docs, text, window, support, generalise)
+    found = disclosures(docs, text, window, generalise)
     spanned = docs.select(F.struct("*").alias("row"), F.col(text).alias("text")).withColumn("spans", base_spans(F.col("text")))
     clean = spanned.where(F.size("spans") == 0).withColumn("terms", F.array().cast(kind))
     holders = spanned.where(F.size("spans") > 0).withColumn("text_key", F.md5("text"))
