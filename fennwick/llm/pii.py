@@ -3,16 +3,16 @@
 Everything is a DataFrame expression; no Python runs on the executors.
 
 Base spans (e-mail, IP, card, phone) come from patterns. Each distinct value found is a protected entity c. The words
-within ``window`` words of an entity are its candidate terms t. Over all documents the corpus gives n(c), n(t) and
-n(c, t), the documents that hold the entity, the term, and the term beside the entity, and from these
+of its sentence, and those within ``window`` characters of it, are its candidate terms t. Over all documents the corpus
+gives n(c), n(t) and n(c, t), the documents that hold the entity, the term, and the term beside the entity, and from these
 
     disclosure(c, t) = PMI(c, t) / IC(c) = log(n(c, t) N / (n(c) n(t))) / log(N / n(c)),
 
 which is 1 when the term only ever occurs beside the entity, and 0 when the two are independent. Documents are counted
-over distinct texts, and entities of one document count like any other. A pair is sanitised in the documents that hold
-the entity, beside the entity, unless chance would bring it about as often (``CHANCE``), which is so only in tables of some 30
-texts or fewer: from ``generalise`` on the term is replaced by its class, from ``remove`` on it is removed. Documents
-without an entity are not changed.
+over distinct texts, and entities of one document count like any other. A pair is sanitised unless chance would bring it
+about as often (``CHANCE``), which is so only in tables of some 30 texts or fewer: from ``generalise`` on the term is
+replaced by its class wherever it stands in the documents that hold the entity; from ``remove`` on it discloses the entity
+by itself, and is removed wherever it stands in any document.
 """
 
 from __future__ import annotations
@@ -39,11 +39,16 @@ HINTS = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card"
 WINDOW = 48
 GENERALISE = 0.85
 REMOVE = 0.97
+#: The least digits of a term without letters; words may have any length.
 MIN_TERM = 3
 #: A pair counts if independent documents would hold it n(c, t) times with at most this probability.
 CHANCE = 0.05
 SPAN = "struct<start:int,rank:int,kind:string,end:int,value:string>"
 TERM = r"[\p{L}\p{N}]++"
+#: Where sentences part: at line ends and after closing marks, but not where a base span may go on.
+SENTENCE = r"[\n\r]++|(?<=[.!?])\s++(?![ ().0-9+-])|(?<=[。！？])"
+#: Stands for a base span in a sentence; words that touch it are part of it.
+MARK = "\ue000"
 
 
 def _digits(value: Column) -> Column:
@@ -101,9 +106,14 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _is_term(word: Column) -> Column:
+    return (F.length(word) >= MIN_TERM) | word.rlike(r"\p{L}")
+
+
 def terms_of(text: Column) -> Column:
-    """Distinct lower-case terms of a text: runs of letters and digits of ``MIN_TERM`` or more characters."""
-    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), lambda w: F.length(w) >= MIN_TERM)
+    """Distinct lower-case terms of a text: runs of letters and digits, as they are in the text before it is lowered."""
+    words = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), _is_term)
+    return F.array_distinct(F.transform(words, F.lower))
 
 
 def entity_of(span: Column) -> Column:
@@ -127,7 +137,7 @@ def _terms_within(segment: Column, offset: Column, drop_first: Column, drop_last
     last = offset + F.length(segment)
     return F.filter(
         F.aggregate(pairs, zero, step, lambda a: a["out"]),
-        lambda t: (F.length(t["term"]) >= MIN_TERM) & ~(drop_first & (t["start"] == offset)) & ~(drop_last & (t["end"] == last)),
+        lambda t: _is_term(t["term"]) & ~(drop_first & (t["start"] == offset)) & ~(drop_last & (t["end"] == last)),
     )
 
 
@@ -145,31 +155,71 @@ def neighbours(text: Column, spans: Column, window: int = WINDOW) -> Column:
     return F.flatten(F.transform(spans, beside))
 
 
-def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(text) of the distinct texts, null as the empty one. Only texts that are there more than once are gathered."""
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.md5(F.col("text").cast("binary")))
-    again = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "pii-repeated")
-    return rows.join(again, "key", "left_anti").select("text").unionAll(rows.join(again, "key", "left_semi").select("text").distinct())
+def _masked(text: Column, spans: Column, mask: Column) -> Column:
+    """A text with each base span replaced by a mark, as far as spans do not overlap."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), mask)
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+
+def sentence_pairs(rows: DataFrame) -> DataFrame:
+    """(entity, term) of the sentences of ``rows`` (key, text) that hold an entity, with the row's key."""
+    parts = rows.select("key", F.explode(F.split("text", SENTENCE)).alias("part")).withColumn("spans", base_spans(F.col("part"))).where(F.size("spans") > 0)
+    rest = _masked(F.regexp_replace("part", MARK, " "), F.col("spans"), F.lit(MARK))
+    words = F.regexp_extract_all(rest, F.lit(rf"[\p{{L}}\p{{N}}{MARK}]++"), F.lit(0))
+    terms = F.array_distinct(F.transform(F.filter(words, lambda w: ~w.contains(MARK) & _is_term(w)), F.lower))
+    entities = F.array_distinct(F.transform("spans", entity_of))
+    return parts.select("key", terms.alias("terms"), F.explode(entities).alias("entity")).select("key", "entity", F.explode("terms").alias("term"))
+
+
+def occurrences(text: Column, spans: Column, terms: Column) -> Column:
+    """Array of (start, end, term, removed): every place of a text's ``terms`` (term, removed) that no base span overlaps."""
+    kind = "array<struct<start:int,end:int,term:string,removed:boolean>>"
+    names = F.transform(terms, lambda t: t["term"])
+    forms = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), lambda w: F.array_contains(names, F.lower(w)))
+    # Words are letters and digits only, so none needs quoting. No form, no place.
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(forms, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    gaps = F.transform(F.split(text, pattern, F.lit(-1)), lambda x: F.length(x))
+    pairs = F.arrays_zip(found.alias("value"), F.slice(gaps, 1, F.size(found)).alias("gap"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,term:string>>").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        begin = acc["at"] + p["gap"]
+        end = begin + F.length(p["value"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), F.lower(p["value"]).alias("term")))).alias("out"))
+
+    gone = F.transform(F.filter(terms, lambda t: t["removed"]), lambda t: t["term"])
+    places = F.filter(F.aggregate(pairs, zero, step, lambda a: a["out"]), lambda t: ~F.exists(spans, lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"])))
+    out = F.transform(places, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["term"].alias("term"), F.array_contains(gone, t["term"]).alias("removed")))
+    return F.when(F.size(forms) > 0, out).otherwise(F.array().cast(kind)).cast(kind)
 
 
 def disclosures(docs: DataFrame, text: str = "text", window: int = WINDOW, generalise: float = GENERALISE) -> DataFrame:
-    """(entity, term, disclosure) of the pairs at or above the lower threshold, from counts over all distinct texts."""
-    texts = distinct_texts(docs, text)
-    total = texts.count()
-    rows = texts.withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
-    near = rows.select(neighbours(F.col("text"), F.col("spans"), window).alias("near"), F.array_distinct(F.transform("spans", entity_of)).alias("entities"))
-    near = materialize(near.select("entities", F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term")))).alias("pairs")), "pii-near")
-    held = near.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    both = near.select(F.explode("pairs").alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both"))
+    """(entity, term, disclosure, spread) of the pairs at or above the lower threshold, from counts over all distinct texts.
+
+    ``spread`` says whether the term stands in more texts than beside the entity.
+    """
+    # Texts are told apart by a hash, so that only the few that hold an entity are dealt among tasks.
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    total = texts.select("key").distinct().count()
+    rows = materialize(texts.withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0).dropDuplicates(["key"]), "pii-holders")
+    held = rows.select(F.explode(F.array_distinct(F.transform("spans", entity_of))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    beside = rows.select("key", F.explode(neighbours(F.col("text"), F.col("spans"), window)).alias("x")).select("key", "x.entity", "x.term")
+    both = beside.unionAll(sentence_pairs(rows)).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     pairs = materialize(both.join(held, "entity"), "pii-pairs")
     wanted = materialize(pairs.select("term").distinct(), "pii-terms")
-    # Counted before they are joined: a term is a row of each task at most, however common it is. An inner join with
-    # distinct terms, since a semi join would be moved below the counting.
-    seen = texts.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
+    # Counted before they are joined: a term is a row of each task at most in the second step, however common it is. An
+    # inner join with distinct terms, since a semi join would be moved below the counting.
+    seen = texts.select("key", F.explode(terms_of(F.col("text"))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
     n = F.lit(float(max(total, 1)))
     ratio = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term"))) / F.log(n / F.col("n_entity"))
     beyond = F.col("n_both") * F.log(F.col("n_entity") * F.col("n_term") / n) <= F.log(F.lit(CHANCE))
-    scored = pairs.join(seen, "term").where(F.col("n_entity") < n).where(beyond).select("entity", "term", F.least(ratio, F.lit(1.0)).alias("disclosure"))
+    scored = pairs.join(seen, "term").where(F.col("n_entity") < n).where(beyond).select("entity", "term", F.least(ratio, F.lit(1.0)).alias("disclosure"), (F.col("n_term") > F.col("n_both")).alias("spread"))
     return materialize(scored.where(F.col("disclosure") >= generalise), "pii-disclosures")
 
 
@@ -182,20 +232,35 @@ def detect(docs: DataFrame, text: str = "text", window: int = WINDOW, generalise
     """
     kind = "array<struct<start:int,end:int,term:string,removed:boolean>>"
     found = disclosures(docs, text, window, generalise)
-    spanned = docs.select(F.struct("*").alias("row"), F.col(text).alias("text")).withColumn("spans", base_spans(F.col("text")))
-    clean = spanned.where(F.size("spans") == 0).withColumn("terms", F.array().cast(kind))
-    holders = spanned.where(F.size("spans") > 0).withColumn("text_key", F.md5("text"))
-    sites = holders.select(F.col("text_key").alias("key"), F.explode(neighbours(F.col("text"), F.col("spans"), window)).alias("x")).select("key", "x.*").distinct()
-    hits = sites.join(found, ["entity", "term"]).groupBy("key", "start", "end", "term").agg(F.max("disclosure").alias("d"))
-    per_text = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "term", (F.col("d") >= remove).alias("removed")))).alias("terms"))
-    marked = holders.join(per_text, F.col("text_key") == F.col("key"), "left").withColumn("terms", F.coalesce("terms", F.array().cast(kind))).drop("text_key", "key")
-    return clean.unionByName(marked)
+    spanned = docs.select(F.struct("*").alias("row"), F.col(text).alias("text")).withColumn("text_key", F.md5(F.col("text").cast("binary"))).withColumn("spans", base_spans(F.col("text")))
+    holders = materialize(docs.select(F.col(text).alias("text")).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0).select(F.md5(F.col("text").cast("binary")).alias("key"), F.array_distinct(F.transform("spans", entity_of)).alias("entities"), terms_of(F.col("text")).alias("terms")).dropDuplicates(["key"]), "pii-texts")
+    # A text's terms are looked up first: an entity of many texts has many terms, of which a text holds few.
+    known = holders.select("key", F.explode("terms").alias("term")).join(found, "term").select("key", "term", "entity", "disclosure")
+    within = known.join(holders.select("key", F.explode("entities").alias("entity")), ["key", "entity"]).select("key", "term", "disclosure")
+    alone = materialize(found.where("spread").where(F.col("disclosure") >= remove).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "pii-alone")
+
+    def wanted(hits: DataFrame, name: str) -> DataFrame:
+        each = hits.groupBy("key", "term").agg(F.max("disclosure").alias("d"))
+        return materialize(each.groupBy("key").agg(F.collect_list(F.struct("term", (F.col("d") >= remove).alias("removed"))).alias("wanted")), name)
+
+    def marked(rows: DataFrame, per_text: DataFrame) -> DataFrame:
+        places = F.when(F.col("wanted").isNotNull(), occurrences(F.col("text"), F.col("spans"), F.col("wanted")))
+        return rows.join(per_text, F.col("text_key") == F.col("key"), "left").select("row", "text", "spans", F.coalesce(places, F.array().cast(kind)).alias("terms"))
+
+    held, clean = spanned.where(F.size("spans") > 0), spanned.where(F.size("spans") == 0)
+    if alone.isEmpty():
+        return clean.select("row", "text", "spans", F.array().cast(kind).alias("terms")).unionByName(marked(held, wanted(within, "pii-wanted")))
+    lone = lambda texts: texts.join(alone, "term").select("key", "term", "disclosure")
+    loose = docs.select(F.md5(F.col(text).cast("binary")).alias("key"), F.explode(terms_of(F.col(text))).alias("term"))
+    inside = within.unionAll(lone(holders.select("key", F.explode("terms").alias("term"))))
+    outside = lone(loose).join(holders.select("key"), "key", "left_anti")
+    return marked(clean, wanted(outside, "pii-loose")).unionByName(marked(held, wanted(inside, "pii-wanted")))
 
 
 def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with base spans masked as [KIND] and disclosing terms generalised or removed; same columns.
 
-    ``n_chars``, where it is there, follows the new text. Rows without an entity come back as they are.
+    ``n_chars``, where it is there, follows the new text. Rows without an entity or a disclosing term come back as they are.
     """
     found = detect(docs, text, **options)
     piece = "struct<start:int,end:int,mask:string>"
@@ -215,7 +280,7 @@ def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate(F.array_sort(F.concat(masks, soft).cast(f"array<{piece}>")), zero, step, lambda a: F.concat(a["out"], F.substring(body, a["at"] + 1, F.length(body))))
-    held = F.size("spans") > 0
+    held = (F.size("spans") > 0) | (F.size("terms") > 0)
     out = found.select("row", held.alias("held"), F.when(held, done).otherwise(body).alias("new"))
 
     def column(c: str) -> Column:
