@@ -3,7 +3,7 @@
 A page's tokens are its elements (by their path of tags, classes and ids) and its text pieces (by their path and their
 words). Over the pages of a host, tokens with the same occurrence vector (so often on the first page, so often on the
 second, ...) form an equivalence class; a vector is held as the sum of a hash of each page and count, so classes come
-from one aggregation, however large the host. Classes of two or more tokens that nearly all pages hold make up the host's
+from one aggregation, however large the host. Pages of one host with equal tokens have one vote. Classes of two or more tokens that nearly all pages hold make up the host's
 template, and the classes nest as their elements do: a token's path names the tokens around it.
 What the template leaves are slots. Menus, forms, notices and the like are told by their elements, the article by the
 element that says so, or else by the deepest template element around most of the text; inside it, template text goes.
@@ -152,19 +152,23 @@ def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
     page = Page(html)
     signed = lambda t: t - (1 << 64) if t >> 63 else t
     free = [(text, e, parted, signed(t) in template) for text, e, parted, t in page.texts() if not page.boiler[e]]
-    size = [0] * len(page.parent)
+    # Text outside the template, and all text: where pages are copies of one another, their article is template text.
+    size, full = [0] * len(page.parent), [0] * len(page.parent)
     for text, e, _, fixed in free:
-        weight = 0 if fixed else len(text.strip())
+        weight = len(text.strip())
         while e >= 0 and weight:
-            size[e] += weight
+            full[e] += weight
+            size[e] += 0 if fixed else weight
             e = page.parent[e]
-    if not size[0]:
+    if not full[0]:
         return ""
+    if not size[0]:
+        size = full
     root = 0
     for rank in (3, 2, 1):
-        outer = [e for e in range(1, len(page.parent)) if page.rank[e] == rank and page.rank[page.parent[e]] < rank and size[e]]
-        if outer and (rank > 1 or max(size[e] for e in outer) >= MAIN_SHARE * size[0]):
-            root = max(outer, key=lambda e: size[e])
+        outer = [e for e in range(1, len(page.parent)) if page.rank[e] == rank and page.rank[page.parent[e]] < rank and full[e]]
+        if outer and (rank > 1 or any(max(n[e] for e in outer) >= MAIN_SHARE * n[0] for n in (size, full))):
+            root = max(outer, key=lambda e: (size[e], full[e]))
             break
     else:
         known = lambda e: not template or signed(page.token[e]) in template
@@ -198,12 +202,13 @@ def templates(pages: DataFrame) -> DataFrame:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
                 body = html.as_py()
                 tokens = Page(body).tokens()
-                sign = xxhash.xxh64_intdigest(body.encode("utf-8", "replace"))
+                sign = xxhash.xxh64_intdigest(np.array(sorted(tokens.items()), dtype=np.int64).tobytes())
                 keys, occurrences = [0, *tokens], [1, *tokens.values()]
+                signed = sign - (1 << 64) if sign >> 63 else sign
                 vector = [(xxhash.xxh64_intdigest(k.to_bytes(8, "little"), sign) >> 1) for k in occurrences]
-                yield pa.RecordBatch.from_arrays([pa.array([host] * len(keys)), pa.array(keys, pa.int64()), pa.array(vector, pa.int64())], names=["host", "token", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(keys)), pa.array([signed] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(vector, pa.int64())], names=["host", "page", "token", "vector"])
 
-    seen = pages.where(F.col("html").isNotNull()).select(host_of(F.col("url")).alias("host"), "html").mapInArrow(count, "host string, token long, vector long")
+    seen = pages.where(F.col("html").isNotNull()).select(host_of(F.col("url")).alias("host"), "html").mapInArrow(count, "host string, page long, token long, vector long").dropDuplicates(["host", "page", "token"])
     tokens = seen.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum(F.col("vector").cast("decimal(20,0)")).alias("vector")).where(F.col("pages") >= MIN_PAGES)
     tokens = materialize(tokens, "html-tokens")
     sizes = tokens.where("token = 0").select("host", F.col("pages").alias("n"))
