@@ -3,8 +3,8 @@
 Everything is a DataFrame expression; no Python runs on the executors.
 
 Base spans (e-mail, IP, card, phone) come from patterns. Each distinct value found is a protected entity c. The words
-of its sentence, and those within ``window`` characters of it, are its candidate terms t. Over all documents the corpus
-gives n(c), n(t) and n(c, t), the documents that hold the entity, the term, and the term beside the entity, and from these
+of its sentence, at most ``words`` words away from it, are its candidate terms t. Over all documents the corpus gives
+n(c), n(t) and n(c, t), the documents that hold the entity, the term, and the term beside the entity, and from these
 
     disclosure(c, t) = PMI(c, t) / IC(c) = log(n(c, t) N / (n(c) n(t))) / log(N / n(c)),
 
@@ -13,6 +13,10 @@ over distinct texts, and entities of one document count like any other. A pair i
 about as often (``CHANCE``), which is so only in tables of some 30 texts or fewer: from ``generalise`` on the term is
 replaced by its class wherever it stands in the documents that hold the entity; from ``remove`` on it discloses the entity
 by itself, and is removed wherever it stands in any document.
+
+The work grows with a text's length, however many spans it holds: places come from running sums by blocks, texts are
+rewritten from blocks of bounded length, an entity has a bounded number of words beside it, and the places of terms
+are found by a join of a text's words with the terms wanted in it.
 """
 
 from __future__ import annotations
@@ -34,9 +38,10 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 #: What a text must hold for a kind's spans to be sought at all; each is met wherever a valid span is.
-HINTS = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": "[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]"}
+HINTS = {"ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": "[0-9](?:[ -]?[0-9]){11}"}
 
-WINDOW = 48
+#: Words on either side of an entity, within its sentence, that may disclose it.
+WORDS = 32
 GENERALISE = 0.85
 REMOVE = 0.97
 #: The least digits of a term without letters; words may have any length.
@@ -44,11 +49,74 @@ MIN_TERM = 3
 #: A pair counts if independent documents would hold it n(c, t) times with at most this probability.
 CHANCE = 0.05
 SPAN = "struct<start:int,rank:int,kind:string,end:int,value:string>"
+PLACES = "array<struct<start:int,end:int,term:string,mask:string>>"
 TERM = r"[\p{L}\p{N}]++"
-#: Where sentences part: at line ends and after closing marks, but not where a base span may go on.
-SENTENCE = r"[\n\r]++|(?<=[.!?])\s++(?![ ().0-9+-])|(?<=[。！？])"
-#: Stands for a base span in a sentence; words that touch it are part of it.
-MARK = "\ue000"
+SENTENCE = r"[\n\r]++|(?<=[.!?])\s++|(?<=[。！？])"
+#: Stand around an entity that is written into a text as one word; words that touch it are part of it.
+OPEN, SHUT = "", ""
+#: Code points of a block of text, and words of a row of a long sentence.
+BLOCK, ROW_WORDS = 256, 512
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, most: bool = False) -> Column:
+    """For each place of an array of integers the sum (or the greatest) of those before it; 0 for the first.
+
+    By blocks of about the square root of the array's length: an array that grows by one is copied whole each time.
+    """
+    join = (lambda a, v: F.greatest(a, v)) if most else (lambda a, v: a + v)
+
+    def walk(block: Column, first: Column) -> Column:
+        state = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(block, state, lambda s, v: F.struct(join(s["at"], v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    def whole(v: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / width).cast("int") - 1, F.lit(0))), lambda k: F.slice(v, k * width + 1, width))
+        totals = lambda bs: F.transform(bs, lambda b: F.aggregate(b, F.lit(0), join))
+        return _let(blocks, lambda bs: _let(walk(totals(bs), F.lit(0)), lambda heads: F.flatten(F.zip_with(bs, heads, walk))))
+
+    return _let(values, whole)
+
+
+def placed(text: Column, pattern: str) -> Column:
+    """array(struct(start, end, value)) of a pattern's matches in code points, in order, end exclusive."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+
+    def at(f: Column, g: Column, e: Column) -> Column:
+        begin = lambda i: F.get(e, i) + F.get(g, i)
+        return F.transform(f, lambda v, i: F.struct(begin(i).alias("start"), (begin(i) + F.length(v)).alias("end"), v.alias("value")))
+
+    return _let(found, lambda f: _let(gaps, lambda g: _let(running(F.transform(f, lambda v, i: F.get(g, i) + F.length(v))), lambda e: at(f, g, e))))
+
+
+def _between(blocks: Column, a: Column, b: Column) -> Column:
+    """The text from code point a to b (exclusive) of a text in blocks."""
+    i, j = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+    first = F.substring(F.get(blocks, i), a % BLOCK + 1, F.least(b, (i + 1) * BLOCK) - a)
+    rest = F.concat(F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(F.get(blocks, j), F.lit(1), b - j * BLOCK))
+    return F.when(b <= a, "").when(i == j, first).otherwise(F.concat(first, rest))
+
+
+def rewritten(text: Column, edits: Column, mask) -> Column:
+    """A text with each edit (an array of structs with start and end, by start) replaced by ``mask(edit, read)``.
+
+    ``read`` is how far edits before it reach; what they cover already isn't written again.
+    """
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def write(b: Column, e: Column, read: Column) -> Column:
+        pieces = F.transform(e, lambda x, i: F.concat(_between(b, F.get(read, i), x["start"]), mask(x, F.get(read, i))))
+        last = F.aggregate(e, F.lit(0), lambda a, x: F.greatest(a, x["end"]))
+        return F.concat(F.array_join(pieces, ""), _between(b, last, F.length(text)))
+
+    done = _let(blocks, lambda b: _let(edits, lambda e: _let(running(F.transform(e, lambda x: x["end"]), most=True), lambda read: write(b, e, read))))
+    return F.when(F.size(edits) > 0, done).otherwise(text)
 
 
 def _digits(value: Column) -> Column:
@@ -78,22 +146,25 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def spans_of(text: Column, kind: str) -> Column:
-    """Array of (start, rank, kind, end, value) of a kind's spans in code points, in order, end exclusive."""
-    pattern, rank = PATTERNS[kind], KINDS.index(kind)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    pairs = F.arrays_zip(found.alias("value"), F.slice(gaps, 1, F.size(found)).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+def _hint(text: Column, kind: str) -> Column:
+    """Whether a text may hold spans of a kind; the cheap tests come first."""
+    if kind in ("email", "phone"):
+        return text.contains("@" if kind == "email" else "+")
+    return text.rlike("[0-9]") & text.rlike(HINTS[kind])
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + p["gap"]
-        end = begin + F.length(p["value"])
-        one = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), p["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    spans = F.filter(F.aggregate(pairs, start, step, lambda a: a["out"]), lambda s: _valid(kind, s["value"]))
-    return F.when(text.rlike(HINTS[kind]), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+def may_hold(text: Column) -> Column:
+    """False only for texts without any base span."""
+    marks = text.contains("@") | text.contains("+")
+    return F.coalesce(marks | (text.rlike("[0-9]") & (text.rlike(HINTS["ip"]) | text.rlike(HINTS["card"]))), F.lit(False))
+
+
+def spans_of(text: Column, kind: str) -> Column:
+    """Array of (start, rank, kind, end, value) of a kind's spans in code points, in order, end exclusive."""
+    rank = KINDS.index(kind)
+    fine = F.filter(placed(text, PATTERNS[kind]), lambda m: _valid(kind, m["value"]))
+    spans = F.transform(fine, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))
+    return F.when(_hint(text, kind), spans).otherwise(F.array().cast(f"array<{SPAN}>")).cast(f"array<{SPAN}>")
 
 
 def base_spans(text: Column) -> Column:
@@ -121,96 +192,57 @@ def entity_of(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], F.when(span["kind"].isin("card", "phone"), _digits(span["value"])).otherwise(F.lower(span["value"])))
 
 
-def _terms_within(segment: Column, offset: Column, drop_first: Column, drop_last: Column) -> Column:
-    """Terms (start, end, term) of a piece of text that begins at ``offset``; words cut by its ends are left out."""
-    found = F.regexp_extract_all(segment, F.lit(TERM), F.lit(0))
-    gaps = F.transform(F.split(segment, TERM, -1), lambda x: F.length(x))
-    pairs = F.arrays_zip(found.alias("value"), F.slice(gaps, 1, F.size(found)).alias("gap"))
-    kind = "struct<start:int,end:int,term:string>"
-    zero = F.struct(offset.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + p["gap"]
-        end = begin + F.length(p["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), F.lower(p["value"]).alias("term")))).alias("out"))
-
-    last = offset + F.length(segment)
-    return F.filter(
-        F.aggregate(pairs, zero, step, lambda a: a["out"]),
-        lambda t: _is_term(t["term"]) & ~(drop_first & (t["start"] == offset)) & ~(drop_last & (t["end"] == last)),
-    )
-
-
-def neighbours(text: Column, spans: Column, window: int = WINDOW) -> Column:
-    """Array of (entity, term, start, end): whole terms beside each base span that no base span overlaps."""
-
-    def beside(s: Column) -> Column:
-        first = F.greatest(s["start"] - (window + 1), F.lit(0))
-        before = _terms_within(F.substring(text, first + 1, s["start"] - first), first, first > 0, F.lit(True))
-        tail = F.substring(text, s["end"] + 1, F.lit(window + 1))
-        after = _terms_within(tail, s["end"], F.lit(True), F.length(tail) > window)
-        free = F.filter(F.concat(before, after), lambda t: ~F.exists(spans, lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"])))
-        return F.transform(free, lambda t: F.struct(entity_of(s).alias("entity"), t["term"].alias("term"), t["start"].alias("start"), t["end"].alias("end")))
-
-    return F.flatten(F.transform(spans, beside))
-
+def _unmarked(text: Column) -> Column:
+    return F.translate(text, OPEN + SHUT, "  ")
 
-def _masked(text: Column, spans: Column, mask: Column) -> Column:
-    """A text with each base span replaced by a mark, as far as spans do not overlap."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), mask)
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
+def holders_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(key, text, spans, entities) of each distinct text that holds a base span; written once."""
+    rows = docs.select(F.col(text).alias("text")).where(may_hold(F.col("text"))).withColumn("key", F.md5(F.col("text").cast("binary")))
+    rows = rows.dropDuplicates(["key"]).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
+    return materialize(rows.withColumn("entities", F.array_distinct(F.transform("spans", entity_of))), "pii-holders")
 
-    return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
+def contexts(holders: DataFrame, words: int = WORDS) -> DataFrame:
+    """Distinct (key, entity, term): the words of an entity's sentence, at most ``words`` words away from it.
 
-def sentence_pairs(rows: DataFrame) -> DataFrame:
-    """(entity, term) of the sentences of ``rows`` (key, text) that hold an entity, with the row's key."""
-    parts = rows.select("key", F.explode(F.split("text", SENTENCE)).alias("part")).withColumn("spans", base_spans(F.col("part"))).where(F.size("spans") > 0)
-    rest = _masked(F.regexp_replace("part", MARK, " "), F.col("spans"), F.lit(MARK))
-    words = F.regexp_extract_all(rest, F.lit(rf"[\p{{L}}\p{{N}}{MARK}]++"), F.lit(0))
-    terms = F.array_distinct(F.transform(F.filter(words, lambda w: ~w.contains(MARK) & _is_term(w)), F.lower))
-    entities = F.array_distinct(F.transform("spans", entity_of))
-    return parts.select("key", terms.alias("terms"), F.explode(entities).alias("entity")).select("key", "entity", F.explode("terms").alias("term"))
+    Words are counted with entities as one each; a word that touches an entity is part of it. Long sentences become
+    rows of ``ROW_WORDS`` words, with ``words`` more on either side to look at.
+    """
+    named = rewritten(_unmarked(F.col("text")), F.col("spans"), lambda s, _: F.concat(F.lit(OPEN), F.hex(entity_of(s)), F.lit(SHUT)))
+    parts = holders.select("key", F.explode(F.split(named, SENTENCE)).alias("part")).where(F.col("part").contains(OPEN))
+    listed = parts.select("key", F.regexp_extract_all("part", F.lit(rf"[\p{{L}}\p{{N}}{OPEN}{SHUT}]++"), F.lit(0)).alias("w"))
 
+    def row(w: Column, k: Column) -> Column:
+        first = F.greatest(k - words, F.lit(0))
+        return F.struct((k - first).alias("skip"), F.slice(w, first + 1, k - first + ROW_WORDS + words).alias("w"))
 
-def occurrences(text: Column, spans: Column, terms: Column) -> Column:
-    """Array of (start, end, term, removed): every place of a text's ``terms`` (term, removed) that no base span overlaps."""
-    kind = "array<struct<start:int,end:int,term:string,removed:boolean>>"
-    names = F.transform(terms, lambda t: t["term"])
-    forms = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), lambda w: F.array_contains(names, F.lower(w)))
-    # Words are letters and digits only, so none needs quoting. No form, no place.
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(forms, "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.transform(F.split(text, pattern, F.lit(-1)), lambda x: F.length(x))
-    pairs = F.arrays_zip(found.alias("value"), F.slice(gaps, 1, F.size(found)).alias("gap"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,term:string>>").alias("out"))
+    rows = listed.select("key", F.explode(_let(F.col("w"), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(ROW_WORDS)), lambda k: row(w, k)))).alias("r"))
+    rows = rows.select("key", F.col("r.skip").alias("skip"), F.col("r.w").alias("w"))
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + p["gap"]
-        end = begin + F.length(p["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), F.lower(p["value"]).alias("term")))).alias("out"))
+    def beside(x: Column, i: Column, w: Column) -> Column:
+        near = F.slice(w, F.greatest(i - words, F.lit(0)) + 1, F.least(i, F.lit(words)) + words + 1)
+        terms = F.array_distinct(F.transform(F.filter(near, lambda t: ~t.contains(OPEN) & ~t.contains(SHUT) & _is_term(t)), F.lower))
+        named = F.array_distinct(F.regexp_extract_all(x, F.lit(f"{OPEN}([0-9A-F]+){SHUT}"), F.lit(1)))
+        core = x.contains(OPEN) & (i >= F.col("skip")) & (i < F.col("skip") + ROW_WORDS)
+        pairs = _let(terms, lambda ts: F.flatten(F.transform(named, lambda c: F.transform(ts, lambda t: F.struct(c.alias("entity"), t.alias("term"))))))
+        return F.when(core, pairs).otherwise(F.array().cast("array<struct<entity:string,term:string>>"))
 
-    gone = F.transform(F.filter(terms, lambda t: t["removed"]), lambda t: t["term"])
-    places = F.filter(F.aggregate(pairs, zero, step, lambda a: a["out"]), lambda t: ~F.exists(spans, lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"])))
-    out = F.transform(places, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["term"].alias("term"), F.array_contains(gone, t["term"]).alias("removed")))
-    return F.when(F.size(forms) > 0, out).otherwise(F.array().cast(kind)).cast(kind)
+    pairs = rows.select("key", F.explode(F.flatten(_let(F.col("w"), lambda w: F.transform(w, lambda x, i: beside(x, i, w))))).alias("p"))
+    return pairs.select("key", F.decode(F.unhex("p.entity"), "UTF-8").alias("entity"), F.col("p.term").alias("term")).distinct()
 
 
-def disclosures(docs: DataFrame, text: str = "text", window: int = WINDOW, generalise: float = GENERALISE) -> DataFrame:
+def disclosures(docs: DataFrame, text: str = "text", words: int = WORDS, generalise: float = GENERALISE, holders: DataFrame | None = None) -> DataFrame:
     """(entity, term, disclosure, spread) of the pairs at or above the lower threshold, from counts over all distinct texts.
 
     ``spread`` says whether the term stands in more texts than beside the entity.
     """
-    # Texts are told apart by a hash, so that only the few that hold an entity are dealt among tasks.
+    holders = holders if holders is not None else holders_of(docs, text)
+    # Texts are told apart by 64 bits here: a clash among billions of texts would lower a count by one.
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     total = texts.select("key").distinct().count()
-    rows = materialize(texts.withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0).dropDuplicates(["key"]), "pii-holders")
-    held = rows.select(F.explode(F.array_distinct(F.transform("spans", entity_of))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    beside = rows.select("key", F.explode(neighbours(F.col("text"), F.col("spans"), window)).alias("x")).select("key", "x.entity", "x.term")
-    both = beside.unionAll(sentence_pairs(rows)).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    held = holders.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    both = contexts(holders, words).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     pairs = materialize(both.join(held, "entity"), "pii-pairs")
     wanted = materialize(pairs.select("term").distinct(), "pii-terms")
     # Counted before they are joined: a term is a row of each task at most in the second step, however common it is. An
@@ -223,38 +255,52 @@ def disclosures(docs: DataFrame, text: str = "text", window: int = WINDOW, gener
     return materialize(scored.where(F.col("disclosure") >= generalise), "pii-disclosures")
 
 
-def detect(docs: DataFrame, text: str = "text", window: int = WINDOW, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def places_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, terms) of distinct ``texts`` (key, text, spans): where the words of ``wanted`` (key, term, removed) stand.
+
+    Words that a base span overlaps are passed over. Every text's words meet its own terms in one join.
+    """
+    hidden = rewritten(_unmarked(F.col("text")), F.col("spans"), lambda s, read: F.repeat(F.lit(OPEN), F.greatest(s["end"] - F.greatest(s["start"], read), F.lit(0))))
+    asked = texts.join(wanted.select("key").distinct(), "key", "left_semi").select("key", hidden.alias("text"))
+    words = asked.select("key", F.explode(placed(F.col("text"), rf"[\p{{L}}\p{{N}}{OPEN}]++")).alias("w")).where(~F.col("w.value").contains(OPEN))
+    found = words.select("key", "w.start", "w.end", "w.value", F.lower("w.value").alias("term")).join(wanted, ["key", "term"])
+    general = F.when(F.col("value").rlike("^[0-9]+$"), "[NUMBER]").when(F.col("value").rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
+    one = F.struct("start", "end", "term", F.when(F.col("removed"), "").otherwise(general).alias("mask"))
+    return materialize(found.groupBy("key").agg(F.array_sort(F.collect_list(one)).cast(PLACES).alias("terms")), "pii-places")
+
+
+def detect(docs: DataFrame, text: str = "text", words: int = WORDS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(row, text, spans, terms) of every row of ``docs``: the row as a struct, its base spans and its disclosing terms.
 
-    ``spans`` are as in ``base_spans``, ``terms`` (start, end, term, removed) in order. Null and empty texts have none.
+    ``spans`` are as in ``base_spans``, ``terms`` (start, end, term, mask) in order; an empty mask removes the term. Null and empty texts have none.
     Equal texts get equal spans, however often they are there. An empty table gives no rows. All other columns stay in
     ``row``, so their names can't clash.
     """
-    kind = "array<struct<start:int,end:int,term:string,removed:boolean>>"
-    found = disclosures(docs, text, window, generalise)
-    spanned = docs.select(F.struct("*").alias("row"), F.col(text).alias("text")).withColumn("text_key", F.md5(F.col("text").cast("binary"))).withColumn("spans", base_spans(F.col("text")))
-    holders = materialize(docs.select(F.col(text).alias("text")).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0).select(F.md5(F.col("text").cast("binary")).alias("key"), F.array_distinct(F.transform("spans", entity_of)).alias("entities"), terms_of(F.col("text")).alias("terms")).dropDuplicates(["key"]), "pii-texts")
+    holders = holders_of(docs, text)
+    found = disclosures(docs, text, words, generalise, holders)
+    owned = holders.select("key", F.explode(terms_of(F.col("text"))).alias("term"))
     # A text's terms are looked up first: an entity of many texts has many terms, of which a text holds few.
-    known = holders.select("key", F.explode("terms").alias("term")).join(found, "term").select("key", "term", "entity", "disclosure")
-    within = known.join(holders.select("key", F.explode("entities").alias("entity")), ["key", "entity"]).select("key", "term", "disclosure")
+    known = owned.join(found, "term").select("key", "term", "entity", "disclosure")
+    hits = known.join(holders.select("key", F.explode("entities").alias("entity")), ["key", "entity"]).select("key", "term", "disclosure")
     alone = materialize(found.where("spread").where(F.col("disclosure") >= remove).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "pii-alone")
-
-    def wanted(hits: DataFrame, name: str) -> DataFrame:
-        each = hits.groupBy("key", "term").agg(F.max("disclosure").alias("d"))
-        return materialize(each.groupBy("key").agg(F.collect_list(F.struct("term", (F.col("d") >= remove).alias("removed"))).alias("wanted")), name)
-
-    def marked(rows: DataFrame, per_text: DataFrame) -> DataFrame:
-        places = F.when(F.col("wanted").isNotNull(), occurrences(F.col("text"), F.col("spans"), F.col("wanted")))
-        return rows.join(per_text, F.col("text_key") == F.col("key"), "left").select("row", "text", "spans", F.coalesce(places, F.array().cast(kind)).alias("terms"))
-
-    held, clean = spanned.where(F.size("spans") > 0), spanned.where(F.size("spans") == 0)
-    if alone.isEmpty():
-        return clean.select("row", "text", "spans", F.array().cast(kind).alias("terms")).unionByName(marked(held, wanted(within, "pii-wanted")))
-    lone = lambda texts: texts.join(alone, "term").select("key", "term", "disclosure")
-    loose = docs.select(F.md5(F.col(text).cast("binary")).alias("key"), F.explode(terms_of(F.col(text))).alias("term"))
-    inside = within.unionAll(lone(holders.select("key", F.explode("terms").alias("term"))))
-    outside = lone(loose).join(holders.select("key"), "key", "left_anti")
-    return marked(clean, wanted(outside, "pii-loose")).unionByName(marked(held, wanted(inside, "pii-wanted")))
+    per_term = lambda rows: materialize(rows.groupBy("key", "term").agg((F.max("disclosure") >= remove).alias("removed")), "pii-wanted")
+    everywhere = not alone.isEmpty()
+    if everywhere:
+        hits = hits.unionAll(owned.join(alone, "term").select("key", "term", "disclosure"))
+    places = places_of(holders, per_term(hits))
+    none = F.array().cast(PLACES)
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    held = rows.where(may_hold(F.col("text"))).withColumn("spans", base_spans(F.col("text"))).withColumn("text_key", F.md5(F.col("text").cast("binary")))
+    clean = rows.where(~may_hold(F.col("text"))).withColumn("spans", F.array().cast(f"array<{SPAN}>"))
+    marked = lambda r, p: r.join(p, r["text_key"] == p["key"], "left").select("row", "text", "spans", F.coalesce("terms", none).alias("terms"))
+    if not everywhere:
+        return clean.select("row", "text", "spans", none.alias("terms")).unionByName(marked(held, places))
+    keyed = docs.select(F.col(text).alias("text")).where("text is not null").withColumn("key", F.md5(F.col("text").cast("binary")))
+    loose = keyed.select("key", F.explode(terms_of(F.col("text"))).alias("term")).join(alone, "term").select("key", "term", "disclosure")
+    wanted = per_term(loose.join(holders.select("key"), "key", "left_anti"))
+    others = keyed.join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).withColumn("spans", F.array().cast(f"array<{SPAN}>"))
+    both = materialize(places.unionByName(places_of(others, wanted)), "pii-all-places")
+    return marked(clean.withColumn("text_key", F.md5(F.col("text").cast("binary"))), both).unionByName(marked(held, both))
 
 
 def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -263,25 +309,12 @@ def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     ``n_chars``, where it is there, follows the new text. Rows without an entity or a disclosing term come back as they are.
     """
     found = detect(docs, text, **options)
-    piece = "struct<start:int,end:int,mask:string>"
-    body = F.col("text")
+    piece = "array<struct<start:int,end:int,mask:string>>"
     masks = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("mask")))
-
-    def mask_of(t: Column) -> Column:
-        word = F.substring(body, t["start"] + 1, t["end"] - t["start"])
-        general = F.when(word.rlike("^[0-9]+$"), "[NUMBER]").when(word.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
-        return F.when(t["removed"], "").otherwise(general)
-
-    soft = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), mask_of(t).alias("mask")))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        new = F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), s["mask"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(F.array_sort(F.concat(masks, soft).cast(f"array<{piece}>")), zero, step, lambda a: F.concat(a["out"], F.substring(body, a["at"] + 1, F.length(body))))
-    held = (F.size("spans") > 0) | (F.size("terms") > 0)
-    out = found.select("row", held.alias("held"), F.when(held, done).otherwise(body).alias("new"))
+    soft = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["mask"].alias("mask")))
+    edits = F.array_sort(F.concat(masks.cast(piece), soft.cast(piece)))
+    done = rewritten(F.col("text"), F.col("edits"), lambda e, read: F.when(e["start"] >= read, e["mask"]).otherwise(""))
+    out = found.select("row", "text", edits.alias("edits")).select("row", (F.size("edits") > 0).alias("held"), done.alias("new"))
 
     def column(c: str) -> Column:
         old = F.col("row")[c]
