@@ -56,6 +56,8 @@ SENTENCE = r"[\n\r]++|(?<=[.!?])\s++|(?<=[。！？])"
 OPEN, SHUT = "", ""
 #: Code points of a block of text, and words of a row of a long sentence.
 BLOCK, ROW_WORDS = 256, 512
+#: A filter of keys has 2**FILTER_BITS bits.
+FILTER_BITS = 22
 
 
 def _let(value: Column, body) -> Column:
@@ -203,6 +205,23 @@ def holders_of(docs: DataFrame, text: str = "text") -> DataFrame:
     return materialize(rows.withColumn("entities", F.array_distinct(F.transform("spans", entity_of))), "pii-holders")
 
 
+def bit_test(keys: DataFrame, column: str = "key"):
+    """A test ``of(hash)`` that is true for every 64-bit hash in ``keys``, and false for most others while keys are few.
+
+    2**22 bits in one array, however many keys: a scalar subquery, so the rows tested need not be dealt anew.
+    """
+    spark, bit = keys.sparkSession, F.pmod(F.col(column), F.lit(1 << FILTER_BITS))
+    words = keys.groupBy(F.shiftright(bit, 6).alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits"))
+    full = spark.range(1 << FILTER_BITS - 6).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    whole = materialize(full.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("words")), "pii-bits").scalar()
+
+    def of(key: Column) -> Column:
+        at = F.pmod(key, F.lit(1 << FILTER_BITS))
+        return F.call_function("shiftright", F.get(whole, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+    return of
+
+
 def contexts(holders: DataFrame, words: int = WORDS) -> DataFrame:
     """Distinct (key, entity, term): the words of an entity's sentence, at most ``words`` words away from it.
 
@@ -240,14 +259,17 @@ def disclosures(docs: DataFrame, text: str = "text", words: int = WORDS, general
     holders = holders if holders is not None else holders_of(docs, text)
     # Texts are told apart by 64 bits here: a clash among billions of texts would lower a count by one.
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    total = texts.select("key").distinct().count()
+    copies = materialize(texts.groupBy("key").agg(F.count("*").alias("n")), "pii-copies")
+    total, repeated = copies.count(), bit_test(copies.where("n > 1"))
+    # Only texts that may be there twice are dealt by their key, for one of each to be counted.
+    once = texts.where(~repeated(F.col("key"))).select("text").unionAll(texts.where(repeated(F.col("key"))).dropDuplicates(["key"]).select("text"))
     held = holders.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     both = contexts(holders, words).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     pairs = materialize(both.join(held, "entity"), "pii-pairs")
     wanted = materialize(pairs.select("term").distinct(), "pii-terms")
-    # Counted before they are joined: a term is a row of each task at most in the second step, however common it is. An
-    # inner join with distinct terms, since a semi join would be moved below the counting.
-    seen = texts.select("key", F.explode(terms_of(F.col("text"))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
+    # Counted before they are joined: a term is a row of each task at most, however common it is. An inner join with
+    # distinct terms, since a semi join would be moved below the counting.
+    seen = once.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
     n = F.lit(float(max(total, 1)))
     ratio = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term"))) / F.log(n / F.col("n_entity"))
     beyond = F.col("n_both") * F.log(F.col("n_entity") * F.col("n_term") / n) <= F.log(F.lit(CHANCE))
@@ -288,19 +310,22 @@ def detect(docs: DataFrame, text: str = "text", words: int = WORDS, generalise:
     if everywhere:
         hits = hits.unionAll(owned.join(alone, "term").select("key", "term", "disclosure"))
     places = places_of(holders, per_term(hits))
-    none = F.array().cast(PLACES)
+    key = F.md5(F.col("text").cast("binary"))
+    other, test = F.lit(False), F.xxhash64("text")
+    if everywhere:
+        keyed = docs.select(F.col(text).alias("text")).where("text is not null").withColumn("key", key)
+        loose = keyed.select("key", F.xxhash64("text").alias("h"), F.explode(terms_of(F.col("text"))).alias("term")).join(alone, "term")
+        loose = materialize(loose.select("key", "h", "term").distinct().join(holders.select("key"), "key", "left_anti"), "pii-loose")
+        found_in = bit_test(loose, "h")
+        texts = keyed.where(found_in(test)).join(loose.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+        others = places_of(texts.withColumn("spans", F.array().cast(f"array<{SPAN}>")), loose.select("key", "term", F.lit(True).alias("removed")))
+        places, other = materialize(places.unionByName(others), "pii-all-places"), F.coalesce(found_in(test), F.lit(False))
+    # Only rows that may hold a span or a term are dealt by their text.
     rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    held = rows.where(may_hold(F.col("text"))).withColumn("spans", base_spans(F.col("text"))).withColumn("text_key", F.md5(F.col("text").cast("binary")))
-    clean = rows.where(~may_hold(F.col("text"))).withColumn("spans", F.array().cast(f"array<{SPAN}>"))
-    marked = lambda r, p: r.join(p, r["text_key"] == p["key"], "left").select("row", "text", "spans", F.coalesce("terms", none).alias("terms"))
-    if not everywhere:
-        return clean.select("row", "text", "spans", none.alias("terms")).unionByName(marked(held, places))
-    keyed = docs.select(F.col(text).alias("text")).where("text is not null").withColumn("key", F.md5(F.col("text").cast("binary")))
-    loose = keyed.select("key", F.explode(terms_of(F.col("text"))).alias("term")).join(alone, "term").select("key", "term", "disclosure")
-    wanted = per_term(loose.join(holders.select("key"), "key", "left_anti"))
-    others = keyed.join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).withColumn("spans", F.array().cast(f"array<{SPAN}>"))
-    both = materialize(places.unionByName(places_of(others, wanted)), "pii-all-places")
-    return marked(clean.withColumn("text_key", F.md5(F.col("text").cast("binary"))), both).unionByName(marked(held, both))
+    none, joins = F.array().cast(PLACES), may_hold(F.col("text")) | (F.col("text").isNotNull() & other)
+    marked = rows.where(joins).withColumn("spans", base_spans(F.col("text"))).withColumn("text_key", key).join(places, F.col("text_key") == F.col("key"), "left")
+    marked = marked.select("row", "text", "spans", F.coalesce("terms", none).alias("terms"))
+    return rows.where(~joins).select("row", "text", F.array().cast(f"array<{SPAN}>").alias("spans"), none.alias("terms")).unionByName(marked)
 
 
 def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
