@@ -1,251 +1,347 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page's tokens are its elements (by their path of tags, classes and ids) and its text pieces (by their path and their
-words). Over the pages of a host, tokens with the same occurrence vector (so often on the first page, so often on the
-second, ...) form an equivalence class; a vector is held as the sum of a hash of each page and count, so classes come
-from one aggregation, however large the host. Pages of one host with equal tokens have one vote. Classes of two or more tokens that nearly all pages hold make up the host's
-template, and the classes nest as their elements do: a token's path names the tokens around it.
-What the template leaves are slots. Menus, forms, notices and the like are told by their elements, the article by the
-element that says so, or else by the deepest template element around most of the text; inside it, template text goes.
+A page's tokens are its elements (told by their path of tags, classes and ids) and its words (told by the path that holds
+them). Over the distinct pages of a host, tokens with the same occurrence vector (so often on the first page, so often
+on the second, ...) form an equivalence class; a vector is held as the exclusive or of a hash of each page and count, so
+that classes come from one aggregation, however large the host. A class counts if it has two tokens and is on
+``SUPPORT`` of the pages. It must then be valid:
+
+* ordered: elements of a class that lie in the same element follow each other in one order on every page, and words
+  have the same token before and after them on every page;
+* nested: an element is part of the template only if the element around it is.
+
+The valid classes make a tree, the host's template. Text nodes whose words all belong to it are template; what is left
+are slots. The article's slots are those in the deepest container that holds most of the slot text of all the host's
+pages; slots in elements such as nav, form, advert or comments are passed over. A run of words is believed if chance
+would not repeat it: words times pages that repeat them must reach ``EVIDENCE``, for a host of any size.
+
+Pages are counted once for each distinct text of the page, digits aside. Where a host shows no template (all its pages
+are one page, or nearly all text repeats), or a page lacks the template's container, the article is told by its own
+elements; ``found_by`` says which way a row took.
 """
 
 from __future__ import annotations
 
-import html as entities
-import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fennwick.llm.common import bound_batches, materialize, table
+from fennwick.llm.common import bound_batches, materialize, once_each, table
+from fennwick.llm.html_page import CONTAINERS, END, Page, word_token
 
-#: A class must be on this share of a host's pages, and the host must have so many.
+#: A class must be on this share of a host's distinct pages and have so many tokens.
 SUPPORT = 0.9
-MIN_PAGES = 5
 CLASS_SIZE = 2
-#: A template that would leave less than this share of an article's text is not one.
-MIN_LEFT = 0.5
+#: Words of a template run times the pages that repeat it.
+EVIDENCE = 5
+#: The article's container holds this share of the slot text; a host's slots hold this share of all its text.
 MAIN_SHARE = 0.6
+LEAST_SLOTS = 0.05
+#: Slots hold at least this share of the container's text, else the host's pages are copies of one article.
+LEAST_OWN = 0.5
 
-# Fixed values of HTML: elements without content, of raw text, and that part blocks.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
-BLOCK = frozenset(
-    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
-)
-CLOSES_P = BLOCK - frozenset("br td th tr tbody thead tfoot caption option optgroup body head html".split())
-# Elements that never hold main text.
-BOILER_TAGS = frozenset("nav footer aside form script style noscript template head title select option button iframe svg canvas textarea object dialog menu noembed noframes xmp datalist".split())
-# Words of classes, ids and roles that name what is not main text.
-BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promotions banner banners sidebar sidebars side rail menu menus nav navbar navigation breadcrumb breadcrumbs "
-    "header masthead footer foot copyright cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login search share sharing social related recommended recommendations "
-    "comment comments commentlist reply replies respond disqus discussion popup modal overlay widget widgets pagination pager toolbar skip complementary contentinfo".split()
-)
-MAIN_WORDS = frozenset("article articlebody articletext content maincontent post postbody postcontent entry entrycontent story storybody main text body".split())
-
-_TAG = re.compile(
-    r"""<!--(?P<comment>.*?)(?:-->|--!>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)"""
-    r"""(?P<attrs>(?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+))?+|=)*+)>""",
-    re.S,
-)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
-_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-
-
-class Page:
-    """Elements (parent, token, depth, boilerplate, rank as main) and text pieces (text, element, parted) of a page."""
-
-    def __init__(self, html: str):
-        self.parent, self.token, self.depth, self.boiler, self.rank, self.tags = [-1], [0], [0], [False], [0], [""]
-        self.pieces: list[tuple[str, int, bool]] = []
-        self._read(html)
-
-    def _open(self, top: int, name: str, attrs: str) -> int:
-        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
-        label = f"{name} {found.get('class', '')} {found.get('id', '')}"
-        words = {w.lower() for key in ("class", "id", "role") for w in _WORD.findall(found.get(key, ""))}
-        compound = {re.sub(r"[^a-z]", "", w.lower()) for key in ("class", "id", "role", "itemprop") for w in found.get(key, "").split()}
-        inside = self.boiler[top]
-        in_article = self.rank[top] >= 2
-        rank = 3 if name == "article" else 2 if name == "main" or "articlebody" in compound or found.get("role") == "main" else 1 if compound & MAIN_WORDS else 0
-        off = inside or name in BOILER_TAGS or (name == "header" and not in_article)
-        off = off or (bool(words & BOILER_WORDS) and name not in ("html", "body", "main") and not (name == "header" and in_article) and rank < 2)
-        off = off or (name == "article" and bool(words & {"comment", "comments", "reply"})) or "hidden" in found or found.get("aria-hidden") == "true"
-        self.parent.append(top)
-        self.token.append(xxhash.xxh64_intdigest(label, self.token[top]))
-        self.depth.append(self.depth[top] + 1)
-        self.boiler.append(off)
-        self.rank.append(0 if off else max(rank, self.rank[top]))
-        self.tags.append(name)
-        return len(self.parent) - 1
-
-    def _read(self, html: str) -> None:
-        top, at, parted, n = 0, 0, True, len(html)
-        while at < n:
-            m = _TAG.search(html, at)
-            stop = m.start() if m else n
-            if stop > at:
-                self.pieces.append((html[at:stop], top, parted))
-                parted = False
-            if not m:
-                break
-            at, name = m.end(), (m["name"] or "").lower()
-            if not name:
-                continue
-            parted |= name in BLOCK
-            if m["end"]:
-                k = top
-                while k and self.tags[k] != name:
-                    k = self.parent[k]
-                if k:
-                    top = self.parent[k]
-                continue
-            if name in CLOSES_P:  # an open paragraph ends where a block begins
-                k = top
-                while k and self.tags[k] != "p" and self.tags[k] not in BLOCK:
-                    k = self.parent[k]
-                if k and self.tags[k] == "p":
-                    top = self.parent[k]
-            elif name in ("td", "th", "tr", "option") or name == "tbody":
-                if self.tags[top] == name:
-                    top = self.parent[top]
-            if name in ("li", "dt", "dd") and self.tags[top] in ("li", "dt", "dd") and (self.tags[top] == "li") == (name == "li"):
-                top = self.parent[top]
-            e = self._open(top, name, m["attrs"])
-            if name in VOID or m["attrs"].endswith("/") and name not in BLOCK and name not in RAW:
-                continue
-            if name in RAW:
-                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
-                at = end.end() if end else n
-                continue
-            top = e
-
-    def texts(self) -> list[tuple[str, int, bool, int]]:
-        """(text, element, parted, token) of the pieces, character references decoded; blank ones keep their white space."""
-        out = []
-        for raw, e, parted in self.pieces:
-            text = entities.unescape(raw) if "&" in raw else raw
-            out.append((text, e, parted, xxhash.xxh64_intdigest(" ".join(text.split()), self.token[e] ^ 1)))
-        return out
-
-    def tokens(self) -> dict[int, int]:
-        """Occurrences of each token of the page, as signed longs."""
-        n: dict[int, int] = {}
-        for t in self.token[1:]:
+ORDER, WORD, ELEMENT = 0, 1, 2
+STATS = "host long, kind int, key long, a long, b long, c long, d long"
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def host_of(url: Column) -> Column:
+    return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+
+
+def page_tokens(page: Page) -> dict[int, int]:
+    """Occurrences of each token of the page."""
+    n: dict[int, int] = {}
+    for t in page.token[1:]:
+        n[t] = n.get(t, 0) + 1
+    for text, e, _, _ in page.texts():
+        for word in text.split():
+            t = word_token(word, page.token[e])
             n[t] = n.get(t, 0) + 1
-        for text, e, _, t in self.texts():
-            if not self.boiler[e] and not text.isspace():
-                n[t] = n.get(t, 0) + 1
-        return {t - (1 << 64) if t >> 63 else t: k for t, k in n.items()}
+    return n
+
+
+def votes_of(pages: DataFrame) -> DataFrame:
+    """(host, page, html): one page of each host and page text, digits aside. Null pages and pages without a host have none."""
+    host = host_of(F.col("url"))
+    rows = pages.where(F.col("html").isNotNull() & (host != "")).select(F.xxhash64(host).alias("host"), "html")
+    bare = F.regexp_replace("html", "[0-9]+", "")
+    return once_each(rows.withColumn("page", F.xxhash64("host", bare)), "page").select("host", "page", "html")
+
+
+def classes(votes: DataFrame) -> DataFrame:
+    """(host, n, token, vector): tokens of the classes that are large and frequent enough, of hosts with two pages or more."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for host, sign, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                found = page_tokens(Page(html.as_py()))
+                mark = {k: xxhash.xxh64_intdigest(k.to_bytes(8, "little"), sign & (1 << 64) - 1) for k in set(found.values())}
+                tokens = np.fromiter(found, np.uint64, len(found)).view(np.int64)
+                vectors = np.fromiter((mark[k] for k in found.values()), np.uint64, len(found)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), host)), pa.array(tokens), pa.array(vectors)], names=["host", "token", "vector"])
+
+    tokens = votes.mapInArrow(count, "host long, token long, vector long").groupBy("host", "token").agg(F.count("*").alias("on"), F.bit_xor("vector").alias("vector"))
+    sizes = votes.groupBy("host").agg(F.count("*").alias("n")).where("n > 1")
+    often = materialize(tokens.where(F.col("on") > 1).join(sizes, "host").where(F.col("on") >= SUPPORT * F.col("n")).select("host", "n", "token", "vector"), "html-tokens")
+    large = often.groupBy("host", "vector").agg(F.count("*").alias("size")).where(F.col("size") >= CLASS_SIZE).select("host", "vector")
+    return often.join(large, ["host", "vector"]).select("host", "n", "token", "vector")
+
+
+def observe(page: Page, vectors: dict[int, int]) -> list[tuple[int, int, int, int, int, int]]:
+    """(kind, key, a, b, c, d) of what one page says of its host's class tokens (token to vector).
+
+    ORDER: a group of elements of one class in one element, and a hash of their order. WORD: a word of a text node whose
+    words are all in classes, with the tokens before and after it (0 if they differ within the page). ELEMENT: an element, with its
+    slot text and all text in characters, the element around it, and its depth and whether it is a container.
+    """
+    groups: dict[int, list[int]] = {}
+    for e in range(1, len(page.parent)):
+        t = page.token[e]
+        if t in vectors:
+            group = xxhash.xxh64_intdigest(vectors[t].to_bytes(8, "little"), page.token[page.parent[e]])
+            groups.setdefault(group, []).append(t)
+    out = []
+    for group, met in groups.items():
+        first = list(dict.fromkeys(met))
+        fine = met == first * (len(met) // len(first))
+        out.append((ORDER, group, xxhash.xxh64_intdigest(repr(first)) >> 1 if fine else -1, 0, 0, 0))
+    beside: dict[int, tuple[int, int]] = {}
+    slots, full = [0] * len(page.parent), [0] * len(page.parent)
+    for words, e, before, after in text_nodes(page):
+        size = sum(map(len, words))
+        if not page.boiler[e]:
+            full[e] += size
+        tokens = [word_token(w, page.token[e]) for w in words]
+        if all(t in vectors for t in tokens):
+            for t, a, b in zip(tokens, [before, *tokens], [*tokens[1:], after]):
+                here = (a, b)
+                beside[t] = here if beside.get(t, here) == here else (0, 0)
+        elif not page.boiler[e]:
+            slots[e] += size
+    out += [(WORD, t, a, b, 0, 0) for t, (a, b) in beside.items()]
+    slots, full = page.below(slots), page.below(full)
+    held: dict[int, list[int]] = {}
+    for e in range(1, len(page.parent)):
+        if page.token[e] in vectors:
+            box = held.setdefault(page.token[e], [0, 0, page.token[page.parent[e]], page.depth[e] * 2 + (page.tags[e] in CONTAINERS and not page.boiler[e])])
+            box[0] += slots[e]
+            box[1] += full[e]
+    return out + [(ELEMENT, t, *box) for t, box in held.items()]
+
+
+def text_nodes(page: Page) -> list[tuple[list[str], int, int, int]]:
+    """(words, element, token before, token after) of the text nodes that hold words; pieces that no tag parts are one."""
+    out: list[tuple[list[str], int, int, int]] = []
+    last = -1
+    for text, e, _, at in page.texts():
+        words = text.split()
+        if not words:
+            continue
+        if at == last:
+            out[-1][0].extend(words)
+        else:
+            out.append((words, e, page.events[at - 1] if at else END, page.events[at] if at < len(page.events) else END))
+        last = at
+    return out
+
+
+def deduce(n: int, vectors: dict[int, int], stats: list[tuple]) -> tuple[list[int], list[int], int] | None:
+    """(elements, words, container) of a host's template from what its ``n`` pages say, or None if it shows none.
+
+    ``stats`` holds (kind, key, least a, greatest a, least b, greatest b, sum of a, sum of b, c, d), all unsigned.
+    """
+    ordered = {key for kind, key, low, high, *_ in stats if kind == ORDER and low == high and low < 1 << 63}
+    about = {key: (slots, full, c, d) for kind, key, _, _, _, _, slots, full, c, d in stats if kind == ELEMENT}
+    elements: set[int] = set()
+    for t in sorted(about, key=lambda t: about[t][3]):  # from the outermost element inwards
+        parent = about[t][2]
+        group = xxhash.xxh64_intdigest(vectors[t].to_bytes(8, "little"), parent)
+        if group in ordered and (parent == 0 or parent in elements):
+            elements.add(t)
+    near = {key: (low, more) for kind, key, low, high, more, most, *_ in stats if kind == WORD and low == high and more == most and low and more}
+    runs: set[int] = set()
+    for t, (before, _) in near.items():
+        if before in near and near[before][1] == t:
+            continue
+        run = [t]  # a run of words begins where a tag ends
+        while near[run[-1]][1] in near and near[near[run[-1]][1]][0] == run[-1] and len(run) <= len(near):
+            run.append(near[run[-1]][1])
+        if len(run) * (n - 1) >= EVIDENCE:
+            runs.update(run)
+    total = max((about[t][0] for t in elements), default=0)
+    whole = max((about[t][1] for t in elements), default=0)
+    boxes = [t for t in elements if about[t][3] % 2 and about[t][0] >= MAIN_SHARE * total]
+    if not boxes or not total:
+        return None
+    root = max(boxes, key=lambda t: (about[t][3], about[t][0], t))
+    if about[root][0] < LEAST_SLOTS * whole or about[root][0] < LEAST_OWN * about[root][1]:
+        return None
+    return sorted(elements), sorted(runs), root
+
+
+def templates(votes: DataFrame) -> DataFrame:
+    """(host, words, root) of the hosts that show a template: its words and its article's container."""
+    found = materialize(classes(votes), "html-classes")
+    # A host's class tokens are few: at most the tokens of a page divided by SUPPORT.
+    held = materialize(found.groupBy("host").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens"), F.collect_list("vector").alias("vectors")), "html-held")
 
+    def say(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for batch in batches:
+            for i, (host, html) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+                if host not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[host] = _pairs(batch.column(2)[i], batch.column(3)[i])
+                rows = observe(Page(html.as_py()), known[host])
+                columns = [np.array(c, dtype=np.uint64).view(np.int64) for c in zip(*[(k, key, a & (1 << 64) - 1, b, c, d) for k, key, a, b, c, d in rows])]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), host)), pa.array(columns[0].astype(np.int32)), *map(pa.array, columns[1:])], names=["host", "kind", "key", "a", "b", "c", "d"])
+
+    said = votes.join(held, "host").select("host", "html", "tokens", "vectors").mapInArrow(say, STATS)
+    of = lambda c: F.sum(F.when(F.col("kind") == ELEMENT, F.col(c)).otherwise(0))
+    stats = said.groupBy("host", "kind", "key").agg(F.min("a"), F.max("a"), F.min("b"), F.max("b"), of("a").alias("sum_a"), of("b").alias("sum_b"), F.max("c"), F.max("d"))
+    per_host = stats.groupBy("host").agg(F.collect_list(F.struct(*[c for c in stats.columns if c != "host"])).alias("stats")).join(held, "host")
+
+    @F.pandas_udf("words array<long>, root long")
+    def of_host(n: pd.Series, tokens: pd.Series, vectors: pd.Series, rows: pd.Series) -> pd.DataFrame:
+        out = []
+        for size, t, v, said in zip(n, tokens, vectors, rows):
+            plain = [tuple(int(x) & (1 << 64) - 1 for x in (r.values() if isinstance(r, dict) else r)) for r in said]
+            got = deduce(int(size), dict(zip((int(x) & (1 << 64) - 1 for x in t), (int(x) & (1 << 64) - 1 for x in v))), plain)
+            out.append((None, None) if got is None else ([_signed(x) for x in got[1]], _signed(got[2])))
+        return pd.DataFrame({"words": [w for w, _ in out], "root": pd.array([r for _, r in out], dtype="Int64")})
+
+    return per_host.select("host", of_host("n", "tokens", "vectors", "stats").alias("t")).select("host", "t.words", "t.root").where("root is not null")
+
+
+def _pairs(tokens: pa.ListScalar, vectors: pa.ListScalar) -> dict[int, int]:
+    plain = lambda x: np.array(x.values, dtype=np.int64).view(np.uint64).tolist()
+    return dict(zip(plain(tokens), plain(vectors)))
+
+
+def main_text(html: str | None) -> str:
+    """The main text of a page alone."""
+    return extracted(html)[0]
 
-def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
-    """The page's main text, given its host's template tokens (signed longs)."""
+
+def extracted(html: str | None, words: frozenset[int] | None = None, root: int = 0) -> tuple[str, bool]:
+    """The page's main text, and whether it comes from its host's template (its words, its article's container)."""
     if not html:
-        return ""
+        return "", False
     page = Page(html)
-    signed = lambda t: t - (1 << 64) if t >> 63 else t
-    free = [(text, e, parted, signed(t) in template) for text, e, parted, t in page.texts() if not page.boiler[e]]
-    # Text outside the template, and all text: where pages are copies of one another, their article is template text.
-    size, full = [0] * len(page.parent), [0] * len(page.parent)
-    for text, e, _, fixed in free:
-        weight = len(text.strip())
-        while e >= 0 and weight:
-            full[e] += weight
-            size[e] += 0 if fixed else weight
-            e = page.parent[e]
-    if not full[0]:
-        return ""
-    if not size[0]:
-        size = full
-    root = 0
-    for rank in (3, 2, 1):
-        outer = [e for e in range(1, len(page.parent)) if page.rank[e] == rank and page.rank[page.parent[e]] < rank and full[e]]
-        if outer and (rank > 1 or any(max(n[e] for e in outer) >= MAIN_SHARE * n[0] for n in (size, full))):
-            root = max(outer, key=lambda e: (size[e], full[e]))
-            break
-    else:
-        known = lambda e: not template or signed(page.token[e]) in template
-        wide = [e for e in range(len(page.parent)) if size[e] >= MAIN_SHARE * size[0] and known(e) and page.tags[e] != "p"]
-        root = max(wide, key=lambda e: (page.depth[e], size[e]), default=0)
+    if words is not None:
+        box = [e for e in range(1, len(page.parent)) if page.token[e] == root]
+        if box:
+            return _slots(page, words, box), True
+    return _by_elements(page), False
 
-    inside = [False] * len(page.parent)
-    for e in range(len(page.parent)):
-        inside[e] = e == root or (e > 0 and inside[page.parent[e]])
-    own = [x for x in free if inside[x[1]]]
-    whole, left = (sum(len(t.strip()) for t, _, _, fixed in own if keep or not fixed) for keep in (True, False))
-    drop = left >= MIN_LEFT * whole
+
+def _slots(page: Page, words: frozenset[int], boxes: list[int]) -> str:
+    """The slots of the article's containers; one heading of the first level before them is the article's."""
+    inside, among = [False] * len(page.parent), set(boxes)
+    for e in range(1, len(page.parent)):
+        inside[e] = inside[page.parent[e]] or e in among
+    fixed = set()
+    for parts, e, _, _ in text_nodes(page):
+        if all(word_token(w, page.token[e]) in words for w in parts):
+            fixed.add(e)
+    own: list[int] = [0] * len(page.parent)
+    for text, e, _, _ in page.texts():
+        if inside[e] and not page.boiler[e]:
+            own[e] += len(text.strip())
+    size = page.below(own)
+    main = [e for e in range(1, len(page.parent)) if inside[e] and page.rank[e] >= 2 and page.rank[page.parent[e]] < 2 and size[e]]
+    if main:
+        inside = page.inside(max(main, key=lambda e: size[e]))
+    elif not any(inside[e] and page.tags[e] == "h1" for e in range(1, len(page.parent))):
+        first = min(boxes)
+        heads = [e for e in range(1, first) if page.tags[e] == "h1" and not page.boiler[e] and e not in fixed]
+        if heads:
+            inside = [a or b for a, b in zip(inside, page.inside(heads[-1]))]
+    return _joined(page, inside, words)
+
+
+def _joined(page: Page, inside: list[bool], words: frozenset[int]) -> str:
+    """The text of the elements ``inside`` that are no boilerplate, without text nodes of template words."""
     out: list[str] = []
-    for text, _, parted, fixed in own:
-        if fixed and drop:
+    for text, e, parted, _ in page.texts():
+        if not inside[e] or page.boiler[e]:
+            if parted or text[:1].isspace():
+                out.append(" ")
+            continue
+        parts = text.split()
+        if words and parts and all(word_token(w, page.token[e]) in words for w in parts):
             out.append(" ")
         else:
             out.append((" " if parted else "") + text)
     return " ".join("".join(out).split())
 
 
-def host_of(url: Column) -> Column:
-    return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, template) with the tokens of each host's template, as an array of longs."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
-                body = html.as_py()
-                tokens = Page(body).tokens()
-                sign = xxhash.xxh64_intdigest(np.array(sorted(tokens.items()), dtype=np.int64).tobytes())
-                keys, occurrences = [0, *tokens], [1, *tokens.values()]
-                signed = sign - (1 << 64) if sign >> 63 else sign
-                vector = [(xxhash.xxh64_intdigest(k.to_bytes(8, "little"), sign) >> 1) for k in occurrences]
-                yield pa.RecordBatch.from_arrays([pa.array([host] * len(keys)), pa.array([signed] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(vector, pa.int64())], names=["host", "page", "token", "vector"])
-
-    seen = pages.where(F.col("html").isNotNull()).select(host_of(F.col("url")).alias("host"), "html").mapInArrow(count, "host string, page long, token long, vector long").dropDuplicates(["host", "page", "token"])
-    tokens = seen.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum(F.col("vector").cast("decimal(20,0)")).alias("vector")).where(F.col("pages") >= MIN_PAGES)
-    tokens = materialize(tokens, "html-tokens")
-    sizes = tokens.where("token = 0").select("host", F.col("pages").alias("n"))
-    classes = tokens.join(sizes, "host").where("token <> 0").where(F.col("pages") >= SUPPORT * F.col("n")).groupBy("host", "vector").agg(F.collect_list("token").alias("tokens"))
-    # A host's frequent tokens are few: at most the tokens of a page divided by SUPPORT.
-    return classes.where(F.size("tokens") >= CLASS_SIZE).groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+def _by_elements(page: Page) -> str:
+    """Of a page alone: the element that says it is the article, or else the deepest one around most of the text."""
+    own = [0] * len(page.parent)
+    for text, e, _, _ in page.texts():
+        if not page.boiler[e]:
+            own[e] += len(text.strip())
+    size, root = page.below(own), 0
+    if not size[0]:
+        return ""
+    for rank in (3, 2, 1):
+        outer = [e for e in range(1, len(page.parent)) if page.rank[e] == rank and page.rank[page.parent[e]] < rank and size[e]]
+        if outer and (rank > 1 or max(size[e] for e in outer) >= MAIN_SHARE * size[0]):
+            root = max(outer, key=lambda e: size[e])
+            break
+    else:
+        wide = [e for e in range(len(page.parent)) if size[e] >= MAIN_SHARE * size[0] and page.tags[e] != "p"]
+        root = max(wide, key=lambda e: (page.depth[e], size[e]), default=0)
+    return _joined(page, page.inside(root), frozenset())
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html).
+    """(page_id, url, text, n_chars, found_by) of every row of ``pages`` (page_id, url, html).
 
-    Null and empty pages give the empty text. Hosts with few pages, and pages without a host, are read without a
-    template. Repeated rows come back each; an empty table gives no rows; other columns are not read.
+    Null and empty pages give the empty text. ``found_by`` is ``template`` or ``elements``. Pages without a host, and
+    hosts that show no template, are read by their elements. Repeated rows come back each; an empty table gives no
+    rows; other columns are not read. Very long pages and deep nesting take time in proportion to their length.
     """
     bound_batches(pages.sparkSession)
-    deduced = materialize(templates(pages), "html-templates")
-    keyed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("_host"))
-    joined = keyed.join(deduced, F.col("_host") == F.col("host"), "left").select("page_id", "url", "html", F.col("template"))
+    deduced = materialize(templates(votes_of(pages)), "html-templates")
+    keyed = pages.select("page_id", "url", "html", F.xxhash64(host_of(F.col("url"))).alias("_host"))
+    joined = keyed.join(deduced, F.col("_host") == F.col("host"), "left").select("page_id", "url", "html", "words", "root")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[bytes, frozenset[int]] = {}
+        kept: dict[tuple, frozenset[int]] = {}
         for batch in batches:
-            texts = []
-            for html, template in zip(batch.column(2), batch.column(3)):
-                tokens = np.array(template.values if template.is_valid else [], dtype=np.int64)
-                key = tokens.tobytes()
-                if key not in kept:
-                    if len(kept) > 1000:
-                        kept.clear()
-                    kept[key] = frozenset(tokens.tolist())
-                texts.append(main_text(html.as_py(), kept[key]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            texts, ways = [], []
+            for html, words, root in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist()):
+                if root is None:
+                    text, slot = extracted(html.as_py())
+                else:
+                    plain = np.array(words.values, dtype=np.int64).view(np.uint64)
+                    key = (root, plain.tobytes())
+                    if key not in kept:
+                        if len(kept) > 1000:
+                            kept.clear()
+                        kept[key] = frozenset(plain.tolist())
+                    text, slot = extracted(html.as_py(), kept[key], root & (1 << 64) - 1)
+                texts.append(text)
+                ways.append("template" if slot else "elements")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(ways, pa.string())], names=["page_id", "url", "text", "n_chars", "found_by"])
 
     kind = dict(pages.dtypes)["page_id"]
-    return joined.mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long, found_by string")
 
 
 def op6_html(spark, sf_dir: str) -> DataFrame:
-    """Main text of every page."""
+    """Main text of every page, and whether its host's template gave it."""
     return extract(table(spark, sf_dir, "pages"))

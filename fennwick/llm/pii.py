@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fennwick.llm.common import materialize, table
+from fennwick.llm.common import bit_test, materialize, once_each, table
 
 # The kinds of base spans, in the order that breaks ties.
 KINDS = ("email", "ip", "card", "phone")
@@ -56,8 +56,6 @@ SENTENCE = r"[\n\r]++|(?<=[.!?])\s++|(?<=[。！？])"
 OPEN, SHUT = "", ""
 #: Code points of a block of text, and words of a row of a long sentence.
 BLOCK, ROW_WORDS = 256, 512
-#: A filter of keys has 2**FILTER_BITS bits.
-FILTER_BITS = 22
 
 
 def _let(value: Column, body) -> Column:
@@ -205,23 +203,6 @@ def holders_of(docs: DataFrame, text: str = "text") -> DataFrame:
     return materialize(rows.withColumn("entities", F.array_distinct(F.transform("spans", entity_of))), "pii-holders")
 
 
-def bit_test(keys: DataFrame, column: str = "key"):
-    """A test ``of(hash)`` that is true for every 64-bit hash in ``keys``, and false for most others while keys are few.
-
-    2**22 bits in one array, however many keys: a scalar subquery, so the rows tested need not be dealt anew.
-    """
-    spark, bit = keys.sparkSession, F.pmod(F.col(column), F.lit(1 << FILTER_BITS))
-    words = keys.groupBy(F.shiftright(bit, 6).alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits"))
-    full = spark.range(1 << FILTER_BITS - 6).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    whole = materialize(full.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("words")), "pii-bits").scalar()
-
-    def of(key: Column) -> Column:
-        at = F.pmod(key, F.lit(1 << FILTER_BITS))
-        return F.call_function("shiftright", F.get(whole, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-
-    return of
-
-
 def contexts(holders: DataFrame, words: int = WORDS) -> DataFrame:
     """Distinct (key, entity, term): the words of an entity's sentence, at most ``words`` words away from it.
 
@@ -259,10 +240,8 @@ def disclosures(docs: DataFrame, text: str = "text", words: int = WORDS, general
     holders = holders if holders is not None else holders_of(docs, text)
     # Texts are told apart by 64 bits here: a clash among billions of texts would lower a count by one.
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    copies = materialize(texts.groupBy("key").agg(F.count("*").alias("n")), "pii-copies")
-    total, repeated = copies.count(), bit_test(copies.where("n > 1"))
-    # Only texts that may be there twice are dealt by their key, for one of each to be counted.
-    once = texts.where(~repeated(F.col("key"))).select("text").unionAll(texts.where(repeated(F.col("key"))).dropDuplicates(["key"]).select("text"))
+    total = texts.select("key").distinct().count()
+    once = once_each(texts, "key")
     held = holders.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     both = contexts(holders, words).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     pairs = materialize(both.join(held, "entity"), "pii-pairs")
