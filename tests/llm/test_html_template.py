@@ -1,11 +1,13 @@
 """Classes and templates against a plain statement of the method, and pages that only the template tells apart."""
 
+import functools
+import operator
 import random
 import time
 from collections import Counter, defaultdict
 
 from fennwick.llm import html_extract as X
-from fennwick.llm.html_page import END, Page, word_token
+from fennwick.llm.html_page import END, Page
 
 LAYOUT = '<html><body><div class="top"><span>My site</span></div><div class="x1"><p>{}</p>{}<p>Follow us on the net every day</p></div><div class="x2">{}</div><div class="low">Contact us here</div></body></html>'
 
@@ -54,21 +56,24 @@ def test_deduced_template_is_ordered_and_nested():
     counts = [X.page_tokens(p) for p in pages]
     vectors = {t: hash(tuple(c.get(t, 0) for c in counts)) & (1 << 64) - 1 for t in counts[0] if sum(t in c for c in counts) >= 11}
     said = defaultdict(list)
-    for p in pages:
-        for kind, key, *rest in X.observe(p, vectors):
-            said[kind, key].append([x & (1 << 64) - 1 for x in rest])
-    stats = [(k, key, min(r[0] for r in v), max(r[0] for r in v), min(r[1] for r in v), max(r[1] for r in v), sum(r[0] for r in v), sum(r[1] for r in v), v[0][2], v[0][3]) for (k, key), v in said.items()]
-    elements, words, root = X.deduce(12, vectors, stats)
+    for sign, p in enumerate(pages):
+        for kind, key, *rest in X.observe(p, sign, vectors):
+            said[kind, key].append(rest)
+    xor = lambda v: functools.reduce(operator.xor, (r[0] for r in v))
+    stats = [
+        (k, key, len(v), min(r[0] for r in v), max(r[0] for r in v), xor(v), sum(r[0] for r in v), max(r[1] for r in v), v[0][2], max(r[3] for r in v), sum(r[3] for r in v)) for (k, key), v in said.items()
+    ]
+    elements, nodes, root = X.deduce(12, vectors, stats)
     page = pages[0]
     by_label = {page.tags[e] + str(page.depth[e]): page.token[e] for e in range(1, len(page.parent))}
     parent = {page.token[e]: page.token[page.parent[e]] for e in range(1, len(page.parent))}
     assert all(parent[t] == 0 or parent[t] in elements for t in elements) and by_label["span4"] in elements
     box = next(e for e in range(1, len(page.parent)) if page.token[e] == root)
     assert page.tags[box] == "div" and page.depth[box] == 3
-    inner = page.token[box + 1]
-    assert {word_token(w, inner) for w in "Follow us on the net every day".split()} <= set(words) and word_token("Story", inner) not in words
+    fixed = {" ".join(words) for words, e, before, _ in X.text_nodes(page) if X.chain(words, page.token[e] ^ before)[-1] in nodes}
+    assert fixed == {"My site", "Follow us on the net every day", "Contact us here"}
     # Elements that change places from page to page are in no order, so they are not part of a template.
-    swapped = [(k, key, low, high + (k == X.ORDER), *rest) for k, key, low, high, *rest in stats]
+    swapped = [(k, key, n, low, high + (k == X.ORDER), *rest) for k, key, n, low, high, *rest in stats]
     assert X.deduce(12, vectors, swapped) is None
 
 
