@@ -4,7 +4,9 @@ The ring has ``slots`` equal arcs of the 64-bit hash space. Each shard owns ``vn
 to the next point clockwise. A shard that is full passes its overflow on, still clockwise, to the next point whose
 shard has room. Only the number of rows per slot reaches the driver (``slots`` numbers, whatever the size of the
 input); there the walk around the ring turns slots into segments, and each row finds its segment by its rank in its
-slot. No row is moved for this: one shuffle carries a few numbers per row, never the text.
+slot. Shuffles carry a few numbers per row, never the text. Rows that are equal in key, size and checksum are one row with
+a count until the end, and a slot is ranked in ``SUBS`` parts by the texts' checksums, so that a key with very many rows
+is not one task's work.
 """
 
 from __future__ import annotations
@@ -17,10 +19,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fennwick.llm.common import utf8
+from fennwick.llm.common import materialize, utf8
 
 SLOT_BITS = 14
 VNODES = 64
+#: Parts of a slot by the highest bits of the text's checksum, and equal rows that one row is unfolded into at once.
+SUB_BITS = 4
+CHUNK = 1 << 16
 
 
 def ring_points(shards: int, vnodes: int = VNODES, slot_bits: int = SLOT_BITS) -> list[tuple[int, int]]:
@@ -85,26 +90,35 @@ def slot_of(key: Column, slot_bits: int = SLOT_BITS) -> Column:
 def assign_shards(docs: DataFrame, shards: int = 40, epsilon: float = 0.0, vnodes: int = VNODES, slot_bits: int = SLOT_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, size, text_crc32, shard, slot) of every row of ``docs``.
 
-    Null text counts as empty; a null key hashes like any other value. Rows with equal keys lie together in ring order
-    and are told apart by size and checksum; fully equal rows are interchangeable. An empty table gives no rows. Other
-    columns of ``docs`` are not read, so their names can't clash.
+    Null text counts as empty; a null key hashes like any other value. Within a slot rows lie by checksum, then by key and
+    size; fully equal rows are interchangeable. An empty table gives no rows. Other columns of ``docs`` are not read, so
+    their names can't clash.
     """
     spark = docs.sparkSession
-    counted = docs.select(slot_of(F.col(key), slot_bits).alias("_slot")).groupBy("_slot").count().collect()  # 2**slot_bits rows at most
-    counts = {r["_slot"]: r["count"] for r in counted}
-    total = sum(counts.values())
-    segments = walk_ring(counts, ring_points(shards, vnodes, slot_bits), capacities(total, shards, epsilon)) if total else []
-    plan = spark.createDataFrame(pd.DataFrame(segments, columns=["_slot", "_from", "_to", "shard", "_first"]).astype("int64"), "_slot long, _from long, _to long, shard long, _first long")
     body = utf8(text)
     rows = docs.select(
         F.col(key).alias("doc_id"), slot_of(F.col(key), slot_bits).cast("long").alias("_slot"), F.xxhash64(F.col(key)).alias("_hash"),
         (F.octet_length(body) + F.lit(16)).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
-    )
-    order = Window.partitionBy("_slot").orderBy("_hash", "doc_id", "size", "text_crc32")
-    ranked = rows.withColumn("_rank", (F.row_number().over(order) - 1).cast("long"))
+    ).withColumn("_sub", F.shiftright("text_crc32", 32 - SUB_BITS))
+    parts = materialize(rows.groupBy("_slot", "_sub").agg(F.count("*").alias("_m")), "shard-parts")
+    counts = {r["_slot"]: r["m"] for r in parts.groupBy("_slot").agg(F.sum("_m").alias("m")).collect()}  # 2**slot_bits rows at most
+    total = sum(counts.values())
+    segments = walk_ring(counts, ring_points(shards, vnodes, slot_bits), capacities(total, shards, epsilon)) if total else []
+    plan = spark.createDataFrame(pd.DataFrame(segments, columns=["_slot", "_from", "_to", "shard", "_first"]).astype("int64"), "_slot long, _from long, _to long, shard long, _first long")
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select("_slot", "_sub", F.coalesce(F.sum("_m").over(so_far(Window.partitionBy("_slot").orderBy("_sub"))), F.lit(0)).alias("_base"))
+    same = rows.groupBy("_slot", "_sub", "_hash", "doc_id", "size", "text_crc32").agg(F.count("*").alias("_n"))
+    order = so_far(Window.partitionBy("_slot", "_sub").orderBy("text_crc32", "_hash", "doc_id", "size"))
+    ranked = same.withColumn("_at", F.coalesce(F.sum("_n").over(order), F.lit(0))).join(bases, ["_slot", "_sub"]).withColumn("_rank", F.col("_base") + F.col("_at"))
     # The plan has at most 2**slot_bits rows plus a few per virtual node, at any size of the input.
-    placed = ranked.join(F.broadcast(plan), "_slot").where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    return placed.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("_first") + F.col("_rank") - F.col("_from")).alias("slot"))
+    met = ranked.join(F.broadcast(plan), "_slot").where((F.col("_rank") < F.col("_to")) & (F.col("_rank") + F.col("_n") > F.col("_from")))
+    low, high = F.greatest("_rank", "_from"), F.least(F.col("_rank") + F.col("_n"), F.col("_to"))
+    out = ["doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard")]
+    placed = materialize(met.select(*out, (F.col("_first") + low - F.col("_from")).alias("_a"), (F.col("_first") + high - F.col("_from")).alias("_b")), "shard-runs")
+    single = placed.where(F.col("_b") - F.col("_a") == 1).select("doc_id", "size", "text_crc32", "shard", F.col("_a").alias("slot"))
+    runs = placed.where(F.col("_b") - F.col("_a") > 1).withColumn("_c", F.explode(F.sequence(F.col("_a"), F.col("_b") - 1, F.lit(CHUNK).cast("long")))).repartition("_c", "doc_id")
+    many = runs.select("doc_id", "size", "text_crc32", "shard", F.explode(F.sequence(F.col("_c"), F.least(F.col("_c") + CHUNK, F.col("_b")) - 1)).alias("slot"))
+    return single.unionByName(many)
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
