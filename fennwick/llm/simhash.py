@@ -2,14 +2,15 @@
 
 A fingerprint is cut into 32 segments of two bits. Its embedding holds each segment's number of set bits (0, 1 or 2)
 in unary, again as 64 bits, so the Manhattan distance of two embeddings is the popcount of their exclusive or. It never
-exceeds the Hamming distance of the fingerprints. Embeddings at Manhattan distance 2 or less agree on two of four
-16-bit blocks at least, which gives six projected grids: only fingerprints that share a cell of one are compared,
-first by Manhattan distance, then exactly.
-
-Equal fingerprints are one node. A cell of more than ``DENSE`` nodes is not expanded into pairs: there each node
-gives its 64 one-bit neighbours and itself as midpoints, and nodes that share a midpoint are linked to the smallest of
-them. Any two fingerprints at distance 2 or less share a midpoint, and any two that share one are that close, so the
-components are the same as from all pairs, from 65 rows a node.
+exceeds the Hamming distance of the fingerprints. Embeddings at Manhattan distance 2 or less agree on six of eight
+8-bit blocks at least, which gives 28 projected grids: only fingerprints that share a cell of one are compared, first by
+Manhattan distance, then exactly. A cell fixes 24 segments, which fingerprints of even bits share with a probability of
+(3/8)^24 = 6e-11, so cells stay small up to some 1e12 distinct fingerprints.
+
+Equal fingerprints are one node. A cell of more than ``DENSE`` nodes, as near copies by the thousand make them, is not
+expanded into pairs: there each node gives its 64 one-bit neighbours and itself as midpoints, and nodes that share a
+midpoint are linked to the smallest of them. Any two fingerprints at distance 2 or less share a midpoint, and any two that
+share one are that close, so the components are the same as from all pairs, from 65 rows a node.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from fennwick.llm.components import connected_components
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
+#: Blocks of an embedding; all but ``MAX_BITS`` of them agree in a grid.
+BLOCKS = 8
 DENSE = 64
 #: Shingle hashes whose bits are counted at once; bounds the memory of a very long text.
 CHUNK = 1 << 16
@@ -86,8 +89,8 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE) -> Dat
     """(a, b) links between distinct fingerprints ``fp``, enough to give the components of all links."""
     if max_bits != 2:
         raise ValueError("the grids are laid out for a distance of 2")
-    block = [0xFFFF << (16 * i) for i in range(4)]
-    grids = F.array(*[F.struct(F.lit(g).alias("grid"), F.col("u").bitwiseAND(F.lit(_signed(block[i] | block[j]))).alias("cell")) for g, (i, j) in enumerate(combinations(range(4), 2))])
+    masks = [sum(0xFF << (8 * i) for i in kept) for kept in combinations(range(BLOCKS), BLOCKS - max_bits)]
+    grids = F.array(*[F.struct(F.lit(g).alias("grid"), F.col("u").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("cell")) for g, m in enumerate(masks)])
     cells = nodes.select("fp", embedding(F.col("fp")).alias("u")).select("fp", "u", F.explode(grids).alias("c")).select("fp", "u", "c.grid", "c.cell")
     # Written, so that the join deals both sides itself and can split a cell with many fingerprints.
     sizes = materialize(cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
