@@ -95,6 +95,14 @@ def _slack(done: int, d: int, epsilon: float) -> float:
     return (1 + epsilon / np.sqrt(done)) ** 2 if done < d else 1 + 1e-9
 
 
+def products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products, each from its own row alone: equal vectors get equal scores in blocks of any size.
+
+    A matrix product would not do: it sums in another order for other shapes.
+    """
+    return (rows * query).sum(axis=1)
+
+
 def search_block(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.ndarray, x: np.ndarray, turn: np.ndarray, k: int = K, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query_id, vec_id, score) of each query's best k rows of a block at or above its floor, ties to the smaller vec_id.
 
@@ -113,7 +121,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.n
         rows = np.flatnonzero(stay[i])
         if np.isfinite(floors[i]):
             rows = scan(rq[i], rotated, rows, seen[i, rows], reach[i, rows], first, epsilon)
-        s = x[rows] @ q[i]
+        s = products(x[rows], q[i])
         rows, s = rows[s >= floors[i]], s[s >= floors[i]]
         top = _top(s, ids[rows], k)
         out_q.append(np.full(len(top), q_ids[i]))

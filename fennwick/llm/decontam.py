@@ -4,6 +4,9 @@ Texts are compared in lower case with white space runs as one space. An item of
 e = floor(``rate`` * m) edits. Cut into e + 1 pieces, at least one piece is then met exactly, so every piece of every
 item goes into one automaton, each document is read through it once, and where a piece is met the item is verified by
 Myers' bit-parallel distance against the window in which it could lie. Items are held in blocks of bounded size.
+
+An item too short for its pieces to say much (``MIN_CHARS``) is met only as it is, and only where it stands as whole
+words: the automaton holds it as one piece, and the characters beside it must not be letters or digits.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 from fennwick.llm.common import bound_batches, table
 
 RATE = 0.05
-#: Shorter items (after normalising) only match a document that is the item: inside others they prove nothing.
+#: Shorter items (after normalising) are met without edits and as whole words only.
 MIN_CHARS = 24
 #: Characters of the items of one block; a block is sent to every worker.
 BLOCK_CHARS = 8_000_000
@@ -68,17 +71,16 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE, min_chars: int = MIN_CHARS):
         import ahocorasick
 
-        self.items, self.rate, self.whole = [], rate, {}
+        self.items, self.rate = [], rate
         places: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             clean = normalise(text)
-            if len(clean) < min_chars:
-                if clean:
-                    self.whole.setdefault(clean, []).append(item_id)
+            if not clean:
                 continue
-            for offset, piece in pieces_of(clean, rate):
+            short = len(clean) < min_chars
+            for offset, piece in [(0, clean)] if short else pieces_of(clean, rate):
                 places.setdefault(piece, []).append((len(self.items), offset))
-            self.items.append((item_id, clean, int(rate * len(clean)), masks_of(clean)))
+            self.items.append((item_id, clean, -1 if short else int(rate * len(clean)), masks_of(clean)))
         self.automaton = ahocorasick.Automaton()
         for piece, found in places.items():
             self.automaton.add_word(piece, (len(piece), found))
@@ -89,7 +91,7 @@ class Matcher:
     def find(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item_id, distance, end) of each item met in a text: the least distance, and where that stretch ends."""
         clean = normalise(text)
-        best: dict[int, tuple[int, int]] = {i: (0, len(clean)) for i in self.whole.get(clean, ())}
+        best: dict[int, tuple[int, int]] = {}
         tried: dict[int, tuple[int, int]] = {}
         for last, (size, found) in () if self.empty else self.automaton.iter(clean):
             for k, offset in found:
@@ -97,6 +99,10 @@ class Matcher:
                 if best.get(item_id, (1, 0))[0] == 0:
                     continue
                 begin = last + 1 - size - offset
+                if budget < 0:
+                    if not (begin and clean[begin - 1].isalnum() or clean[last + 1 : last + 2].isalnum()):
+                        best[item_id] = (0, last + 1)
+                    continue
                 if begin >= 0 and clean.startswith(item, begin):
                     best[item_id] = (0, begin + len(item))
                     continue

@@ -3,8 +3,11 @@
 A document is tokenized and routed to the smallest tier that holds it; longer ones first give full windows of the
 largest tier. Tiers are packed from the longest down: a window takes one document of its tier, then the longest
 shorter ones that fit its gap; where none fits, one is cut to fill the gap and its rest is routed again. So every
-window is full and no tier needs padding, except for what is left of a task's documents at the end. Windows of a tier
-form step groups of ``step_tokens`` tokens.
+window is full and no tier needs padding, except for what is left of a task's documents at the end.
+
+Windows are dealt to step groups, the longest first, each to the group with the fewest tokens so far. As tiers divide each
+other and a step, no group gets more than ``step_tokens`` tokens, all have the same within one window, and windows of every
+tier, and with them the work of attention, are shared out evenly.
 
 A task packs the documents it reads, in groups of bounded size, and nothing is shuffled. The pieces are written to the
 shared folder; sequence numbers are made gapless afterwards from one row of totals per task.
@@ -12,6 +15,7 @@ shared folder; sequence numbers are made gapless afterwards from one row of tota
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -102,9 +106,20 @@ def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int,
     return windows
 
 
+def balance(windows: list[int], step_tokens: int = STEP_TOKENS) -> list[int]:
+    """The step group of each window, given their tiers: as few groups as hold them, even in tokens and in tiers."""
+    loads = [(0, g) for g in range(-(-sum(windows) // step_tokens))]
+    out = [0] * len(windows)
+    for w in sorted(range(len(windows)), key=lambda w: -windows[w]):
+        tokens, out[w] = loads[0]
+        heapq.heapreplace(loads, (tokens + windows[w], out[w]))
+    return out
+
+
 def pack_documents(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID, step_tokens: int = STEP_TOKENS, group_tokens: int = GROUP_TOKENS, id_col: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
 
+    A step must be a multiple of every tier. How documents share windows depends on the files' splits, their tokens don't.
     ``with_ids`` adds the piece's ids as little-endian unsigned 32-bit integers. Null and empty texts are the end id
     alone; repeated rows are packed each; an empty table gives no rows; other columns are not read.
     """
@@ -123,19 +138,17 @@ def pack_documents(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TI
 
         def close() -> pa.RecordBatch:
             nonlocal seq, steps, held, ids, bodies
-            rows, filled, step_of = [], dict.fromkeys(tiers, 0), {}
-            for tier, pieces in pack([len(b) // 4 for b in bodies], tiers):
-                key = (tier, filled[tier] * tier // step_tokens)
-                filled[tier] += 1
-                step = step_of.setdefault(key, steps + len(step_of))
-                offset = 0
+            rows, windows = [], pack([len(b) // 4 for b in bodies], tiers)
+            groups = balance([tier for tier, _ in windows], step_tokens)
+            for (tier, pieces), group in zip(windows, groups):
+                step, offset = steps + group, 0
                 for doc, start, length in pieces:
                     piece = bodies[doc][4 * start : 4 * (start + length)]
                     row = (part, ids[doc], start, length, zlib.crc32(piece), len(bodies[doc]) // 4, seq, offset, tier, step)
                     rows.append((*row, piece) if with_ids else row)
                     offset += length
                 seq += 1
-            steps, held, ids, bodies = steps + len(step_of), 0, [], []
+            steps, held, ids, bodies = steps + max(groups) + 1, 0, [], []
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
         for batch in batches:

@@ -309,7 +309,7 @@ def test_decontamination(spark, data, docs, awkward, none):
     exact = {(d["doc_id"], i["item_id"]) for d in docs.collect() for i in items.collect() if decontam.normalise(i["text"]) in decontam.normalise(d["text"])}
     assert exact <= found and {r["doc_id"] for r in decontam.drop_contaminated(docs, items).collect()} == {r["doc_id"] for r in docs.collect()} - {d for d, _ in found}
     odd = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (1, "alpha beta gamma delta epsilon"), (2, None), (None, "x"), (3, ""), (4, "日本語")], "item_id long, text string")
-    assert Counter(r["doc_id"] for r in decontam.find_contamination(awkward, odd).collect()) == Counter([1, 5, 5])
+    assert Counter(r["doc_id"] for r in decontam.find_contamination(awkward, odd).collect()) == Counter([1, 5, 5, 7])
     assert decontam.drop_contaminated(awkward, odd).columns == awkward.columns and decontam.find_contamination(none, odd).collect() == []
     assert decontam.find_contamination(awkward, odd.limit(0)).collect() == []
 
@@ -406,3 +406,42 @@ def test_packing(spark, data, docs, tokenizer, awkward, none):
     odd = packing.pack_documents(awkward, default_vocabulary(), with_ids=True).collect()
     assert Counter(r["doc_id"] for r in odd if r["start"] == 0) == Counter(r["doc_id"] for r in awkward.collect()) and all(len(r["ids"]) == 4 * r["length"] for r in odd)
     assert packing.pack_documents(none, default_vocabulary()).collect() == []
+
+
+@pytest.mark.parametrize("tokens", [4096, 32_768])
+def test_step_groups_are_even(tokens):
+    rnd = random.Random(8)
+    for _ in range(30):
+        tiers = [tier for tier, _ in packing.pack([rnd.choice([rnd.randint(1, 300), rnd.randint(1, 6000)]) for _ in range(rnd.randint(1, 600))])]
+        groups = packing.balance(tiers, tokens)
+        load, work, each = Counter(), Counter(), {t: Counter() for t in packing.TIERS}
+        for tier, g in zip(tiers, groups):
+            load[g] += tier
+            work[g] += tier * tier
+            each[tier][g] += 1
+        n = -(-sum(tiers) // tokens)
+        assert set(load) <= set(range(n)) and max(load.values()) <= tokens
+        if len(load) == n and n > 1:
+            assert max(load.values()) - min(load.values()) <= 2048
+            assert max(each[2048][g] for g in range(n)) - min(each[2048][g] for g in range(n)) <= 1 and max(work.values()) - min(work.values()) <= 2 * 2048**2
+
+
+def test_short_items_are_met_as_whole_words(spark):
+    items = spark.createDataFrame([(1, "Yes no"), (2, "日本語"), (3, "x")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "they say YES  no to it"), (2, "yes nothing"), (3, "eyes no"), (4, "(日本語)"), (5, "xx x"), (6, "xyz"), (7, "yes no"), (8, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["distance"], r["end"]) for r in decontam.find_contamination(docs, items).collect()}
+    assert got == {(1, 1, 0, 15), (4, 2, 0, 4), (5, 3, 0, 4), (7, 1, 0, 6)}
+
+
+def test_equal_vectors_score_alike_in_any_block():
+    rng = np.random.default_rng(2)
+    for d in (3, 17, 64, 129, 768):
+        v, q = rng.standard_normal(d).astype("f4").astype("f8"), rng.standard_normal((5, d)).astype("f4").astype("f8")
+        scores = set()
+        for n in (1, 2, 3, 7, 8, 9, 31, 64, 100, 257):
+            x = rng.standard_normal((n, d)).astype("f4").astype("f8")
+            at = rng.integers(0, n)
+            x[at] = v
+            found = ann.search_block(np.arange(5) * 20 + 10**6, q, np.full(5, -np.inf), np.arange(n), x, ann.rotation(d), k=n)
+            scores.add(tuple(found[2][found[1] == at].tolist()))
+        assert len(scores) == 1
