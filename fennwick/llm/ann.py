@@ -1,11 +1,14 @@
 """Nearest neighbours by inverted lists with an adaptive dimension scan.
 
-Vectors are rotated at random, so that a few columns tell much about the whole. Rows are dealt to the lists of a
-k-means fitted on a bounded sample; a query probes its nearest lists. Within a list candidates are read by blocks of
-columns: the distance seen so far, scaled to all columns, estimates the whole, and a candidate is abandoned when a
-hypothesis test says that it can't reach the worst of the best k found (Gao and Long's test, at ``epsilon``). How many
-lists are probed is chosen on the sample, for a recall of ``TARGET`` there: few for clustered vectors, many for noise. Survivors
-are scored exactly, in double precision, on the original vectors.
+Vectors are rotated at random, so that a few columns tell much about the whole. Rows are dealt to lists: the cells of a
+k-means fitted on a bounded sample, each cut again by a second k-means of what the first leaves over (one set of
+centres for all cells, so that the number of lists grows with the table while the sample and the centres stay bounded). A
+query probes the lists that promise the largest products. Within a list candidates are read by blocks of columns: the
+distance seen so far, scaled to all columns, estimates the whole, and a candidate is abandoned when a hypothesis test
+says that it can't reach the worst of the best k found (Gao and Long's test, at ``epsilon``). How many lists are probed
+is chosen on the sample, for a recall of ``TARGET`` there: few for clustered vectors, where work grows as the queries; a
+share of all lists for noise, where it grows as queries times rows, as it must for any exact enough search. Survivors are
+scored exactly, in double precision, on the original vectors.
 
 Lists are cut into blocks of bounded size (so a list with a third of all rows is many tasks) and so are the queries
 that probe one; a task holds one block of each.
@@ -22,9 +25,9 @@ from fennwick.llm.common import bound_batches, materialize, table
 
 K = 20
 SAMPLE_ROWS = 20_000
-#: Lists for so many rows each; the sample bounds their number too.
+#: Lists for so many rows each; so many centres at most in either k-means.
 LIST_ROWS = 800
-MAX_LISTS = 1024
+MAX_CENTRES = 1024
 #: Recall on the sample for which the number of probed lists is chosen.
 TARGET = 0.96
 #: One in so many of the probed lists is searched first, to get a floor for the others.
@@ -32,7 +35,9 @@ FIRST_SHARE = 6
 EPSILON = 2.1
 COLUMN_BLOCK = 16
 BLOCK_ROWS = 4096
-QUERY_ROWS = 512
+#: Queries of a task, and of one step within it. A row is copied once for each task of queries that probe its list.
+QUERY_ROWS = 4096
+STEP_QUERIES = 256
 
 
 def _clean(vectors: DataFrame, id_col: str, column: str) -> DataFrame:
@@ -108,7 +113,13 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.n
 
     The first column block is read for all queries at once; what its test leaves is scanned query by query.
     """
-    rotated, rq = x @ turn, q @ turn
+    rotated = x @ turn
+    parts = [_search_step(*(y[at : at + STEP_QUERIES] for y in (q_ids, q, floors)), ids, x, rotated, turn, k, epsilon) for at in range(0, len(q_ids), STEP_QUERIES)]
+    return tuple(map(np.concatenate, zip(*parts)))
+
+
+def _search_step(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.ndarray, x: np.ndarray, rotated: np.ndarray, turn: np.ndarray, k: int, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rq = q @ turn
     d = x.shape[1]
     first = min(COLUMN_BLOCK, d)
     head, q_head = rotated[:, :first], rq[:, :first]
@@ -130,21 +141,69 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.n
     return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
 
 
-def probes_for(sample: np.ndarray, centres: np.ndarray, k: int, target: float = TARGET, queries: int = 256) -> int:
-    """Fewest lists to probe for a recall of ``target`` among the sample's own rows, by brute force on the sample."""
-    lists = ((centres * centres).sum(1) - 2 * (sample @ centres.T)).argmin(1)
+class Lists:
+    """Cells of two k-means: a vector's list is its nearest first centre and the second centre nearest to the rest."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray):
+        self.first, self.second = first, second
+        self.width, self.probes = 1, 1  # first centres that a query looks at, and lists that it probes there
+
+    def __len__(self) -> int:
+        return len(self.first) * len(self.second)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The list of each row."""
+        a = _nearest(x, self.first)
+        return a * len(self.second) + _nearest(x - self.first[a], self.second)
+
+    def best(self, q: np.ndarray, width: int, most: int) -> np.ndarray:
+        """For each query the ``most`` lists of the ``width`` best first centres, by the products of their centres."""
+        coarse, fine = q @ self.first.T, q @ self.second.T
+        out = np.empty((len(q), min(most, width * len(self.second))), dtype=np.int64)
+        for i in range(len(q)):
+            near = np.argsort(-coarse[i], kind="stable")[:width]
+            sums = (coarse[i, near, None] + fine[i]).ravel()
+            lists = (near[:, None] * len(self.second) + np.arange(len(self.second))).ravel()
+            out[i] = lists[np.argsort(-sums, kind="stable")[: out.shape[1]]]
+        return out
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres * centres).sum(1) - 2 * (x @ centres.T)).argmin(1)
+
+
+def fit_lists(sample: np.ndarray, rows: int, k: int, list_rows: int = LIST_ROWS, target: float = TARGET, queries: int = 256) -> Lists:
+    """Lists for a table of so many rows, and the fewest probes for a recall of ``target`` among the sample's own rows.
+
+    Recall is measured by brute force on the sample: first centres enough for the square root of the target, then
+    lists among theirs for the rest.
+    """
+    wanted, bound = max(1, rows // list_rows), max(1, min(MAX_CENTRES, len(sample) // 8))
+    first = kmeans(sample, min(wanted, bound))
+    rest = sample - first[_nearest(sample, first)]
+    more = min(bound, -(-wanted // len(first)))
+    lists = Lists(first, kmeans(rest, more) if more > 1 else np.zeros((1, sample.shape[1])))
     q = np.random.default_rng(7).choice(len(sample), min(queries, len(sample)), replace=False)
-    products = sample[q] @ sample.T
-    products[np.arange(len(q)), q] = -np.inf
-    best = np.argsort(-products, axis=1)[:, : min(k, len(sample) - 1)]
-    place = np.argsort(np.argsort(-(sample[q] @ centres.T), axis=1, kind="stable"), axis=1)
+    near = sample[q] @ sample.T
+    near[np.arange(len(q)), q] = -np.inf
+    best = np.argsort(-near, axis=1)[:, : min(k, len(sample) - 1)]
     if not best.size:
-        return len(centres)
-    needed = np.sort(place[np.arange(len(q))[:, None], lists[best]].ravel())
-    return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]) + 1
+        lists.width, lists.probes = len(first), len(lists)
+        return lists
+    at = lists.of(sample)
 
+    def share(order: np.ndarray, held: np.ndarray, part: float) -> int:
+        places = np.sort([np.append(np.flatnonzero(o == h), order.shape[1])[0] for o, hs in zip(order, held) for h in hs])
+        return min(order.shape[1], int(places[min(len(places) - 1, int(np.ceil(part * len(places))) - 1)]) + 1)
 
-def nearest(vectors: DataFrame, query_every: int = 20, k: int = K, id_col: str = "vec_id", column: str = "embedding", sample_rows: int = SAMPLE_ROWS, epsilon: float = EPSILON) -> DataFrame:
+    two = len(lists.second) > 1
+    coarse = np.argsort(-(sample[q] @ first.T), axis=1, kind="stable")
+    lists.width = share(coarse, at[best] // len(lists.second), np.sqrt(target) if two else target)
+    lists.probes = share(lists.best(sample[q], lists.width, len(lists)), at[best], target) if two else lists.width
+    return lists
+
+
+def nearest(vectors: DataFrame, query_every: int = 20, k: int = K, id_col: str = "vec_id", column: str = "embedding", sample_rows: int = SAMPLE_ROWS, epsilon: float = EPSILON, list_rows: int = LIST_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``query_every``, against all other rows.
 
     The nearest lists are searched first; their k-th score is the floor from which the other probed lists are scanned, so
@@ -160,50 +219,47 @@ def nearest(vectors: DataFrame, query_every: int = 20, k: int = K, id_col: str =
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     picked = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30)) < F.lit(int(min(1.0, sample_rows / n) * (1 << 30)))).select("v").limit(2 * sample_rows).collect()
     sample = np.array([r["v"] for r in picked] or [rows.first()["v"]], dtype=np.float64)
-    turn = rotation(sample.shape[1])
-    centres = kmeans(sample, max(1, min(MAX_LISTS, len(sample) // 8, n // LIST_ROWS)))
-    lists, probes = len(centres), probes_for(sample, centres, k)
-    shared = spark.sparkContext.broadcast((centres, turn))  # MAX_LISTS centres at most
-
-    @F.pandas_udf("array<int>")
-    def lists_of(v: pd.Series, many: pd.Series) -> pd.Series:
-        c = shared.value[0]
-        x = np.stack(v.to_list()).astype(np.float64) if len(v) else np.zeros((0, c.shape[1]))
-        near = ((c * c).sum(1) - 2 * (x @ c.T)).argmin(1)
-        by_product = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :probes]
-        return pd.Series([by_product[i].tolist() if m else [int(near[i])] for i, m in enumerate(many)])
+    turn, index = rotation(sample.shape[1]), fit_lists(sample, n, k, list_rows)
+    shared = spark.sparkContext.broadcast((index, turn))  # 2 * MAX_CENTRES centres at most
+    stack = lambda v: np.stack(v.to_list()).astype(np.float64)
+
+    @F.pandas_udf("long")
+    def list_of(v: pd.Series) -> pd.Series:
+        return pd.Series(shared.value[0].of(stack(v)) if len(v) else [], dtype="int64")
+
+    @F.pandas_udf("array<long>")
+    def probes_of(v: pd.Series) -> pd.Series:
+        lists = shared.value[0]
+        return pd.Series(lists.best(stack(v), lists.width, lists.probes).tolist() if len(v) else [])
 
     queries = rows.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    dealt = materialize(rows.select("vec_id", "v", lists_of(F.col("v"), F.lit(False))[0].alias("list")), "ann-lists")
-    asking = materialize(queries.withColumn("probes", lists_of(F.col("v"), F.lit(True))), "ann-queries")
-    counts = lambda df: {r["list"]: r["count"] for r in df.groupBy("list").count().collect()}  # noqa: E731  a row for each list
-    held = counts(dealt)
+    dealt = materialize(rows.select("vec_id", "v", list_of("v").alias("list")), "ann-lists")
+    asking = materialize(queries.withColumn("probes", probes_of("v")), "ann-queries")
+    held = materialize(dealt.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("r")), "ann-sizes")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        stack = lambda f: np.stack(f["v"].to_list()).astype(np.float64)
-        q, v, s = search_block(b["vec_id"].to_numpy(), stack(b), b["floor"].to_numpy(), a["vec_id"].to_numpy(), stack(a), shared.value[1], k, epsilon)
+        q, v, s = search_block(b["vec_id"].to_numpy(), stack(b["v"]), b["floor"].to_numpy(), a["vec_id"].to_numpy(), stack(a["v"]), shared.value[1], k, epsilon)
         return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
 
     def search(asked: DataFrame) -> DataFrame:
         """What each query (vec_id, v, floor) finds in the list it names, a block of either side in each task."""
-        asks = counts(asked)
-        blocks = [(F.lit(g), F.struct(F.lit(-(-held.get(g, 0) // BLOCK_ROWS)).alias("r"), F.lit(-(-asks.get(g, 0) // QUERY_ROWS)).alias("q"))) for g in range(lists)]
-        many = F.create_map(*[x for pair in blocks for x in pair])[F.col("list")]
-        spread = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(11)), F.greatest(n, F.lit(1))).cast("int")
-        left = dealt.where(many["q"] > 0).select("list", spread(many["r"]).alias("rb"), F.explode(F.sequence(F.lit(0), many["q"] - 1)).alias("qb"), "vec_id", "v")
-        right = asked.where(many["r"] > 0).select("list", F.explode(F.sequence(F.lit(0), many["r"] - 1)).alias("rb"), spread(many["q"]).alias("qb"), "vec_id", "v", "floor")
+        asks = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("q"))
+        many = materialize(held.join(asks, "list"), "ann-blocks")  # a row for each list that is asked
+        spread = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(11)), n).cast("int")
+        left = dealt.join(many, "list").select("list", spread(F.col("r")).alias("rb"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("qb"), "vec_id", "v")
+        right = asked.join(many, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("rb"), spread(F.col("q")).alias("qb"), "vec_id", "v", "floor")
         keys = ["list", "rb", "qb"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
 
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     best = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     low = F.lit(float("-inf"))
-    near = -(-probes // FIRST_SHARE)
+    near = -(-index.probes // FIRST_SHARE)
     first = materialize(best(search(asking.select("vec_id", "v", F.explode(F.slice("probes", 1, near)).alias("list"), low.alias("floor")))), "ann-first")
     floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(low).alias("floor"))
-    others = asking.join(floors, asking["vec_id"] == floors["query_id"], "left").select("vec_id", "v", F.explode(F.slice("probes", near + 1, lists)).alias("list"), F.coalesce("floor", low).alias("floor"))
+    others = asking.join(floors, asking["vec_id"] == floors["query_id"], "left").select("vec_id", "v", F.explode(F.slice("probes", near + 1, len(index))).alias("list"), F.coalesce("floor", low).alias("floor"))
     return best(first.drop("rank").unionByName(search(others)))
 
 

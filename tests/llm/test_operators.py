@@ -445,3 +445,18 @@ def test_equal_vectors_score_alike_in_any_block():
             found = ann.search_block(np.arange(5) * 20 + 10**6, q, np.full(5, -np.inf), np.arange(n), x, ann.rotation(d), k=n)
             scores.add(tuple(found[2][found[1] == at].tolist()))
         assert len(scores) == 1
+
+
+def test_lists_of_two_levels(spark, monkeypatch):
+    """Many lists from few centres: clustered vectors need few probes, and every row lies in one list."""
+    monkeypatch.setattr(ann, "MAX_CENTRES", 12)
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((60, 16)) * 3
+    x = (centres[rng.integers(0, 60, 4000)] + 0.3 * rng.standard_normal((4000, 16))).astype("f4").astype("f8")
+    index = ann.fit_lists(x, len(x), 20, list_rows=40)
+    assert len(index) > 90 and len(index.first) <= 12 and len(index.second) <= 12 and index.probes < len(index) / 3
+    assert ((0 <= index.of(x)) & (index.of(x) < len(index))).all()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    rows = ann.nearest(df, list_rows=40).toPandas()
+    hit = sum(len(set(plain_nearest(np.arange(4000), x, q)[0]) & set(part.vec_id)) for q, part in rows.groupby("query_id"))
+    assert rows.groupby("query_id").size().eq(20).all() and hit >= 0.9 * 20 * 200
