@@ -14,6 +14,34 @@ KIND_LABELS = {"subject": "条目", "character": "角色", "person": "人物"}
 SUBJECT_TYPES = {"book": 1, "anime": 2, "music": 3, "game": 4, "real": 6}
 TYPE_LABELS = {1: "书籍", 2: "动画", 3: "音乐", 4: "游戏", 6: "三次元"}
 GAME = 4
+DATE_LABEL = "发行日期："
+GENERIC_NAMES = "知识库|资料库|百科|合集|大全"
+
+
+def theme_of_source(name: Column) -> Column:
+    """The theme that a source file's name gives: its stem without generic words and the marks around them."""
+    stem = F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"^.*/", ""), r"(?<=.)\.[^.]*$", "")
+    return F.regexp_replace(F.regexp_replace(strip(stem), GENERIC_NAMES, ""), "^[ \\-_、，]+|[ \\-_、，]+$", "")
+
+
+def season_line(order: Column, name: Column, date: Column, score: Column, favorite: Column, extra: Column) -> Column:
+    """An entry of a season's list: its place and name with date, score and favorites, then its other parts; empty ones are left out."""
+    part = lambda label, c, there: F.when(there, F.concat(F.lit(f"{label} "), c.cast("string")))
+    meta = F.concat_ws(" | ", part("开播", date, F.coalesce(date, F.lit("")) != ""), part("评分", score, score > 0), part("追番", favorite, favorite > 0))
+    head = F.concat(F.lit("【"), order.cast("string"), F.lit("】"), name, F.lit("（"), meta, F.lit("）"))
+    return F.concat_ws("\n", head, F.nullif(F.coalesce(extra, F.lit("")), F.lit("")))
+
+
+def browse_head(count: Column, tag: str = "", keyword: str = "", kind: str = "动画", year_from: int = 0, min_score: float = 0, sort: str = "score") -> Column:
+    """The line above a list of works: what it is sorted by and the conditions that were set."""
+    by = {"score": "评分", "favorite": "追番人数", "date": "开播时间"}.get(sort, "评分")
+    set_to = [f"标签「{tag}」" if tag else "", f"关键词「{keyword}」" if keyword else "", kind, f"{year_from} 年起" if year_from else "", f"评分 ≥{min_score}" if min_score else ""]
+    named = "、".join(filter(None, set_to))
+    return F.concat(F.lit(f"按{by}排序，符合条件（{named}）的作品共 "), count.cast("string"), F.lit(" 条："))
+
+
+def browse_line(order: Column, title: Column, text: Column) -> Column:
+    return F.concat_ws("\n", F.concat(F.lit("【"), order.cast("string"), F.lit("】"), title), text)
 
 
 def sum_values(counts: Column) -> Column:
@@ -91,7 +119,7 @@ def extra_text(kind: Column, type_label: Column, date: Column, platform: Column,
     works = F.concat_ws(
         " / ",
         full(F.when(type_label.isNotNull(), F.concat(F.lit("类型："), type_label))),
-        full(F.when(F.coalesce(date, F.lit("")) != "", F.concat(F.lit("日期："), date))),
+        full(F.when(F.coalesce(date, F.lit("")) != "", F.concat(F.lit(DATE_LABEL), date))),
         full(F.when((subject_type != GAME) & (F.coalesce(platform, F.lit("")) != ""), F.concat(F.lit("平台："), platform))),
         full(F.when(score > 0, F.concat(F.lit("评分："), score.cast("string")))),
         full(F.when(rank > 0, F.concat(F.lit("排名："), rank.cast("string")))),
@@ -104,7 +132,7 @@ def extra_text(kind: Column, type_label: Column, date: Column, platform: Column,
 def season_extra(extra: Column, limit: int = 120) -> Column:
     """An entry's line without its leading type and date and its first score."""
     out = F.regexp_replace(F.coalesce(extra, F.lit("")), r"^类型：[^/]*/?\s*", "")
-    out = F.regexp_replace(out, r"^日期：[^/]*/?\s*", "")
+    out = F.regexp_replace(out, rf"^{DATE_LABEL}[^/]*/?\s*", "")
     return F.substring(F.regexp_replace(out, r"^(.*?)评分：[^/]*/?\s*", "$1"), 1, limit)
 
 

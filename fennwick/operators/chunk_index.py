@@ -30,21 +30,24 @@ PROFILE_SECTION = "基本信息"
 
 @dataclass
 class ChunkIndex:
-    """Tables chunks (chunk_id, title, text, text_len, title_len), postings (term, chunk_id, text_tf, title_tf),
-    terms (term, df, idf) and stats (one row: n, avg_len, avg_title_len)."""
+    """Tables chunks (chunk_id, title, text, text_len, title_len), postings (term, chunk_id, text_tf, title_tf, text_len,
+    title_len), terms (term, df, idf) and stats (one row: n, avg_len, avg_title_len)."""
 
     chunks: DataFrame
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
     themes: list[str] = field(default_factory=list)
+    segmenter: T.Segmenter = T.word_runs
 
     def save(self, path: str) -> ChunkIndex:
         """Write the index and read it back. Terms and statistics are taken from the written tables, not computed anew."""
         spark = self.chunks.sparkSession
         self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-        # Files sorted by term: a query's terms are found by the statistics of row groups.
-        self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        # Files sorted by term: a query's terms are found by the statistics of row groups. Ranges of (term, chunk_id), so
+        # that the commonest term's postings are dealt to as many files as they need. Counted from the written chunks.
+        postings = _postings(spark.read.parquet(f"{path}/chunks"), self.segmenter)
+        postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
         terms, stats = _statistics(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/postings"))
         terms.write.mode("overwrite").parquet(f"{path}/terms")
         stats.write.mode("overwrite").parquet(f"{path}/stats")
@@ -63,12 +66,19 @@ def build_index(chunks: DataFrame, themes: list[str] = (), segmenter: T.Segmente
     The tables are lazy; ``save`` computes each once.
     """
     rows = chunks.select("chunk_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
-    held = rows.withColumn("_text", T.tokenize(F.col("text"), segmenter=segmenter)).withColumn("_title", T.tokenize(F.col("title"), segmenter=segmenter))
-    held = held.where((T.strip(F.col("text")) != "") & (F.size("_text") > 0))
-    sized = held.select("chunk_id", "title", "text", F.greatest(F.size("_text"), F.lit(1)).alias("text_len"), F.greatest(F.size("_title"), F.lit(1)).alias("title_len"))
-    both = F.concat(F.transform("_text", lambda t: F.struct(t.alias("term"), F.lit(1).alias("x"), F.lit(0).alias("y"))), F.transform("_title", lambda t: F.struct(t.alias("term"), F.lit(0).alias("x"), F.lit(1).alias("y"))))
-    postings = held.select("chunk_id", F.explode(both).alias("p")).groupBy("p.term", "chunk_id").agg(F.sum("p.x").alias("text_tf"), F.sum("p.y").alias("title_tf"))
-    return ChunkIndex(sized, postings, *_statistics(sized, postings), sorted({re.sub(r"\s+", "", t).lower() for t in themes}))
+    held = rows.withColumn("_text", F.size(T.tokenize(F.col("text"), segmenter=segmenter))).where("_text > 0")
+    titles = F.size(T.tokenize(F.col("title"), segmenter=segmenter))
+    sized = held.select("chunk_id", "title", "text", F.col("_text").alias("text_len"), F.greatest(titles, F.lit(1)).alias("title_len"))
+    postings = _postings(sized, segmenter)
+    return ChunkIndex(sized, postings, *_statistics(sized, postings), sorted({re.sub(r"\s+", "", t).lower() for t in themes}), segmenter)
+
+
+def _postings(sized: DataFrame, segmenter: T.Segmenter) -> DataFrame:
+    """Postings of ``sized`` chunks. Counts are summed within a task before they are dealt by term and chunk."""
+    one = lambda tokens, x, y: F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(x).alias("x"), F.lit(y).alias("y")))
+    both = F.concat(one(T.tokenize(F.col("text"), segmenter=segmenter), 1, 0), one(T.tokenize(F.col("title"), segmenter=segmenter), 0, 1))
+    rows = sized.select("chunk_id", "text_len", "title_len", F.explode(both).alias("p"))
+    return rows.groupBy("p.term", "chunk_id").agg(F.sum("p.x").alias("text_tf"), F.sum("p.y").alias("title_tf"), F.first("text_len").alias("text_len"), F.first("title_len").alias("title_len"))
 
 
 def _statistics(chunks: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -100,38 +110,54 @@ class QueryPlan:
 
 def driver_terms(spark: SparkSession, text: str, segmenter: T.Segmenter) -> list[str]:
     """Distinct query terms of one short string."""
-    return list(dict.fromkeys(spark.range(1).select(T.tokenize(F.lit(text), True, segmenter).alias("t")).first()["t"]))
+    return spark.sql("SELECT :q AS q", args={"q": text}).select(F.array_distinct(T.tokenize(F.col("q"), True, segmenter)).alias("t")).first()["t"]
 
 
-def theme_of(terms: list[str], themes: list[str], intent) -> str | None:
-    """The first theme, by name, that holds all terms but those of the intent, whole or by near characters."""
+def theme_of(terms: list[str], fits: dict[str, list[str]], intent) -> str | None:
+    """The first theme, by name, that holds all terms but those of the intent; ``fits`` lists the terms each theme holds."""
     rest = [t for t in terms if not intent(t)]
-    return next((g for g in themes if rest and all(t in g or T.near_in_order_text(t, g) for t in rest)), None)
+    return next((g for g in sorted(fits) if rest and set(rest) <= set(fits[g])), None)
+
+
+def read_query(spark: SparkSession, query: str, themes: list[str], segmenter: T.Segmenter):
+    """What the rules read from a query, in one row: terms, phrases, flags, and the terms that each theme holds.
+
+    A theme holds a term as a whole or by its characters near each other in order.
+    """
+    q, added = F.col("q"), [F.lit(SUBJECT_TERM), F.lit(CROWN_TERM)]
+    row = spark.sql("SELECT :q AS q", args={"q": query}).select("q", T.clean_query(q).alias("cleaned"))
+    row = row.select("q", "cleaned", T.tokenize(F.col("cleaned"), True, segmenter).alias("a"), T.tokenize(q, True, segmenter).alias("b"))
+    row = row.select("q", "cleaned", F.array_distinct(F.when(F.size("a") > 0, F.col("a")).otherwise(F.col("b"))).alias("terms"))
+    candidates = F.concat(F.col("terms"), F.array(*added))
+    fits = F.transform(F.array(*map(F.lit, themes)).cast("array<string>"), lambda g: F.filter(candidates, lambda t: g.contains(t) | T.near_in_order(t, g)))
+    flags = [q.rlike(CONTEST).alias("contest"), q.rlike(CROWN).alias("crown"), q.rlike(SUBJECTIVE).alias("subjective"), T.wants_overview(q).alias("overview")]
+    flat = F.lower(T.squeeze(F.col("cleaned"))).alias("flat")
+    return row.select("terms", T.query_phrases(F.col("cleaned")).alias("phrases"), flat, fits.alias("fits"), *flags).first()
 
 
 def plan_query(spark: SparkSession, query: str, themes: list[str], top_k: int = 4, max_chars: int = 300, as_of: datetime.date | None = None, segmenter: T.Segmenter = T.word_runs) -> QueryPlan | None:
     """The plan of a query; None if it has no term. ``as_of`` gives the years of "this year" and "last year"."""
     year = (as_of or datetime.date.today()).year
     query = re.sub("去年|上年度|上届", f"{year - 1}年", re.sub("今年|本年度|本届", f"{year}年", query))
-    cleaned = T.clean_query(query)
-    terms = driver_terms(spark, cleaned, segmenter) or driver_terms(spark, query, segmenter)
+    read = read_query(spark, query, themes, segmenter)
+    terms = list(read["terms"])
     if not terms:
         return None
-    contest = re.search(CONTEST, query) is not None
-    crown = re.search(CROWN, query) is not None or (CROWN_TERM in terms and contest)
-    for found, term in ((re.search(SUBJECTIVE, query), SUBJECT_TERM), (crown, CROWN_TERM)):
+    crown = read["crown"] or (CROWN_TERM in terms and read["contest"])
+    for found, term in ((read["subjective"], SUBJECT_TERM), (crown, CROWN_TERM)):
         if found and term not in terms:
             terms.append(term)
-    pin, pin_theme = None, theme_of(terms, themes, lambda t: t == ROSTER_TERM)
+    fits = dict(zip(themes, read["fits"]))
+    pin, pin_theme = None, theme_of(terms, fits, lambda t: t == ROSTER_TERM)
     if pin_theme:
         pin, top_k, max_chars = PIN_ROSTER, min(top_k, 2), max(max_chars, 700)
-    elif pin_theme := theme_of(terms, themes, lambda t: MEME_CHAR in t):
+    elif pin_theme := theme_of(terms, fits, lambda t: MEME_CHAR in t):
         pin = PIN_MEME
     elif crown:
         pin = PIN_CROWN
-    elif POPULAR in terms and contest:
+    elif POPULAR in terms and read["contest"]:
         pin = PIN_POPULAR
-    return QueryPlan(terms, re.sub(r"\s+", "", cleaned).lower(), T.query_phrases(cleaned), T.wants_overview(query), pin, pin_theme, top_k, max_chars)
+    return QueryPlan(terms, read["flat"], list(read["phrases"]), read["overview"], pin, pin_theme, top_k, max_chars)
 
 
 def _weight(tf: Column, length: Column, average: Column) -> Column:
@@ -141,10 +167,10 @@ def _weight(tf: Column, length: Column, average: Column) -> Column:
 def match_terms(index: ChunkIndex, wanted: DataFrame) -> DataFrame:
     """(query_id, chunk_id, base, matched, in_title, titled) of the chunks that hold a term of ``wanted`` (query_id, term).
 
-    Any number of queries at once: one join of the terms with the postings. Queries are few beside the postings, so the
-    optimizer sends them to every task as long as they are small.
+    Any number of queries at once: one join of the terms with the postings, which hold the lengths. Queries are few beside
+    the postings, so the optimizer sends them to every task as long as they are small.
     """
-    weighed = wanted.join(index.terms, "term").join(index.postings, "term").join(index.chunks.select("chunk_id", "text_len", "title_len"), "chunk_id").crossJoin(F.broadcast(index.stats))  # one row
+    weighed = wanted.join(index.terms, "term").join(index.postings, "term").crossJoin(F.broadcast(index.stats))  # one row
     text = F.when(F.col("text_tf") > 0, F.col("idf") * _weight(F.col("text_tf"), F.col("text_len"), F.col("avg_len"))).otherwise(0.0)
     title = F.when(F.col("title_tf") > 0, TITLE_BOOST * F.col("idf") * _weight(F.col("title_tf"), F.col("title_len"), F.col("avg_title_len"))).otherwise(0.0)
     return weighed.groupBy("query_id", "chunk_id").agg(F.sum(text + title).alias("base"), F.count("*").alias("matched"), F.sum((F.col("title_tf") > 0).cast("int")).alias("in_title"), F.collect_list(F.when(F.col("title_tf") > 0, F.col("term"))).alias("titled"))
@@ -156,54 +182,103 @@ def covered(base: Column, matched: Column, in_title: Column, n_terms: Column) ->
     return F.when((matched == n_terms) & (in_title == n_terms), s * TITLE_ALL).otherwise(s)
 
 
-def score_chunks(index: ChunkIndex, plan: QueryPlan) -> DataFrame:
-    """(chunk_id, title, text, score) of the candidates with a positive score, to three places."""
-    spark = index.chunks.sparkSession
-    wanted = spark.createDataFrame([(0, t) for t in plan.terms], "query_id int, term string")
-    found = match_terms(index, wanted).join(index.chunks.select("chunk_id", "title", "text"), "chunk_id")
-    low = F.lower("text")
+def match_plan(index: ChunkIndex, terms: list[str]) -> tuple[DataFrame, set[str]]:
+    """As ``match_terms`` for one query, and the terms that the index knows.
+
+    Frequencies of the query's few terms and the one row of statistics are read first, so that its postings are found by a
+    filter that reaches the scan, without a join.
+    """
+    stats = index.stats.first()
+    known = {r["term"]: r["idf"] for r in index.terms.where(F.col("term").isin(*terms)).collect()}  # the query's terms at most
+    hits = index.postings.where(F.col("term").isin(*known)) if known else index.postings.where(F.lit(False))
+    idf = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[F.col("term")] if known else F.lit(0.0)
+    average = {c: F.lit(float(stats[c] or 0)) for c in ("avg_len", "avg_title_len")}
+    text = F.when(F.col("text_tf") > 0, idf * _weight(F.col("text_tf"), F.col("text_len"), average["avg_len"])).otherwise(0.0)
+    title = F.when(F.col("title_tf") > 0, TITLE_BOOST * idf * _weight(F.col("title_tf"), F.col("title_len"), average["avg_title_len"])).otherwise(0.0)
+    met = hits.groupBy("chunk_id").agg(F.sum(text + title).alias("base"), F.count("*").alias("matched"), F.sum((F.col("title_tf") > 0).cast("int")).alias("in_title"), F.collect_list(F.when(F.col("title_tf") > 0, F.col("term"))).alias("titled"))
+    return met, set(known)
+
+
+def _bonuses(plan: QueryPlan) -> list[tuple[str, float]]:
+    """What a text may hold, and the share of the base score that it adds."""
+    whole = [(plan.flat, WHOLE_BONUS)] if len(plan.flat) >= 2 else []
+    return whole + [(p, PHRASE_BONUS) for p in plan.phrases[:PHRASES] if p != plan.flat]
+
+
+def _scored(index: ChunkIndex, plan: QueryPlan) -> tuple[DataFrame, Column, Column]:
+    """Candidates (chunk_id, title, _s, _near, _over), the score for a share of bonus, and the greatest share there is."""
+    met, known = match_plan(index, plan.terms)
+    found = met.join(index.chunks.select("chunk_id", "title"), "chunk_id")
     s = covered(F.col("base"), F.col("matched"), F.col("in_title"), F.lit(len(plan.terms)))
-    base, bonus = F.greatest(s, F.lit(1.0)), F.lit(0.0)
-    if len(plan.flat) >= 2:
-        bonus = bonus + F.when(low.contains(plan.flat), WHOLE_BONUS).otherwise(0.0)
-    for phrase in plan.phrases[:PHRASES]:
-        if phrase != plan.flat:
-            bonus = bonus + F.when(low.contains(phrase), PHRASE_BONUS).otherwise(0.0)
-    s = s + bonus * base
-    if plan.overview:
-        s = F.when(F.col("title").rlike("|".join(T.OVERVIEW_SECTIONS)), s * OVERVIEW_BOOST).otherwise(s)
-    known = {r["term"] for r in index.terms.where(F.col("term").isin(*plan.terms)).select("term").collect()}  # the query's terms at most
+    near_by = F.lit(0.0)
     for term in (t for t in plan.terms if len(t) >= 2):
-        near = T.near_in_order(F.lit(term), F.col("title"))
-        extra = F.when(near, NEAR_SCORE * NEAR_FACTOR)
+        extra = F.when(T.near_in_order(F.lit(term), F.col("title")), NEAR_SCORE * NEAR_FACTOR)
         if term not in known:
             extra = extra.when(F.forall(F.array(*[F.lit(c) for c in term]), lambda c: F.col("title").contains(c)), NEAR_SCORE * CHARS_FACTOR)
-        s = s + F.when(~F.array_contains("titled", term), extra.otherwise(0.0)).otherwise(0.0)
-    return found.select("chunk_id", "title", "text", F.round(s, 3).alias("score")).where("score > 0")
+        near_by = near_by + F.when(~F.array_contains("titled", term), extra.otherwise(0.0)).otherwise(0.0)
+    over = F.when(F.col("title").rlike("|".join(T.OVERVIEW_SECTIONS)), OVERVIEW_BOOST).otherwise(1.0) if plan.overview else F.lit(1.0)
+    rows = found.select("chunk_id", "title", s.alias("_s"), near_by.alias("_near"), over.alias("_over"))
+
+    def total(bonus: Column) -> Column:
+        return F.round((F.col("_s") + bonus * F.greatest(F.col("_s"), F.lit(1.0))) * F.col("_over") + F.col("_near"), 3)
+
+    return rows, total
+
+
+def _with_text(index: ChunkIndex, plan: QueryPlan, rows: DataFrame, total) -> DataFrame:
+    """(chunk_id, title, text, score) of candidates, with what their texts add."""
+    low, bonus = F.lower("text"), F.lit(0.0)
+    for piece, share in _bonuses(plan):
+        bonus = bonus + F.when(low.contains(piece), share).otherwise(0.0)
+    return rows.join(index.chunks.select("chunk_id", "text"), "chunk_id").select("chunk_id", "title", "text", total(bonus).alias("score")).where("score > 0")
+
+
+def score_chunks(index: ChunkIndex, plan: QueryPlan) -> DataFrame:
+    """(chunk_id, title, text, score) of the candidates with a positive score, to three places."""
+    return _with_text(index, plan, *_scored(index, plan))
+
+
+def best_chunks(index: ChunkIndex, plan: QueryPlan) -> DataFrame:
+    """The rows of ``score_chunks`` that may be among the best ``top_k`` by score; texts of no others are read.
+
+    A text adds a bounded share to what terms and title give, so a chunk that would stay below the k-th best even with
+    all of it is passed over.
+    """
+    rows, total = _scored(index, plan)
+    most = F.lit(float(sum(share for _, share in _bonuses(plan))))
+    floor = rows.select(total(F.lit(0.0)).alias("low")).orderBy(F.col("low").desc()).limit(max(1, plan.top_k)).agg(F.min("low").alias("low"), F.count("*").alias("n")).first()
+    if floor["n"] == max(1, plan.top_k):
+        rows = rows.where(total(most) >= floor["low"])
+    return _with_text(index, plan, rows, total)
 
 
 def rank_chunks(scored: DataFrame, plan: QueryPlan, chunks: DataFrame | None = None) -> DataFrame:
     """The best ``top_k`` chunks with their rank: pinned ones or the profile first, then by score and chunk_id.
 
-    ``chunks``, the index's table, tells cheaply whether there is a profile at all.
+    ``chunks``, the index's table, tells cheaply whether there is a profile at all. Only rows that fit a pin are ranked
+    within their title; the others go through a top-k.
     """
-    by_score = [F.col("score").desc(), F.col("chunk_id").asc()]
+    by_score, k = [F.col("score").desc(), F.col("chunk_id").asc()], max(1, plan.top_k)
     if plan.pin:
         fits = F.col("title").rlike(plan.pin) & (F.length("text") >= PIN_LENGTH)
         if plan.pin_theme:
             fits = fits & T.squeeze(F.lower("title")).contains(plan.pin_theme)
-        place = F.row_number().over(Window.partitionBy("title", "_fits").orderBy(*by_score))
-        scored = scored.withColumn("_fits", fits).withColumn("_first", F.col("_fits") & (place <= PIN_LIMIT))
+        place = F.row_number().over(Window.partitionBy("title").orderBy(*by_score))
+        first = scored.where(fits).withColumn("_place", place).where(F.col("_place") <= PIN_LIMIT).drop("_place").orderBy(*by_score).limit(k)
     else:
+        first = None
         flat = re.sub(r"[\s·・\-—]+", "", plan.flat)
         parts = F.split("title", " / ")
         fits = (F.get(parts, F.lit(1)) == PROFILE_SECTION) & (F.regexp_replace(parts[0], r"(?U)[\s·・\-—]+", "") == flat) & F.lit(len(flat) >= 2)
-        scored = scored.withColumn("_first", F.lit(False))
-        if chunks is None or not chunks.where(fits).isEmpty():  # reads titles only, and spares a second scoring
-            top = scored.where(fits).orderBy(*by_score).limit(1).select(F.col("chunk_id").alias("_profile"))
-            scored = scored.join(F.broadcast(top), F.col("chunk_id") == F.col("_profile"), "left").withColumn("_first", F.col("_profile").isNotNull())  # one row
-    limited = scored.orderBy(F.coalesce("_first", F.lit(False)).desc(), *by_score).limit(max(1, plan.top_k))
-    return limited.withColumn("rank", F.row_number().over(Window.orderBy(F.coalesce("_first", F.lit(False)).desc(), *by_score)))
+        if len(flat) >= 2 and (chunks is None or not chunks.where(fits).isEmpty()):  # reads titles only, and spares a second scoring
+            first = scored.where(fits).orderBy(*by_score).limit(1)
+    order = [F.col("_first").desc(), *by_score]
+    best = scored.orderBy(*by_score).limit(k).withColumn("_first", F.lit(False))
+    if first is not None:
+        first = first.withColumn("_first", F.lit(True))
+        others = scored.join(F.broadcast(first.select("chunk_id")), "chunk_id", "left_anti").orderBy(*by_score).limit(k).withColumn("_first", F.lit(False))  # top_k rows
+        best = first.unionByName(others).orderBy(*order).limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # top_k rows
 
 
 def search(index: ChunkIndex, query: str, top_k: int = 4, max_chars: int = 300, as_of: datetime.date | None = None, segmenter: T.Segmenter = T.word_runs) -> DataFrame:
@@ -212,7 +287,12 @@ def search(index: ChunkIndex, query: str, top_k: int = 4, max_chars: int = 300,
     plan = plan_query(spark, (query or "").strip(), index.themes, top_k, max_chars, as_of, segmenter)
     if plan is None:
         return spark.createDataFrame([], "rank int, title string, text string, score double")
-    ranked = rank_chunks(score_chunks(index, plan), plan, index.chunks)
+    flat = re.sub(r"[\s·・\-—]+", "", plan.flat)
+    title = F.regexp_replace(F.split("title", " / ")[0], r"(?U)[\s·・\-—]+", "")
+    # A pin or a profile may stand first without being among the best, so then all candidates are scored.
+    special = bool(plan.pin) or (len(flat) >= 2 and not index.chunks.where((title == flat) & F.col("title").contains(PROFILE_SECTION)).isEmpty())
+    scored = score_chunks(index, plan) if special else best_chunks(index, plan)
+    ranked = rank_chunks(scored, plan, index.chunks if special else index.chunks.limit(0))
     ranked = ranked.withColumn("_needle", T.needle_of(F.col("text"), plan.flat, plan.terms))
     shown = T.truncate_around(F.col("text"), F.col("_needle"), max(50, plan.max_chars))
     return ranked.select("rank", "title", shown.alias("text"), "score").orderBy("rank")

@@ -107,10 +107,19 @@ def chunk_sections(sections: DataFrame, size: int = CHUNK) -> DataFrame:
 
 def chunk_windows(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc, start, text): windows over the text with runs of blank lines squeezed; blank windows are dropped."""
+    step = size - overlap
     squeezed = docs.select("doc", strip(F.regexp_replace(F.coalesce("text", F.lit("")), r"\n{3,}", "\n\n")).alias("t")).where("t <> ''")
-    starts = F.filter(F.sequence(F.lit(0), F.length("t") - 1, F.lit(size - overlap)), lambda s: (s == 0) | (s + overlap < F.length("t")))
-    windows = squeezed.select("doc", F.explode(starts).alias("start"), "t").select("doc", "start", strip(F.substring("t", F.col("start") + 1, F.lit(size))).alias("text"))
-    return windows.where("text <> ''")
+    # A text becomes blocks of one step each, once; a window is a block and the beginning of what follows, so that no window
+    # is counted off from the start of the text and none carries it whole.
+    blocks = squeezed.select("doc", F.length("t").alias("n"), F.regexp_extract_all("t", F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("b"))
+    more = -(-overlap // step)
+
+    def window(b: Column) -> Column:
+        return F.transform(b, lambda _, i: F.struct((i * step).cast("int").alias("start"), F.substring(F.array_join(F.slice(b, i + 1, F.lit(1 + more)), ""), 1, size).alias("w")))
+
+    held = F.get(F.transform(F.array("b"), window), F.lit(0))  # the blocks are looked up in one place
+    windows = blocks.select("doc", "n", F.explode(held).alias("x")).where((F.col("x.start") == 0) | (F.col("x.start") + overlap < F.col("n")))
+    return windows.select("doc", F.col("x.start").alias("start"), strip(F.col("x.w")).alias("text")).where("text <> ''")
 
 
 def first_of_equal(rows: DataFrame, order: list[str], text: str = "text") -> DataFrame:
@@ -160,9 +169,22 @@ def playable_names(articles: DataFrame) -> DataFrame:
 
 
 def playable(directory: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Rows whose name is, holds or is held by an allowed name (a short list taken from one section of a page)."""
-    near = (F.col("name") == F.col("allowed")) | F.col("allowed").contains(F.col("name")) | F.col("name").contains(F.col("allowed"))
-    return directory.join(allowed, near, "left_semi")
+    """Rows whose name is, holds or is held by an allowed name.
+
+    Holding is an equality of substrings: names have some ten characters, so each gives a few dozen, and the substrings are
+    joined by their value. No list is sent to all tasks, whatever its length, and no pair is tried in vain.
+    """
+
+    def pieces(name: str) -> Column:
+        n = F.length(name)
+        cut = lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col(name), i, k))
+        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), cut)))
+
+    short = lambda d, c: d.where(F.col(c).isNotNull() & (F.col(c) != "")).select(c).distinct()
+    names, goods = short(directory, "name"), short(allowed, "allowed")
+    held = names.join(goods.select(F.explode(pieces("allowed")).alias("name")).distinct(), "name", "left_semi")
+    holding = names.select("name", F.explode(pieces("name")).alias("allowed")).join(goods, "allowed", "left_semi").select("name")
+    return directory.join(held.union(holding).distinct(), "name", "left_semi").select(*directory.columns)
 
 
 def directory_chunks(directory: DataFrame, theme: str, edits: DataFrame | None = None, most: int = 10) -> DataFrame:

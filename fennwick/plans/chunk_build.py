@@ -9,6 +9,7 @@ from fennwick.functions import cleaning as L
 from fennwick.functions import text as T
 from fennwick.operators import chunking as K
 from fennwick.operators.chunk_index import ChunkIndex, build_index
+from fennwick.plans.catalog_build import number_rows
 
 
 def build_chunks(articles: DataFrame, theme: str = "", size: int = K.CHUNK, edits: DataFrame | None = None) -> DataFrame:
@@ -26,7 +27,9 @@ def build_chunks(articles: DataFrame, theme: str = "", size: int = K.CHUNK, edit
         chunks = chunks.unionByName(made.select(F.lit(None).cast(dict(chunks.dtypes)["doc"]).alias("doc"), F.lit(0).cast("long").alias("seq"), F.col("title").contains("萌点").cast("int").alias("part"), "title", "text"))
     worth = chunks.where(~L.low_value(F.col("text"), F.col("title")) & L.readable(F.col("text")))
     kept = K.first_of_equal(worth.withColumn("late", F.col("doc").isNull()), ["late", "doc", "seq", "part"])
-    return kept.select(F.xxhash64("doc", "seq", "part", "title").alias("chunk_id"), "title", "text", "doc", "seq", "part")
+    # Numbered, not hashed: 64 bits would clash among some 1e9 chunks and join the postings of two.
+    placed = kept.withColumn("_doc", F.col("doc")).withColumn("_seq", F.col("seq")).withColumn("_no", F.col("part"))
+    return number_rows(placed, ("late", "_doc", "_seq", "_no"), "chunk_id").select("chunk_id", "title", "text", "doc", "seq", "part")
 
 
 def build_chunk_index(articles: DataFrame, theme: str = "", size: int = K.CHUNK, edits: DataFrame | None = None, segmenter: T.Segmenter = T.word_runs) -> ChunkIndex:

@@ -55,9 +55,50 @@ def works(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def catalog(spark: SparkSession, d: str) -> Q.Catalog:
+    """Works as a catalog: dates on the first of their month, the brand as summary."""
+    docs = works(spark, d).select(
+        "*", F.col("source_id").alias("rowid"), F.col("name_cn").alias("name"), F.concat("ym", F.lit("-01")).alias("date"), F.substring_index("extra", "、", -1).alias("summary"), F.lit("").alias("relations"), F.lit("").alias("infobox")
+    )
+    postings, lengths = Q.build_postings(docs.select(F.col("rowid").alias("doc_id"), "name", F.concat_ws(" ", "summary", F.regexp_replace("extra", "^标签：", "")).alias("body")))
+    meta = spark.createDataFrame([("source_date", "2026-08-01")], "key string, value string")
+    return Q.Catalog(docs, postings, lengths, meta)
+
+
+def tool_search(spark: SparkSession, d: str) -> DataFrame:
+    return catalog(spark, d).search("promo", top_k=12, max_chars=60)
+
+
+def tool_season(spark: SparkSession, d: str) -> DataFrame:
+    return catalog(spark, d).season(2003, 5, 20)
+
+
+def tool_browse(spark: SparkSession, d: str) -> DataFrame:
+    return catalog(spark, d).browse(tag="PROMO", keyword="promo", year_from=2003, year_to=2015, min_score=905, sort="favorite", limit=40)
+
+
+def tool_stats(spark: SparkSession, d: str) -> DataFrame:
+    return catalog(spark, d).stats().select("kind", "n", "source_date")
+
+
+def season_lines(spark: SparkSession, d: str) -> DataFrame:
+    w = works(spark, d)
+    return w.select("source_id", C.season_line(F.col("source_id"), F.col("name_cn"), F.col("ym"), F.col("score"), F.col("favorite") - 1, F.col("extra")).alias("line"))
+
+
+def theme_names(spark: SparkSession, d: str) -> DataFrame:
+    file = F.concat(F.lit("data/"), "s_name", F.when(F.col("s_suppkey") % 2 == 0, " - 百科合集.txt").otherwise("知识库"))
+    return table(spark, d, "supplier").select("s_suppkey", C.theme_of_source(file).alias("theme"))
+
+
+def registered_terms(spark: SparkSession, d: str) -> DataFrame:
+    title = F.concat_ws(" / ", F.concat(F.lit("三"), "n_name"), F.col("n_nationkey").cast("string"), F.lit("七"), F.concat(F.lit("第"), F.col("n_nationkey").cast("string"), F.lit("节")))
+    return table(spark, d, "nation").select("n_nationkey", F.explode(T.register_terms(title)).alias("term"))
+
+
 def token_stats(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("term"))
-    return docs.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.col("df").desc(), "term").limit(100)
+    return docs.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.col("df").desc(), "term")
 
 
 def index_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +108,7 @@ def index_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def term_idf(spark: SparkSession, d: str) -> DataFrame:
     t = _index(spark, d).terms
-    return t.orderBy(F.col("df").desc(), "term").limit(200).select("term", "df", F.round("idf", 6).alias("idf"))
+    return t.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_single(spark: SparkSession, d: str) -> DataFrame:
@@ -97,8 +138,9 @@ def search_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def phrase_bonus(spark: SparkSession, d: str) -> DataFrame:
-    low = F.lower("text")
-    return chunks(spark, d).select("chunk_id", (F.when(low.contains("with the"), X.WHOLE_BONUS).otherwise(0.0) + F.when(low.contains("heed"), X.PHRASE_BONUS).otherwise(0.0)).alias("bonus")).where("bonus > 0")
+    """The best chunks by score, texts of others unread."""
+    plan = _plan(["thing", "heed"])
+    return X.rank_chunks(X.best_chunks(_index(spark, d), plan), plan, chunks(spark, d).limit(0)).select("rank", "chunk_id", "title", "score")
 
 
 def pin_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -167,10 +209,16 @@ def labelled_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def graph_links(spark: SparkSession, d: str) -> DataFrame:
     """Edges of which both ends are kept."""
-    l = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
-    orders = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    suppliers = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
-    return l.join(orders, "l_orderkey", "left_semi").join(suppliers, "l_suppkey", "left_semi").groupBy("l_suppkey").agg(F.count("*").alias("links"))
+    none = lambda *names: spark.createDataFrame([], ", ".join(f"{n} long" for n in names))
+    src = {
+        "subject-persons": table(spark, d, "lineitem").select(F.col("l_orderkey").alias("subject_id"), F.col("l_suppkey").alias("person_id"), F.col("l_linenumber").alias("position")),
+        "subject-characters": none("subject_id", "character_id", "type"), "subject-relations": none("subject_id", "related_subject_id", "relation_type"),
+        "person-characters": none("person_id", "character_id", "subject_id"), "person-relations": none("person_id", "related_person_id", "relation_type"),
+    }
+    orders = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
+    suppliers = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"))
+    links = E.links_table(src, {"subject": orders, "person": suppliers, "character": none("id")})
+    return links.groupBy(F.col("target_id").alias("l_suppkey")).agg(F.count("*").alias("links"))
 
 
 def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
@@ -215,9 +263,9 @@ def last_edits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def delete_listed(spark: SparkSession, d: str) -> DataFrame:
-    w = works(spark, d)
-    gone = spark.createDataFrame([("subject", 3), ("subject", 5), ("person", 7)], "kind string, source_id long")
-    return w.join(gone, ["kind", "source_id"], "left_anti").groupBy("kind").agg(F.count("*").alias("n"), F.sum("source_id").alias("ids"))
+    rest, _ = catalog(spark, d).delete("subject:3, subject:5, person:7, junk")
+    left = rest.lengths.agg(F.count("*").alias("sized"))
+    return rest.docs.groupBy("kind").agg(F.count("*").alias("n"), F.sum("source_id").alias("ids")).crossJoin(F.broadcast(left))  # one row
 
 
 def tag_popularity(spark: SparkSession, d: str) -> DataFrame:
@@ -233,12 +281,12 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 def ordered_turns(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations")
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    return rows.withColumn("n", rank).where("n <= 3").select("conv_id", "n", F.length("text").alias("size"))
+    return rows.withColumn("n", rank).select("conv_id", "n", F.length("text").alias("size"))
 
 
 def queries() -> dict:
     found = (
-        token_stats, index_stats, term_idf, bm25_single, bm25_fields, search_flagship, search_batch, phrase_bonus, pin_rank, topics, fts_prefix, season_list, browse_filter, browse_texts, stats_by_kind, heat_keep, keep_semi,
+        token_stats, index_stats, term_idf, bm25_single, bm25_fields, search_flagship, search_batch, phrase_bonus, pin_rank, topics, fts_prefix, season_list, browse_filter, browse_texts, tool_search, tool_season, tool_browse, tool_stats, season_lines, theme_names, registered_terms, stats_by_kind, heat_keep, keep_semi,
         relation_summary, labelled_edges, graph_links, dedupe_first, chunk_windows, readable_filter, strip_links, snippet, sentence_cut, near_in_order, infobox, last_edits, delete_listed, tag_popularity, event_windows, ordered_turns,
     )
     return {f.__name__: f for f in found}
@@ -262,6 +310,15 @@ OR floor(o_totalprice / 100000) >= CASE WHEN y <= 1996 THEN 9 WHEN y >= 2001 THE
 OR CASE WHEN o_orderdate::DATE > DATE '2001-08-01' THEN o_orderdate::DATE <= DATE '2001-08-01' + 1095 AND floor(o_totalprice / 100000) > 0 ELSE o_orderdate::DATE >= DATE '2001-08-01' - 60 END)"""
 
 
+#: From ``a`` (doc_id, text, p), the place of what a snippet is opened around, to ``shown`` (doc_id, cut).
+_HEAD = "left(text, 300)"
+_SNIPPET = f"""b AS (SELECT *, length(text) AS n, greatest(p - 1 - 105, 0) AS s FROM a), b2 AS (SELECT *, least(s + 300, n) AS e FROM b),
+c AS (SELECT *, CASE WHEN s > 0 THEN CASE WHEN strpos(substr(text, s + 1), chr(10)) > 0 THEN s + strpos(substr(text, s + 1), chr(10)) ELSE 0 END ELSE 0 END AS ls, CASE WHEN strpos(reverse(substr(text, s + 1, e - s)), chr(10)) > 0 THEN e - strpos(reverse(substr(text, s + 1, e - s)), chr(10)) ELSE -1 END AS le0 FROM b2),
+d AS (SELECT *, CASE WHEN le0 > ls THEN le0 ELSE e END AS le FROM c), f AS (SELECT *, contains(text, chr(10)) AND le - ls >= 80 AS al FROM d), g AS (SELECT *, CASE WHEN al THEN ls ELSE s END AS x, CASE WHEN al THEN le ELSE e END AS y FROM f),
+shown AS (SELECT doc_id, CASE WHEN n <= 300 THEN text WHEN p = 0 THEN CASE WHEN contains({_HEAD}, chr(10)) AND 300 - strpos(reverse({_HEAD}), chr(10)) >= 150 THEN left(text, 300 - strpos(reverse({_HEAD}), chr(10)) + 1) ELSE {_HEAD} END
+ELSE CASE WHEN x > 0 THEN '…' ELSE '' END || substr(text, x + 1, y - x) || CASE WHEN y < n THEN '…' ELSE '' END END AS cut FROM g)"""
+
+
 def _scored(terms: list[str], near: str = "0") -> str:
     """CTEs that end in ``scored`` (doc_id, source, text, score) for a list of terms, as ``score_chunks`` scores them."""
     listed, n = ", ".join(f"'{t}'" for t in terms), len(terms)
@@ -273,19 +330,18 @@ scored AS (SELECT doc_id, source, text, round(s + ({bonus}) * greatest(s, 1) + (
 
 
 def oracle_sql() -> dict[str, str]:
-    cut = "left(text, 300)"
     p = "strpos(lower(text), 'heed')"
     return {
-        "token_stats": r"""SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY term ORDER BY df DESC, term LIMIT 100""",
+        "token_stats": r"""SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY term""",
         "index_stats": f"WITH {_TOKENS} SELECT n, round(al, 6) AS avg_len, round(tl, 6) AS avg_title_len FROM stats",
-        "term_idf": f"WITH {_TOKENS} SELECT term, df, round(idf, 6) AS idf FROM terms ORDER BY df DESC, term LIMIT 200",
+        "term_idf": f"WITH {_TOKENS} SELECT term, df, round(idf, 6) AS idf FROM terms",
         "bm25_single": f"WITH {_TOKENS} SELECT doc_id AS chunk_id, count(*) AS matched, round(sum({_WEIGHT}), 6) AS score FROM post JOIN terms USING (term) JOIN chunk USING (doc_id), stats WHERE term IN {TERMS} GROUP BY 1 ORDER BY score DESC, chunk_id LIMIT 10",
         "bm25_fields": f"WITH {_scored(['src3', 'with', 'heed'], near='CASE WHEN NOT list_contains(coalesce(titled, []), $$src3$$) AND regexp_matches(source, $$s.{0,5}r.{0,5}c.{0,5}3$$) THEN 5.4 ELSE 0 END')} SELECT doc_id AS chunk_id, source AS title, score FROM scored WHERE score > 0 ORDER BY score DESC, chunk_id LIMIT 20",
         "search_batch": rf"""WITH {_TOKENS}, q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM benchmark), qn AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1),
 b AS (SELECT item_id, doc_id, sum({_WEIGHT}) AS base, count(*) AS m, sum((title_tf > 0)::INT) AS it FROM q JOIN post USING (term) JOIN terms USING (term) JOIN chunk USING (doc_id), stats GROUP BY 1, 2),
 s AS (SELECT item_id, doc_id, round(base * (0.4 + 0.6 * m / n) * CASE WHEN m = n AND it = n THEN 1.8 ELSE 1 END, 3) AS score FROM b JOIN qn USING (item_id))
 SELECT item_id AS query_id, rank, doc_id AS chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0) WHERE rank <= 4""",
-        "phrase_bonus": "SELECT doc_id AS chunk_id, b::DOUBLE AS bonus FROM (SELECT doc_id, CASE WHEN contains(lower(text), 'with the') THEN 0.5 ELSE 0 END::DOUBLE + CASE WHEN contains(lower(text), 'heed') THEN 0.18 ELSE 0 END::DOUBLE AS b FROM documents) WHERE b > 0",
+        "phrase_bonus": f"""WITH {_scored(["thing", "heed"])} SELECT (row_number() OVER (ORDER BY score DESC, doc_id))::INT AS rank, doc_id AS chunk_id, source AS title, score FROM scored WHERE score > 0 ORDER BY rank LIMIT 10""",
         "pin_rank": f"""WITH {_scored(["with", "heed"])}, r AS (SELECT *, regexp_matches(source, 'src3|src7') AND length(text) >= 30 AS fits FROM scored WHERE score > 0),
 f AS (SELECT *, fits AND row_number() OVER (PARTITION BY source, fits ORDER BY score DESC, doc_id) <= 2 AS first FROM r)
 SELECT (row_number() OVER (ORDER BY first DESC, score DESC, doc_id))::INT AS rank, doc_id AS chunk_id, source AS title, score FROM f ORDER BY rank LIMIT 10""",
@@ -313,18 +369,31 @@ SELECT doc_id, start, md5(x) AS text_md5 FROM (SELECT doc_id, start, regexp_repl
         "readable_filter": r"""SELECT conv_id, turn, length(regexp_replace(text, '[^぀-鿿가-힣]', '', 'g')) >= 2 OR length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 3 AS readable,
 NOT contains(b, chr(10)) AND (length(b) < 12 OR (NOT regexp_matches(b, '[一-鿿]') AND length(b) < 60 AND NOT regexp_matches(b, '[。！？；]'))) AS low FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS b FROM conversations)""",
         "strip_links": "SELECT page_id, '页：' || page_id || ' / 身高：153cm' AS text FROM pages",
-        "snippet": f"""WITH a AS (SELECT doc_id, text, length(text) AS n, {p} AS p, greatest({p} - 1 - 105, 0) AS s FROM documents), b AS (SELECT *, least(s + 300, n) AS e FROM a),
-c AS (SELECT *, CASE WHEN s > 0 THEN CASE WHEN strpos(substr(text, s + 1), chr(10)) > 0 THEN s + strpos(substr(text, s + 1), chr(10)) ELSE 0 END ELSE 0 END AS ls, CASE WHEN strpos(reverse(substr(text, s + 1, e - s)), chr(10)) > 0 THEN e - strpos(reverse(substr(text, s + 1, e - s)), chr(10)) ELSE -1 END AS le0 FROM b),
-d AS (SELECT *, CASE WHEN le0 > ls THEN le0 ELSE e END AS le FROM c), f AS (SELECT *, contains(text, chr(10)) AND le - ls >= 80 AS al FROM d), g AS (SELECT *, CASE WHEN al THEN ls ELSE s END AS x, CASE WHEN al THEN le ELSE e END AS y FROM f)
-SELECT doc_id, md5(CASE WHEN n <= 300 THEN text WHEN p = 0 THEN CASE WHEN contains({cut}, chr(10)) AND 300 - strpos(reverse({cut}), chr(10)) >= 150 THEN left(text, 300 - strpos(reverse({cut}), chr(10)) + 1) ELSE {cut} END
-ELSE CASE WHEN x > 0 THEN '…' ELSE '' END || substr(text, x + 1, y - x) || CASE WHEN y < n THEN '…' ELSE '' END END) AS snippet_md5 FROM g""",
+        "snippet": f"WITH a AS (SELECT doc_id, text, {p} AS p FROM documents), {_SNIPPET} SELECT doc_id, md5(cut) AS snippet_md5 FROM shown",
+        "search_flagship": f"""WITH {_scored(list(TERMS))}, top AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0 ORDER BY rank LIMIT 8),
+needle AS (SELECT *, lower(text) AS low FROM top), a AS (SELECT doc_id, text, strpos(low, CASE WHEN contains(low, '{''.join(TERMS)}') THEN '{''.join(TERMS)}' WHEN contains(low, 'thing') THEN 'thing' WHEN contains(low, 'with') THEN 'with' ELSE 'heed' END) AS p FROM needle), {_SNIPPET}
+SELECT rank::INT AS rank, source AS title, cut AS text, score FROM top JOIN shown USING (doc_id)""",
+        "tool_search": f"""WITH {_WORKS}, t AS (SELECT source_id, p_name, p_name AS name, extra, substr(extra, 4) AS tags FROM works), tk AS (SELECT source_id, unnest(regexp_extract_all(lower(p_name), '[\\p{{L}}\\p{{N}}]+')) AS w, 8 AS f FROM t UNION ALL
+SELECT source_id, unnest(regexp_extract_all(lower(split_part(extra, '、', 2) || ' ' || tags), '[\\p{{L}}\\p{{N}}]+')), 1 FROM t), sz AS (SELECT source_id, count(*) AS size FROM tk GROUP BY 1), st AS (SELECT count(*) AS n, avg(size) AS a FROM sz),
+h AS (SELECT 0 AS p, source_id, sum(f) AS f FROM tk WHERE w = 'promo' GROUP BY 2 UNION ALL SELECT 1, source_id, sum(f) FROM tk WHERE starts_with(w, 'promo') GROUP BY 2), np AS (SELECT p, count(*) AS k FROM h GROUP BY 1),
+r AS (SELECT source_id, sum(CASE WHEN ln((n - k + 0.5) / (k + 0.5)) > 0 THEN ln((n - k + 0.5) / (k + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / a))) AS rel FROM h JOIN np USING (p) JOIN sz USING (source_id), st GROUP BY 1),
+x AS (SELECT source_id, p_name, rel, extra || chr(10) || split_part(extra, '、', 2) AS whole FROM r JOIN t USING (source_id) ORDER BY lower(p_name) = 'promo' DESC, rel DESC, source_id LIMIT 12)
+SELECT '条目#' || source_id || ' ' || p_name AS title, CASE WHEN length(whole) > 60 THEN rtrim(left(whole, 60), ' ' || chr(10)) || '…' ELSE whole END AS text, round(rel, 3) AS score FROM x""",
+        "tool_season": f"""WITH {_WORKS}, w AS (SELECT * FROM works WHERE ym IN ('2003-04', '2003-05', '2003-06'))
+SELECT 2003 AS year, 4 AS start_month, '2003年4月' AS label, (SELECT count(*) FROM w) AS total, source_id, p_name AS name, ym || '-01' AS date, score, favorite, extra FROM w ORDER BY favorite DESC, score DESC, date DESC, source_id LIMIT 20""",
+        "tool_browse": f"""WITH {_WORKS} SELECT '条目#' || source_id || ' ' || p_name AS title, ym || '-01 / 评分：' || score || ' / 收藏：' || favorite || chr(10) || extra || chr(10) || split_part(extra, '、', 2) AS text, score
+FROM works WHERE extra ILIKE '%promo%' AND ym >= '2003-01' AND ym <= '2015-12' AND works.score >= 905 ORDER BY favorite DESC, source_id LIMIT 40""",
+        "tool_stats": "SELECT 'subject' AS kind, count(*) AS n, '2026-08-01' AS source_date FROM part",
+        "season_lines": f"""WITH {_WORKS} SELECT source_id, '【' || source_id || '】' || p_name || '（开播 ' || ym || ' | 评分 ' || score || CASE WHEN favorite > 1 THEN ' | 追番 ' || (favorite - 1) ELSE '' END || '）' || chr(10) || extra AS line FROM works""",
+        "theme_names": "SELECT s_suppkey, s_name AS theme FROM supplier",
+        "registered_terms": "SELECT n_nationkey, term FROM (SELECT n_nationkey, '三' || n_name AS term FROM nation UNION ALL SELECT n_nationkey, '第' || n_nationkey || '节' FROM nation) WHERE length(term) BETWEEN 2 AND 12",
         "sentence_cut": "SELECT doc_id, CASE WHEN length(text) <= 200 THEN length(text) WHEN contains(left(text, 200), chr(10)) AND 200 - strpos(reverse(left(text, 200)), chr(10)) >= 100 THEN 200 - strpos(reverse(left(text, 200)), chr(10)) + 1 ELSE 200 END::INT AS n FROM documents",
         "near_in_order": """WITH a AS (SELECT item_id, text, strpos(text, 't') AS p FROM benchmark), b AS (SELECT *, strpos(substr(text, p + 1), 'r') AS g FROM a), c AS (SELECT *, strpos(substr(text, p + g + 1), 'e') AS h FROM b)
 SELECT item_id, p > 0 AND g BETWEEN 1 AND 6 AND h BETWEEN 1 AND 6 AS near FROM c""",
         "infobox": "SELECT p_partkey, '原名：' || trim(p_name) || ' / 类型：' || trim(p_type) AS box, trim(p_name) AS alias FROM part",
         "last_edits": "SELECT page_id, CASE WHEN page_id % 5 > 0 THEN '2026' || lpad((page_id % 12 + 1)::VARCHAR, 2, '0') || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') ELSE '' END AS edited FROM pages",
-        "delete_listed": "SELECT 'subject' AS kind, count(*) AS n, sum(p_partkey)::BIGINT AS ids FROM part WHERE p_partkey NOT IN (3, 5)",
+        "delete_listed": "SELECT 'subject' AS kind, count(*) AS n, sum(p_partkey)::BIGINT AS ids, count(*) AS sized FROM part WHERE p_partkey NOT IN (3, 5)",
         "tag_popularity": "SELECT tag, count(*) AS n FROM (SELECT unnest([p_type, p_brand]) AS tag FROM part) GROUP BY 1 ORDER BY n DESC, tag LIMIT 10",
         "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
-        "ordered_turns": "SELECT conv_id, n, length(text)::INT AS size FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text)::INT AS n FROM conversations) WHERE n <= 3",
+        "ordered_turns": "SELECT conv_id, n, length(text)::INT AS size FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text)::INT AS n FROM conversations)",
     }

@@ -14,6 +14,7 @@ from fennwick.functions import cleaning as L
 from fennwick.operators import chunking as K
 from fennwick.operators import normalise as N
 from fennwick.plans import catalog_build as E
+from fennwick.sources import dictionaries as D
 from fennwick.sources import readers as R
 from fennwick.tables import stage_path
 
@@ -97,6 +98,38 @@ def jsonl_episodes(spark: SparkSession, d: str) -> DataFrame:
     return R.read_episodes(spark, _dump(spark, rows, "episode")).select("id", "subject_id", "name", "ep_type", "sort")
 
 
+def jsonl_typed(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of which some fields have another type than expected."""
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    field = lambda name, c: F.concat(F.lit(f', "{name}": '), c)
+    line = F.concat(
+        F.lit('{"id": '), key.cast("string"), field("name", F.when(key % 2 == 0, key.cast("string")).otherwise(F.concat(F.lit('"'), "p_name", F.lit('"')))), field("score", F.when(key % 3 == 0, F.concat(F.lit('"'), size, F.lit('.5"'))).otherwise("true")),
+        field("favorite", F.when(key % 4 == 0, "[]").otherwise(F.concat(F.lit('{"a": "'), size, F.lit('", "b": null, "c": "x"}')))), field("tags", F.when(key % 5 == 0, '"x"').otherwise('[{"name": "t"}, 7, {"no": 1}]')), F.lit("}"),
+    )
+    folder = stage_path(spark, "dump")
+    table(spark, d, "part").select(line.alias("value")).write.text(f"{folder}/subject.jsonlines")
+    read = R.read_jsonl(spark, folder, "subject")
+    return read.select("id", "name", "score", C.sum_values(F.col("favorite")).alias("favorites"), C.tags_text(F.col("tags")).alias("tags"))
+
+
+def dictionaries(spark: SparkSession, d: str) -> DataFrame:
+    """Labels, platforms and display orders, from dictionary files that are written out of the nations (25 rows)."""
+    nations = sorted((r["n_nationkey"], r["n_name"], r["n_regionkey"]) for r in table(spark, d, "nation").collect())
+    labels = ["define:", "  types:", "    anime: &A", *(x for k, n, _ in nations for x in (f"      {k}:", '        en: "e"', f'        cn: "{n}"'))]
+    orders = ["presentation:", "  *TYPE_ANIME :", "    groups:", *(f"      r{g}: [{', '.join(str(k) for k, _, r in nations if r == g)}]" for g in sorted({r for _, _, r in nations}))]
+    platforms = ["x:", "  types:", "    game:", "      none: &N 99", *(f"      {n.lower().translate(str.maketrans('0123456789 ', 'abcdefghij_'))}: &P {k}" for k, n, _ in nations)]
+    rows = [("label", *r) for r in D.parse_labels("\n".join(labels + orders))] + [("platform", *r) for r in D.parse_platforms("\n".join(platforms))]
+    rows += [("priority", k, c, str(p)) for k, c, p in D.parse_priorities("\n".join(labels + orders))]
+    return spark.createDataFrame(rows, "what string, kind int, code int, value string")
+
+
+def packed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as sections of three paragraphs: packed, cut at sentence ends where they are long, short tails joined."""
+    parts = F.array(F.substring("text", 1, 500), F.substring("text", 501, 300), F.substring("text", 801, 30))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("seq"), F.lit("t").alias("title"), F.filter(parts, lambda p: F.length(p) > 0).alias("paragraphs"))
+    return K.chunk_sections(rows).select(F.col("doc").alias("doc_id"), "part", F.md5("text").alias("text_md5"))
+
+
 def name_fields(spark: SparkSession, d: str) -> DataFrame:
     key, name = F.col("c_custkey"), F.col("c_name")
     box = F.when(key % 2 == 0, F.concat(F.lit("{{Infobox x\n|中文名= "), "c_mktsegment", F.lit("\n|简称= c"), key.cast("string"), F.lit("\n}}")))
@@ -118,7 +151,7 @@ def thresholds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (normalised_articles, section_chunks, directory_chunks, playable_filter, catalog_relations, jsonl_entities, jsonl_episodes, name_fields, extra_lines, thresholds)
+    found = (normalised_articles, section_chunks, directory_chunks, playable_filter, catalog_relations, dictionaries, packed_chunks, jsonl_typed, jsonl_entities, jsonl_episodes, name_fields, extra_lines, thresholds)
     return {f.__name__: f for f in found}
 
 
@@ -152,11 +185,19 @@ jb AS (SELECT p AS id, p_name {_LABEL} AS label, min((-score, pos)) AS o FROM e
 sr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o, label) AS n FROM st), jr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o, label) AS n FROM jb)
 SELECT 'subject' AS kind, p_partkey AS id, coalesce('制作：' || (SELECT string_agg(label, '、' ORDER BY n) FROM sr WHERE sr.id = p_partkey AND n <= 20), '') AS relations FROM part UNION ALL
 SELECT 'person', s_suppkey, coalesce('参与：' || (SELECT string_agg(label, '、' ORDER BY n) FROM jr WHERE jr.id = s_suppkey AND n <= 12), '') FROM supplier""",
+        "jsonl_typed": """SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_partkey::VARCHAR ELSE p_name END AS name, CASE WHEN p_partkey % 3 = 0 THEN p_size + 0.5 END::DOUBLE AS score,
+CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE p_size END::BIGINT AS favorites, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 't' END AS tags FROM part""",
+        "dictionaries": """SELECT 'label' AS what, 2 AS kind, n_nationkey::INT AS code, n_name AS value FROM nation UNION ALL SELECT 'platform', 4, n_nationkey::INT, upper(translate(n_name, '0123456789 ', 'ABCDEFGHIJ_')) FROM nation UNION ALL
+SELECT 'priority', 2, n_nationkey::INT, (100 * (dense_rank() OVER (ORDER BY n_regionkey)) + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::VARCHAR FROM nation""",
+        "packed_chunks": """WITH s AS (SELECT doc_id, substr(text, 1, 500) AS a, substr(text, 501, 300) AS b, substr(text, 801, 30) AS c FROM documents WHERE text <> ''),
+m AS (SELECT *, b <> '' AND length(a) + 1 + length(b) <= 600 AS ab FROM s), t AS (SELECT *, CASE WHEN ab THEN a || chr(10) || b ELSE a END AS one, CASE WHEN ab THEN '' ELSE b END AS rest FROM m),
+u AS (SELECT doc_id, CASE WHEN rest <> '' AND length(rest) < 60 THEN one || chr(10) || rest ELSE one END AS p0, CASE WHEN rest = '' OR length(rest) < 60 THEN NULL WHEN c <> '' THEN rest || chr(10) || c ELSE rest END AS p1 FROM t)
+SELECT doc_id, 0 AS part, md5(p0) AS text_md5 FROM u UNION ALL SELECT doc_id, 1, md5(p1) FROM u WHERE p1 IS NOT NULL""",
         "jsonl_entities": "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 > 0 THEN 2 ELSE 0 END AS kind, p_name AS name, (p_size + CASE WHEN p_size % 2 = 0 THEN 7 ELSE 0 END)::BIGINT AS votes, 0::BIGINT AS favorites, p_type || '、' || p_brand AS tags FROM part",
         "jsonl_episodes": "SELECT o_orderkey AS id, o_custkey AS subject_id, o_orderpriority AS name, 0 AS ep_type, CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 100) / 4.0 ELSE 0 END::DOUBLE AS sort FROM orders WHERE o_orderkey % 5 > 0",
         "name_fields": """WITH c AS (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN c_name || '中' WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_name END AS display FROM customer)
 SELECT c_custkey, display, CASE WHEN display = c_name THEN display ELSE display || ' ' || c_name END AS searched, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || '、c' || c_custkey ELSE '' END AS alias FROM c""",
-        "extra_lines": """WITH x AS (SELECT o_orderkey, '类型：动画 / 日期：' || strftime(o_orderdate, '%Y-%m-%d') || ' / ' AS head, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '平台：TV / ' END AS tv, CASE WHEN o_orderkey % 3 = 0 THEN '评分：8.5 / ' ELSE '' END AS score, CASE WHEN o_orderkey % 5 > 0 THEN '排名：' || (o_orderkey % 5) || ' / ' ELSE '' END || '标签：' || o_orderpriority AS rest FROM orders)
+        "extra_lines": """WITH x AS (SELECT o_orderkey, '类型：动画 / 发行日期：' || strftime(o_orderdate, '%Y-%m-%d') || ' / ' AS head, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '平台：TV / ' END AS tv, CASE WHEN o_orderkey % 3 = 0 THEN '评分：8.5 / ' ELSE '' END AS score, CASE WHEN o_orderkey % 5 > 0 THEN '排名：' || (o_orderkey % 5) || ' / ' ELSE '' END || '标签：' || o_orderpriority AS rest FROM orders)
 SELECT o_orderkey, head || tv || score || rest AS extra, tv || rest AS season_extra FROM x""",
         "thresholds": """SELECT o_orderkey, CASE WHEN y <= 1996 THEN 400 WHEN y >= 2001 THEN 100 ELSE round_even(400 - 300 * ((y - 1996) / 5.0), 0) END::BIGINT AS needed,
 CASE WHEN o_orderdate::DATE > DATE '2000-06-01' THEN o_orderdate::DATE <= DATE '2000-06-01' + 1095 AND floor(o_totalprice / 100000) > 0 ELSE o_orderdate::DATE >= DATE '2000-06-01' - 180 END AS fresh FROM (SELECT *, year(o_orderdate) AS y FROM orders)""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where that is unset (tests)."""
+    """``spark.checkpoint.dir``, or a folder of our own where that is unset and no executor runs elsewhere (tests).
+
+    A cluster must name a folder that all its executors reach: anything else would lose stage tables.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fennwick-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

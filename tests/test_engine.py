@@ -8,6 +8,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from fennwick.functions import catalog as C
 from fennwick.functions import text as T
 from fennwick.operators import catalog as Q
 from fennwick.operators import chunk_index as X
@@ -15,6 +16,7 @@ from fennwick.operators import chunking as K
 from fennwick.operators import normalise as N
 from fennwick.plans import catalog_build as E
 from fennwick.plans import chunk_build as B
+from fennwick.sources import dictionaries as D
 from fennwick.sources import readers as R
 from fennwick.streaming.postings import stream_postings
 
@@ -144,8 +146,10 @@ def test_chunk_index(spark, tmp_path):
 def test_query_plans(spark):
     plan = X.plan_query(spark, "今年人气角色", [], as_of=datetime.date(2026, 1, 1))
     assert plan.flat == "2026年人气角色"
-    assert X.theme_of(["崩坏", "星穹铁道", "角色"], ["崩坏：星穹铁道"], lambda t: t == "角色") == "崩坏：星穹铁道"
-    assert X.theme_of(["三月七", "角色"], ["崩坏：星穹铁道"], lambda t: t == "角色") is None
+    fits = dict(zip(["崩坏：星穹铁道"], X.read_query(spark, "崩铁 星铁 三月七 角色", ["崩坏：星穹铁道"], T.word_runs)["fits"]))
+    assert fits == {"崩坏：星穹铁道": ["崩铁", "星铁"]}
+    assert X.theme_of(["崩铁", "星铁", "角色"], fits, lambda t: t == "角色") == "崩坏：星穹铁道"
+    assert X.theme_of(["三月七", "角色"], fits, lambda t: t == "角色") is None
     assert X.plan_query(spark, "世萌 萌王是谁", []).pin == X.PIN_CROWN
 
 
@@ -198,7 +202,7 @@ def test_catalog_docs(catalog):
     assert set(rows) == {("subject", 1), ("subject", 2), ("character", 10), ("character", 11), ("person", 20), ("person", 21)}
     a, b = rows["subject", 1], rows["subject", 2]
     assert a["name_cn"] == "甲作" and a["ym"] == "2026-07" and a["relations"] == "角色：主、配 / 制作：导演（监督）、声 / 关联：乙作（续集）"
-    assert a["extra"] == "类型：动画 / 日期：2026-07-05 / 平台：TV / 评分：8.5 / 排名：3 / 标签：科幻"
+    assert a["extra"] == "类型：动画 / 发行日期：2026-07-05 / 平台：TV / 评分：8.5 / 排名：3 / 标签：科幻"
     assert (b["score"], b["rank"], b["platform"]) == (None, None, None)
     assert rows["character", 10]["relations"] == "登场：甲作（主角） / 声优：声" and rows["person", 20]["relations"] == "参与：甲作（监督） / 关系：声（夫妻）"
     assert sorted(r["rowid"] for r in rows.values()) == [1, 2, 3, 4, 5, 6] and a["rowid"] == 1
@@ -213,7 +217,7 @@ def test_catalog_queries(spark, catalog):
     assert [r["title"] for r in c.browse(keyword="甲作", subject_type="anime", sort="nonsense").collect()][0] == "条目#1 甲作"
     with pytest.raises(ValueError):
         c.browse()
-    assert {r["kind"]: (r["n"], r["source_date"]) for r in c.stats().collect()} == {"subject": (2, "2026-08-01"), "character": (2, "2026-08-01"), "person": (2, "2026-08-01")}
+    assert {r["kind"]: (r["n"], r["source_date"]) for r in c.stats().collect()} == dict.fromkeys(("subject", "character", "person"), (2, R.newest_change(spark, catalog[1])))
     rest, missing = c.delete("subject:1, person:999, junk")
     assert missing == ["person:999"] and rest.docs.count() == 5 and rest.search("SAO").collect() == []
     assert [(r["id"], r["name"], r["sort"]) for r in R.read_episodes(spark, catalog[1]).collect()] == [(1, "f", 0.0)]
@@ -231,7 +235,105 @@ def test_sources(spark, tmp_path):
     (tmp_path / "j.json").write_text(json.dumps(body | {"format": 9}))
     rows, broken = R.read_index_files(spark, [str(tmp_path / "i.json.gz"), str(tmp_path / "j.json")])
     assert rows.count() == 1 and broken == [str(tmp_path / "j.json")]
-    assert R.parse_labels('types:\n  anime:\n    1:\n      cn: "原作"\n    2:\n      cn: 无引号\n  x:\n    3:\n      cn: "y"\n', {"anime": 2}) == [(2, 1, "原作")]
+    with pytest.raises(ValueError):
+        R.read_index_file(spark, str(tmp_path / "j.json"))
+    assert R.latest_build(rows).first()["built_at"] == "x" and R.newest_change(spark, str(tmp_path), "*.txt") and R.newest_change(spark, str(tmp_path), "*.none") == ""
+
+
+LABELS = """define:
+  types:
+    anime: &ANIME
+      1:
+        en: "original"
+        cn: "原作"
+      2:
+        cn: 无引号
+      3:
+        cn: " "
+    other: &X
+      4:
+        cn: "不要"
+staffs:
+    anime: &ANIME
+      9:
+        cn: "段外"
+presentation:
+  *TYPE_ANIME :
+    groups:
+      source: [1, x, "29"]
+      directors: [74, 2]
+  *TYPE_OTHER :
+    groups:
+      source: [5]
+"""
+PLATFORMS = """platforms:
+  types:
+    anime:
+      none: &PLATFORM_NONE 0
+      tv: &PLATFORM_TV 1
+      vr: &PLATFORM_VR 7
+    game:
+      games: &PLATFORM_GAMES 4001
+defaults:
+    anime:
+      ova: &X 2
+"""
+
+
+def test_dictionaries(spark, tmp_path):
+    assert D.parse_labels(LABELS) == [(2, 1, "原作")]
+    assert D.parse_priorities(LABELS) == [(2, 1, 100), (2, 29, 102), (2, 74, 200), (2, 2, 201)]
+    assert D.parse_platforms(PLATFORMS) == [(2, 1, "TV"), (2, 7, "VR"), (4, 4001, "游戏")]
+    (tmp_path / "subject_staffs.yml").write_text(LABELS)
+    dims = D.read_dictionaries(spark, str(tmp_path))
+    assert dims["staff"].count() == 1 and dims["staff_priority"].count() == 4 and dims["platform"].collect() == []
+
+
+def test_badly_typed_fields_keep_their_row(spark, tmp_path):
+    lines = [
+        '{"id": 1, "type": "2", "name": "a", "score": "7.5", "favorite": [], "tags": "x", "score_details": {"8": "5", "9": null, "10": "x"}}',
+        '{"id": 2, "type": 2.0, "name": 5, "score": null, "rank": true, "favorite": {"done": 3}, "tags": [{"name": "t"}, 7, null, {"no": 1}]}', '{"id": "3", "platform": {}}', "{bad", "", "[1]",
+    ]
+    (tmp_path / "subject.jsonlines").write_text("\n".join(lines))
+    rows = {r["id"]: r for r in R.read_jsonl(spark, str(tmp_path), "subject").collect()}
+    assert set(rows) == {1, 2, 3} and (rows[1]["type"], rows[1]["score"], rows[2]["type"], rows[2]["name"], rows[2]["score"]) == (2, 7.5, 2, "5", None)
+    assert rows[1]["score_details"] == {"8": 5, "9": None, "10": None} and rows[1]["favorite"] is None and rows[1]["tags"] is None and rows[2]["rank"] is None
+    assert [t["name"] for t in rows[2]["tags"] if t["name"]] == ["t"] and rows[3]["platform"] is None
+    assert R.bad_lines(spark, str(tmp_path), "subject").first()["n"] == 2
+    both = R.read_jsonl(spark, f"{tmp_path}, {tmp_path}", "subject")
+    assert both.count() == 6
+    votes = {r["id"]: r["v"] for r in R.read_jsonl(spark, str(tmp_path), "subject").select("id", C.sum_values(F.col("score_details")).alias("v")).collect()}
+    assert votes == {1: 5, 2: 0, 3: 0}
+
+
+def test_articles_in_no_encoding(spark, tmp_path):
+    before = spark.conf.get("spark.sql.legacy.codingErrorAction", None)
+    (tmp_path / "u.txt").write_bytes("三月".encode() + b"\xff\xff!")
+    (tmp_path / "g.txt").write_bytes("三月七，你好".encode("gb18030"))
+    got = {r["stem"]: r["text"] for r in R.read_articles(spark, str(tmp_path)).collect()}
+    assert got["g"] == "三月七，你好" and got["u"].startswith("三月") and "\ufffd" in got["u"] and got["u"].endswith("!")
+    assert spark.conf.get("spark.sql.legacy.codingErrorAction", None) == before
+
+
+def test_stored_catalog(spark, catalog, tmp_path):
+    import shutil
+
+    source, folder = catalog
+    out = str(tmp_path / "c")
+    shutil.copytree(source.path, out)
+    assert R.available(spark, out) and not R.available(spark, str(tmp_path / "nothing"))
+    stored = Q.Catalog.load(spark, out)
+    row = stored.stats().where("kind = 'subject'").first()
+    assert row["n"] == 2 and row["source_date"] and row["size_mb"] >= 0
+    rest, missing = stored.delete("subject: 1, person:999, junk", write=True)
+    again = Q.Catalog.load(spark, out)
+    assert missing == ["person:999"] and again.docs.count() == 5 and again.search("SAO").collect() == [] and rest.docs.count() == 5
+    small = again.compact(1)
+    assert small.docs.count() == 5 and len([f for f in (tmp_path / "c" / "postings").iterdir() if f.suffix == ".parquet"]) == 1
+    E.write_graph(spark, folder, {n: R.read_jsonl(spark, folder, n) for n in R.SCHEMAS}, E.kept_ids({n: R.read_jsonl(spark, folder, n) for n in R.SCHEMAS}, E.BuildConfig("2026-08-01")), out)
+    links = {tuple(r) for r in spark.read.parquet(f"{out}/links").select("owner_kind", "owner_id", "target_kind", "target_id").collect()}
+    assert {("subject", 1, "character", 10), ("person", 21, "character", 10)} <= links and not any(r[0] == "subject" and r[1] == 3 for r in links)
+    assert [(r["id"], r["name"], r["sort"]) for r in spark.read.parquet(f"{out}/episodes").collect()] == [(1, "f", 0.0)]
 
 
 def test_stream(spark, tmp_path):
