@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fennwick.tables import materialize, shared_dir  # noqa: F401
 
 #: Rows of one Arrow batch. Texts can be long, so far fewer than Spark's default of 10,000.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 #: A filter of keys has 2**FILTER_BITS bits.
 FILTER_BITS = 22
 

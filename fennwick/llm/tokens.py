@@ -6,7 +6,7 @@ import unicodedata
 from array import array
 
 #: Words of a worker's cache (half of them old ones), and the longest chunk that is kept; together they bound its memory.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 CACHE_BYTES = 64
 # ASCII punctuation; a run of it after a letter or digit is a token run of its own.
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
