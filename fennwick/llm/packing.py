@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fennwick.llm.common import bound_batches, materialize, table, utf8
-from fennwick.llm.tokens import default_vocabulary, encoder
+from fennwick.llm.tokens import CACHE_WORDS, default_vocabulary, encoder
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 32_768
@@ -116,10 +116,10 @@ def balance(windows: list[int], step_tokens: int = STEP_TOKENS) -> list[int]:
     return out
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID, step_tokens: int = STEP_TOKENS, group_tokens: int = GROUP_TOKENS, id_col: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID, step_tokens: int = STEP_TOKENS, group_tokens: int = GROUP_TOKENS, id_col: str = "doc_id", text: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
 
-    A step must be a multiple of every tier. How documents share windows depends on the files' splits, their tokens don't.
+    ``cache_words`` bounds what a worker remembers of words. A step must be a multiple of every tier. How documents share windows depends on the files' splits, their tokens don't.
     ``with_ids`` adds the piece's ids as little-endian unsigned 32-bit integers. Null and empty texts are the end id
     alone; repeated rows are packed each; an empty table gives no rows; other columns are not read.
     """
@@ -133,7 +133,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TI
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, words, end = TaskContext.get().partitionId(), encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        part, words, end = TaskContext.get().partitionId(), encoder(vocabulary, cache_words), np.array([end_id], "<u4").tobytes()
         seq, steps, held, ids, bodies = 0, 0, 0, [], []
 
         def close() -> pa.RecordBatch:

@@ -6,7 +6,7 @@ import unicodedata
 from array import array
 
 #: Words of a worker's cache (half of them old ones), and the longest chunk that is kept; together they bound its memory.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 CACHE_BYTES = 64
 # ASCII punctuation; a run of it after a letter or digit is a token run of its own.
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -66,14 +66,14 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, body.split()))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, limit: int = CACHE_WORDS) -> Encoder:
     """The worker's encoder for a vocabulary file; workers are reused, so its cache lasts from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, limit) not in _encoders:
+        _encoders[path, limit] = Encoder(path, limit)
+    return _encoders[path, limit]
 
 
 def default_vocabulary() -> str:
