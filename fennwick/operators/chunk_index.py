@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fennwick.functions import text as T
+from fennwick.tables import spread
 
 # Fixed values of the ranking formula.
 K1, B = 1.5, 0.75
@@ -46,7 +47,7 @@ class ChunkIndex:
         self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
         # Files sorted by term: a query's terms are found by the statistics of row groups. Ranges of (term, chunk_id), so
         # that the commonest term's postings are dealt to as many files as they need. Counted from the written chunks.
-        postings = _postings(spark.read.parquet(f"{path}/chunks"), self.segmenter)
+        postings = _postings(spread(spark.read.parquet(f"{path}/chunks")), self.segmenter)
         postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
         terms, stats = _statistics(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/postings"))
         terms.write.mode("overwrite").parquet(f"{path}/terms")

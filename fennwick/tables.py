@@ -28,6 +28,16 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/stages/{label}-{uuid.uuid4().hex}"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan's rows, dealt over the cores if it has fewer partitions than there are; a larger table stays as it is.
+
+    For scans with costly work on each row: one row group is one task, however many cores wait. Not for other plans, as
+    counting their partitions may run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
