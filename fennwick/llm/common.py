@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fennwick.tables import materialize, shared_dir  # noqa: F401
+from fennwick.tables import materialize, shared_dir, spread  # noqa: F401
 
 #: Rows of one Arrow batch. Texts can be long, so far fewer than Spark's default of 10,000.
 BATCH_ROWS = 256

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fennwick.llm.common import bound_batches, table
+from fennwick.llm.common import bound_batches, spread, table
 
 RATE = 0.05
 #: Shorter items (after normalising) are met without edits and as whole words only.
@@ -163,4 +163,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE)
 
 def op7_decontam(spark, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, with the items, over whole tables."""
-    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_contamination(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fennwick.llm.common import bound_batches, table
+from fennwick.llm.common import bound_batches, spread, table
 from fennwick.llm.ftrl import FTRL, Row, scores, softmax, temperature
 
 DIM_BITS = 15
@@ -150,7 +150,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> Column
 
 def op5_langid(spark, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from the rows that are not held out."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang")
     model = train(docs)
     code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     out = docs.select("doc_id", F.coalesce(code % 5 == 0, F.lit(True)).alias("held_out"), predict(docs, model).alias("p"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fennwick.llm.common import bound_batches, materialize, table, utf8
+from fennwick.llm.common import bound_batches, materialize, spread, table, utf8
 from fennwick.llm.tokens import CACHE_WORDS, default_vocabulary, encoder
 
 TIERS = (256, 512, 1024, 2048)
@@ -177,4 +177,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TI
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
-    return pack_documents(table(spark, sf_dir, "documents"), default_vocabulary())
+    return pack_documents(spread(table(spark, sf_dir, "documents")), default_vocabulary())

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fennwick.llm.common import bound_batches, materialize, table
+from fennwick.llm.common import bound_batches, materialize, spread, table
 from fennwick.llm.ftrl import FTRL, Row
 
 DIM_BITS = 17
@@ -271,5 +271,5 @@ def judge_features(feats: DataFrame, model: QualityModel | None, threshold: floa
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     """Both views' probabilities, the combined score and the decision for every document."""
-    feats = features(table(spark, sf_dir, "documents"))
+    feats = features(spread(table(spark, sf_dir, "documents")))
     return judge_features(feats, train_on(feats, table(spark, sf_dir, "labels")))
