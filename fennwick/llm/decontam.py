@@ -5,8 +5,8 @@ e = floor(``rate`` * m) edits. Cut into e + 1 pieces, at least one piece is then
 item goes into one automaton, each document is read through it once, and where a piece is met the item is verified by
 Myers' bit-parallel distance against the window in which it could lie. Items are held in blocks of bounded size.
 
-An item too short for its pieces to say much (``MIN_CHARS``) is met only as it is, and only where it stands as whole
-words: the automaton holds it as one piece, and the characters beside it must not be letters or digits.
+An item so short that its budget is no edit is one piece, met only as it is, and only where it stands as whole words: the
+characters beside it must not be letters or digits.
 """
 
 from __future__ import annotations
@@ -18,13 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fennwick.llm.common import bound_batches, spread, table
+from fennwick.llm.common import bound_batches, materialize, spread, table
 
 RATE = 0.05
-#: Shorter items (after normalising) are met without edits and as whole words only.
-MIN_CHARS = 24
-#: Characters of the items of one block; a block is sent to every worker.
-BLOCK_CHARS = 8_000_000
+#: Characters of the items of one block; a block is sent to every worker, where its automaton takes some 64 bytes a character.
+BLOCK_CHARS = 2_000_000
 
 
 def normalise(text: str | None) -> str:
@@ -68,19 +66,18 @@ def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
 class Matcher:
     """Automaton of a block's pieces; built once in each worker."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, min_chars: int = MIN_CHARS):
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
         import ahocorasick
 
-        self.items, self.rate = [], rate
+        self.items, self.rate, self.masks = [], rate, {}
         places: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             clean = normalise(text)
             if not clean:
                 continue
-            short = len(clean) < min_chars
-            for offset, piece in [(0, clean)] if short else pieces_of(clean, rate):
+            for offset, piece in pieces_of(clean, rate):
                 places.setdefault(piece, []).append((len(self.items), offset))
-            self.items.append((item_id, clean, -1 if short else int(rate * len(clean)), masks_of(clean)))
+            self.items.append((item_id, clean, int(rate * len(clean))))
         self.automaton = ahocorasick.Automaton()
         for piece, found in places.items():
             self.automaton.add_word(piece, (len(piece), found))
@@ -95,11 +92,11 @@ class Matcher:
         tried: dict[int, tuple[int, int]] = {}
         for last, (size, found) in () if self.empty else self.automaton.iter(clean):
             for k, offset in found:
-                item_id, item, budget, masks = self.items[k]
+                item_id, item, budget = self.items[k]
                 if best.get(item_id, (1, 0))[0] == 0:
                     continue
                 begin = last + 1 - size - offset
-                if budget < 0:
+                if not budget:
                     if not (begin and clean[begin - 1].isalnum() or clean[last + 1 : last + 2].isalnum()):
                         best[item_id] = (0, last + 1)
                     continue
@@ -109,7 +106,9 @@ class Matcher:
                 a, b = max(0, begin - budget), begin + len(item) + budget
                 if k in tried and tried[k][0] <= a and b <= tried[k][1]:
                     continue  # a window read before holds this one
-                distance, end = myers(masks, len(item), clean[a:b])
+                if k not in self.masks:  # made where an item is first verified, as most never are
+                    self.masks[k] = masks_of(item)
+                distance, end = myers(self.masks[k], len(item), clean[a:b])
                 tried[k] = (a, b)
                 if distance <= budget and distance < best.get(item_id, (budget + 1, 0))[0]:
                     best[item_id] = (distance, a + end)
@@ -118,12 +117,12 @@ class Matcher:
 
 def blocks_of(items: DataFrame, id_col: str, text: str, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """The items in lists of bounded size, one at a time. Null ids and texts are passed over, repeated rows are one."""
-    rows = items.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text).alias("t"))
+    rows = items.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text).alias("t")).distinct()
     size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, -(-size // block_chars))
     for k in range(n):
-        block = rows if n == 1 else rows.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k)
-        yield sorted({(r["i"], r["t"]) for r in block.collect()})
+        block = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
+        yield sorted((r["i"], r["t"]) for r in block.collect())
 
 
 def contamination(docs: DataFrame, items: list[tuple[int, str]], rate: float = RATE, text: str = "text") -> Column:
@@ -154,9 +153,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; same columns."""
-    for items in blocks_of(benchmark, "item_id", "text"):
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item; same columns.
+
+    What one block leaves is written before the next, so that a worker never holds the automata of two.
+    """
+    for k, items in enumerate(blocks_of(benchmark, "item_id", "text", block_chars)):
+        docs = materialize(docs, "uncontaminated") if k else docs
         docs = docs.where(F.size(contamination(docs, items, rate)) == 0)
     return docs
 

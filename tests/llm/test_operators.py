@@ -433,6 +433,16 @@ def test_short_items_are_met_as_whole_words(spark):
     assert got == {(1, 1, 0, 15), (4, 2, 0, 4), (5, 3, 0, 4), (7, 1, 0, 6)}
 
 
+def test_items_from_one_edit_on_and_blocks_of_items(spark):
+    items = spark.createDataFrame([(1, "abcdefghij klmnopqrs"), (2, "abcdefghij klmnopqr"), (3, "another item, of which much is left")] * 3, "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so abcdefghij kXmnopqrs"), (2, "abcdefghij kXmnopqr so"), (3, "an other item, of which much is left"), (4, None), (5, "")], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in decontam.find_contamination(docs, items).collect()} == {(1, 1, 1), (3, 3, 1)}
+    blocks = list(decontam.blocks_of(items, "item_id", "text", 20))
+    assert len(blocks) > 1 and sorted(i for b in blocks for i, _ in b) == [1, 2, 3]
+    for size in (1, 20, 40, 10**6):
+        assert {r["doc_id"] for r in decontam.drop_contaminated(docs, items, block_chars=size).collect()} == {2, 4, 5}
+
+
 def test_equal_vectors_score_alike_in_any_block():
     rng = np.random.default_rng(2)
     for d in (3, 17, 64, 129, 768):
