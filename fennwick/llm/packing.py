@@ -3,14 +3,18 @@
 A document is tokenized and routed to the smallest tier that holds it; longer ones first give full windows of the
 largest tier. Tiers are packed from the longest down: a window takes one document of its tier, then the longest
 shorter ones that fit its gap; where none fits, one is cut to fill the gap and its rest is routed again. So every
-window is full and no tier needs padding, except for what is left of a task's documents at the end.
+window is full and no tier needs padding. What is left at the end of a group of documents, less than a window, is its
+tail. The tails of all groups and tasks are laid end to end and cut into windows of the largest tier, so that the whole
+table, however it is partitioned, has one padded window at most.
 
 Windows are dealt to step groups, the longest first, each to the group with the fewest tokens so far. As tiers divide each
 other and a step, no group gets more than ``step_tokens`` tokens, all have the same within one window, and windows of every
 tier, and with them the work of attention, are shared out evenly.
 
-A task packs the documents it reads, in groups of bounded size, and nothing is shuffled. The pieces are written to the
-shared folder; sequence numbers are made gapless afterwards from one row of totals per task.
+A task packs the documents it reads, in groups of bounded size; texts are not shuffled. The pieces are written to the
+shared folder, tails with their token ids; sequence numbers and the places of tails follow from one row of totals per task.
+``op10_packing`` deals a table of fewer than ``LEAST_PARTS`` partitions by hash to that many first, in an order of its own,
+so that a small file keeps more than one core busy; that number is fixed, and the packing the same on any number of cores.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fennwick.llm.common import bound_batches, materialize, spread, table, utf8
+from fennwick.llm.common import bound_batches, materialize, table, utf8
 from fennwick.llm.tokens import CACHE_WORDS, default_vocabulary, encoder
 
 TIERS = (256, 512, 1024, 2048)
@@ -32,6 +36,8 @@ STEP_TOKENS = 32_768
 END_ID = 1
 #: A task packs its documents in groups of so many tokens; bounds its memory.
 GROUP_TOKENS = 4_000_000
+#: A table of fewer partitions is dealt to so many.
+LEAST_PARTS = 16
 
 
 class Pool:
@@ -119,36 +125,39 @@ def balance(windows: list[int], step_tokens: int = STEP_TOKENS) -> list[int]:
 def pack_documents(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID, step_tokens: int = STEP_TOKENS, group_tokens: int = GROUP_TOKENS, id_col: str = "doc_id", text: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
 
-    ``cache_words`` bounds what a worker remembers of words. A step must be a multiple of every tier. How documents share windows depends on the files' splits, their tokens don't.
-    ``with_ids`` adds the piece's ids as little-endian unsigned 32-bit integers. Null and empty texts are the end id
-    alone; repeated rows are packed each; an empty table gives no rows; other columns are not read.
+    ``cache_words`` bounds what a worker remembers of words. A step must be a multiple of every tier. How documents share
+    windows depends on the files' splits, their tokens don't; all windows but one are full. ``with_ids`` adds the piece's
+    ids as little-endian unsigned 32-bit integers. Null and empty texts are the end id alone; repeated rows are packed
+    each, null ids too; an empty table gives no rows; other columns are not read.
     """
     bound_batches(docs.sparkSession)
-    names = ["part", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "seq", "offset", "tier", "step"]
-    schema = "part int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, seq long, offset long, tier int, step long"
-    kinds = [pa.int32(), *[pa.int64()] * 7, pa.int32(), pa.int64()]
-    if with_ids:
-        names, schema, kinds = [*names, "ids"], schema + ", ids binary", [*kinds, pa.binary()]
+    largest = tiers[-1]
+    names = ["part", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "seq", "offset", "tier", "step", "ids"]
+    schema = "part int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, seq long, offset long, tier int, step long, ids binary"
+    kinds = [pa.int32(), *[pa.int64()] * 7, pa.int32(), pa.int64(), pa.binary()]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, words, end = TaskContext.get().partitionId(), encoder(vocabulary, cache_words), np.array([end_id], "<u4").tobytes()
-        seq, steps, held, ids, bodies = 0, 0, 0, [], []
+        seq, steps, over, held, ids, bodies = 0, 0, 0, 0, [], []
 
         def close() -> pa.RecordBatch:
-            nonlocal seq, steps, held, ids, bodies
+            nonlocal seq, steps, over, held, ids, bodies
             rows, windows = [], pack([len(b) // 4 for b in bodies], tiers)
+            tail = windows.pop()[1] if windows and sum(n for _, _, n in windows[-1][1]) < windows[-1][0] else []
             groups = balance([tier for tier, _ in windows], step_tokens)
             for (tier, pieces), group in zip(windows, groups):
-                step, offset = steps + group, 0
+                offset = 0
                 for doc, start, length in pieces:
                     piece = bodies[doc][4 * start : 4 * (start + length)]
-                    row = (part, ids[doc], start, length, zlib.crc32(piece), len(bodies[doc]) // 4, seq, offset, tier, step)
-                    rows.append((*row, piece) if with_ids else row)
+                    rows.append((part, ids[doc], start, length, zlib.crc32(piece), len(bodies[doc]) // 4, seq, offset, tier, steps + group, piece if with_ids else None))
                     offset += length
                 seq += 1
-            steps, held, ids, bodies = steps + max(groups) + 1, 0, [], []
+            for doc, start, length in tail:  # seq is null: placed once all tails are known
+                rows.append((part, ids[doc], start, length, None, len(bodies[doc]) // 4, None, over, largest, None, bodies[doc][4 * start : 4 * (start + length)]))
+                over += length
+            steps, held, ids, bodies = steps + max(groups, default=-1) + 1, 0, [], []
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
         for batch in batches:
@@ -164,17 +173,35 @@ def pack_documents(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TI
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text).alias("body"))
     pieces = materialize(rows.mapInArrow(write, schema), "packed")
-    totals = pieces.groupBy("part").agg(F.max("seq").alias("seq"), F.max("step").alias("step")).collect()  # a row for each task
-    base, s, t = [], 0, 0
-    for r in sorted(totals, key=lambda r: r["part"]):
-        base.append((r["part"], s, t))
-        s, t = s + r["seq"] + 1, t + r["step"] + 1
-    firsts = docs.sparkSession.createDataFrame(base, "part int, _seq long, _step long")
+    ends = pieces.groupBy("part").agg(F.max("seq").alias("seq"), F.max("step").alias("step"), F.max(F.when(F.col("seq").isNull(), F.col("offset") + F.col("length"))).alias("over"))
+    base, s, t, o = [], 0, 0, 0
+    for r in sorted(ends.collect(), key=lambda r: r["part"]):  # a row for each task
+        base.append((r["part"], s, t, o))
+        s, t, o = s + (-1 if r["seq"] is None else r["seq"]) + 1, t + (-1 if r["step"] is None else r["step"]) + 1, o + (r["over"] or 0)
+    firsts = docs.sparkSession.createDataFrame(base, "part int, _seq long, _step long, _over long")
     numbered = pieces.join(F.broadcast(firsts), "part")  # as many rows as tasks
-    out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("seq") + F.col("_seq")).alias("sequence_id"), "offset", "tier", (F.col("step") + F.col("_step")).alias("step_group")]
-    return numbered.select(*out, *(["ids"] if with_ids else []))
+    kept = ["ids"] if with_ids else []
+    fixed = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    full = numbered.where("seq is not null").select(*fixed, (F.col("seq") + F.col("_seq")).alias("sequence_id"), "offset", "tier", (F.col("step") + F.col("_step")).alias("step_group"), *kept)
+    at = numbered.where("seq is null").withColumn("at", F.col("_over") + F.col("offset"))
+    cut = at.select("*", F.explode(F.expr(f"sequence(at div {largest}, (at + length - 1) div {largest})")).alias("window"))
+    cut = cut.withColumn("low", F.greatest("at", F.col("window") * largest)).withColumn("n", F.least(F.col("at") + F.col("length"), (F.col("window") + 1) * largest) - F.col("low"))
+    cut = cut.withColumn("piece", F.col("ids").substr((4 * (F.col("low") - F.col("at")) + 1).cast("int"), (4 * F.col("n")).cast("int")))
+    tails = cut.select(
+        "doc_id", (F.col("start") + F.col("low") - F.col("at")).alias("start"), F.col("n").alias("length"), F.crc32("piece").alias("ids_crc32"), "doc_tokens", (F.lit(s) + F.col("window")).alias("sequence_id"),
+        (F.col("low") - F.col("window") * largest).alias("offset"), "tier", (F.lit(t) + F.floor(F.col("window") / (step_tokens // largest))).alias("step_group"), *([F.col("piece").alias("ids")] if with_ids else []),
+    )
+    return full.unionByName(tails)
+
+
+def dealt(docs: DataFrame, least: int = LEAST_PARTS) -> DataFrame:
+    """A scan's rows as they lie or, from fewer than ``least`` partitions, dealt by hash to so many, in a fixed order."""
+    if docs.rdd.getNumPartitions() >= least:
+        return docs
+    key = F.xxhash64("doc_id", "text")
+    return docs.repartition(least, key).sortWithinPartitions(key)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
-    return pack_documents(spread(table(spark, sf_dir, "documents")), default_vocabulary())
+    return pack_documents(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), default_vocabulary())

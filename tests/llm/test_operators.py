@@ -408,6 +408,28 @@ def test_packing(spark, data, docs, tokenizer, awkward, none):
     assert packing.pack_documents(none, default_vocabulary()).collect() == []
 
 
+def test_tails_share_windows_at_any_partition_count(spark, docs, tokenizer):
+    want = {d["doc_id"]: [*tokenizer.encode(d["text"] or "", add_special_tokens=False).ids, 1] for d in docs.collect()}
+    for parts, group in ((1, 4_000_000), (7, 3000), (64, 4_000_000)):
+        rows = packing.pack_documents(docs.select("doc_id", "text").repartition(parts), default_vocabulary(), group_tokens=group, with_ids=True).collect()
+        windows, pieces, steps = {}, {}, Counter()
+        for r in rows:
+            assert r["ids"] == np.array(want[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes() and r["ids_crc32"] == zlib.crc32(r["ids"])
+            windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], r["tier"]))
+            pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+            steps[r["step_group"]] += r["length"]
+        assert sorted(windows) == list(range(len(windows))) and sorted(steps) == list(range(len(steps))) and max(steps.values()) <= packing.STEP_TOKENS
+        for cut, size in ((windows.values(), None), (pieces.items(), want)):
+            for parts_of in cut:
+                doc, parts_of = parts_of if size else (None, parts_of)
+                at = 0
+                for offset, n, *_ in sorted(parts_of):
+                    assert offset == at
+                    at += n
+                assert at == (len(want[doc]) if size else min(at, parts_of[0][2]))
+        assert sum(max(t for _, _, t in w) - sum(n for _, n, _ in w) for w in windows.values()) < 2048
+
+
 @pytest.mark.parametrize("tokens", [4096, 32_768])
 def test_step_groups_are_even(tokens):
     rnd = random.Random(8)
