@@ -20,7 +20,7 @@ components is passed over.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -48,12 +48,12 @@ _MUL = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) +
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-def shingle_set(body: bytes) -> np.ndarray:
-    """The distinct hashes of a text's five-word shingles, in order."""
-    return np.unique(np.array(shingle_hashes(body, SHINGLE), dtype="<u8"))
+def shingle_set(body: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order."""
+    return np.unique(np.array(shingle_hashes(body, shingle), dtype="<u8"))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     """The finisher of MurmurHash3, so that the high bits depend on all bits."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return x ^ (x >> np.uint64(33))
@@ -64,10 +64,15 @@ def band_cells(shingles: np.ndarray) -> np.ndarray:
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(shingles), CHUNK):
         block = shingles[at : at + CHUNK, None]
-        np.minimum(least, _mixed(block * _MUL + _ADD).min(axis=0), out=least)
-    cell = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for r in range(ROWS):
-        cell = _mixed(cell * np.uint64(0x9E3779B97F4A7C15) ^ least.reshape(BANDS, ROWS)[:, r])
+        np.minimum(least, mixed(block * _MUL + _ADD).min(axis=0), out=least)
+    return fold_bands(least.reshape(BANDS, ROWS))
+
+
+def fold_bands(rows: np.ndarray) -> np.ndarray:
+    """One cell for each row of an array (bands, values), with the band mixed in."""
+    cell = np.arange(1, len(rows) + 1, dtype=np.uint64)
+    for r in range(rows.shape[1]):
+        cell = mixed(cell * np.uint64(0x9E3779B97F4A7C15) ^ rows[:, r])
     return cell.view(np.int64)
 
 
@@ -83,7 +88,7 @@ def _differ(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, [one(i) for i in range(SEGMENTS // 64)])
 
 
-def sketch_of(docs: DataFrame, text: str = "text") -> Column:
+def sketch_of(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, cells_of: Callable[[np.ndarray], np.ndarray] = band_cells) -> Column:
     """struct(node, size, cells, bits) of each row: a hash of its shingle set, the set's size, its cells and parities.
 
     No words, no cells.
@@ -94,19 +99,19 @@ def sketch_of(docs: DataFrame, text: str = "text") -> Column:
     def of(bodies: pd.Series) -> pd.DataFrame:
         import xxhash
 
-        sets = [shingle_set(b) for b in bodies]
+        sets = [shingle_set(b, shingle) for b in bodies]
         node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-        return pd.DataFrame({"node": node, "size": [len(s) for s in sets], "cells": [band_cells(s) if len(s) else [] for s in sets], "bits": [parities(s) for s in sets]})
+        return pd.DataFrame({"node": node, "size": [len(s) for s in sets], "cells": [cells_of(s) if len(s) else [] for s in sets], "bits": [parities(s) for s in sets]})
 
     return of(utf8(text))
 
 
-def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(node, shingles) of ``nodes`` (node, first), each read from the row that ``first`` names."""
 
     @F.pandas_udf("binary")
     def of(bodies: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(b).tobytes() for b in bodies])
+        return pd.Series([shingle_set(b, shingle).tobytes() for b in bodies])
 
     rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("thash"), "text")
     named = nodes.select("node", F.col("first.doc_id").alias("_id"), F.col("first.thash").alias("_thash"))
@@ -114,7 +119,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialize(found.dropDuplicates(["node"]).select("node", of(utf8("text")).alias("shingles")), "minhash-sets")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The (a, b) of ``pairs`` whose shingle sets are so similar, exactly."""
 
     @F.pandas_udf("boolean")
@@ -132,22 +137,36 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def components(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, dense: int = DENSE) -> DataFrame:
     """(node, root) of the ``nodes`` (node, size, cells, bits, first) that have a similar one; the root is the least reachable."""
+    shared = shared_cells(nodes)
+    sets = sets_of(docs, nodes.join(shared.select("node").distinct(), "node"))
+
+    light = shared.where(F.col("n") <= dense)
+    one, two = (light.select("cell", F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    pairs = materialize(one.join(two, "cell").where("a < b").where(alike(similarity)).select("a", "b").distinct(), "minhash-pairs")
+    return resolve(shared.where(F.col("n") > dense), connected_components(similar_pairs(pairs, sets, similarity)), sets, similarity)
+
+
+def shared_cells(nodes: DataFrame) -> DataFrame:
+    """(cell, node, size, n, bits) of the cells that n nodes share, two or more."""
     cells = nodes.select("node", "size", F.explode("cells").alias("cell"))
     sizes = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "minhash-sizes")
     met_twice = materialize(cells.join(sizes, "cell"), "minhash-met")
-    shared = materialize(met_twice.join(nodes.select("node", "bits"), "node"), "minhash-cells")
-    sets = _sets(docs, nodes.join(shared.select("node").distinct(), "node"))
-    alike = F.least("sa", "sb") >= F.lit(similarity) * F.greatest("sa", "sb") - 1e-9
-    alike = alike & (_differ("bits_a", "bits_b") <= (F.col("sa") + F.col("sb")) * _apart(similarity) + 1e-9)
+    return materialize(met_twice.join(nodes.select("node", "bits"), "node"), "minhash-cells")
 
-    light = shared.where(F.col("n") <= dense)
-    one, two = (light.select("cell", F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    pairs = materialize(one.join(two, "cell").where("a < b").where(alike).select("a", "b").distinct(), "minhash-pairs")
-    found = _similar(pairs, sets, similarity)
 
-    crowd = shared.where(F.col("n") > dense).withColumn("rank", F.pmod(F.xxhash64("node", "cell"), F.lit(1 << 30)) * F.col("n") / F.lit(float(1 << 30)))
+def alike(similarity: float) -> Column:
+    """Whether two nodes of sizes sa, sb and parities bits_a, bits_b may be so similar."""
+    sizes = F.least("sa", "sb") >= F.lit(similarity) * F.greatest("sa", "sb") - 1e-9
+    return sizes & (_differ("bits_a", "bits_b") <= (F.col("sa") + F.col("sb")) * _apart(similarity) + 1e-9)
+
+
+def resolve(crowd: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``roots`` with all links within the cells of ``crowd``: stars around one node a cell, then around 64, 4,096, ... of them.
+
+    Only nodes of different components are compared, and only where the bounds leave a link possible.
+    """
+    crowd = crowd.withColumn("rank", F.pmod(F.xxhash64("node", "cell"), F.lit(1 << 30)) * F.col("n") / F.lit(float(1 << 30)))
     crowd = materialize(crowd.join(_own(sets, crowd), "node").withColumn("s", F.col("size") - F.col("u")), "minhash-crowd")
-    roots = connected_components(found)
     before, pivots, alive = 0, 1, _alive(crowd, roots, similarity)
     while not alive.isEmpty():
         # The node of the least u is a pivot in any case; ranks below ``before`` were pivots in an earlier round.
@@ -161,7 +180,7 @@ def components(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY
         close = (F.col("u") + F.col("u_p") + F.abs(F.col("s") - F.col("s_p")) <= most) & (_differ("bits", "bits_p") <= most)
         met = alive.join(mid, "cell").where((F.col("root") != F.col("root_p")) & close)
         pairs = materialize(met.select(F.least("node", "node_p").alias("a"), F.greatest("node", "node_p").alias("b")).distinct(), "minhash-pairs")
-        more, left = _similar(pairs, sets, similarity), alive.where(F.col("n") > pivots)
+        more, left = similar_pairs(pairs, sets, similarity), alive.where(F.col("n") > pivots)
         if more.isEmpty():
             alive = left
         else:
