@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from fennwick.llm.ann import op8_ann
+from fennwick.llm.conversations import SQL as REPAIR_SQL
+from fennwick.llm.conversations import op12_repair
 from fennwick.llm.decontam import op7_decontam
 from fennwick.llm.html_extract import op6_html
 from fennwick.llm.langid import op5_langid
@@ -21,11 +23,11 @@ from fennwick.llm.token_files import op4_tokens
 def queries() -> dict:
     import corpus_pipeline
 
-    found = (op1_sharding, op2_simhash, op3_pii, op4_tokens, op5_langid, op6_html, op7_decontam, op8_ann, op9_quality, op10_packing, op11_minhash, op13_names)
+    found = (op1_sharding, op2_simhash, op3_pii, op4_tokens, op5_langid, op6_html, op7_decontam, op8_ann, op9_quality, op10_packing, op11_minhash, op12_repair, op13_names)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"op11_minhash": OPH_SQL, "op13_names": NAMES_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op11_minhash": OPH_SQL, "op12_repair": REPAIR_SQL, "op13_names": NAMES_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
