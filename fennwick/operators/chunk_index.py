@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fennwick.functions import text as T
-from fennwick.tables import spread
+from fennwick.operators import posting_blocks as B
+from fennwick.operators import title_index as I
+from fennwick.tables import materialize, spread
 
 # Fixed values of the ranking formula.
-K1, B = 1.5, 0.75
+K1, LENGTH_SHARE = 1.5, 0.75
 TITLE_BOOST = 2.2
 COVERAGE = (0.4, 0.6)
 TITLE_ALL = 1.8
@@ -27,12 +29,19 @@ CROWN, CROWN_TERM, CONTEST = r"萌王|燃王", "冠军", r"(?i)世萌|B萌|萌
 ROSTER_TERM, MEME_CHAR, POPULAR = "角色", "梗", "人气"
 PIN_ROSTER, PIN_MEME, PIN_CROWN, PIN_POPULAR = r"登场角色一览|角色萌点一览", r"用语与梗", r"得主|历年结果|举办日期及结果", r"小组赛|赛果"
 PROFILE_SECTION = "基本信息"
+#: Bytes of a row group of stored chunks: few texts are read for each one sought.
+ROW_GROUP = 4 << 20
 
 
 @dataclass
 class ChunkIndex:
     """Tables chunks (chunk_id, title, text, text_len, title_len), postings (term, chunk_id, text_tf, title_tf, text_len,
-    title_len), terms (term, df, idf) and stats (one row: n, avg_len, avg_title_len)."""
+    title_len), terms (term, df, idf) and stats (one row: n, avg_len, avg_title_len).
+
+    A stored index keeps its postings in ``blocks`` (``postings`` decodes them), and a dictionary of its ``titles`` with
+    their ``grams``; ``numbers`` is the row of stats, read once. Its folder may hold several segments, as a stream or
+    several builds leave them: they are read as one index, and ``merge_indexes`` makes one of them.
+    """
 
     chunks: DataFrame
     postings: DataFrame
@@ -40,25 +49,97 @@ class ChunkIndex:
     stats: DataFrame
     themes: list[str] = field(default_factory=list)
     segmenter: T.Segmenter = T.word_runs
+    tokens: DataFrame | None = None
+    blocks: DataFrame | None = None
+    titles: DataFrame | None = None
+    grams: DataFrame | None = None
+    numbers: dict | None = None
 
     def save(self, path: str) -> ChunkIndex:
-        """Write the index and read it back. Terms and statistics are taken from the written tables, not computed anew."""
+        """Write the index and read it back. Texts are tokenized once; everything else is taken from what that wrote."""
         spark = self.chunks.sparkSession
-        self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-        # Files sorted by term: a query's terms are found by the statistics of row groups. Ranges of (term, chunk_id), so
-        # that the commonest term's postings are dealt to as many files as they need. Counted from the written chunks.
-        postings = _postings(spread(spark.read.parquet(f"{path}/chunks")), self.segmenter)
-        postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
-        terms, stats = _statistics(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/postings"))
-        terms.write.mode("overwrite").parquet(f"{path}/terms")
-        stats.write.mode("overwrite").parquet(f"{path}/stats")
+        tokens = materialize(_tokens(spread(self.tokens), self.segmenter), "index-tokens") if self.tokens is not None else None
+        chunks = _sized(tokens) if tokens is not None else self.chunks
+        postings = _postings(tokens) if tokens is not None else self.postings
+        write_segment(chunks, B.cut_blocks(postings), path)
         spark.createDataFrame([(t,) for t in self.themes], "theme string").write.mode("overwrite").parquet(f"{path}/themes")
-        return ChunkIndex.load(spark, path)
+        return ChunkIndex.load(spark, path, self.segmenter)
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> ChunkIndex:
-        tables = [spark.read.parquet(f"{path}/{t}") for t in ("chunks", "postings", "terms", "stats")]
-        return ChunkIndex(*tables, themes=sorted(r["theme"] for r in spark.read.parquet(f"{path}/themes").collect()))
+    def load(spark: SparkSession, path: str, segmenter: T.Segmenter = T.word_runs) -> ChunkIndex:
+        """The index in a folder, or in its folders ``segment=...`` together. Queries must be cut as its texts were: ``segmenter``."""
+        parts = segments_of(spark, path)
+        tables = {t: spark.read.parquet(*[f"{p}/{t}" for p in parts]) for t in ("chunks", "blocks", "terms", "stats", "titles", "grams", "themes")}
+        tables = {t: df.drop("segment") for t, df in tables.items()}
+        stats = _merged_stats(tables["stats"])
+        numbers = stats.first().asDict()
+        terms = tables["terms"]
+        if len(parts) > 1:  # bounds by the averages of all segments
+            tables["blocks"] = tables["blocks"].withColumn("bound", bound_of(numbers))
+            terms = B.levels(tables["blocks"])
+        terms = terms.withColumn("idf", F.log(1 + (F.lit(numbers["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+        themes = sorted({r["theme"] for r in tables["themes"].distinct().collect()})
+        return ChunkIndex(tables["chunks"], B.decoded(tables["blocks"]), terms, stats, themes, segmenter, None, tables["blocks"], tables["titles"], tables["grams"], numbers)
+
+
+def segments_of(spark: SparkSession, path: str) -> list[str]:
+    """The folders of an index's segments: the folder itself, or those named ``segment=...`` in it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(folder, "segment=*/stats/_SUCCESS"))
+    return sorted(str(f.getPath().getParent().getParent()) for f in found or []) or [path]
+
+
+def write_segment(chunks: DataFrame, blocks: DataFrame, path: str) -> None:
+    """Write a segment's tables: chunks by id in small row groups, blocks by term and falling bound, and what follows from them.
+
+    The statistics come last: a folder without them is no segment.
+    """
+    spark = chunks.sparkSession
+    chunks.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/chunks")
+    chunks = spark.read.parquet(f"{path}/chunks")
+    totals = chunks.agg(F.count("*").alias("n"), F.sum("text_len").alias("total_len"), F.sum("title_len").alias("total_title_len"))
+    totals = spark.createDataFrame(totals.collect(), totals.schema)  # one row
+    numbers = _merged_stats(totals).first().asDict()
+    B.by_bound(blocks, bound_of(numbers)).write.mode("overwrite").options(**B.PACKED).parquet(f"{path}/blocks")
+    B.levels(spark.read.parquet(f"{path}/blocks")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    I.title_table(chunks).repartitionByRange("name").sortWithinPartitions("name").write.mode("overwrite").parquet(f"{path}/titles")
+    grams = I.gram_table(spark.read.parquet(f"{path}/titles"))
+    grams.repartitionByRange("gram", "hash").sortWithinPartitions("gram", "hash").write.mode("overwrite").parquet(f"{path}/grams")
+    totals.write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def _merged_stats(totals: DataFrame) -> DataFrame:
+    """The one row (n, avg_len, avg_title_len) of one segment's totals or several."""
+    summed = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("total_len").alias("a"), F.sum("total_title_len").alias("b"))
+    return summed.select("n", (F.col("a") / F.nullif("n", F.lit(0))).alias("avg_len"), (F.col("b") / F.nullif("n", F.lit(0))).alias("avg_title_len"))
+
+
+def bound_of(numbers: dict) -> Column:
+    """What a block's term adds to a chunk's score at most, without its idf."""
+    average = [F.lit(float(numbers[c] or 0)) for c in ("avg_len", "avg_title_len")]
+    text = F.when(F.col("top_text_tf") > 0, _weight(F.col("top_text_tf"), F.col("low_text_len"), average[0])).otherwise(0.0)
+    return text + F.when(F.col("top_title_tf") > 0, TITLE_BOOST * _weight(F.col("top_title_tf"), F.col("low_title_len"), average[1])).otherwise(0.0)
+
+
+def merge_indexes(spark: SparkSession, paths: list[str], out: str) -> ChunkIndex:
+    """One stored index of several, whose chunk ids are moved on by what came before; no text is tokenized anew.
+
+    Blocks keep their lists, as these count from the block's first chunk; only their order follows the new averages.
+    """
+    chunks, blocks, themes, shift = None, None, set(), 0
+    for path in paths:  # a few named indexes
+        index = ChunkIndex.load(spark, path)
+        low, high = index.chunks.agg(F.min("chunk_id"), F.max("chunk_id")).first()
+        move = F.lit(shift - (low or 0))
+        part = index.chunks.withColumn("chunk_id", F.col("chunk_id") + move)
+        held = index.blocks.drop("bound").withColumn("first_id", F.col("first_id") + move).withColumn("last_id", F.col("last_id") + move)
+        chunks, blocks = (part, held) if chunks is None else (chunks.unionByName(part), blocks.unionByName(held))
+        themes |= set(index.themes)
+        shift += (high or 0) - (low or 0) + 1
+    write_segment(chunks, blocks, out)
+    spark.createDataFrame([(t,) for t in sorted(themes)], "theme string").write.mode("overwrite").parquet(f"{out}/themes")
+    return ChunkIndex.load(spark, out)
 
 
 def build_index(chunks: DataFrame, themes: list[str] = (), segmenter: T.Segmenter = T.word_runs) -> ChunkIndex:
@@ -67,27 +148,30 @@ def build_index(chunks: DataFrame, themes: list[str] = (), segmenter: T.Segmente
     The tables are lazy; ``save`` computes each once.
     """
     rows = chunks.select("chunk_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
-    held = rows.withColumn("_text", F.size(T.tokenize(F.col("text"), segmenter=segmenter))).where("_text > 0")
-    titles = F.size(T.tokenize(F.col("title"), segmenter=segmenter))
-    sized = held.select("chunk_id", "title", "text", F.col("_text").alias("text_len"), F.greatest(titles, F.lit(1)).alias("title_len"))
-    postings = _postings(sized, segmenter)
-    return ChunkIndex(sized, postings, *_statistics(sized, postings), sorted({re.sub(r"\s+", "", t).lower() for t in themes}), segmenter)
-
-
-def _postings(sized: DataFrame, segmenter: T.Segmenter) -> DataFrame:
-    """Postings of ``sized`` chunks. Counts are summed within a task before they are dealt by term and chunk."""
-    one = lambda tokens, x, y: F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(x).alias("x"), F.lit(y).alias("y")))
-    both = F.concat(one(T.tokenize(F.col("text"), segmenter=segmenter), 1, 0), one(T.tokenize(F.col("title"), segmenter=segmenter), 0, 1))
-    rows = sized.select("chunk_id", "text_len", "title_len", F.explode(both).alias("p"))
-    return rows.groupBy("p.term", "chunk_id").agg(F.sum("p.x").alias("text_tf"), F.sum("p.y").alias("title_tf"), F.first("text_len").alias("text_len"), F.first("title_len").alias("title_len"))
-
-
-def _statistics(chunks: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Terms (term, df, idf) and the one row (n, avg_len, avg_title_len)."""
-    stats = chunks.agg(F.count("*").alias("n"), F.avg("text_len").alias("avg_len"), F.avg("title_len").alias("avg_title_len"))
+    tokens = _tokens(rows, segmenter)
+    sized, postings = _sized(tokens), _postings(tokens)
+    stats = _merged_stats(sized.agg(F.count("*").alias("n"), F.sum("text_len").alias("total_len"), F.sum("title_len").alias("total_title_len")))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", idf.alias("idf")), stats  # one row
+    terms = df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", idf.alias("idf"))  # one row
+    return ChunkIndex(sized, postings, terms, stats, sorted({re.sub(r"\s+", "", t).lower() for t in themes}), segmenter, rows)
+
+
+def _tokens(rows: DataFrame, segmenter: T.Segmenter) -> DataFrame:
+    """``rows`` (chunk_id, title, text) with the terms of both; chunks without any text term are left out."""
+    cut = rows.select("chunk_id", "title", "text", T.tokenize(F.col("text"), segmenter=segmenter).alias("a"), T.tokenize(F.col("title"), segmenter=segmenter).alias("b"))
+    return cut.where(F.size("a") > 0)
+
+
+def _sized(tokens: DataFrame) -> DataFrame:
+    return tokens.select("chunk_id", "title", "text", F.size("a").alias("text_len"), F.greatest(F.size("b"), F.lit(1)).alias("title_len"))
+
+
+def _postings(tokens: DataFrame) -> DataFrame:
+    """Postings of tokenized chunks. Counts are summed within a task before they are dealt by term and chunk."""
+    one = lambda column, x, y: F.transform(column, lambda t: F.struct(t.alias("term"), F.lit(x).alias("x"), F.lit(y).alias("y")))
+    rows = tokens.select("chunk_id", F.size("a").alias("text_len"), F.greatest(F.size("b"), F.lit(1)).alias("title_len"), F.explode(F.concat(one("a", 1, 0), one("b", 0, 1))).alias("p"))
+    return rows.groupBy("p.term", "chunk_id").agg(F.sum("p.x").alias("text_tf"), F.sum("p.y").alias("title_tf"), F.first("text_len").alias("text_len"), F.first("title_len").alias("title_len"))
 
 
 def topics(chunks: DataFrame, position: str = "chunk_id") -> DataFrame:
@@ -111,7 +195,7 @@ class QueryPlan:
 
 def driver_terms(spark: SparkSession, text: str, segmenter: T.Segmenter) -> list[str]:
     """Distinct query terms of one short string."""
-    return spark.sql("SELECT :q AS q", args={"q": text}).select(F.array_distinct(T.tokenize(F.col("q"), True, segmenter)).alias("t")).first()["t"]
+    return spark.sql("SELECT * FROM VALUES (:q) AS t(q)", args={"q": text}).select(F.array_distinct(T.tokenize(F.col("q"), True, segmenter)).alias("t")).first()["t"]
 
 
 def theme_of(terms: list[str], fits: dict[str, list[str]], intent) -> str | None:
@@ -126,7 +210,8 @@ def read_query(spark: SparkSession, query: str, themes: list[str], segmenter: T.
     A theme holds a term as a whole or by its characters near each other in order.
     """
     q, added = F.col("q"), [F.lit(SUBJECT_TERM), F.lit(CROWN_TERM)]
-    row = spark.sql("SELECT :q AS q", args={"q": query}).select("q", T.clean_query(q).alias("cleaned"))
+    # A row of constants: the optimizer itself evaluates what is read from it, so no job runs.
+    row = spark.sql("SELECT * FROM VALUES (:q) AS t(q)", args={"q": query}).select("q", T.clean_query(q).alias("cleaned"))
     row = row.select("q", "cleaned", T.tokenize(F.col("cleaned"), True, segmenter).alias("a"), T.tokenize(q, True, segmenter).alias("b"))
     row = row.select("q", "cleaned", F.array_distinct(F.when(F.size("a") > 0, F.col("a")).otherwise(F.col("b"))).alias("terms"))
     candidates = F.concat(F.col("terms"), F.array(*added))
@@ -162,7 +247,7 @@ def plan_query(spark: SparkSession, query: str, themes: list[str], top_k: int =
 
 
 def _weight(tf: Column, length: Column, average: Column) -> Column:
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.greatest(average, F.lit(1e-6))))
+    return tf * (K1 + 1) / (tf + K1 * (1 - LENGTH_SHARE + LENGTH_SHARE * length / F.greatest(average, F.lit(1e-6))))
 
 
 def match_terms(index: ChunkIndex, wanted: DataFrame) -> DataFrame:
@@ -253,11 +338,14 @@ def best_chunks(index: ChunkIndex, plan: QueryPlan) -> DataFrame:
     return _with_text(index, plan, rows, total)
 
 
-def rank_chunks(scored: DataFrame, plan: QueryPlan, chunks: DataFrame | None = None) -> DataFrame:
+def without_separators(text: str) -> str:
+    return re.sub(r"[\s·・\-—]+", "", text)
+
+
+def rank_chunks(scored: DataFrame, plan: QueryPlan, profile: bool = True) -> DataFrame:
     """The best ``top_k`` chunks with their rank: pinned ones or the profile first, then by score and chunk_id.
 
-    ``chunks``, the index's table, tells cheaply whether there is a profile at all. Only rows that fit a pin are ranked
-    within their title; the others go through a top-k.
+    Without ``profile`` none is sought. Only rows that fit a pin are ranked within their title; the others go through a top-k.
     """
     by_score, k = [F.col("score").desc(), F.col("chunk_id").asc()], max(1, plan.top_k)
     if plan.pin:
@@ -268,10 +356,10 @@ def rank_chunks(scored: DataFrame, plan: QueryPlan, chunks: DataFrame | None = N
         first = scored.where(fits).withColumn("_place", place).where(F.col("_place") <= PIN_LIMIT).drop("_place").orderBy(*by_score).limit(k)
     else:
         first = None
-        flat = re.sub(r"[\s·・\-—]+", "", plan.flat)
+        flat = without_separators(plan.flat)
         parts = F.split("title", " / ")
         fits = (F.get(parts, F.lit(1)) == PROFILE_SECTION) & (F.regexp_replace(parts[0], r"(?U)[\s·・\-—]+", "") == flat) & F.lit(len(flat) >= 2)
-        if len(flat) >= 2 and (chunks is None or not chunks.where(fits).isEmpty()):  # reads titles only, and spares a second scoring
+        if profile and len(flat) >= 2:
             first = scored.where(fits).orderBy(*by_score).limit(1)
     order = [F.col("_first").desc(), *by_score]
     best = scored.orderBy(*by_score).limit(k).withColumn("_first", F.lit(False))
@@ -282,18 +370,21 @@ def rank_chunks(scored: DataFrame, plan: QueryPlan, chunks: DataFrame | None = N
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # top_k rows
 
 
-def search(index: ChunkIndex, query: str, top_k: int = 4, max_chars: int = 300, as_of: datetime.date | None = None, segmenter: T.Segmenter = T.word_runs) -> DataFrame:
-    """(rank, title, text, score): the best chunks for a query, each cut to a window around what it met."""
+def search(index: ChunkIndex, query: str, top_k: int = 4, max_chars: int = 300, as_of: datetime.date | None = None, segmenter: T.Segmenter | None = None) -> DataFrame:
+    """(rank, title, text, score): the best chunks for a query, each cut to a window around what it met.
+
+    A stored index is searched by its blocks (``pruned.candidates``), any other by scoring all chunks that hold a term.
+    """
+    from fennwick.operators import pruned  # which builds on this module
+
     spark = index.chunks.sparkSession
-    plan = plan_query(spark, (query or "").strip(), index.themes, top_k, max_chars, as_of, segmenter)
+    plan = plan_query(spark, (query or "").strip(), index.themes, top_k, max_chars, as_of, segmenter or index.segmenter)
     if plan is None:
         return spark.createDataFrame([], "rank int, title string, text string, score double")
-    flat = re.sub(r"[\s·・\-—]+", "", plan.flat)
-    title = F.regexp_replace(F.split("title", " / ")[0], r"(?U)[\s·・\-—]+", "")
-    # A pin or a profile may stand first without being among the best, so then all candidates are scored.
-    special = bool(plan.pin) or (len(flat) >= 2 and not index.chunks.where((title == flat) & F.col("title").contains(PROFILE_SECTION)).isEmpty())
-    scored = score_chunks(index, plan) if special else best_chunks(index, plan)
-    ranked = rank_chunks(scored, plan, index.chunks if special else index.chunks.limit(0))
+    scored, profile = pruned.candidates(index, plan) if index.blocks is not None else (None, True)
+    if scored is None:
+        scored = score_chunks(index, plan)
+    ranked = rank_chunks(scored, plan, profile)
     ranked = ranked.withColumn("_needle", T.needle_of(F.col("text"), plan.flat, plan.terms))
     shown = T.truncate_around(F.col("text"), F.col("_needle"), max(50, plan.max_chars))
     return ranked.select("rank", "title", shown.alias("text"), "score").orderBy("rank")

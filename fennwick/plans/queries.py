@@ -141,7 +141,7 @@ def search_batch(spark: SparkSession, d: str) -> DataFrame:
 def phrase_bonus(spark: SparkSession, d: str) -> DataFrame:
     """The best chunks by score, texts of others unread."""
     plan = _plan(["thing", "heed"])
-    return X.rank_chunks(X.best_chunks(_index(spark, d), plan), plan, chunks(spark, d).limit(0)).select("rank", "chunk_id", "title", "score")
+    return X.rank_chunks(X.best_chunks(_index(spark, d), plan), plan, profile=False).select("rank", "chunk_id", "title", "score")
 
 
 def pin_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -320,14 +320,15 @@ shown AS (SELECT doc_id, CASE WHEN n <= 300 THEN text WHEN p = 0 THEN CASE WHEN
 ELSE CASE WHEN x > 0 THEN '…' ELSE '' END || substr(text, x + 1, y - x) || CASE WHEN y < n THEN '…' ELSE '' END END AS cut FROM g)"""
 
 
-def _scored(terms: list[str], near: str = "0") -> str:
+def _scored(terms: list[str], near: str = "0", flat: str | None = None, phrases: list[str] | None = None, over: str = "1") -> str:
     """CTEs that end in ``scored`` (doc_id, source, text, score) for a list of terms, as ``score_chunks`` scores them."""
     listed, n = ", ".join(f"'{t}'" for t in terms), len(terms)
-    bonus = " + ".join([f"CASE WHEN contains(lower(text), '{''.join(terms)}') THEN 0.5 ELSE 0 END"] + [f"CASE WHEN contains(lower(text), '{t}') THEN 0.18 ELSE 0 END" for t in terms[:3]])
+    flat, phrases = "".join(terms) if flat is None else flat, terms if phrases is None else phrases
+    bonus = " + ".join([f"CASE WHEN contains(lower(text), '{flat}') THEN 0.5 ELSE 0 END"] + [f"CASE WHEN contains(lower(text), '{t}') THEN 0.18 ELSE 0 END" for t in phrases[:3]])
     return f"""{_TOKENS},
 base AS (SELECT doc_id, sum({_WEIGHT}) AS base, count(*) AS m, sum((title_tf > 0)::INT) AS it, list(term) FILTER (title_tf > 0) AS titled FROM post JOIN terms USING (term) JOIN chunk USING (doc_id), stats WHERE term IN ({listed}) GROUP BY 1),
 cov AS (SELECT *, base * (0.4 + 0.6 * m / {n}) * CASE WHEN m = {n} AND it = {n} THEN 1.8 ELSE 1 END AS s FROM base),
-scored AS (SELECT doc_id, source, text, round(s + ({bonus}) * greatest(s, 1) + ({near}), 3) AS score FROM cov JOIN chunk USING (doc_id))"""
+scored AS (SELECT doc_id, source, text, round((s + ({bonus}) * greatest(s, 1)) * ({over}) + ({near}), 3) AS score FROM cov JOIN chunk USING (doc_id))"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,16 +11,15 @@ from fennwick.operators.chunk_index import build_index
 
 
 def stream_postings(chunks: DataFrame, out: str, checkpoint: str, segmenter: T.Segmenter = T.word_runs) -> StreamingQuery:
-    """Write each batch of a stream of chunks (chunk_id, title, text) as chunks and postings under ``out``.
+    """Write each batch of a stream of chunks (chunk_id, title, text) as a segment of the index in ``out``.
 
-    A batch is written to a folder of its own number, so a batch that is tried again replaces itself. Terms and
-    statistics are aggregates over what is there, taken when an index is loaded.
+    A batch is written to the folder of its number, so a batch that is tried again replaces itself. ``ChunkIndex.load`` reads
+    all segments as one index, with the statistics of them all; ``merge_indexes`` makes one of many. Null texts and titles are
+    empty; a batch without any text is an empty segment; a chunk_id that comes again is a second chunk.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        index = build_index(batch, segmenter=segmenter)
-        index.chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
-        index.postings.write.mode("overwrite").parquet(f"{out}/postings/batch={number}")
+        build_index(batch, segmenter=segmenter).save(f"{out}/segment={number}")
 
     return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

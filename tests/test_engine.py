@@ -340,4 +340,5 @@ def test_stream(spark, tmp_path):
     source = tmp_path / "in"
     spark.createDataFrame([(1, "t", "eren thing"), (2, "t", "")], "chunk_id long, title string, text string").write.parquet(str(source))
     stream_postings(spark.readStream.schema("chunk_id long, title string, text string").parquet(str(source)), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    assert {r["term"] for r in spark.read.parquet(str(tmp_path / "out/postings")).collect()} == {"eren", "thing", "t"}
+    index = X.ChunkIndex.load(spark, str(tmp_path / "out"))
+    assert {r["term"] for r in index.postings.collect()} == {"eren", "thing", "t"} and index.numbers["n"] == 1

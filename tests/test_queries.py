@@ -5,9 +5,10 @@ import pytest
 
 import __spark_entry__ as contract
 from fennwick.plans import queries as engine
+from fennwick.plans import search_queries as searches
 from fennwick.plans import source_queries as sources
 
-QUERIES, SQL = engine.queries() | sources.queries(), engine.oracle_sql() | sources.oracle_sql()
+QUERIES, SQL = engine.queries() | searches.queries() | sources.queries(), engine.oracle_sql() | searches.oracle_sql() | sources.oracle_sql()
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
