@@ -16,7 +16,7 @@ from fennwick.operators import normalise as N
 from fennwick.plans import catalog_build as E
 from fennwick.sources import dictionaries as D
 from fennwick.sources import readers as R
-from fennwick.tables import stage_path
+from fennwick.tables import materialize, stage_path
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -113,14 +113,20 @@ def jsonl_typed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dictionaries(spark: SparkSession, d: str) -> DataFrame:
-    """Labels, platforms and display orders, from dictionary files that are written out of the nations (25 rows)."""
-    nations = sorted((r["n_nationkey"], r["n_name"], r["n_regionkey"]) for r in table(spark, d, "nation").collect())
-    labels = ["define:", "  types:", "    anime: &A", *(x for k, n, _ in nations for x in (f"      {k}:", '        en: "e"', f'        cn: "{n}"'))]
-    orders = ["presentation:", "  *TYPE_ANIME :", "    groups:", *(f"      r{g}: [{', '.join(str(k) for k, _, r in nations if r == g)}]" for g in sorted({r for _, _, r in nations}))]
-    platforms = ["x:", "  types:", "    game:", "      none: &N 99", *(f"      {n.lower().translate(str.maketrans('0123456789 ', 'abcdefghij_'))}: &P {k}" for k, n, _ in nations)]
-    rows = [("label", *r) for r in D.parse_labels("\n".join(labels + orders))] + [("platform", *r) for r in D.parse_platforms("\n".join(platforms))]
-    rows += [("priority", k, c, str(p)) for k, c, p in D.parse_priorities("\n".join(labels + orders))]
-    return spark.createDataFrame(rows, "what string, kind int, code int, value string")
+    """Labels, platforms and display orders, from dictionary files that are written out of the nations."""
+    nations = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    key = F.col("n_nationkey").cast("string")
+    gathered = lambda order, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text.alias("x")))), lambda r: r["x"]), "\n")  # noqa: E731  the lines of one file
+    coded = _lines(F.concat(F.lit("      "), key, F.lit(":")), '        en: "e"', F.concat(F.lit('        cn: "'), "n_name", F.lit('"')), F.concat(F.lit("      "), key, F.lit(":")), '        cn: " "')
+    lists = nations.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_nationkey")), ", ").alias("codes"))
+    orders = lists.agg(gathered(F.col("n_regionkey"), F.concat(F.lit("      r"), F.col("n_regionkey").cast("string"), F.lit(": ["), "codes", F.lit("]"))).alias("orders"))
+    letters = F.translate(F.lower("n_name"), "0123456789 ", "abcdefghij_")
+    made = nations.agg(gathered(F.col("n_nationkey"), coded).alias("codes"), gathered(F.col("n_nationkey"), F.concat(F.lit("      "), letters, F.lit(": &P "), key)).alias("platforms")).crossJoin(F.broadcast(orders))  # one row each
+    staffs = _lines("define:", "  types:", "    anime: &A", F.col("codes"), "presentation:", "  *TYPE_ANIME :", "    groups:", F.col("orders"))
+    files = made.select(F.explode(F.array(F.struct(F.lit("subject_staffs").alias("doc"), staffs.alias("text")), F.struct(F.lit("subject_platforms").alias("doc"), _lines("x:", "  types:", "    game:", "      none: &N 99", F.col("platforms")).alias("text")))).alias("f")).select("f.*")
+    found = D.dictionaries_of(materialize(files, "dictionary-files"))
+    rows = [found[name].select(F.lit(what).alias("what"), "kind", "code", F.col(value).cast("string").alias("value")) for name, what, value in (("staff", "label", "label"), ("platform", "platform", "label"), ("staff_priority", "priority", "priority"))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 def packed_chunks(spark: SparkSession, d: str) -> DataFrame:

@@ -281,9 +281,13 @@ defaults:
 
 
 def test_dictionaries(spark, tmp_path):
-    assert D.parse_labels(LABELS) == [(2, 1, "原作")]
-    assert D.parse_priorities(LABELS) == [(2, 1, 100), (2, 29, 102), (2, 74, 200), (2, 2, 201)]
-    assert D.parse_platforms(PLATFORMS) == [(2, 1, "TV"), (2, 7, "VR"), (4, 4001, "游戏")]
+    lines = lambda text: D.outline(spark.createDataFrame([("x", text)], "doc string, text string"))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(D.labels(lines(LABELS))) == [(2, 1, "原作")]
+    assert rows(D.priorities(lines(LABELS))) == [(2, 1, 100), (2, 2, 201), (2, 29, 102), (2, 74, 200)]
+    assert rows(D.platforms(lines(PLATFORMS))) == [(2, 1, "TV"), (2, 7, "VR"), (4, 4001, "游戏")]
+    twice = 'define:\n  types:\n    anime: &A\n      1:\n        cn: "first"\n        cn: "second"\n      1:\n        cn: "last"\n      1:\n        cn: " "\n  x:\n    cn: "no"\n'
+    assert rows(D.labels(lines(twice))) == [(2, 1, "last")] and rows(D.labels(lines(None))) == [] == rows(D.labels(lines("")))
     (tmp_path / "subject_staffs.yml").write_text(LABELS)
     dims = D.read_dictionaries(spark, str(tmp_path))
     assert dims["staff"].count() == 1 and dims["staff_priority"].count() == 4 and dims["platform"].collect() == []
