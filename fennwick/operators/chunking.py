@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fennwick.functions import cleaning as L
+from fennwick.functions.entities import unescape
 from fennwick.functions.text import squeeze, strip
 
 # Fixed values of the packing.
@@ -163,28 +168,57 @@ def playable_names(articles: DataFrame) -> DataFrame:
     alone = strip(F.regexp_replace(line, rf"(?:{ELEMENTS})?(?:{PATHS})$", ""))
     beside = F.regexp_extract(line, rf"^(\S{{1,20}}?)(?:{ELEMENTS})?(?:{PATHS_LATE}) / CV：", 1)
     name = F.when(spaced != "", spaced).when(F.col("next").startswith("CV："), alone).otherwise(beside)
-    for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        name = F.replace(name, F.lit(entity), F.lit(mark))
-    return rows.select(name.alias("allowed")).where("allowed <> ''").distinct()
+    return rows.select(unescape(name).alias("allowed")).where("allowed <> ''").distinct()
+
+
+#: Base of the hashes of pieces, modulo 2**64.
+PIECE_BASE = 0x9E3779B97F4A7C15
+
+
+def piece_hashes(names: DataFrame, lengths: list[int]) -> DataFrame:
+    """(name, size, hash) of the pieces of ``names`` that have one of the ``lengths``; a piece that comes again is one row.
+
+    A hash is a polynomial in the code points, so that all pieces of a length come from prefix sums: a name of n code points
+    costs n steps for each length, however long the pieces are.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                points = np.frombuffer(name.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+                n = len(points)
+                powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, PIECE_BASE, np.uint64)]), dtype=np.uint64)
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(points * powers[:n], dtype=np.uint64)])
+                found = {size: np.unique((sums[size:] - sums[: n + 1 - size]) * powers[n - np.arange(n + 1 - size)]) for size in lengths if size <= n}
+                # Brought to one power, so that a piece has the same hash wherever it stands; the power depends on the name.
+                back = pow(PIECE_BASE, -n, 1 << 64)
+                for size, hashes in found.items():
+                    hashes = (hashes * np.uint64(back)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(hashes), pa.string()), pa.array(np.full(len(hashes), size, np.int32)), pa.array(hashes)], names=["name", "size", "hash"])
+
+    return names.select("name").mapInArrow(cut, "name string, size int, hash long")
 
 
 def playable(directory: DataFrame, allowed: DataFrame) -> DataFrame:
     """Rows whose name is, holds or is held by an allowed name.
 
-    Holding is an equality of substrings: names have some ten characters, so each gives a few dozen, and the substrings are
-    joined by their value. No list is sent to all tasks, whatever its length, and no pair is tried in vain.
+    Each side's names give the hashes of their pieces, but only of the lengths that names of the other side have; pieces and
+    names are joined by hash and length, and each pair that meets is verified. No list is sent to all tasks, and no pair
+    is tried in vain. Null and empty names are never kept; a row that is there twice is kept twice.
     """
+    short = lambda d, c: d.where(F.col(c).isNotNull() & (F.col(c) != "")).select(F.col(c).alias("name")).distinct()
+    names, goods = short(directory, "name"), short(allowed, "allowed")
+    sizes = lambda d: sorted(r["n"] for r in d.select(F.length("name").alias("n")).distinct().collect())  # noqa: E731  as many as there are lengths
 
-    def pieces(name: str) -> Column:
-        n = F.length(name)
-        cut = lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col(name), i, k))
-        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), cut)))
+    def holding(whole: DataFrame, parts: DataFrame) -> DataFrame:
+        """(whole, part): names of one side that hold one of the other."""
+        lengths = sizes(parts)
+        ends = piece_hashes(parts, lengths).where(F.col("size") == F.length("name")).withColumnRenamed("name", "part")
+        met = piece_hashes(whole, lengths).withColumnRenamed("name", "whole").join(ends, ["size", "hash"])
+        return met.where(F.col("whole").contains(F.col("part"))).select("whole", "part")
 
-    short = lambda d, c: d.where(F.col(c).isNotNull() & (F.col(c) != "")).select(c).distinct()
-    names, goods = short(directory, "name"), short(allowed, "allowed")
-    held = names.join(goods.select(F.explode(pieces("allowed")).alias("name")).distinct(), "name", "left_semi")
-    holding = names.select("name", F.explode(pieces("name")).alias("allowed")).join(goods, "allowed", "left_semi").select("name")
-    return directory.join(held.union(holding).distinct(), "name", "left_semi").select(*directory.columns)
+    kept = holding(names, goods).select(F.col("whole").alias("name")).union(holding(goods, names).select("part")).distinct()
+    return directory.join(kept, "name", "left_semi").select(*directory.columns)
 
 
 def directory_chunks(directory: DataFrame, theme: str, edits: DataFrame | None = None, most: int = 10) -> DataFrame:
