@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fennwick.functions import catalog as C
@@ -48,17 +48,17 @@ def _index(spark: SparkSession, d: str) -> X.ChunkIndex:
     return X.ChunkIndex.load(spark, _saved(spark.sparkContext.applicationId, d))
 
 
-def works(spark: SparkSession, d: str) -> DataFrame:
+def works(spark: SparkSession, d: str, name: Column | None = None) -> DataFrame:
     """Parts as works of type 2."""
-    return table(spark, d, "part").select(
+    return table(spark, d, "part").withColumn("p_name", F.col("p_name") if name is None else name).select(
         F.lit("subject").alias("kind"), F.col("p_partkey").alias("source_id"), F.lit(2).alias("subject_type"), F.col("p_name").alias("name_cn"), F.concat(F.lit("标签："), "p_type", F.lit("、"), "p_brand").alias("extra"),
         F.concat(F.lit("20"), F.lpad((F.col("p_size") % 25).cast("string"), 2, "0"), F.lit("-"), F.lpad((F.col("p_size") % 12 + 1).cast("string"), 2, "0")).alias("ym"), F.col("p_retailprice").alias("score"), F.col("p_size").cast("long").alias("favorite"),
     )
 
 
-def catalog(spark: SparkSession, d: str) -> Q.Catalog:
+def catalog(spark: SparkSession, d: str, name: Column | None = None) -> Q.Catalog:
     """Works as a catalog: dates on the first of their month, the brand as summary."""
-    docs = works(spark, d).select(
+    docs = works(spark, d, name).select(
         "*", F.col("source_id").alias("rowid"), F.col("name_cn").alias("name"), F.concat("ym", F.lit("-01")).alias("date"), F.substring_index("extra", "、", -1).alias("summary"), F.lit("").alias("relations"), F.lit("").alias("infobox")
     )
     postings, lengths = Q.build_postings(docs.select(F.col("rowid").alias("doc_id"), "name", F.concat_ws(" ", "summary", F.regexp_replace("extra", "^标签：", "")).alias("body")))
@@ -70,6 +70,12 @@ def tool_search(spark: SparkSession, d: str) -> DataFrame:
     return catalog(spark, d).search("promo", top_k=12, max_chars=60)
 
 
+def tool_search_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Works that are named like the query come first."""
+    named = F.when(F.col("p_partkey") % 97 == 0, "promo").when(F.col("p_partkey") % 89 == 0, F.concat(F.lit("promo "), "p_name")).otherwise(F.col("p_name"))
+    return catalog(spark, d, named).search("promo", top_k=12, max_chars=60)
+
+
 def tool_season(spark: SparkSession, d: str) -> DataFrame:
     return catalog(spark, d).season(2003, 5, 20)
 
@@ -287,7 +293,7 @@ def ordered_turns(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     found = (
-        token_stats, index_stats, term_idf, bm25_single, bm25_fields, search_flagship, search_batch, phrase_bonus, pin_rank, topics, fts_prefix, season_list, browse_filter, browse_texts, tool_search, tool_season, tool_browse, tool_stats, season_lines, theme_names, registered_terms, stats_by_kind, heat_keep, keep_semi,
+        token_stats, index_stats, term_idf, bm25_single, bm25_fields, search_flagship, search_batch, phrase_bonus, pin_rank, topics, fts_prefix, season_list, browse_filter, browse_texts, tool_search, tool_search_exact, tool_season, tool_browse, tool_stats, season_lines, theme_names, registered_terms, stats_by_kind, heat_keep, keep_semi,
         relation_summary, labelled_edges, graph_links, dedupe_first, chunk_windows, readable_filter, strip_links, snippet, sentence_cut, near_in_order, infobox, last_edits, delete_listed, tag_popularity, event_windows, ordered_turns,
     )
     return {f.__name__: f for f in found}
@@ -331,6 +337,14 @@ cov AS (SELECT *, base * (0.4 + 0.6 * m / {n}) * CASE WHEN m = {n} AND it = {n}
 scored AS (SELECT doc_id, source, text, round((s + ({bonus}) * greatest(s, 1)) * ({over}) + ({near}), 3) AS score FROM cov JOIN chunk USING (doc_id))"""
 
 
+_TOOL_SEARCH = r""", t AS (SELECT source_id, p_name, p_name AS name, extra, substr(extra, 4) AS tags FROM works), tk AS (SELECT source_id, unnest(regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+')) AS w, 8 AS f FROM t UNION ALL
+SELECT source_id, unnest(regexp_extract_all(lower(split_part(extra, '、', 2) || ' ' || tags), '[\p{L}\p{N}]+')), 1 FROM t), sz AS (SELECT source_id, count(*) AS size FROM tk GROUP BY 1), st AS (SELECT count(*) AS n, avg(size) AS a FROM sz),
+h AS (SELECT 0 AS p, source_id, sum(f) AS f FROM tk WHERE w = 'promo' GROUP BY 2 UNION ALL SELECT 1, source_id, sum(f) FROM tk WHERE starts_with(w, 'promo') GROUP BY 2), np AS (SELECT p, count(*) AS k FROM h GROUP BY 1),
+r AS (SELECT source_id, sum(CASE WHEN ln((n - k + 0.5) / (k + 0.5)) > 0 THEN ln((n - k + 0.5) / (k + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / a))) AS rel FROM h JOIN np USING (p) JOIN sz USING (source_id), st GROUP BY 1),
+x AS (SELECT source_id, p_name, rel, extra || chr(10) || split_part(extra, '、', 2) AS whole FROM r JOIN t USING (source_id) ORDER BY lower(p_name) = 'promo' DESC, rel DESC, source_id LIMIT 12)
+SELECT '条目#' || source_id || ' ' || p_name AS title, CASE WHEN length(whole) > 60 THEN rtrim(left(whole, 60), ' ' || chr(10)) || '…' ELSE whole END AS text, round(rel, 3) AS score FROM x"""
+
+
 def oracle_sql() -> dict[str, str]:
     p = "strpos(lower(text), 'heed')"
     return {
@@ -375,12 +389,8 @@ NOT contains(b, chr(10)) AND (length(b) < 12 OR (NOT regexp_matches(b, '[一-鿿
         "search_flagship": f"""WITH {_scored(list(TERMS))}, top AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0 ORDER BY rank LIMIT 8),
 needle AS (SELECT *, lower(text) AS low FROM top), a AS (SELECT doc_id, text, strpos(low, CASE WHEN contains(low, '{''.join(TERMS)}') THEN '{''.join(TERMS)}' WHEN contains(low, 'thing') THEN 'thing' WHEN contains(low, 'with') THEN 'with' ELSE 'heed' END) AS p FROM needle), {_SNIPPET}
 SELECT rank::INT AS rank, source AS title, cut AS text, score FROM top JOIN shown USING (doc_id)""",
-        "tool_search": f"""WITH {_WORKS}, t AS (SELECT source_id, p_name, p_name AS name, extra, substr(extra, 4) AS tags FROM works), tk AS (SELECT source_id, unnest(regexp_extract_all(lower(p_name), '[\\p{{L}}\\p{{N}}]+')) AS w, 8 AS f FROM t UNION ALL
-SELECT source_id, unnest(regexp_extract_all(lower(split_part(extra, '、', 2) || ' ' || tags), '[\\p{{L}}\\p{{N}}]+')), 1 FROM t), sz AS (SELECT source_id, count(*) AS size FROM tk GROUP BY 1), st AS (SELECT count(*) AS n, avg(size) AS a FROM sz),
-h AS (SELECT 0 AS p, source_id, sum(f) AS f FROM tk WHERE w = 'promo' GROUP BY 2 UNION ALL SELECT 1, source_id, sum(f) FROM tk WHERE starts_with(w, 'promo') GROUP BY 2), np AS (SELECT p, count(*) AS k FROM h GROUP BY 1),
-r AS (SELECT source_id, sum(CASE WHEN ln((n - k + 0.5) / (k + 0.5)) > 0 THEN ln((n - k + 0.5) / (k + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / a))) AS rel FROM h JOIN np USING (p) JOIN sz USING (source_id), st GROUP BY 1),
-x AS (SELECT source_id, p_name, rel, extra || chr(10) || split_part(extra, '、', 2) AS whole FROM r JOIN t USING (source_id) ORDER BY lower(p_name) = 'promo' DESC, rel DESC, source_id LIMIT 12)
-SELECT '条目#' || source_id || ' ' || p_name AS title, CASE WHEN length(whole) > 60 THEN rtrim(left(whole, 60), ' ' || chr(10)) || '…' ELSE whole END AS text, round(rel, 3) AS score FROM x""",
+        "tool_search": f"WITH {_WORKS}{_TOOL_SEARCH}",
+        "tool_search_exact": f"WITH part AS (SELECT * REPLACE (CASE WHEN p_partkey % 97 = 0 THEN 'promo' WHEN p_partkey % 89 = 0 THEN 'promo ' || p_name ELSE p_name END AS p_name) FROM part), {_WORKS}{_TOOL_SEARCH}",
         "tool_season": f"""WITH {_WORKS}, w AS (SELECT * FROM works WHERE ym IN ('2003-04', '2003-05', '2003-06'))
 SELECT 2003 AS year, 4 AS start_month, '2003年4月' AS label, (SELECT count(*) FROM w) AS total, source_id, p_name AS name, ym || '-01' AS date, score, favorite, extra FROM w ORDER BY favorite DESC, score DESC, date DESC, source_id LIMIT 20""",
         "tool_browse": f"""WITH {_WORKS} SELECT '条目#' || source_id || ' ' || p_name AS title, ym || '-01 / 评分：' || score || ' / 收藏：' || favorite || chr(10) || extra || chr(10) || split_part(extra, '、', 2) AS text, score

@@ -14,6 +14,7 @@ from fennwick.functions import cleaning as L
 from fennwick.operators import chunking as K
 from fennwick.operators import normalise as N
 from fennwick.plans import catalog_build as E
+from fennwick.plans import chunk_build as B
 from fennwick.sources import dictionaries as D
 from fennwick.sources import readers as R
 from fennwick.tables import materialize, stage_path
@@ -78,6 +79,58 @@ def catalog_relations(spark: SparkSession, d: str) -> DataFrame:
     return told["subject"].select(F.lit("subject").alias("kind"), "id", "relations").unionByName(told["person"].select(F.lit("person").alias("kind"), "id", "relations"))
 
 
+def _ordered_dump(spark: SparkSession, tables: dict[str, tuple[DataFrame, list[str]]]) -> str:
+    """A folder of JSON lines, a file after the other in the order given."""
+    folder = stage_path(spark, "dump")
+    for name, (rows, order) in tables.items():
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.to_json(F.struct(*[c for c in rows.columns if c not in order])).alias("value")).write.text(f"{folder}/{name}.jsonlines")
+    return folder
+
+
+def catalog_build(spark: SparkSession, d: str) -> DataFrame:
+    """A whole build from JSON lines: parts as works, nations as characters, suppliers as persons, edges of every kind."""
+    read, key = lambda name: table(spark, d, name), ["k", "n", "a", "b"]
+    size, ties = F.col("p_size"), [F.lit(0).alias("a"), F.lit(0).alias("b")]
+    line = read("lineitem").select("l_partkey", "l_suppkey", F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+    parts = read("part").crossJoin(F.broadcast(read("part").agg(F.max("p_partkey").alias("most")))).select("p_partkey", "most")  # one row
+    born = F.concat(F.lit("20"), F.lpad((size % 25).cast("string"), 2, "0"), F.lit("-0"), (size % 9 + 1).cast("string"), F.lit("-05"))
+    works = read("part").select(
+        F.col("p_partkey").alias("id"), F.lit(2).alias("type"), F.col("p_name").alias("name"), F.lit("").alias("name_cn"), F.concat(F.lit("{{Infobox x\n|别名= "), "p_brand", F.lit("\n}}")).alias("infobox"), F.concat(F.lit(" "), "p_type", F.lit("\n")).alias("summary"), F.when(size % 3 == 0, "").otherwise(born).alias("date"),
+        (size / 2).cast("double").alias("score"), (F.col("p_partkey") % 3).cast("int").alias("rank"), F.create_map(F.lit("done"), size.cast("long")).alias("favorite"), F.array(F.struct(F.col("p_brand").alias("name"))).alias("tags"), F.lit(0).alias("k"), F.col("p_partkey").alias("n"), *ties,
+    )
+    people = read("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("").alias("infobox"), F.lit("").alias("summary"), F.array(F.lit("seiyu")).alias("career"), F.lit(0).alias("k"), F.col("s_suppkey").alias("n"), *ties)
+    figures = read("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("").alias("infobox"), F.lit("").alias("summary"), F.lit(0).alias("k"), F.col("n_nationkey").alias("n"), *ties)
+    figure = F.pmod(F.col("l_suppkey") + F.col("n"), F.lit(25))
+    tables = {
+        "subject": (works, key), "person": (people, key), "character": (figures, key),
+        "subject-characters": (line.select(F.col("l_partkey").alias("subject_id"), figure.alias("character_id"), (F.col("n") % 3 + 1).alias("type"), *key), key),
+        "subject-persons": (line.select(F.col("l_partkey").alias("subject_id"), F.col("l_suppkey").alias("person_id"), F.col("n").alias("position"), *key), key),
+        "subject-relations": (line.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_partkey").alias("subject_id"), (F.pmod(F.col("l_partkey") + F.col("l_suppkey"), F.col("most")) + 1).alias("related_subject_id"), (F.col("n") % 3).alias("relation_type"), *key), key),
+        "person-characters": (line.select(F.col("l_suppkey").alias("person_id"), F.col("l_partkey").alias("subject_id"), figure.alias("character_id"), *key), key),
+        "person-relations": (line.select(F.col("l_suppkey").alias("person_id"), (F.col("n") + 1).alias("related_person_id"), (F.col("k") % 4).alias("relation_type"), F.when(F.col("k") % 3 == 0, "crt").otherwise("prsn").alias("person_type"), *key), key),
+    }
+    dims = {name: R.labels_table(spark, rows) for name, rows in {"staff": [(2, 1, "监督"), (2, 2, "脚本")], "relation": [(2, 1, "续集")], "person_relation": [(0, 1, "师父"), (1, 1, "配偶"), (0, 2, "同事")], "platform": []}.items()}
+    dims["staff_priority"] = spark.createDataFrame([(2, 1, 200), (2, 2, 100)], "kind int, code int, priority int")
+    cfg = E.BuildConfig(today="2026-08-01", votes=0, votes_oldest=0, favorites=10, favorites_oldest=10, new_months=0)
+    built = E.build_catalog(spark, _ordered_dump(spark, tables), stage_path(spark, "catalog"), cfg, dims, "2026-07-01")
+    hits = built.postings.groupBy(F.col("doc_id").alias("rowid")).agg(F.sum("name_tf").alias("name_words"))
+    docs = built.docs.join(hits, "rowid", "left").crossJoin(F.broadcast(built.meta.select(F.col("value").alias("source_date"))))  # one row
+    return docs.select("rowid", "kind", "source_id", "name_cn", "summary", "relations", "extra", "date", "ym", "rank", F.round("score", 2).alias("score"), "favorite", F.coalesce("name_words", F.lit(0)).cast("long").alias("name_words"), "source_date")
+
+
+def chunk_build(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of a whole build: sections, those of little value gone, the first of equal texts, numbered."""
+    text = _lines(F.col("p_name"), "【概要】", F.concat_ws(" ", F.lit("This is"), "p_type", F.lit("made by"), "p_brand"), "with a full stop。", "〔尺寸〕", F.concat(F.lit("size "), F.col("p_size").cast("string")), "【外部链接】", "nothing stays")
+    return B.build_chunks(table(spark, d, "part").select(F.col("p_partkey").alias("doc"), text.alias("text"))).select("chunk_id", "title", "text")
+
+
+def long_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents as single paragraphs: those of over 1,200 characters are cut at sentence ends, longer sentences hard."""
+    whole = F.replace("text", F.lit("."), F.lit("。"))
+    rows = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("seq"), F.lit("t").alias("title"), F.array(whole).alias("paragraphs"))
+    return K.chunk_sections(rows).select(F.col("doc").alias("doc_id"), "part", F.md5("text").alias("text_md5"))
+
+
 def _dump(spark: SparkSession, rows: DataFrame, name: str) -> str:
     """A folder with ``rows`` as JSON lines and a bad line among them."""
     folder = stage_path(spark, "dump")
@@ -157,7 +210,7 @@ def thresholds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (normalised_articles, section_chunks, directory_chunks, playable_filter, catalog_relations, dictionaries, packed_chunks, jsonl_typed, jsonl_entities, jsonl_episodes, name_fields, extra_lines, thresholds)
+    found = (normalised_articles, section_chunks, directory_chunks, playable_filter, catalog_relations, dictionaries, packed_chunks, jsonl_typed, jsonl_entities, jsonl_episodes, name_fields, extra_lines, thresholds, catalog_build, chunk_build, long_paragraphs)
     return {f.__name__: f for f in found}
 
 
@@ -207,4 +260,30 @@ SELECT c_custkey, display, CASE WHEN display = c_name THEN display ELSE display
 SELECT o_orderkey, head || tv || score || rest AS extra, tv || rest AS season_extra FROM x""",
         "thresholds": """SELECT o_orderkey, CASE WHEN y <= 1996 THEN 400 WHEN y >= 2001 THEN 100 ELSE round_even(400 - 300 * ((y - 1996) / 5.0), 0) END::BIGINT AS needed,
 CASE WHEN o_orderdate::DATE > DATE '2000-06-01' THEN o_orderdate::DATE <= DATE '2000-06-01' + 1095 AND floor(o_totalprice / 100000) > 0 ELSE o_orderdate::DATE >= DATE '2000-06-01' - 180 END AS fresh FROM (SELECT *, year(o_orderdate) AS y FROM orders)""",
+        "catalog_build": f"""WITH s AS (SELECT p_partkey AS id, p_name AS name, p_size, p_size / 2.0 AS score, p_brand, p_type, p_partkey % 3 AS rk, CASE WHEN p_size % 3 = 0 THEN '' ELSE '20' || lpad((p_size % 25)::VARCHAR, 2, '0') || '-0' || (p_size % 9 + 1) || '-05' END AS date FROM part),
+ks AS (SELECT * FROM s WHERE true), l AS (SELECT *, l_orderkey AS k, l_linenumber AS n, (l_suppkey + l_linenumber) % 25 AS fig FROM lineitem),
+cast_ AS (SELECT l_partkey AS id, n_name AS label, min((n % 3 + 1, k, n, l_partkey, l_suppkey)) AS o FROM l JOIN nation ON fig = n_nationkey GROUP BY 1, 2),
+staff AS (SELECT l_partkey AS id, s_name || CASE n WHEN 1 THEN '（监督）' WHEN 2 THEN '（脚本）' ELSE '' END AS label, min((CASE n WHEN 1 THEN 200 WHEN 2 THEN 100 ELSE 9999 END, k, n, l_partkey, l_suppkey)) AS o FROM l JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+rel AS (SELECT l_partkey AS id, b.name || CASE n % 3 WHEN 1 THEN '（续集）' ELSE '' END AS label, min((k, n, l_partkey, l_suppkey)) AS o FROM l JOIN s a ON l_partkey = a.id JOIN s b ON b.id = (l_partkey + l_suppkey) % (SELECT max(p_partkey) FROM part) + 1 GROUP BY 1, 2),
+works AS (SELECT fig AS id, name || CASE n % 3 + 1 WHEN 1 THEN '（主角）' WHEN 2 THEN '（配角）' ELSE '（客串）' END AS label, min((-score, k, n, l_partkey, l_suppkey)) AS o FROM l JOIN s ON l_partkey = s.id GROUP BY 1, 2),
+act AS (SELECT fig AS id, s_name AS label, min((k, n, l_partkey, l_suppkey)) AS o FROM l JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+jobs AS (SELECT l_suppkey AS id, name || CASE n WHEN 1 THEN '（监督）' WHEN 2 THEN '（脚本）' ELSE '' END AS label, min((-score, k, n, l_partkey, l_suppkey)) AS o FROM l JOIN s ON l_partkey = s.id GROUP BY 1, 2),
+ties AS (SELECT l_suppkey AS id, s_name || '（' || how || '）' AS label, min((k, n, l_partkey, l_suppkey)) AS o FROM l JOIN supplier ON s_suppkey = n + 1 JOIN (VALUES (0, 1, '师父'), (1, 1, '配偶'), (0, 2, '同事')) v(grp, code, how) ON grp = (k % 3 = 0)::INT AND code = k % 4 GROUP BY 1, 2),
+tops AS ({" UNION ALL ".join(f"SELECT '{t}' AS t, id, string_agg(label, '、' ORDER BY o, label) AS x FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o, label) AS i FROM {t}) WHERE i <= {m} GROUP BY id" for t, m in (("cast_", 20), ("staff", 20), ("rel", 12), ("works", 12), ("act", 5), ("jobs", 12), ("ties", 12)))}),
+one AS (SELECT id, max(x) FILTER (t = 'cast_') AS c, max(x) FILTER (t = 'staff') AS st, max(x) FILTER (t = 'rel') AS r FROM tops WHERE t IN ('cast_', 'staff', 'rel') GROUP BY 1),
+two AS (SELECT id, max(x) FILTER (t = 'works') AS w, max(x) FILTER (t = 'act') AS a FROM tops WHERE t IN ('works', 'act') GROUP BY 1),
+three AS (SELECT id, max(x) FILTER (t = 'jobs') AS j, max(x) FILTER (t = 'ties') AS ti FROM tops WHERE t IN ('jobs', 'ties') GROUP BY 1),
+told AS (SELECT 0 AS ord, 'subject' AS kind, s.id AS source_id, s.name AS name_cn, s.p_type AS summary, concat_ws(' / ', '角色：' || c, '制作：' || st, '关联：' || r) AS relations,
+  concat_ws(' / ', '类型：动画', '发行日期：' || nullif(date, ''), '评分：' || nullif(s.score, 0), '排名：' || nullif(rk, 0), '标签：' || p_brand) AS extra, date, CASE WHEN date <> '' THEN left(date, 7) END AS ym, nullif(rk, 0)::INT AS rank, round(nullif(s.score, 0), 2)::DOUBLE AS score, p_size::BIGINT AS favorite,
+  len(regexp_extract_all(lower(s.name || ' ' || p_brand), '[\\p{{L}}\\p{{N}}]+')) AS name_words FROM ks s LEFT JOIN one USING (id)
+UNION ALL SELECT 1, 'character', n_nationkey, n_name, '', concat_ws(' / ', '登场：' || w, '声优：' || a), '', '', NULL, NULL, NULL, NULL, len(regexp_extract_all(lower(n_name), '[\\p{{L}}\\p{{N}}]+')) FROM nation JOIN two ON id = n_nationkey
+UNION ALL SELECT 2, 'person', s_suppkey, s_name, '', concat_ws(' / ', '参与：' || j, '关系：' || ti), '职业：seiyu', '', NULL, NULL, NULL, NULL, len(regexp_extract_all(lower(s_name), '[\\p{{L}}\\p{{N}}]+')) FROM supplier JOIN three ON id = s_suppkey)
+SELECT row_number() OVER (ORDER BY ord, source_id) AS rowid, kind, source_id, name_cn, summary, relations, extra, date, ym, rank, score, favorite, name_words, '2026-07-01' AS source_date FROM told""",
+        "chunk_build": """WITH t AS (SELECT p_partkey, p_name || ' / 概要' AS title, 'This is ' || p_type || ' made by ' || p_brand || chr(10) || 'with a full stop。' AS text FROM part)
+SELECT row_number() OVER (ORDER BY p_partkey) AS chunk_id, title, text FROM (SELECT *, row_number() OVER (PARTITION BY regexp_replace(text, '[\\s\\p{Z}]+', '', 'g') ORDER BY p_partkey) AS i FROM t) WHERE i = 1""",
+        "long_paragraphs": r"""WITH d AS (SELECT doc_id, replace(text, '.', '。') AS t FROM documents WHERE text <> ''),
+p AS (SELECT doc_id, t, CASE WHEN length(t) <= 1200 THEN [[t]] ELSE list_transform(flatten(list_transform(regexp_extract_all(t, '[^。！？；\n]+[。！？；\n]?'), lambda s: list_transform(range(0, (length(s) - 1) // 600 + 1), lambda i: substr(s, i * 600 + 1, 600)))), lambda x: [x]) END AS ps FROM d),
+c AS (SELECT doc_id, list_reduce(ps, lambda a, x: CASE WHEN length(a[-1]) + length(x[1]) <= 600 THEN list_append(a[:-2], a[-1] || x[1]) ELSE list_append(a, x[1]) END) AS c FROM p WHERE len(ps) > 0),
+m AS (SELECT doc_id, CASE WHEN len(c) >= 2 AND length(c[-1]) < 60 AND length(c[-2]) + 1 + length(c[-1]) <= 1200 THEN list_append(c[:-3], c[-2] || chr(10) || c[-1]) ELSE c END AS c FROM c)
+SELECT doc_id, (unnest(range(1, len(c) + 1)) - 1)::INT AS part, md5(unnest(c)) AS text_md5 FROM m""".replace("\\n", "\n"),
     }
