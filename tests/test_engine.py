@@ -18,6 +18,7 @@ from fennwick.plans import catalog_build as E
 from fennwick.plans import chunk_build as B
 from fennwick.sources import dictionaries as D
 from fennwick.sources import readers as R
+from fennwick.sources.store import Store, StoreConflict
 from fennwick.streaming.postings import stream_postings
 
 ARTICLE = """三月七
@@ -332,12 +333,42 @@ def test_stored_catalog(spark, catalog, tmp_path):
     rest, missing = stored.delete("subject: 1, person:999, junk", write=True)
     again = Q.Catalog.load(spark, out)
     assert missing == ["person:999"] and again.docs.count() == 5 and again.search("SAO").collect() == [] and rest.docs.count() == 5
+    assert [r["source_id"] for r in Q.Catalog.load(spark, out, 1).docs.where("kind = 'subject'").orderBy("source_id").collect()] == [1, 2]  # the version before is still there
     small = again.compact(1)
-    assert small.docs.count() == 5 and len([f for f in (tmp_path / "c" / "postings").iterdir() if f.suffix == ".parquet"]) == 1
-    E.write_graph(spark, folder, {n: R.read_jsonl(spark, folder, n) for n in R.SCHEMAS}, E.kept_ids({n: R.read_jsonl(spark, folder, n) for n in R.SCHEMAS}, E.BuildConfig("2026-08-01")), out)
-    links = {tuple(r) for r in spark.read.parquet(f"{out}/links").select("owner_kind", "owner_id", "target_kind", "target_id").collect()}
-    assert {("subject", 1, "character", 10), ("person", 21, "character", 10)} <= links and not any(r[0] == "subject" and r[1] == 3 for r in links)
-    assert [(r["id"], r["name"], r["sort"]) for r in spark.read.parquet(f"{out}/episodes").collect()] == [(1, "f", 0.0)]
+    assert small.docs.count() == 5 and small.version == 3 and len(small.postings.inputFiles()) == 1
+    gone = Store(spark, out).vacuum()
+    assert len(gone) == 5 and Q.Catalog.load(spark, out).docs.count() == 5 and Store(spark, out).versions() == [3]
+    with pytest.raises(StoreConflict):
+        again.compact()  # made from a version that is no longer the last
+    built = E.build_catalog(spark, folder, str(tmp_path / "graph"), E.BuildConfig("2026-08-01", with_graph=True), {n: spark.createDataFrame([], "kind int, code int, label string") for n in ("staff", "relation", "person_relation", "platform")} | {"staff_priority": spark.createDataFrame([], "kind int, code int, priority int")})
+    ends = lambda c: {tuple(r) for r in c.links.select("owner_kind", "owner_id", "target_kind", "target_id").collect()}
+    assert {("subject", 1, "character", 10), ("person", 21, "character", 10)} <= ends(built) and not any(r[0] == "subject" and r[1] == 3 for r in ends(built))
+    assert [(r["id"], r["name"], r["sort"]) for r in built.episodes.collect()] == [(1, "f", 0.0)]
+    for less in (built.delete("subject:1")[0], built.delete("subject:1", write=True)[0], Q.Catalog.load(spark, str(tmp_path / "graph")).compact()):
+        assert ("person", 21, "character", 10) in ends(less) and not any(("subject", 1) in (r[:2], r[2:]) for r in ends(less)) and less.episodes.collect() == []
+
+
+def test_a_crash_leaves_the_version_before(spark, catalog, tmp_path, monkeypatch):
+    import shutil
+
+    out = str(tmp_path / "c")
+    shutil.copytree(catalog[0].path, out)
+    before = sorted(r["rowid"] for r in Q.Catalog.load(spark, out).docs.collect())
+    write, written = Store.write, []
+
+    def dies(self, name, rows, **options):
+        if len(written) == 2:
+            raise OSError("gone")
+        written.append(name)
+        return write(self, name, rows, **options)
+
+    monkeypatch.setattr(Store, "write", dies)
+    with pytest.raises(OSError):
+        Q.Catalog.load(spark, out).compact()
+    monkeypatch.undo()
+    again = Q.Catalog.load(spark, out)
+    assert len(written) == 2 and again.version == 1 and sorted(r["rowid"] for r in again.docs.collect()) == before
+    assert again.compact().version == 2 and len(Store(spark, out).vacuum()) == 6
 
 
 def test_stream(spark, tmp_path):
