@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fennwick.operators import chunk_index as X
+from fennwick.operators import word_graph as G
 from fennwick.plans import queries as Q
 from fennwick.tables import stage_path
 
@@ -82,8 +83,16 @@ def merged_index(spark: SparkSession, d: str) -> DataFrame:
     return X.merge_indexes(spark, paths[:2], paths[2]).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+def word_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Names of parts without their spaces, cut into words by the frequencies of all words in names and types."""
+    parts = Q.table(spark, d, "part")
+    words = parts.select(F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("term")).groupBy("term").agg(F.count("*").alias("freq"))
+    texts = parts.select(F.col("p_partkey").alias("id"), F.regexp_replace(F.concat("p_name", F.lit("zq"), "p_type"), " ", "").alias("text"))
+    return G.segment(texts, words, pattern="[a-z]+", search=False).select(F.col("id").alias("p_partkey"), F.array_join("terms", " ").alias("terms"))
+
+
 def queries() -> dict:
-    found = (search_theme, search_meme, search_crown, search_popular, search_profile, search_subjective, search_overview, posting_blocks, merged_index)
+    found = (search_theme, search_meme, search_crown, search_popular, search_profile, search_subjective, search_overview, posting_blocks, merged_index, word_graph)
     return {f.__name__: f for f in found}
 
 
@@ -116,4 +125,13 @@ def oracle_sql() -> dict[str, str]:
         "search_overview": _ranked(["heed", "thing"], "heedthing", ["heed", "thing"], over="CASE WHEN regexp_matches(source, '简介|基本信息|介绍|概述|游戏简介|设定') THEN 1.6 ELSE 1 END"),
         "posting_blocks": f"WITH {Q._TOKENS} SELECT term, count(*) AS n, sum(doc_id)::BIGINT AS chunk_id, sum(text_tf)::BIGINT AS text_tf, sum(title_tf)::BIGINT AS title_tf, sum(text_len)::BIGINT AS text_len, sum(title_len)::BIGINT AS title_len FROM post JOIN chunk USING (doc_id) GROUP BY 1",
         "merged_index": f"WITH {Q._TOKENS} SELECT term, df, round(idf, 6) AS idf FROM terms",
+        "word_graph": """WITH w AS (SELECT term, count(*) AS freq FROM (SELECT unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS term FROM part) WHERE term <> '' GROUP BY 1), t AS (SELECT ln(sum(freq)) AS total FROM w),
+r AS (SELECT p_partkey, lower(replace(p_name || 'zq' || p_type, ' ', '')) AS run FROM part), d AS (SELECT DISTINCT run FROM r), at_ AS (SELECT run, unnest(range(1, length(run) + 1)) AS i FROM d),
+p AS (SELECT run, i, unnest(range(1, least(16, length(run) - i + 1) + 1)) AS n FROM at_),
+e AS (SELECT run, i, n, ln(coalesce(freq, 1)::DOUBLE) - total AS wt FROM p LEFT JOIN w ON term = substr(run, i, n), t WHERE freq IS NOT NULL OR n = 1),
+g AS (SELECT run, i, [list(n::DOUBLE ORDER BY n), list(wt ORDER BY n)] AS e FROM e GROUP BY 1, 2),
+f AS (SELECT run, list_reduce(list(e ORDER BY i DESC), lambda acc, e: list_transform([list_sort(list_transform(range(1, len(e[1]) + 1), lambda j: [e[2][j] + acc[1][e[1][j]::INT], e[1][j]]), 'DESC')[1]],
+  lambda b: [list_prepend(b[1], acc[1]), list_prepend(b[2], acc[2])])[1], [[0.0::DOUBLE], []::DOUBLE[]])[2] AS lens FROM g GROUP BY 1),
+s AS (SELECT run, lens, list_reduce(list_transform(range(1, length(run) + 1), lambda i: [i::DOUBLE]), lambda a, x: CASE WHEN a[1] = x[1] THEN list_prepend(x[1] + lens[x[1]::INT], list_append(a[2:], x[1])) ELSE a END, [1.0::DOUBLE])[2:] AS starts FROM f)
+SELECT p_partkey, array_to_string(list_transform(starts, lambda k: substr(run, k::INT, lens[k::INT]::INT)), ' ') AS terms FROM r JOIN s USING (run)""",
     }
