@@ -5,8 +5,8 @@ e = floor(``rate`` * m) edits. Cut into e + 1 pieces, at least one piece is then
 item goes into one automaton, each document is read through it once, and where a piece is met the item is verified by
 Myers' bit-parallel distance against the window in which it could lie. Items are held in blocks of bounded size.
 
-An item so short that its budget is no edit is one piece, met only as it is, and only where it stands as whole words: the
-characters beside it must not be letters or digits.
+One rule holds for items of all lengths. With ``whole_words``, the default, an item is held where a stretch of whole words
+is within its budget: neither end of the stretch may lie between two letters or digits. Without, any stretch counts.
 """
 
 from __future__ import annotations
@@ -43,11 +43,14 @@ def masks_of(pattern: str) -> dict[str, int]:
     return out
 
 
-def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
-    """Least edit distance of a pattern of m characters to any stretch of ``text``, and the end of the first such stretch."""
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best, end = full, 0, m, m, 0
-    for j, c in enumerate(text):
+def scores(masks: dict[str, int], m: int, text: str, anchored: bool = False) -> Iterator[int]:
+    """The least edit distance of a pattern of m characters to the stretches that end at each character of ``text``.
+
+    ``anchored``: to the one that begins with the text.
+    """
+    full, top, first = (1 << m) - 1, 1 << (m - 1), int(anchored)
+    pv, mv, score = full, 0, m
+    for c in text:
         eq = masks.get(c, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -56,20 +59,51 @@ def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
             score += 1
         elif mh & top:
             score -= 1
-        ph, mh = ph << 1 & full, mh << 1 & full
+        ph, mh = (ph << 1 | first) & full, mh << 1 & full
         pv, mv = mh | ~(xv | ph) & full, ph & xv
+        yield score
+
+
+def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
+    """Least edit distance of a pattern of m characters to any stretch of ``text``, and the end of the first such stretch."""
+    best, end = m, 0
+    for j, score in enumerate(scores(masks, m, text)):
         if score < best:
             best, end = score, j + 1
     return best, end
 
 
+def between_words(text: str, at: int) -> bool:
+    """Whether a place in a text does not lie between two letters or digits."""
+    return at <= 0 or at >= len(text) or not (text[at - 1].isalnum() and text[at].isalnum())
+
+
+def whole_stretch(item: str, masks: dict[str, int], text: str, a: int, b: int, budget: int) -> tuple[int, int]:
+    """Least distance of an item to a stretch of whole words in ``text[a:b]``, and its end; above the budget if there is none.
+
+    Where a stretch of any kind may end, whole or not, the item is compared backwards from there, so that each start's
+    distance is known.
+    """
+    best, end, back = budget + 1, 0, None
+    for j, score in enumerate(scores(masks, len(item), text[a:b])):
+        e = a + j + 1
+        if score >= best or not between_words(text, e):
+            continue
+        back = back or masks_of(item[::-1])
+        low = max(0, e - len(item) - budget)
+        for n, distance in enumerate(scores(back, len(item), text[low:e][::-1], True)):
+            if distance < best and between_words(text, e - n - 1):
+                best, end = distance, e
+    return best, end
+
+
 class Matcher:
     """Automaton of a block's pieces; built once in each worker."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, whole_words: bool = True):
         import ahocorasick
 
-        self.items, self.rate, self.masks = [], rate, {}
+        self.items, self.rate, self.whole_words, self.masks = [], rate, whole_words, {}
         places: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             clean = normalise(text)
@@ -96,22 +130,25 @@ class Matcher:
                 if best.get(item_id, (1, 0))[0] == 0:
                     continue
                 begin = last + 1 - size - offset
-                if not budget:
-                    if not (begin and clean[begin - 1].isalnum() or clean[last + 1 : last + 2].isalnum()):
-                        best[item_id] = (0, last + 1)
+                end = begin + len(item)
+                if begin >= 0 and clean.startswith(item, begin) and (not self.whole_words or between_words(clean, begin) and between_words(clean, end)):
+                    best[item_id] = (0, end)
                     continue
-                if begin >= 0 and clean.startswith(item, begin):
-                    best[item_id] = (0, begin + len(item))
+                if not budget:
                     continue
                 a, b = max(0, begin - budget), begin + len(item) + budget
                 if k in tried and tried[k][0] <= a and b <= tried[k][1]:
                     continue  # a window read before holds this one
                 if k not in self.masks:  # made where an item is first verified, as most never are
                     self.masks[k] = masks_of(item)
-                distance, end = myers(self.masks[k], len(item), clean[a:b])
+                if self.whole_words:
+                    distance, end = whole_stretch(item, self.masks[k], clean, a, b, budget)
+                else:
+                    distance, end = myers(self.masks[k], len(item), clean[a:b])
+                    end += a
                 tried[k] = (a, b)
                 if distance <= budget and distance < best.get(item_id, (budget + 1, 0))[0]:
-                    best[item_id] = (distance, a + end)
+                    best[item_id] = (distance, end)
         return sorted((i, d, e) for i, (d, e) in best.items())
 
 
@@ -125,13 +162,13 @@ def blocks_of(items: DataFrame, id_col: str, text: str, block_chars: int = BLOCK
         yield sorted((r["i"], r["t"]) for r in block.collect())
 
 
-def contamination(docs: DataFrame, items: list[tuple[int, str]], rate: float = RATE, text: str = "text") -> Column:
+def contamination(docs: DataFrame, items: list[tuple[int, str]], rate: float = RATE, text: str = "text", whole_words: bool = True) -> Column:
     """array(struct(item_id, distance, end)) of each row of ``docs``: the items of a block that its whole text holds.
 
     ``end`` counts characters of the normalised text. Null and empty texts hold none.
     """
     bound_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast((items, rate))  # at most BLOCK_CHARS characters
+    held = docs.sparkSession.sparkContext.broadcast((items, rate, whole_words))  # at most BLOCK_CHARS characters
     own: dict = {}
 
     @F.pandas_udf("array<struct<item_id:long,distance:int,end:int>>")
@@ -144,11 +181,15 @@ def contamination(docs: DataFrame, items: list[tuple[int, str]], rate: float = R
     return of(F.col(text))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """(doc_id, item_id, distance, end) of every document and benchmark item that it holds; repeated rows repeat."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, whole_words: bool = True) -> DataFrame:
+    """(doc_id, item_id, distance, end) of every document and benchmark item that it holds.
+
+    Of several stretches the nearest counts, then the one found first. Repeated rows repeat, null ids too; null and empty texts and
+    items hold nothing; very long texts are read whole; without documents or items there are no rows; other columns are not read.
+    """
     out = None
     for items in blocks_of(benchmark, "item_id", "text"):
-        part = docs.select("doc_id", F.explode(contamination(docs, items, rate)).alias("m")).select("doc_id", "m.item_id", "m.distance", "m.end")
+        part = docs.select("doc_id", F.explode(contamination(docs, items, rate, whole_words=whole_words)).alias("m")).select("doc_id", "m.item_id", "m.distance", "m.end")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -29,8 +29,8 @@ META_BITS = 12
 SAMPLE_ROWS = 6000
 ROUNDS = 3
 SURE = 0.98
-#: Documents of each class that a view hands to the other in a round.
-EXCHANGE = 100
+#: Documents of each class that a view hands to the other in a round, as a share of the labelled rows.
+EXCHANGE = 1 / 60
 FIRST_EPOCHS, MORE_EPOCHS = 6, 2
 META = ("lang", "source", "n_chars")
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -213,10 +213,10 @@ def _surest(feats: DataFrame, taken: DataFrame, exchange: int, sure: float) -> P
     return pick
 
 
-def train_on(feats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS, exchange: int = EXCHANGE, sure: float = SURE) -> QualityModel | None:
+def train_on(feats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS, exchange: float = EXCHANGE, sure: float = SURE) -> QualityModel | None:
     """Fit on the features of documents and their labels (doc_id, quality, toxic).
 
-    Null ids or labels are passed over; of a repeated id its worst label and its least row count once. None if either
+    In a round a view hands over ``exchange`` documents of each class for each labelled row, one at least. Null ids or labels are passed over; of a repeated id its worst label and its least row count once. None if either
     class is missing among the rows learned from or those kept back.
     """
     fine = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
@@ -229,11 +229,15 @@ def train_on(feats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
     if any(len(set(part.tolist())) < 2 for part in (y[np.arange(len(y)) % 4 != 3], y[np.arange(len(y)) % 4 == 3])):
         return None
     taken = materialize(feats.select("doc_id", "hash").join(known.select("doc_id"), "doc_id").select("hash").distinct(), "quality-labelled")
-    return co_train([_row(bytes(r["t"])) for r in rows], [_row(bytes(r["m"])) for r in rows], y, _surest(feats, taken, exchange, sure), rounds)
+    return co_train([_row(bytes(r["t"])) for r in rows], [_row(bytes(r["m"])) for r in rows], y, _surest(feats, taken, max(1, round(exchange * len(rows))), sure), rounds)
 
 
 def train(docs: DataFrame, labels: DataFrame, **options) -> QualityModel | None:
-    """``train_on`` the features of ``docs``."""
+    """``train_on`` the features of ``docs``.
+
+    Null texts and metadata are values of their own, very long texts are read whole, of equal documents one is handed over, ties
+    go to the smaller hash; an empty table gives no model; other columns are not read.
+    """
     return train_on(features(docs), labels, **options)
 
 
@@ -259,7 +263,10 @@ def judge(docs: DataFrame, model: QualityModel | None, threshold: float = 0.5) -
 
 
 def judge_features(feats: DataFrame, model: QualityModel | None, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, p_text, p_meta, score, keep) of each row of ``feats``; the same as ``judge`` gives for its document."""
+    """(doc_id, p_text, p_meta, score, keep) of each row of ``feats``; the same as ``judge`` gives for its document.
+
+    Repeated rows are judged alike and come back as often as they are there, null ids too; an empty table gives no rows.
+    """
     held = feats.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("p_text double, p_meta double, score double, keep boolean")

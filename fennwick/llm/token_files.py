@@ -93,8 +93,9 @@ def write_segments(docs: DataFrame, vocabulary: str, end_id: int = END_ID, segme
             yield close()
 
     body = utf8(text)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body")).repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ordered = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("body"))
+    # Equal ids follow each other by a hash of their text, and the ranges are of both: many rows of one id, null or not, are many ranges.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("body")]
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body")).repartitionByRange(*order).sortWithinPartitions(*order)
     return materialize(ordered.mapInArrow(write, SCHEMA), "tokens")
 
 

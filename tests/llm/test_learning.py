@@ -87,6 +87,52 @@ def test_co_training_hands_over_what_it_is_sure_of():
     assert b[0] < b[1] and s[0] < 0.5 < s[1]
 
 
+def test_the_surest_are_picked_from_all_unlabelled(spark):
+    """Against a plain ranking of all distinct documents by either view, over two rounds."""
+    rnd = random.Random(12)
+    rows = [(i, " ".join(rnd.choices([f"w{k}" for k in range(40)], k=12)), rnd.choice(("en", "de", None)), rnd.choice("abc"), rnd.randint(1, 900)) for i in range(400)]
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, lang string, source string, n_chars long")
+    feats = quality.features(docs)
+    held = [(r["doc_id"], r["hash"], quality._row(bytes(r["t"])), quality._row(bytes(r["m"]))) for r in feats.collect()]
+    rng, lines = np.random.default_rng(1), {}
+    for view, bits in (("text", quality.DIM_BITS), ("meta", quality.META_BITS)):
+        lines[view] = rng.standard_normal((1 << bits) + 1)
+    model = quality.QualityModel(lines, {v: np.array([1.0, 0.0]) for v in lines})
+    labelled = {h for d, h, _, _ in held if d % 7 == 0}
+    pick = quality._surest(feats, spark.createDataFrame([(h,) for h in labelled], "hash long"), 9, 0.6)
+    free, bar = {h: (t, m) for _, h, t, m in held if h not in labelled}, np.log(0.6 / 0.4)
+    for turn in range(2):
+        want = []
+        for k, view in enumerate(("text", "meta")):
+            z = {h: model.margins([x[0]], [x[1]])[k][0] for h, x in free.items()}
+            for good in (1, 0):
+                sign = 1 if good else -1
+                want += [(view, good, h) for h in sorted((h for h in free if sign * z[h] >= bar), key=lambda h: (-sign * z[h], h))[:9]]
+        got = pick(model, turn)
+        key = lambda view, good, t, m: (view, good, tuple(t[0]), tuple(m[0]))
+        assert len(want) == 36 and sorted(key(*g) for g in got) == sorted(key(v, g, *free[h]) for v, g, h in want)
+        free = {h: x for h, x in free.items() if h not in {h for _, _, h in want}}
+
+
+def test_one_view_teaches_the_other_what_labels_do_not(spark):
+    """Texts draw on many words of which 60 labelled rows hold few; sources tell the classes, but new ones say nothing."""
+    rnd = random.Random(5)
+    vocabulary = {g: [f"{'good' if g else 'bad'}{k}" for k in range(300)] for g in (0, 1)}
+    shared = [f"common{k}" for k in range(50)]
+    made = lambda g, source: (" ".join(rnd.choices(vocabulary[g], k=4) + rnd.choices(shared, k=12)), "en", source, 100)
+    known = [(i, *made(i % 2, f"site{i % 2}-{rnd.randrange(3)}")) for i in range(2000)]
+    new = [(10_000 + i, *made(i % 2, f"new{rnd.randrange(40)}")) for i in range(600)]
+    docs = spark.createDataFrame(known + new, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    feats, right = quality.features(docs), {}
+    for rounds in (0, 3):
+        model = quality.train_on(feats, labels, rounds=rounds, exchange=2.0, sure=0.7)
+        rows = quality.judge_features(feats.where("doc_id >= 10000"), model).collect()
+        right[rounds] = {v: np.mean([(r[v] >= 0.5) == (r["doc_id"] % 2 == 1) for r in rows]) for v in ("p_text", "p_meta", "score")}
+    print("accuracy on new sources without and with exchange", right)
+    assert right[0]["p_meta"] < 0.6 and right[3]["p_text"] > right[0]["p_text"] + 0.08 and right[3]["score"] > right[0]["score"] + 0.08
+
+
 def test_quality_on_held_out_labels(spark):
     big = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))

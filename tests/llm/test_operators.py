@@ -290,7 +290,7 @@ def test_myers_and_pigeonhole():
         p, t = ("".join(rnd.choices("abc", k=rnd.randint(a, b))) for a, b in ((1, 30), (0, 60)))
         assert decontam.myers(decontam.masks_of(p), len(p), t)[0] == edit(p, t)
     items = [(k, " ".join("".join(rnd.choices("abcde", k=rnd.randint(2, 6))) for _ in range(14))) for k in range(12)]
-    matcher = decontam.Matcher(items, rate=0.08)
+    matcher = decontam.Matcher(items, rate=0.08, whole_words=False)
     for _ in range(150):
         k, item = rnd.choice(items)
         s = list(item)
@@ -303,6 +303,46 @@ def test_myers_and_pigeonhole():
         assert [(i, d) for i, d, _ in matcher.find(text)] == want
 
 
+def test_whole_words_by_all_stretches():
+    """The least distance over all stretches that begin and end between words, for items from one character on."""
+
+    def far(p, t):
+        prev = list(range(len(t) + 1))
+        for i, c in enumerate(p, 1):
+            cur = [i]
+            for j, x in enumerate(t, 1):
+                cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (c != x)))
+            prev = cur
+        return prev[-1]
+
+    rnd, rate = random.Random(9), 0.12
+    for _ in range(250):
+        items = [(k, " ".join("".join(rnd.choices("abc", k=rnd.randint(1, 4))) for _ in range(rnd.randint(1, 6)))) for k in range(3)]
+        s = list(rnd.choice(items)[1])
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randrange(len(s) + 1)
+            s[at : at + rnd.randint(0, 1)] = rnd.choices("ab c", k=rnd.randint(0, 1))
+        clean = decontam.normalise(rnd.choice(["", "a", "ab ", "(", "c c "]) + "".join(s) + rnd.choice(["", "b", " ca", ")", "1"]))
+        places = [k for k in range(len(clean) + 1) if decontam.between_words(clean, k)]
+        want = {}
+        for k, item in items:
+            least = min((far(item, clean[a:b]) for a in places for b in places if a < b), default=99)
+            if least <= int(rate * len(item)):
+                want[k] = least
+        assert {k: d for k, d, _ in decontam.Matcher(items, rate).find(clean)} == want
+
+
+def test_one_rule_for_items_of_all_lengths(spark):
+    """Within longer words neither an item of 19 characters is held nor one of 20, nor a long one beyond its budget."""
+    texts = ["abcdefghij klmnopqr", "abcdefghij klmnopqrs", "abcdefghij klmnopqrs tuvw xyzab cdefghi"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(10 * i + j, t) for i, x in enumerate(texts) for j, t in enumerate((f"so {x} so", f"soso{x}soso"))], "doc_id long, text string")
+    whole = {(r["doc_id"], r["item_id"]) for r in decontam.find_contamination(docs, items.where("item_id = 0")).collect()}
+    assert whole == {(0, 0)}
+    assert {(10 * i, i) for i in range(3)} <= {(r["doc_id"], r["item_id"]) for r in decontam.find_contamination(docs, items).collect()} and {(1, 0), (11, 1), (21, 2)} & {(r["doc_id"], r["item_id"]) for r in decontam.find_contamination(docs, items).collect()} == set()
+    assert {(1, 0), (11, 1), (21, 2)} <= {(r["doc_id"], r["item_id"]) for r in decontam.find_contamination(docs, items, whole_words=False).collect()}
+
+
 def test_decontamination(spark, data, docs, awkward, none):
     items = spark.read.parquet(f"{data}/benchmark.parquet")
     found = {(r["doc_id"], r["item_id"]) for r in decontam.op7_decontam(spark, data).collect()}
