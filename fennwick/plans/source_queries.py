@@ -183,9 +183,9 @@ def dictionaries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def packed_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as sections of three paragraphs: packed, cut at sentence ends where they are long, short tails joined."""
-    parts = F.array(F.substring("text", 1, 500), F.substring("text", 501, 300), F.substring("text", 801, 30))
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("seq"), F.lit("t").alias("title"), F.filter(parts, lambda p: F.length(p) > 0).alias("paragraphs"))
+    """Whole documents as sections of paragraphs of 250 characters: packed two by two, a short last one with those before it."""
+    cut = F.regexp_extract_all("text", F.lit("(?s).{1,250}"), F.lit(0))
+    rows = table(spark, d, "documents").where("text <> ''").select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("seq"), F.lit("t").alias("title"), cut.alias("paragraphs"))
     return K.chunk_sections(rows).select(F.col("doc").alias("doc_id"), "part", F.md5("text").alias("text_md5"))
 
 
@@ -248,10 +248,9 @@ SELECT 'person', s_suppkey, coalesce('参与：' || (SELECT string_agg(label, '
 CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE p_size END::BIGINT AS favorites, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 't' END AS tags FROM part""",
         "dictionaries": """SELECT 'label' AS what, 2 AS kind, n_nationkey::INT AS code, n_name AS value FROM nation UNION ALL SELECT 'platform', 4, n_nationkey::INT, upper(translate(n_name, '0123456789 ', 'ABCDEFGHIJ_')) FROM nation UNION ALL
 SELECT 'priority', 2, n_nationkey::INT, (100 * (dense_rank() OVER (ORDER BY n_regionkey)) + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::VARCHAR FROM nation""",
-        "packed_chunks": """WITH s AS (SELECT doc_id, substr(text, 1, 500) AS a, substr(text, 501, 300) AS b, substr(text, 801, 30) AS c FROM documents WHERE text <> ''),
-m AS (SELECT *, b <> '' AND length(a) + 1 + length(b) <= 600 AS ab FROM s), t AS (SELECT *, CASE WHEN ab THEN a || chr(10) || b ELSE a END AS one, CASE WHEN ab THEN '' ELSE b END AS rest FROM m),
-u AS (SELECT doc_id, CASE WHEN rest <> '' AND length(rest) < 60 THEN one || chr(10) || rest ELSE one END AS p0, CASE WHEN rest = '' OR length(rest) < 60 THEN NULL WHEN c <> '' THEN rest || chr(10) || c ELSE rest END AS p1 FROM t)
-SELECT doc_id, 0 AS part, md5(p0) AS text_md5 FROM u UNION ALL SELECT doc_id, 1, md5(p1) FROM u WHERE p1 IS NOT NULL""",
+        "packed_chunks": """WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text <> ''), m AS (SELECT *, CASE WHEN n > 500 AND n % 500 BETWEEN 1 AND 98 THEN n // 500 - 1 ELSE (n - 1) // 500 END AS most FROM t),
+c AS (SELECT *, unnest(range(0, most + 1)) AS part FROM m), p AS (SELECT doc_id, part, [substr(text, 500 * part + 1, 250), substr(text, 500 * part + 251, 250), CASE WHEN part = most THEN substr(text, 500 * part + 501) ELSE '' END] AS ps FROM c)
+SELECT doc_id, part::INT AS part, md5(array_to_string(list_filter(ps, lambda x: x <> ''), chr(10))) AS text_md5 FROM p""",
         "jsonl_entities": "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 > 0 THEN 2 ELSE 0 END AS kind, p_name AS name, (p_size + CASE WHEN p_size % 2 = 0 THEN 7 ELSE 0 END)::BIGINT AS votes, 0::BIGINT AS favorites, p_type || '、' || p_brand AS tags FROM part",
         "jsonl_episodes": "SELECT o_orderkey AS id, o_custkey AS subject_id, o_orderpriority AS name, 0 AS ep_type, CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 100) / 4.0 ELSE 0 END::DOUBLE AS sort FROM orders WHERE o_orderkey % 5 > 0",
         "name_fields": """WITH c AS (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN c_name || '中' WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_name END AS display FROM customer)
