@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 from fennwick.functions import catalog as C
 from fennwick.functions import cleaning as L
+from fennwick.functions import text as T
+from fennwick.operators import catalog as S
+from fennwick.operators import chunk_index as X
 from fennwick.operators import chunking as K
 from fennwick.operators import normalise as N
 from fennwick.plans import catalog_build as E
 from fennwick.plans import chunk_build as B
+from fennwick.plans import queries as Q
 from fennwick.sources import dictionaries as D
 from fennwick.sources import readers as R
 from fennwick.tables import materialize, stage_path
@@ -131,6 +135,54 @@ def long_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return K.chunk_sections(rows).select(F.col("doc").alias("doc_id"), "part", F.md5("text").alias("text_md5"))
 
 
+def query_reading(spark: SparkSession, d: str) -> DataFrame:
+    """What is read from a question: the query without its phrases, its short pieces, whether it asks for an overview."""
+    asked = F.concat(F.lit("请问 "), F.col("text"), F.when(F.col("item_id") % 2 == 0, "是什么？").otherwise("，有哪些"))
+    rows = table(spark, d, "benchmark").select("item_id", asked.alias("q"), T.clean_query(asked).alias("cleaned"))
+    return rows.select("item_id", "cleaned", F.array_join(F.array_sort(T.query_phrases(F.col("cleaned"))), "|").alias("phrases"), T.wants_overview(F.col("q")).alias("overview"))
+
+
+def result_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select(F.col("p_partkey").cast("int").alias("rank"), F.col("p_name").alias("title"), (F.col("p_size") / 8).alias("score"), F.col("p_type").alias("text"))
+    return X.format_results(rows)
+
+
+def stored_deletes(spark: SparkSession, d: str) -> DataFrame:
+    """A stored catalog after two deletions, and after its tables were compacted: the same entries, terms and links."""
+    works = Q.catalog(spark, d)
+    links = table(spark, d, "lineitem").select(F.lit("subject").alias("owner_kind"), F.col("l_partkey").alias("owner_id"), F.lit("person").alias("target_kind"), F.col("l_suppkey").alias("target_id"), F.col("l_linenumber").cast("string").alias("meta"))
+    path = stage_path(spark, "store")
+    stored = S.store_tables(spark, path, {"docs": works.docs, "postings": works.postings, "lengths": works.lengths, "meta": works.meta, "links": links}, 0)
+    less = stored.delete("subject:3, subject:5, person:1, junk", write=True)[0].delete("subject:7", write=True)[0]
+    rows = []
+    for what, c in (("deleted", less), ("compacted", less.compact())):
+        found = [c.docs.agg(F.count("*").alias("n"), F.sum("source_id").alias("ids")), c.postings.agg(F.count("*").alias("postings"), F.sum("name_tf").alias("name_words")), c.links.agg(F.count("*").alias("links"))]
+        rows.append(found[0].crossJoin(F.broadcast(found[1])).crossJoin(F.broadcast(found[2])).select(F.lit(what).alias("what"), "*"))  # one row each
+    return rows[0].unionByName(rows[1])
+
+
+def index_files(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of several packed index files; one of an unknown format is passed over."""
+    group = F.pmod("p_partkey", F.lit(4)).cast("int")
+    chunk = F.struct(F.col("p_name").alias("title"), F.when(F.col("p_size") % 5 > 0, F.col("p_type")).otherwise("  ").alias("text"))
+    packed = table(spark, d, "part").groupBy(group.alias("g")).agg(F.collect_list(chunk).alias("chunks"))  # one file's chunks, as the format has them
+    body = F.to_json(F.struct(F.when(F.col("g") == 3, 9).otherwise(F.col("g") % 2 + 1).alias("format"), F.lit(1).alias("engine_version"), F.concat(F.lit("2026-0"), (F.col("g") + 1).cast("string")).alias("built_at"), F.concat(F.lit("主题"), F.col("g").cast("string")).alias("display_name"), "chunks"))
+    folder = stage_path(spark, "index-files")
+    packed.select("g", body.alias("value")).write.partitionBy("g").text(folder)
+    rows, broken = R.read_index_files(spark, [f"{folder}/g={g}" for g in range(4)])
+    assert broken == [f"{folder}/g=3"]
+    newest = R.latest_build(rows).select(F.col("built_at").alias("newest"))
+    return rows.crossJoin(F.broadcast(newest)).select("built_at", "display_name", "title", "text", "newest")  # one row
+
+
+def article_files(spark: SparkSession, d: str) -> DataFrame:
+    """Articles read from files of their own: text, fingerprint and size."""
+    folder = stage_path(spark, "articles")
+    table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc"), F.concat(F.lit("词条："), "s_name").alias("value")).repartition(4, "doc").write.partitionBy("doc").text(folder)
+    read = R.read_articles(spark, f"{folder}/*")
+    return read.select(F.regexp_extract("path", r"doc=(\d+)", 1).cast("long").alias("s_suppkey"), "text", "sha256", "size")
+
+
 def _dump(spark: SparkSession, rows: DataFrame, name: str) -> str:
     """A folder with ``rows`` as JSON lines and a bad line among them."""
     folder = stage_path(spark, "dump")
@@ -210,7 +262,7 @@ def thresholds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (normalised_articles, section_chunks, directory_chunks, playable_filter, catalog_relations, dictionaries, packed_chunks, jsonl_typed, jsonl_entities, jsonl_episodes, name_fields, extra_lines, thresholds, catalog_build, chunk_build, long_paragraphs)
+    found = (normalised_articles, section_chunks, directory_chunks, playable_filter, catalog_relations, dictionaries, packed_chunks, jsonl_typed, jsonl_entities, jsonl_episodes, name_fields, extra_lines, thresholds, catalog_build, chunk_build, long_paragraphs, query_reading, result_lines, stored_deletes, index_files, article_files)
     return {f.__name__: f for f in found}
 
 
@@ -285,4 +337,14 @@ p AS (SELECT doc_id, t, CASE WHEN length(t) <= 1200 THEN [[t]] ELSE list_transfo
 c AS (SELECT doc_id, list_reduce(ps, lambda a, x: CASE WHEN length(a[-1]) + length(x[1]) <= 600 THEN list_append(a[:-2], a[-1] || x[1]) ELSE list_append(a, x[1]) END) AS c FROM p WHERE len(ps) > 0),
 m AS (SELECT doc_id, CASE WHEN len(c) >= 2 AND length(c[-1]) < 60 AND length(c[-2]) + 1 + length(c[-1]) <= 1200 THEN list_append(c[:-3], c[-2] || chr(10) || c[-1]) ELSE c END AS c FROM c)
 SELECT doc_id, (unnest(range(1, len(c) + 1)) - 1)::INT AS part, md5(unnest(c)) AS text_md5 FROM m""".replace("\\n", "\n"),
+        "query_reading": f"""WITH q AS (SELECT item_id, '请问 ' || text || CASE WHEN item_id % 2 = 0 THEN '是什么？' ELSE '，有哪些' END AS q FROM benchmark),
+c AS (SELECT item_id, q, regexp_replace(regexp_replace(regexp_replace(q, '{T.QUESTION}', ' ', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'), '^ +| +$', '', 'g') AS cleaned FROM q)
+SELECT item_id, cleaned, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split_regex(cleaned, '[\\s\\p{{Z}}，。、,？?！!：:；;]+'), lambda x: lower(x)), lambda x: length(x) BETWEEN 2 AND 8 AND x NOT IN ({T.quoted(T.NOISE)})))), '|') AS phrases,
+regexp_matches(q, '{T.OVERVIEW}') AS overview FROM c""",
+        "result_lines": "SELECT p_partkey::INT AS rank, '【' || p_partkey || '】' || p_name || '（相关度 ' || (p_size / 8.0)::DOUBLE || '）' || chr(10) || p_type AS line FROM part",
+        "stored_deletes": f"""WITH {Q._WORKS}, k AS (SELECT * FROM works WHERE source_id NOT IN (3, 5, 7)), w AS (SELECT source_id, unnest(regexp_extract_all(lower(p_name), '[\\p{{L}}\\p{{N}}]+')) AS t, 1 AS n FROM k UNION ALL SELECT source_id, unnest(regexp_extract_all(lower(split_part(extra, '、', 2) || ' ' || substr(extra, 4)), '[\\p{{L}}\\p{{N}}]+')), 0 FROM k),
+one AS (SELECT (SELECT count(*) FROM k) AS n, (SELECT sum(source_id)::BIGINT FROM k) AS ids, (SELECT count(*) FROM (SELECT DISTINCT source_id, t FROM w)) AS postings, (SELECT sum(n)::BIGINT FROM w) AS name_words, (SELECT count(*) FROM lineitem WHERE l_partkey NOT IN (3, 5, 7)) AS links)
+SELECT 'deleted' AS what, * FROM one UNION ALL SELECT 'compacted', * FROM one""",
+        "index_files": "SELECT '2026-0' || (p_partkey % 4 + 1) AS built_at, '主题' || (p_partkey % 4) AS display_name, p_name AS title, p_type AS text, '2026-03' AS newest FROM part WHERE p_partkey % 4 < 3 AND p_size % 5 > 0",
+        "article_files": "SELECT s_suppkey, '词条：' || s_name || chr(10) AS text, sha256('词条：' || s_name || chr(10)) AS sha256, octet_length(encode('词条：' || s_name || chr(10)))::BIGINT AS size FROM supplier",
     }
