@@ -125,7 +125,7 @@ def bound_of(numbers: dict) -> Column:
 def merge_indexes(spark: SparkSession, paths: list[str], out: str) -> ChunkIndex:
     """One stored index of several, whose chunk ids are moved on by what came before; no text is tokenized anew.
 
-    Blocks keep their lists, as these count from the block's first chunk; only their order follows the new averages.
+    Blocks keep their lists, as these go on from the block's first chunk; only their order follows the new averages.
     """
     chunks, blocks, themes, shift = None, None, set(), 0
     for path in paths:  # a few named indexes
@@ -133,7 +133,7 @@ def merge_indexes(spark: SparkSession, paths: list[str], out: str) -> ChunkIndex
         low, high = index.chunks.agg(F.min("chunk_id"), F.max("chunk_id")).first()
         move = F.lit(shift - (low or 0))
         part = index.chunks.withColumn("chunk_id", F.col("chunk_id") + move)
-        held = index.blocks.drop("bound").withColumn("first_id", F.col("first_id") + move).withColumn("last_id", F.col("last_id") + move)
+        held = index.blocks.drop("bound").withColumn("first_id", F.col("first_id") + move)
         chunks, blocks = (part, held) if chunks is None else (chunks.unionByName(part), blocks.unionByName(held))
         themes |= set(index.themes)
         shift += (high or 0) - (low or 0) + 1

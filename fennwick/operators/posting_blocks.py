@@ -1,7 +1,7 @@
 """Postings in blocks: one row for some 128 chunks of a term, with what bounds their scores.
 
-A block holds its chunks as distances from its first one, rising, which the file format's delta encoding packs into few
-bits, and their counts and lengths as lists that it packs alike. Its greatest counts and least lengths bound the weight
+A block holds its first chunk and the gaps from each chunk to the next, small numbers where a term is common, and counts
+and lengths as lists; the file format packs them into as many bits as their few distinct values need. Its greatest counts and least lengths bound the weight
 that the term gives any of its chunks, whatever the corpus' averages are; so blocks stay as they are when indexes are merged.
 ``decoded`` gives the plain postings back by column functions.
 """
@@ -19,9 +19,9 @@ BLOCK = 128
 #: Weights of a term are told apart in steps of 1 / STEPS where blocks are chosen; they stay under 8.
 STEPS = 16
 LISTS = ("text_tf", "title_tf", "text_len", "title_len")
-SCHEMA = "term string, first_id long, last_id long, n int, offsets array<long>, text_tf array<int>, title_tf array<int>, text_len array<int>, title_len array<int>, top_text_tf int, low_text_len int, top_title_tf int, low_title_len int"
-#: Writes that let the format's delta encoding pack the lists.
-PACKED = {"parquet.writer.version": "PARQUET_2_0", "compression": "zstd"} | {f"parquet.enable.dictionary#{c}.list.element": "false" for c in ("offsets", "text_len")}
+SCHEMA = "term string, first_id long, n int, gaps array<long>, text_tf array<int>, title_tf array<int>, text_len array<int>, title_len array<int>, top_text_tf int, low_text_len int, top_title_tf int, low_title_len int"
+#: The codec that packs best beside the format's own encodings.
+PACKED = {"compression": "zstd"}
 
 
 def cut_blocks(postings: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -59,24 +59,26 @@ def _cut(table: pa.Table, size: int, last: bool) -> tuple[pa.RecordBatch | None,
     if not len(starts):
         return None, table
     bounds = np.append(starts, keep)
-    at = np.repeat(np.arange(len(starts)), np.diff(bounds))
     lists = {c: table.column(2 + k).to_numpy()[:keep] for k, c in enumerate(LISTS)}
-    offsets = pa.array(bounds, pa.int32())
-    as_list = lambda values: pa.ListArray.from_arrays(offsets, pa.array(values))
+    places = pa.array(bounds, pa.int32())
+    as_list = lambda values: pa.ListArray.from_arrays(places, pa.array(values))
+    inner = np.ones(keep, bool)
+    inner[starts] = False  # a block's first chunk has no gap before it
+    gaps = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.diff(bounds) - 1)), pa.int32()), pa.array(np.diff(ids[:keep], prepend=0)[inner]))
     most, least = (lambda v: np.maximum.reduceat(v, starts)), (lambda v: np.minimum.reduceat(v, starts))
     columns = [
-        pa.array(terms.dictionary.take(pa.array(codes[starts]))), pa.array(ids[starts]), pa.array(ids[bounds[1:] - 1]), pa.array(np.diff(bounds).astype(np.int32)), as_list((ids[:keep] - ids[starts][at])),
+        pa.array(terms.dictionary.take(pa.array(codes[starts]))), pa.array(ids[starts]), pa.array(np.diff(bounds).astype(np.int32)), gaps,
         *[as_list(lists[c].astype(np.int32)) for c in LISTS],
         *[pa.array(v.astype(np.int32)) for v in (most(lists["text_tf"]), least(lists["text_len"]), most(lists["title_tf"]), least(lists["title_len"]))],
     ]
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCHEMA.split(", ")]), table.slice(keep)
 
 
-def decoded(blocks: DataFrame, *keep: Column | str) -> DataFrame:
-    """(term, chunk_id, text_tf, title_tf, text_len, title_len) of blocks, and the columns ``keep`` of each one's block."""
-    rows = blocks.select("term", "first_id", *keep, F.inline(F.arrays_zip("offsets", *LISTS)))
-    names = [k if isinstance(k, str) else rows.columns[2 + i] for i, k in enumerate(keep)]
-    return rows.select("term", (F.col("first_id") + F.col("offsets")).alias("chunk_id"), *[F.col(c).cast("long").alias(c) for c in ("text_tf", "title_tf")], "text_len", "title_len", *names)
+def decoded(blocks: DataFrame) -> DataFrame:
+    """(term, chunk_id, text_tf, title_tf, text_len, title_len) of blocks."""
+    ids = F.expr("aggregate(gaps, array(first_id), (ids, gap) -> array_append(ids, ids[size(ids) - 1] + gap))")
+    rows = blocks.select("term", ids.alias("chunk_id"), *LISTS).select("term", F.inline(F.arrays_zip("chunk_id", *LISTS)))
+    return rows.select("term", "chunk_id", *[F.col(c).cast("long").alias(c) for c in ("text_tf", "title_tf")], "text_len", "title_len")
 
 
 def by_bound(blocks: DataFrame, bound: Column) -> DataFrame:
