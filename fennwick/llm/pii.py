@@ -2,17 +2,23 @@
 
 Everything is a DataFrame expression; no Python runs on the executors.
 
-Base spans (e-mail, IP, card, phone) come from patterns. Each distinct value found is a protected entity c. The words
-of its sentence, at most ``words`` words away from it, are its candidate terms t. Over all documents the corpus gives
-n(c), n(t) and n(c, t), the documents that hold the entity, the term, and the term beside the entity, and from these
+Base spans (e-mail, IP, card, phone) come from patterns. Two classes c are protected for each: the value itself, and the
+group it belongs to (a mail domain, a network, a card issuer, a phone area), so that what points to a group is weighed
+on the evidence of all texts that name one of it. The words of the sentence (of the text, if ``sentence`` is false), at
+most ``words`` words away, are candidate terms t. Over all documents the corpus gives n(c), n(t) and n(c, t), the
+documents that hold the class, the term, and the term beside the class, and from these
 
-    disclosure(c, t) = PMI(c, t) / IC(c) = log(n(c, t) N / (n(c) n(t))) / log(N / n(c)),
+    p(c | t) = (n(c, t) + a n(c) / N) / (n(t) + a),    disclosure(c, t) = log(p(c | t) N / n(c)) / log(N / n(c)),
 
-which is 1 when the term only ever occurs beside the entity, and 0 when the two are independent. Documents are counted
-over distinct texts, and entities of one document count like any other. A pair is sanitised unless chance would bring it
-about as often (``CHANCE``), which is so only in tables of some 30 texts or fewer: from ``generalise`` on the term is
-replaced by its class wherever it stands in the documents that hold the entity; from ``remove`` on it discloses the entity
-by itself, and is removed wherever it stands in any document.
+PMI over IC with p(c | t) shrunk towards n(c) / N by ``prior`` a, as if the term had stood in so many more texts at
+random. It nears 1 as the evidence grows that the term only ever occurs beside the class, stays lower for a term seen
+once, and is 0 when the two are independent. It changes smoothly with a table's size. Documents are counted over distinct
+texts. From ``generalise`` on the term is generalised wherever it stands in the documents that hold the class; from
+``remove`` on it discloses the class by itself, and is removed wherever it stands in any document.
+
+A term is generalised along a hierarchy: numbers by their leading digits, 20345 to 2034*, 203** and so on, which are
+counted over the corpus like terms, and the first is taken that discloses none of the text's classes; what is left
+becomes [NUMBER], and other words [NAME] or [TERM].
 
 The work grows with a text's length, however many spans it holds: places come from running sums by blocks, texts are
 rewritten from blocks of bounded length, an entity has a bounded number of words beside it, and the places of terms
@@ -46,8 +52,10 @@ GENERALISE = 0.85
 REMOVE = 0.97
 #: The least digits of a term without letters; words may have any length.
 MIN_TERM = 3
-#: A pair counts if independent documents would hold it n(c, t) times with at most this probability.
-CHANCE = 0.05
+#: Texts in which a term counts as having stood at random, besides those it was seen in.
+PRIOR = 0.5
+#: The most leading digits that a generalised number keeps.
+LEADING = 6
 SPAN = "struct<start:int,rank:int,kind:string,end:int,value:string>"
 PLACES = "array<struct<start:int,end:int,term:string,mask:string>>"
 TERM = r"[\p{L}\p{N}]++"
@@ -192,25 +200,54 @@ def entity_of(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], F.when(span["kind"].isin("card", "phone"), _digits(span["value"])).otherwise(F.lower(span["value"])))
 
 
+def group_of(entity: Column) -> Column:
+    """The group of an entity: a mail domain, a network of three parts, six digits of a card, four of a phone number."""
+    kind, value = F.substring_index(entity, ":", 1), F.regexp_replace(entity, "^[a-z]+:", "")
+    network = F.concat(F.substring_index(value, ".", 3), F.lit(".*"))
+    digits = F.concat(F.substring(value, F.lit(1), F.when(kind == "card", 6).otherwise(4)), F.lit("*"))
+    mail = F.concat(F.lit("*@"), F.substring_index(value, "@", -1))
+    return F.concat_ws(":", kind, F.when(kind == "email", mail).when(kind == "ip", network).otherwise(digits))
+
+
+def classes_of(entity: Column) -> Column:
+    """The protected classes of an entity: itself and its group."""
+    return _let(entity, lambda e: F.array(e, group_of(e)))
+
+
+def ancestors(term: Column) -> Column:
+    """What a number generalises to, most specific first: its leading digits, ``LEADING`` at most; none for words."""
+    n = F.length(term)
+    levels = F.transform(F.sequence(F.least(n - 1, F.lit(LEADING)), F.lit(1), F.lit(-1)), lambda k: F.concat(F.substring(term, F.lit(1), k), F.repeat(F.lit("*"), n - k)))
+    return F.when(term.rlike("^[0-9]{2,}$"), levels).otherwise(F.array().cast("array<string>"))
+
+
+def levels_of(terms: Column) -> Column:
+    """Distinct terms with the ancestors of those that are numbers; an ancestor holds a ``*``, which no term does."""
+    return _let(terms, lambda ts: F.array_distinct(F.concat(ts, F.flatten(F.transform(F.filter(ts, lambda t: t.rlike("^[0-9]+$")), ancestors)))))
+
+
 def _unmarked(text: Column) -> Column:
     return F.translate(text, OPEN + SHUT, "  ")
 
 
 def holders_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(key, text, spans, entities) of each distinct text that holds a base span; written once."""
+    """(key, text, spans, entities) of each distinct text that holds a base span, with all classes of them; written once."""
     rows = docs.select(F.col(text).alias("text")).where(may_hold(F.col("text"))).withColumn("key", F.md5(F.col("text").cast("binary")))
     rows = rows.dropDuplicates(["key"]).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
-    return materialize(rows.withColumn("entities", F.array_distinct(F.transform("spans", entity_of))), "pii-holders")
+    return materialize(rows.withColumn("entities", F.array_distinct(F.flatten(F.transform("spans", lambda s: classes_of(entity_of(s)))))), "pii-holders")
 
 
-def contexts(holders: DataFrame, words: int = WORDS) -> DataFrame:
+def contexts(holders: DataFrame, words: int = WORDS, sentence: bool = True) -> DataFrame:
     """Distinct (key, entity, term): the words of an entity's sentence, at most ``words`` words away from it.
 
+    ``entity`` is each class of the entity, ``term`` each word and what it generalises to. Without ``sentence`` the whole
+    text is one.
+
     Words are counted with entities as one each; a word that touches an entity is part of it. Long sentences become
     rows of ``ROW_WORDS`` words, with ``words`` more on either side to look at.
     """
     named = rewritten(_unmarked(F.col("text")), F.col("spans"), lambda s, _: F.concat(F.lit(OPEN), F.hex(entity_of(s)), F.lit(SHUT)))
-    parts = holders.select("key", F.explode(F.split(named, SENTENCE)).alias("part")).where(F.col("part").contains(OPEN))
+    parts = holders.select("key", F.explode(F.split(named, SENTENCE) if sentence else F.array(named)).alias("part")).where(F.col("part").contains(OPEN))
     listed = parts.select("key", F.regexp_extract_all("part", F.lit(rf"[\p{{L}}\p{{N}}{OPEN}{SHUT}]++"), F.lit(0)).alias("w"))
 
     def row(w: Column, k: Column) -> Column:
@@ -229,13 +266,15 @@ def contexts(holders: DataFrame, words: int = WORDS) -> DataFrame:
         return F.when(core, pairs).otherwise(F.array().cast("array<struct<entity:string,term:string>>"))
 
     pairs = rows.select("key", F.explode(F.flatten(_let(F.col("w"), lambda w: F.transform(w, lambda x, i: beside(x, i, w))))).alias("p"))
-    return pairs.select("key", F.decode(F.unhex("p.entity"), "UTF-8").alias("entity"), F.col("p.term").alias("term")).distinct()
+    pairs = pairs.select("key", F.decode(F.unhex("p.entity"), "UTF-8").alias("entity"), F.col("p.term").alias("term")).distinct()
+    return pairs.select("key", F.explode(classes_of(F.col("entity"))).alias("entity"), "term").select("key", "entity", F.explode(levels_of(F.array("term"))).alias("term")).distinct()
 
 
-def disclosures(docs: DataFrame, text: str = "text", words: int = WORDS, generalise: float = GENERALISE, holders: DataFrame | None = None) -> DataFrame:
+def disclosures(docs: DataFrame, text: str = "text", words: int = WORDS, generalise: float = GENERALISE, holders: DataFrame | None = None, prior: float = PRIOR, sentence: bool = True) -> DataFrame:
     """(entity, term, disclosure, spread) of the pairs at or above the lower threshold, from counts over all distinct texts.
 
-    ``spread`` says whether the term stands in more texts than beside the entity.
+    ``entity`` is an entity or its group, ``term`` a word or what a number generalises to; ``spread`` says whether the
+    term stands in more texts than beside the entity.
     """
     holders = holders if holders is not None else holders_of(docs, text)
     # Texts are told apart by 64 bits here: a clash among billions of texts would lower a count by one.
@@ -243,34 +282,46 @@ def disclosures(docs: DataFrame, text: str = "text", words: int = WORDS, general
     total = texts.select("key").distinct().count()
     once = once_each(texts, "key")
     held = holders.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    both = contexts(holders, words).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    both = contexts(holders, words, sentence).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     pairs = materialize(both.join(held, "entity"), "pii-pairs")
     wanted = materialize(pairs.select("term").distinct(), "pii-terms")
     # Counted before they are joined: a term is a row of each task at most, however common it is. An inner join with
     # distinct terms, since a semi join would be moved below the counting.
-    seen = once.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
+    seen = once.select(F.explode(levels_of(terms_of(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
     n = F.lit(float(max(total, 1)))
-    ratio = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term"))) / F.log(n / F.col("n_entity"))
-    beyond = F.col("n_both") * F.log(F.col("n_entity") * F.col("n_term") / n) <= F.log(F.lit(CHANCE))
-    scored = pairs.join(seen, "term").where(F.col("n_entity") < n).where(beyond).select("entity", "term", F.least(ratio, F.lit(1.0)).alias("disclosure"), (F.col("n_term") > F.col("n_both")).alias("spread"))
+    given = (F.col("n_both") + F.lit(prior) * F.col("n_entity") / n) / (F.col("n_term") + F.lit(prior))
+    ratio = F.log(given * n / F.col("n_entity")) / F.log(n / F.col("n_entity"))
+    scored = pairs.join(seen, "term").where(F.col("n_entity") < n).select("entity", "term", F.least(ratio, F.lit(1.0)).alias("disclosure"), (F.col("n_term") > F.col("n_both")).alias("spread"))
     return materialize(scored.where(F.col("disclosure") >= generalise), "pii-disclosures")
 
 
 def places_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, terms) of distinct ``texts`` (key, text, spans): where the words of ``wanted`` (key, term, removed) stand.
+    """(key, terms) of distinct ``texts`` (key, text, spans): where the words of ``wanted`` (key, term, removed, level) stand.
 
-    Words that a base span overlaps are passed over. Every text's words meet its own terms in one join.
+    ``level`` is what a number becomes, null for [NUMBER]. Words that a base span overlaps are passed over. Every text's words meet its own terms in one join.
     """
     hidden = rewritten(_unmarked(F.col("text")), F.col("spans"), lambda s, read: F.repeat(F.lit(OPEN), F.greatest(s["end"] - F.greatest(s["start"], read), F.lit(0))))
     asked = texts.join(wanted.select("key").distinct(), "key", "left_semi").select("key", hidden.alias("text"))
     words = asked.select("key", F.explode(placed(F.col("text"), rf"[\p{{L}}\p{{N}}{OPEN}]++")).alias("w")).where(~F.col("w.value").contains(OPEN))
     found = words.select("key", "w.start", "w.end", "w.value", F.lower("w.value").alias("term")).join(wanted, ["key", "term"])
     general = F.when(F.col("value").rlike("^[0-9]+$"), "[NUMBER]").when(F.col("value").rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
-    one = F.struct("start", "end", "term", F.when(F.col("removed"), "").otherwise(general).alias("mask"))
+    one = F.struct("start", "end", "term", F.when(F.col("removed"), "").otherwise(F.coalesce("level", general)).alias("mask"))
     return materialize(found.groupBy("key").agg(F.array_sort(F.collect_list(one)).cast(PLACES).alias("terms")), "pii-places")
 
 
-def detect(docs: DataFrame, text: str = "text", words: int = WORDS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def generalised(hits: DataFrame, remove: float) -> DataFrame:
+    """(key, term, removed, level) of the terms to sanitise, from ``hits`` (key, term, disclosure).
+
+    ``level`` is a number's most specific ancestor that is no hit in the text itself; null where there is none.
+    """
+    hits = materialize(hits.groupBy("key", "term").agg((F.max("disclosure") >= remove).alias("removed")), "pii-hits")
+    star = F.col("term").contains("*")
+    numbers = hits.where(~star & ~F.col("removed")).select("key", "term", F.posexplode(ancestors(F.col("term"))).alias("depth", "level"))
+    free = numbers.join(hits.where(star).select("key", F.col("term").alias("level")), ["key", "level"], "left_anti").groupBy("key", "term").agg(F.min_by("level", "depth").alias("level"))
+    return materialize(hits.where(~star).join(free, ["key", "term"], "left"), "pii-wanted")
+
+
+def detect(docs: DataFrame, text: str = "text", words: int = WORDS, generalise: float = GENERALISE, remove: float = REMOVE, prior: float = PRIOR, sentence: bool = True) -> DataFrame:
     """(row, text, spans, terms) of every row of ``docs``: the row as a struct, its base spans and its disclosing terms.
 
     ``spans`` are as in ``base_spans``, ``terms`` (start, end, term, mask) in order; an empty mask removes the term. Null and empty texts have none.
@@ -278,17 +329,16 @@ def detect(docs: DataFrame, text: str = "text", words: int = WORDS, generalise:
     ``row``, so their names can't clash.
     """
     holders = holders_of(docs, text)
-    found = disclosures(docs, text, words, generalise, holders)
-    owned = holders.select("key", F.explode(terms_of(F.col("text"))).alias("term"))
+    found = disclosures(docs, text, words, generalise, holders, prior, sentence)
+    owned = holders.select("key", F.explode(levels_of(terms_of(F.col("text")))).alias("term"))
     # A text's terms are looked up first: an entity of many texts has many terms, of which a text holds few.
     known = owned.join(found, "term").select("key", "term", "entity", "disclosure")
     hits = known.join(holders.select("key", F.explode("entities").alias("entity")), ["key", "entity"]).select("key", "term", "disclosure")
-    alone = materialize(found.where("spread").where(F.col("disclosure") >= remove).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "pii-alone")
-    per_term = lambda rows: materialize(rows.groupBy("key", "term").agg((F.max("disclosure") >= remove).alias("removed")), "pii-wanted")
+    alone = materialize(found.where("spread").where(F.col("disclosure") >= remove).where(~F.col("term").contains("*")).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "pii-alone")
     everywhere = not alone.isEmpty()
     if everywhere:
         hits = hits.unionAll(owned.join(alone, "term").select("key", "term", "disclosure"))
-    places = places_of(holders, per_term(hits))
+    places = places_of(holders, generalised(hits, remove))
     key = F.md5(F.col("text").cast("binary"))
     other, test = F.lit(False), F.xxhash64("text")
     if everywhere:
@@ -297,7 +347,7 @@ def detect(docs: DataFrame, text: str = "text", words: int = WORDS, generalise:
         loose = materialize(loose.select("key", "h", "term").distinct().join(holders.select("key"), "key", "left_anti"), "pii-loose")
         found_in = bit_test(loose, "h")
         texts = keyed.where(found_in(test)).join(loose.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-        others = places_of(texts.withColumn("spans", F.array().cast(f"array<{SPAN}>")), loose.select("key", "term", F.lit(True).alias("removed")))
+        others = places_of(texts.withColumn("spans", F.array().cast(f"array<{SPAN}>")), loose.select("key", "term", F.lit(True).alias("removed"), F.lit(None).cast("string").alias("level")))
         places, other = materialize(places.unionByName(others), "pii-all-places"), F.coalesce(found_in(test), F.lit(False))
     # Only rows that may hold a span or a term are dealt by their text.
     rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
