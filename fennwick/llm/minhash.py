@@ -1,4 +1,9 @@
-"""Near copies by the Jaccard similarity of word shingles: banded MinHash for candidates, exact similarity for links.
+"""Near copies by the Jaccard similarity of word shingles: SimHash, then banded MinHash for candidates, exact similarity for links.
+
+``keep_one`` begins with the SimHash join: each set's fingerprint is the majority of its shingles' hashes, and fingerprints
+that ``simhash.links`` joins by its grids of segment popcounts (2 bits or fewer apart) name candidates, as do equal ones. At a similarity
+of 0.8 fingerprints are 9.7 bits apart on average, which no grid of 64 bits can join, so further candidates come from bands of
+MinHash; among those, pairs that the first join has put into one component are not compared any more.
 
 A text is the set of its five-word shingles; equal sets are one node. Each node gives ``BANDS`` cells of ``ROWS`` least
 hashes, and nodes that share a cell are candidates: a pair of similarity 0.8 shares none with a probability of 3e-6, a
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 
 from fennwick.llm.common import bound_batches, materialize, utf8
 from fennwick.llm.components import connected_components
-from fennwick.llm.simhash import first_of, shingle_hashes
+from fennwick.llm.simhash import first_of, links, majority, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -88,20 +93,22 @@ def _differ(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, [one(i) for i in range(SEGMENTS // 64)])
 
 
-def sketch_of(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, cells_of: Callable[[np.ndarray], np.ndarray] = band_cells) -> Column:
-    """struct(node, size, cells, bits) of each row: a hash of its shingle set, the set's size, its cells and parities.
+def sketch_of(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, cells_of: Callable[[np.ndarray], np.ndarray] = band_cells, fingerprints: bool = False) -> Column:
+    """struct(node, size, cells, bits) of each row: a hash of its shingle set, the set's size, its cells and parities; with
+    ``fingerprints`` its SimHash ``fp`` too.
 
     No words, no cells.
     """
     bound_batches(docs.sparkSession)
 
-    @F.pandas_udf("node long, size int, cells array<long>, bits array<long>")
+    @F.pandas_udf("node long, size int, cells array<long>, bits array<long>" + ", fp long" * fingerprints)
     def of(bodies: pd.Series) -> pd.DataFrame:
         import xxhash
 
         sets = [shingle_set(b, shingle) for b in bodies]
         node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-        return pd.DataFrame({"node": node, "size": [len(s) for s in sets], "cells": [cells_of(s) if len(s) else [] for s in sets], "bits": [parities(s) for s in sets]})
+        found = pd.DataFrame({"node": node, "size": [len(s) for s in sets], "cells": [cells_of(s) if len(s) else [] for s in sets], "bits": [parities(s) for s in sets]})
+        return found.assign(fp=np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64)) if fingerprints else found
 
     return of(utf8(text))
 
@@ -135,15 +142,40 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return materialize(sides.where(close("sa", "sb")).select("a", "b"), "minhash-links")
 
 
-def components(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, dense: int = DENSE) -> DataFrame:
-    """(node, root) of the ``nodes`` (node, size, cells, bits, first) that have a similar one; the root is the least reachable."""
-    shared = shared_cells(nodes)
-    sets = sets_of(docs, nodes.join(shared.select("node").distinct(), "node"))
+def near_fingerprints(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b) of the ``nodes`` (node, size, bits, fp) whose SimHashes are equal or linked, unless a bound says that they are apart."""
+    least = materialize(nodes.groupBy("fp").agg(F.min("node").alias("low")), "minhash-fps")
+    equal = nodes.join(least, "fp").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    joined = links(least.select("fp")).join(least.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b")
+    pairs = equal.union(joined.select(F.least("x", "y"), F.greatest("x", "y")))
+    for x in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("bits").alias(f"bits_{x}")), x)
+    return materialize(pairs.where(alike(similarity)).select("a", "b").distinct(), "minhash-near")
+
+
+def components(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, dense: int = DENSE, near: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the ``nodes`` (node, size, cells, bits, first) that have a similar one; the root is the least reachable.
+
+    ``near`` (a, b) are candidates that are compared before those of the cells.
+    """
+    shared, known = shared_cells(nodes), None
+    held = shared.select("node")
+    if near is not None:
+        held = held.union(near.select(F.explode(F.array("a", "b"))))
+    sets = sets_of(docs, nodes.join(held.distinct(), "node"))
 
     light = shared.where(F.col("n") <= dense)
     one, two = (light.select("cell", F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    pairs = materialize(one.join(two, "cell").where("a < b").where(alike(similarity)).select("a", "b").distinct(), "minhash-pairs")
-    return resolve(shared.where(F.col("n") > dense), connected_components(similar_pairs(pairs, sets, similarity)), sets, similarity)
+    pairs = one.join(two, "cell").where("a < b").where(alike(similarity)).select("a", "b").distinct()
+    if near is not None:
+        known = connected_components(similar_pairs(near, sets, similarity))
+        for x in "ab":
+            pairs = pairs.join(known.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+        pairs = pairs.where(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).select("a", "b")
+    found = similar_pairs(materialize(pairs, "minhash-pairs"), sets, similarity)
+    if known is not None:
+        found = found.union(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return resolve(shared.where(F.col("n") > dense), connected_components(found), sets, similarity)
 
 
 def shared_cells(nodes: DataFrame) -> DataFrame:
@@ -238,7 +270,7 @@ def _near_buckets(rooted: DataFrame, similarity: float) -> DataFrame:
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, dense: int = DENSE) -> DataFrame:
     """One row of each group of near copies, with all columns, by the order of ``simhash.first_of``."""
     body = F.xxhash64(F.col("text"))
-    rows = materialize(docs.select("doc_id", body.alias("thash"), sketch_of(docs).alias("k")).select("doc_id", "thash", "k.*"), "minhash-rows")
+    rows = materialize(docs.select("doc_id", body.alias("thash"), sketch_of(docs, fingerprints=True).alias("k")).select("doc_id", "thash", "k.*"), "minhash-rows")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "thash")
-    nodes = materialize(rows.groupBy("node").agg(F.min(key).alias("first"), F.first("size").alias("size"), F.first("cells").alias("cells"), F.first("bits").alias("bits")), "minhash-nodes")
-    return first_of(docs, rows, components(docs, nodes, similarity, dense), "node")
+    nodes = materialize(rows.groupBy("node").agg(F.min(key).alias("first"), F.first("size").alias("size"), F.first("cells").alias("cells"), F.first("bits").alias("bits"), F.first("fp").alias("fp")), "minhash-nodes")
+    return first_of(docs, rows, components(docs, nodes, similarity, dense, near_fingerprints(nodes, similarity)), "node")

@@ -53,8 +53,12 @@ def shingle_hashes(body: bytes, k: int = SHINGLE) -> list[int]:
 
 def fingerprint(body: bytes, k: int = SHINGLE) -> int:
     """The 64-bit SimHash as an unsigned integer: a bit is set if it is set in over half the shingle hashes."""
-    hashes = shingle_hashes(body, k)
-    if not hashes:
+    return majority(shingle_hashes(body, k))
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The number whose bits are set in over half of ``hashes``; zero for none."""
+    if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK):
