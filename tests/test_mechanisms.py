@@ -74,3 +74,22 @@ def test_index_names(spark, tmp_path):
     (tmp_path / "bad.json.gz").write_text("no gzip")
     names = [R.index_name(spark, str(tmp_path / f)) for f in ("a.json", "b.json.gz", "late.json", "none.json", "bad.json.gz", "missing.json")]
     assert names == ['崩\\坏 "铁道"', '崩\\坏 "铁道"', "", "", "", ""]
+
+
+def test_a_dump_is_parsed_once_into_numbered_rows(spark, tmp_path):
+    """The rows of ``read_jsonl`` from a table, in the same order by one number, over several files and splits."""
+    for part in range(3):
+        (tmp_path / "person-relations.jsonlines").mkdir(exist_ok=True)
+        lines = [f'{{"person_id": {part * 1000 + i}, "related_person_id": {i % 7}, "relation_type": 1}}' for i in range(400)]
+        (tmp_path / "person-relations.jsonlines" / f"part-{2 - part}.txt").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        plain, read = R.read_jsonl(spark, str(tmp_path), "person-relations"), E.read_dump(spark, str(tmp_path), "person-relations")
+        assert dict(read.dtypes)["_pos"] == "bigint" and read.columns == plain.columns
+        assert not any("jsonlines" in f for f in read.inputFiles())
+        ids = lambda rows: [r["person_id"] for r in rows.orderBy("_pos").collect()]
+        assert ids(read) == ids(plain) == [p * 1000 + i for p in (2, 1, 0) for i in range(400)]
+        assert read.select("_pos").distinct().count() == 1200
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
