@@ -3,7 +3,7 @@
 ``keep_one`` begins with the SimHash join: each set's fingerprint is the majority of its shingles' hashes, and fingerprints
 that ``simhash.links`` joins by its grids of segment popcounts (2 bits or fewer apart) name candidates, as do equal ones. At a similarity
 of 0.8 fingerprints are 9.7 bits apart on average, which no grid of 64 bits can join, so further candidates come from bands of
-MinHash; among those, pairs that the first join has put into one component are not compared any more.
+MinHash. The pairs of both are compared together, each once, and their links make components in one pass of star steps.
 
 A text is the set of its five-word shingles; equal sets are one node. Each node gives ``BANDS`` cells of ``ROWS`` least
 hashes, and nodes that share a cell are candidates: a pair of similarity 0.8 shares none with a probability of 3e-6, a
@@ -156,9 +156,9 @@ def near_fingerprints(nodes: DataFrame, similarity: float = SIMILARITY) -> DataF
 def components(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, dense: int = DENSE, near: DataFrame | None = None) -> DataFrame:
     """(node, root) of the ``nodes`` (node, size, cells, bits, first) that have a similar one; the root is the least reachable.
 
-    ``near`` (a, b) are candidates that are compared before those of the cells.
+    ``near`` (a, b) are candidates besides those of the cells; a pair that both name is compared once.
     """
-    shared, known = shared_cells(nodes), None
+    shared = shared_cells(nodes)
     held = shared.select("node")
     if near is not None:
         held = held.union(near.select(F.explode(F.array("a", "b"))))
@@ -166,15 +166,10 @@ def components(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY
 
     light = shared.where(F.col("n") <= dense)
     one, two = (light.select("cell", F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    pairs = one.join(two, "cell").where("a < b").where(alike(similarity)).select("a", "b").distinct()
+    pairs = one.join(two, "cell").where("a < b").where(alike(similarity)).select("a", "b")
     if near is not None:
-        known = connected_components(similar_pairs(near, sets, similarity))
-        for x in "ab":
-            pairs = pairs.join(known.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
-        pairs = pairs.where(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).select("a", "b")
-    found = similar_pairs(materialize(pairs, "minhash-pairs"), sets, similarity)
-    if known is not None:
-        found = found.union(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(pairs)
+    found = similar_pairs(materialize(pairs.distinct(), "minhash-pairs"), sets, similarity)
     return resolve(shared.where(F.col("n") > dense), connected_components(found), sets, similarity)
 
 

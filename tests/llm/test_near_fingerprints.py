@@ -19,3 +19,15 @@ def test_stage_begins_with_the_simhash_join(spark, monkeypatch):
     close = {(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2}
     ids = {r["first"]["doc_id"]: r["node"] for r in nodes}
     assert pairs and pairs <= close and any(ids[900] in p for p in pairs)
+
+
+def test_candidates_of_both_joins_are_compared_once(spark, monkeypatch):
+    """One comparison of sets and one pass of star steps for both joins, with the groups of brute force."""
+    texts = copies()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    passes, compared, whole, similar = [], [], minhash.connected_components, minhash.similar_pairs
+    monkeypatch.setattr(minhash, "connected_components", lambda e: passes.append(1) or whole(e))
+    monkeypatch.setattr(minhash, "similar_pairs", lambda p, *a: compared.append(p) or similar(p, *a))
+    monkeypatch.setattr(minhash, "resolve", lambda crowd, roots, *a: roots)
+    minhash.keep_one(docs).collect()
+    assert len(passes) == len(compared) == 1 and compared[0].count() == compared[0].distinct().count() > 0
