@@ -17,6 +17,8 @@ QUOTES = "^[\"“”‘’']+$"
 WIDGET = "^(?:展开|折叠|待补充|（待补充）|暂无|来历)$"
 PLAYER, PLAYER_CHARS = "宽屏模式|显示视频|点击展开|点击折叠", 20
 DOUBLED = r"^(.{2,8})\1$"
+#: Bytes of text whose lines one task sorts; long articles stay whole.
+TASK_BYTES = 16 << 20
 
 
 def undouble(value: Column) -> Column:
@@ -50,17 +52,22 @@ def normalise_articles(articles: DataFrame) -> DataFrame:
     Headers that share a line part. In 基本信息 a key line and the value lines after it become ``key：v v``, and blank
     lines go. A section of notes or links goes, and all that follows it until the next 【】. Headers without content
     before the next header of their level or above go. Runs of blank lines become one, repeats of the line before go.
-    Null and empty texts give one line end. One shuffle: all windows run over an article at a time.
+    Null and empty texts give one line end. One shuffle, to as many tasks as the texts' bytes ask for: all windows run over
+    an article at a time. The texts are read once more for their size.
     """
     split = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), L.MERGED_HEADERS, "$1\n"), LINE_ENDS)
     order = Window.partitionBy("doc").orderBy("pos")
     so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
-    lines, line = tidy_lines(articles.select("doc", F.posexplode(split).alias("pos", "raw"))), F.col("line")
-    lines = lines.withColumn("level", L.header_level(line)).withColumn("top", F.count(F.when(F.col("level") == 1, 1)).over(so_far))
-    in_top = Window.partitionBy("doc", "top").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    size = articles.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(articles.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    lines, line = tidy_lines(articles.select("doc", F.posexplode(split).alias("pos", "raw"))).repartition(tasks, "doc"), F.col("line")
+    lines = lines.withColumn("level", L.header_level(line))
     opens = F.coalesce(F.col("level") <= 2, F.lit(False))
     lines = lines.withColumn("box", F.coalesce(F.last(F.when(F.col("level") == 1, L.header_text(line) == L.INFOBOX_SECTION), True).over(so_far), F.lit(False)))
-    lines = lines.withColumn("notes", F.coalesce(F.max(opens & L.header_text(line).rlike(L.BOILERPLATE_SECTION)).over(in_top), F.lit(False)))
+    # Notes began at or after the last 【】, if there was one; the same window as above, so lines are not sorted anew.
+    last_of = lambda c: F.last(F.when(c, F.col("pos")), True).over(so_far)
+    notes = last_of(opens & L.header_text(line).rlike(L.BOILERPLATE_SECTION)) >= F.coalesce(last_of(F.col("level") == 1), F.lit(0))
+    lines = lines.withColumn("notes", F.coalesce(notes, F.lit(False)))
 
     inside = F.col("box") & ~F.col("notes") & (line != "") & ~opens
     mark = F.when(opens, "end").when(inside & line.isin(*L.INFOBOX_TITLES), None).when(inside & line.isin(*L.INFOBOX_KEYS), "key").when(inside & line.contains("。"), "end")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fennwick.functions.entities import unescape
 from fennwick.operators import chunking as K
+from fennwick.operators import normalise as N
 from fennwick.plans import catalog_build as E
 from fennwick.sources import readers as R
 
@@ -93,3 +94,14 @@ def test_a_dump_is_parsed_once_into_numbered_rows(spark, tmp_path):
         assert read.select("_pos").distinct().count() == 1200
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_articles_are_dealt_by_their_bytes(spark, monkeypatch):
+    """The number of tasks grows with the texts, results stay; lines are sorted by one order besides that of sections."""
+    rows = [(i, f"【正文】\n第{i}行\n【外部链接】\nx\n〔更多〕\ny\n【全文】\n尾{i}" + "\n字句" * 50) for i in range(40)]
+    articles = spark.createDataFrame(rows, "doc long, text string")
+    plain = sorted(tuple(r) for r in N.normalise_articles(articles).collect())
+    monkeypatch.setattr(N, "TASK_BYTES", 256, raising=False)
+    small = N.normalise_articles(articles)
+    assert small.rdd.getNumPartitions() >= 40 and sorted(tuple(r) for r in small.collect()) == plain
+    assert all("x" not in t and "y" not in t and f"第{i}行" in t and f"尾{i}" in t for i, t in plain)
