@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_table(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
+    """A few rows of the driver's as a table. They go to the JVM as Arrow, as lists would start Python workers of their own in the executors."""
+    kinds = {"int": pa.int32(), "long": pa.int64()}
+    fields = [field.split() for field in schema.split(", ")]
+    return spark.createDataFrame(pa.table([pa.array(columns[name], kinds[kind]) for name, kind in fields], names=[name for name, _ in fields]), schema)
+
+
 def bit_test(keys: DataFrame, column: str = "key"):
     """A test ``of(hash)`` that is true for every 64-bit hash in ``keys``, and false for most others while keys are few.
 

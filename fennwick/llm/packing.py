@@ -22,14 +22,15 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fennwick.llm.common import bound_batches, materialize, table, utf8
-from fennwick.llm.tokens import CACHE_WORDS, default_vocabulary, encoder
+from fennwick.llm.common import bound_batches, materialize, small_table, table, utf8
+from fennwick.llm.tokens import CACHE_WORDS, default_vocabulary, encoder, passing_encoder
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 32_768
@@ -122,11 +123,11 @@ def balance(windows: list[int], step_tokens: int = STEP_TOKENS) -> list[int]:
     return out
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID, step_tokens: int = STEP_TOKENS, group_tokens: int = GROUP_TOKENS, id_col: str = "doc_id", text: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID, step_tokens: int = STEP_TOKENS, group_tokens: int = GROUP_TOKENS, id_col: str = "doc_id", text: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS, stay: bool = True) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
 
-    ``cache_words`` bounds what a worker remembers of words. A step must be a multiple of every tier. How documents share
-    windows depends on the files' splits, their tokens don't; all windows but one are full. ``with_ids`` adds the piece's
+    ``cache_words`` bounds what a worker remembers of words, which lasts from task to task if it is to ``stay``. A step must
+    be a multiple of every tier. How documents share windows depends on the files' splits, their tokens don't; all windows but one are full. ``with_ids`` adds the piece's
     ids as little-endian unsigned 32-bit integers. Null and empty texts are the end id alone; repeated rows are packed
     each, null ids too; an empty table gives no rows; other columns are not read.
     """
@@ -139,7 +140,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TI
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, words, end = TaskContext.get().partitionId(), encoder(vocabulary, cache_words), np.array([end_id], "<u4").tobytes()
+        part, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         seq, steps, over, held, ids, bodies = 0, 0, 0, 0, [], []
 
         def close() -> pa.RecordBatch:
@@ -160,25 +161,27 @@ def pack_documents(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TI
             steps, held, ids, bodies = steps + max(groups, default=-1) + 1, 0, [], []
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-        for batch in batches:
-            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                done = words.encode(body.as_py()) + end
-                ids.append(doc_id)
-                bodies.append(done)
-                held += len(done) // 4
-                if held >= group_tokens:
-                    yield close()
-        if ids:
-            yield close()
+        with nullcontext(encoder(vocabulary, cache_words)) if stay else passing_encoder(vocabulary, cache_words) as words:
+            for batch in batches:
+                for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    done = words.encode(body.as_py()) + end
+                    ids.append(doc_id)
+                    bodies.append(done)
+                    held += len(done) // 4
+                    if held >= group_tokens:
+                        yield close()
+            if ids:
+                yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text).alias("body"))
     pieces = materialize(rows.mapInArrow(write, schema), "packed")
     ends = pieces.groupBy("part").agg(F.max("seq").alias("seq"), F.max("step").alias("step"), F.max(F.when(F.col("seq").isNull(), F.col("offset") + F.col("length"))).alias("over"))
-    base, s, t, o = [], 0, 0, 0
+    base, s, t, o = {"part": [], "_seq": [], "_step": [], "_over": []}, 0, 0, 0
     for r in sorted(ends.collect(), key=lambda r: r["part"]):  # a row for each task
-        base.append((r["part"], s, t, o))
+        for column, value in zip(base.values(), (r["part"], s, t, o)):
+            column.append(value)
         s, t, o = s + (-1 if r["seq"] is None else r["seq"]) + 1, t + (-1 if r["step"] is None else r["step"]) + 1, o + (r["over"] or 0)
-    firsts = docs.sparkSession.createDataFrame(base, "part int, _seq long, _step long, _over long")
+    firsts = small_table(docs.sparkSession, base, "part int, _seq long, _step long, _over long")
     numbered = pieces.join(F.broadcast(firsts), "part")  # as many rows as tasks
     kept = ["ids"] if with_ids else []
     fixed = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]

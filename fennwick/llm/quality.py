@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fennwick.llm.common import bound_batches, materialize, spread, table
+from fennwick.llm.common import bound_batches, materialize, small_table, spread, table
 from fennwick.llm.ftrl import FTRL, Row
 
 DIM_BITS = 17
@@ -196,7 +196,7 @@ def _surest(feats: DataFrame, taken: DataFrame, exchange: int, sure: float) -> P
             return pd.DataFrame({"text": a, "meta": b})
 
         scored = feats.select("hash", margins("t", "m").alias("z")).groupBy("hash").agg(F.first("z").alias("z"))
-        past = spark.createDataFrame([(h,) for h in sorted(given)], "hash long")
+        past = small_table(spark, {"hash": sorted(given)}, "hash long")
         free = materialize(scored.join(taken, "hash", "left_anti").join(F.broadcast(past), "hash", "left_anti").select("hash", "z.*"), "quality-margins")  # past: what was picked before
         bar = float(np.log(sure / (1 - sure)))
         chosen = None

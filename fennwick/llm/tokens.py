@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 #: Words of a worker's cache (half of them old ones), and the longest chunk that is kept; together they bound its memory.
 CACHE_WORDS = 600_000
@@ -76,6 +79,21 @@ def encoder(path: str, limit: int = CACHE_WORDS) -> Encoder:
     return _encoders[path, limit]
 
 
+@contextmanager
+def passing_encoder(path: str, limit: int) -> Iterator[Encoder]:
+    """An encoder for one task. Its memory goes back to the system then, for workers that turn to other stages."""
+    words = Encoder(path, limit)
+    try:
+        yield words
+    finally:
+        words.clear()
+        words.old = {}
+        words.tokenizer = words.merges = None
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps what is freed in small pieces
+        if trim:
+            trim(0)
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
