@@ -2,10 +2,14 @@
 
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
+from fennwick import tables as T
 from fennwick.operators import catalog as Q
+from fennwick.plans import catalog_build as E
+from fennwick.plans import source_queries as S
 from fennwick.sources.store import Store
 
 DOCS = [(1, "red red Fox", "fox and red"), (2, None, "z z z"), (3, "", ""), (4, "one", None), (5, "b a b", "a c a")]
@@ -50,3 +54,28 @@ def test_lists_are_not_joined_in_one_task(spark, tmp_path, monkeypatch):
     small = less.compact(1)
     assert missing == ["subject:99"] and small.docs.count() == 39 and small.postings.count() == 78 and len(small.docs.inputFiles()) == 1
     assert set(plans) == {"deleted", *tables} and not any("Coalesce " in p for p in plans.values())
+
+
+def test_a_build_keeps_no_table_that_it_has_used(spark, tmp_path, monkeypatch):
+    """No two lists lie on disk unwritten, edges are gone before documents are numbered, and in the end only the store is left."""
+    seen, cleaned = {}, []
+    monkeypatch.setattr(T, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    names = lambda: sorted(p.name.rsplit("-", 1)[0] for p in Path(f"{tmp_path}/shared/stages").iterdir())
+    key, numbered, dumped, write = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", E.number_rows, E.read_dumps, Store.write
+    monkeypatch.setattr(E, "number_rows", lambda docs: seen.update(numbered=names()) or numbered(docs))
+    monkeypatch.setattr(E, "read_dumps", lambda s, folder: seen.update(files=[p.suffix for p in Path(folder.removeprefix("file://")).glob("*/part-*")]) or dumped(s, folder))
+    monkeypatch.setattr(Store, "write", lambda *a, **k: cleaned.append(spark.conf.get(key)) or write(*a, **k))
+    found = S.catalog_build(spark, "/root/testdata/sf0.001")
+    left = names()
+    assert {r["kind"] for r in found.select("kind").distinct().collect()} == {"subject", "character", "person"}
+    lists = ["catalog-actors", "catalog-cast", "catalog-jobs", "catalog-related", "catalog-staff", "catalog-ties", "catalog-works"]
+    assert set(seen["files"]) == {".gz"} and left == ["catalog"] and set(cleaned) == {"true"} and spark.conf.get(key) == "false"
+    assert seen["numbered"] == sorted([*lists, "dump-character", "dump-person", "dump-subject", *["catalog-kept"] * 3])
+
+
+def test_only_stage_tables_are_discarded(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "own"))
+    own, staged = spark.read.parquet(str(tmp_path / "own")), T.materialize(spark.range(4), "some")
+    other = T.materialize(spark.range(5), "some")
+    T.discard(own.join(staged, "id"))
+    assert own.count() == 3 and other.count() == 5 and not any(Path(f.removeprefix("file://")).exists() for f in staged.inputFiles())
