@@ -1,13 +1,16 @@
-"""Near copies by the Jaccard similarity of word shingles: SimHash, then banded MinHash for candidates, exact similarity for links.
+"""Near copies by the Jaccard similarity of word shingles: SimHash, then shared prefixes for candidates, exact similarity for links.
 
 ``keep_one`` begins with the SimHash join: each set's fingerprint is the majority of its shingles' hashes, and fingerprints
 that ``simhash.links`` joins by its grids of segment popcounts (2 bits or fewer apart) name candidates, as do equal ones. At a similarity
-of 0.8 fingerprints are 9.7 bits apart on average, which no grid of 64 bits can join, so further candidates come from bands of
-MinHash. The pairs of both are compared together, each once, and their links make components in one pass of star steps.
+of 0.8 fingerprints are 9.7 bits apart on average, which no grid of 64 bits can join, so further candidates come from
+prefixes. The pairs of both are compared together, each once, and their links make components in one pass of star steps.
 
-A text is the set of its five-word shingles; equal sets are one node. Each node gives ``BANDS`` cells of ``ROWS`` least
-hashes, and nodes that share a cell are candidates: a pair of similarity 0.8 shares none with a probability of 3e-6, a
-closer pair with a smaller one. Candidates are linked only if their sets' exact similarity is 0.8 or more.
+A text is the set of its five-word shingles; equal sets are one node. All shingles have one order, and a set of n gives its
+first n - ceil(0.8 n) + 1 of them as cells. Sets of similarity 0.8 have 0.8 n shingles in common at least, for either's n, so
+less than that is left behind either prefix and the first common shingle lies in both: nodes that share a cell are
+candidates, and no pair is missed, by no chance. Candidates are linked only if their sets' exact similarity is 0.8 or more.
+Any order would do. Shingles that are frequent in a sample come last, the others by their hashes, so cells are small. Cells
+that the same nodes share are one cell.
 
 Few candidates need their sets for that: a node's shingles fall into ``SEGMENTS`` segments, of whose counts it keeps the
 parities. Each shingle by which two sets differ changes one parity, so the differing parities are a lower bound of
@@ -25,6 +28,7 @@ components is passed over.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -34,23 +38,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fennwick.llm.common import bound_batches, materialize, utf8
+from fennwick.llm.common import bit_test, bound_batches, materialize, utf8
 from fennwick.llm.components import connected_components
 from fennwick.llm.simhash import first_of, links, majority, shingle_hashes
+from fennwick.tables import discard, shuffles_cleaned
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 5
+#: Texts that frequent shingles are looked for in, how many of them hold one at least, and how many shingles come last at most. No result depends on these.
+SAMPLE, OFTEN, MOST = 16_000, 3, 1 << 15
 DENSE = 16
 GROWTH = 64
 #: Width of the buckets of the bound.
 BUCKET = 4
 SEGMENTS = 1024
-#: Shingles hashed at once; bounds the memory of a very long text.
-CHUNK = 1 << 9
-_RNG = np.random.default_rng(42)
-_MUL = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
 def shingle_set(body: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -64,13 +65,32 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def band_cells(shingles: np.ndarray) -> np.ndarray:
-    """One cell for each band, with the band mixed in."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), CHUNK):
-        block = shingles[at : at + CHUNK, None]
-        np.minimum(least, mixed(block * _MUL + _ADD).min(axis=0), out=least)
-    return fold_bands(least.reshape(BANDS, ROWS))
+def prefix_cells(common: np.ndarray, similarity: float = SIMILARITY) -> Callable[[np.ndarray], np.ndarray]:
+    """A set's cells: its first shingles in the order of all, in which ``common`` ones (mixed, sorted) come last."""
+
+    def of(shingles: np.ndarray) -> np.ndarray:
+        hashed = np.sort(mixed(shingles))
+        if len(common):
+            last = common[np.minimum(np.searchsorted(common, hashed), len(common) - 1)] == hashed
+            hashed = np.concatenate([hashed[~last], hashed[last]])
+        return hashed[: len(hashed) - math.ceil(similarity * len(hashed) - 1e-9) + 1].view(np.int64)
+
+    return of
+
+
+def common_shingles(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
+    """The mixed hashes, sorted, of the shingles that ``OFTEN`` texts or more hold of some ``SAMPLE`` distinct ones, ``MOST`` of them at most."""
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(mixed(shingle_set(body.as_py(), shingle)).view(np.int64))], names=["shingle"])
+
+    every = max(1, docs.count() // SAMPLE)
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select(utf8("text").alias("body")).distinct()
+    held = sample.mapInArrow(unfold, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    found = held.orderBy(F.col("n").desc(), "shingle").limit(MOST).select("shingle").toArrow()  # at most MOST numbers, whatever the table's size
+    return np.sort(np.asarray(found.column(0).to_numpy(), dtype=np.int64).view(np.uint64))
 
 
 def fold_bands(rows: np.ndarray) -> np.ndarray:
@@ -93,7 +113,7 @@ def _differ(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, [one(i) for i in range(SEGMENTS // 64)])
 
 
-def sketch_of(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, cells_of: Callable[[np.ndarray], np.ndarray] = band_cells, fingerprints: bool = False) -> Column:
+def sketch_of(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, cells_of: Callable[[np.ndarray], np.ndarray] = prefix_cells(np.array([], np.uint64)), fingerprints: bool = False) -> Column:
     """struct(node, size, cells, bits) of each row: a hash of its shingle set, the set's size, its cells and parities; with
     ``fingerprints`` its SimHash ``fp`` too.
 
@@ -158,19 +178,33 @@ def components(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY
 
     ``near`` (a, b) are candidates besides those of the cells; a pair that both name is compared once.
     """
-    shared = shared_cells(nodes)
-    held = shared.select("node")
-    if near is not None:
-        held = held.union(near.select(F.explode(F.array("a", "b"))))
-    sets = sets_of(docs, nodes.join(held.distinct(), "node"))
-
-    light = shared.where(F.col("n") <= dense)
-    one, two = (light.select("cell", F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    pairs = one.join(two, "cell").where("a < b").where(alike(similarity)).select("a", "b")
+    shared = met_cells(nodes)
+    light, crowd = shared.where(F.col("n") <= dense), shared.where(F.col("n") > dense)
+    one, two = (light.select("cell", F.col("node").alias(x), F.col("size").alias(f"s{x}")) for x in "ab")
+    pairs = materialize(one.join(two, "cell").where("a < b").where(_sizes(similarity)).select("a", "b", "sa", "sb").distinct(), "minhash-sized")
+    for x in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("bits").alias(f"bits_{x}")), x)
+    pairs = pairs.where(alike(similarity)).select("a", "b")
     if near is not None:
         pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(pairs)
-    found = similar_pairs(materialize(pairs.distinct(), "minhash-pairs"), sets, similarity)
-    return resolve(shared.where(F.col("n") > dense), connected_components(found), sets, similarity)
+    pairs = materialize(pairs.distinct(), "minhash-pairs")
+    held = crowd.select("node").union(pairs.select(F.explode(F.array("a", "b"))))
+    named = materialize(nodes.join(held.distinct(), "node").select("node", "first"), "minhash-named")
+    wanted = bit_test(named.select(F.col("first.thash").alias("key")))  # so that few other texts are dealt
+    sets = sets_of(docs.where(wanted(F.xxhash64("text"))), named)
+    found = similar_pairs(pairs, sets, similarity)
+    roots = resolve(crowd.join(nodes.select("node", "bits"), "node"), connected_components(found), sets, similarity)
+    discard(sets, shared)
+    return roots
+
+
+def met_cells(nodes: DataFrame) -> DataFrame:
+    """(cell, node, size, n) of the cells that n nodes share, two or more; of cells that the same nodes share, the least."""
+    cells = nodes.select("node", "size", F.explode("cells").alias("cell"))
+    who = [F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")]
+    sizes = materialize(cells.groupBy("cell").agg(F.count("*").alias("n"), *who).where("n > 1"), "minhash-sizes")
+    single = materialize(sizes.groupBy("n", "x", "y").agg(F.min("cell").alias("cell")).select("cell", "n"), "minhash-single")
+    return materialize(cells.join(single, "cell"), "minhash-met")
 
 
 def shared_cells(nodes: DataFrame) -> DataFrame:
@@ -181,10 +215,13 @@ def shared_cells(nodes: DataFrame) -> DataFrame:
     return materialize(met_twice.join(nodes.select("node", "bits"), "node"), "minhash-cells")
 
 
+def _sizes(similarity: float) -> Column:
+    return F.least("sa", "sb") >= F.lit(similarity) * F.greatest("sa", "sb") - 1e-9
+
+
 def alike(similarity: float) -> Column:
     """Whether two nodes of sizes sa, sb and parities bits_a, bits_b may be so similar."""
-    sizes = F.least("sa", "sb") >= F.lit(similarity) * F.greatest("sa", "sb") - 1e-9
-    return sizes & (_differ("bits_a", "bits_b") <= (F.col("sa") + F.col("sb")) * _apart(similarity) + 1e-9)
+    return _sizes(similarity) & (_differ("bits_a", "bits_b") <= (F.col("sa") + F.col("sb")) * _apart(similarity) + 1e-9)
 
 
 def resolve(crowd: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -265,7 +302,10 @@ def _near_buckets(rooted: DataFrame, similarity: float) -> DataFrame:
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, dense: int = DENSE) -> DataFrame:
     """One row of each group of near copies, with all columns, by the order of ``simhash.first_of``."""
     body = F.xxhash64(F.col("text"))
-    rows = materialize(docs.select("doc_id", body.alias("thash"), sketch_of(docs, fingerprints=True).alias("k")).select("doc_id", "thash", "k.*"), "minhash-rows")
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "thash")
-    nodes = materialize(rows.groupBy("node").agg(F.min(key).alias("first"), F.first("size").alias("size"), F.first("cells").alias("cells"), F.first("bits").alias("bits"), F.first("fp").alias("fp")), "minhash-nodes")
-    return first_of(docs, rows, components(docs, nodes, similarity, dense, near_fingerprints(nodes, similarity)), "node")
+    with shuffles_cleaned(docs.sparkSession):
+        cells_of = prefix_cells(common_shingles(docs), similarity)
+        rows = materialize(docs.select("doc_id", body.alias("thash"), sketch_of(docs, cells_of=cells_of, fingerprints=True).alias("k")).select("doc_id", "thash", "k.*"), "minhash-rows")
+        key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "thash")
+        nodes = materialize(rows.groupBy("node").agg(F.min(key).alias("first"), F.first("size").alias("size"), F.first("cells").alias("cells"), F.first("bits").alias("bits"), F.first("fp").alias("fp")), "minhash-nodes")
+        labels = components(docs, nodes, similarity, dense, near_fingerprints(nodes, similarity))
+    return first_of(docs, rows.drop("cells", "bits"), labels, "node")
